@@ -17,8 +17,14 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, folder, "documents"))
 
 
+def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    from .substrings import substring_digest
+
+    return substring_digest(_table(spark, folder, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash,)}
+    return {f.__name__: f for f in (op2_minhash, op7_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:

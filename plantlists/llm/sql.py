@@ -20,3 +20,14 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(coalesce(l.compon
   (d.doc_id = least(coalesce(l.component_id, d.doc_id), d.doc_id)) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
 """
+
+SQL["op7_substrings"] = rf"""
+WITH w AS (SELECT doc_id, {WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+v AS (SELECT doc_id, s, md5(array_to_string(words[s:s + 19], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM w WHERE len(words) >= 20)),
+d AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM v) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM d),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept, count(*) AS k
+  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w) x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
