@@ -11,6 +11,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from .quality_rules import judged
+
+    return judged(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     from .near_duplicates import near_duplicate_classes
 
@@ -24,7 +30,7 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_minhash, op7_substrings)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op7_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
