@@ -23,6 +23,12 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, folder, "documents"))
 
 
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from .secrets import secret_digest
+
+    return secret_digest(_table(spark, folder, "documents"))
+
+
 def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     from .substrings import substring_digest
 
@@ -30,7 +36,7 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op7_substrings)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op6_secrets, op7_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
