@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 
+#: Where the vocabulary of op5 lies on the driver's machine; its text travels to the executors.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -23,6 +29,13 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, folder, "documents"))
 
 
+def op5_bpe(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    from .bpe import encoded
+
+    out = encoded(_table(spark, folder, "documents"), Path(vocabulary).read_text(encoding="utf-8"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     from .secrets import secret_digest
 
@@ -36,7 +49,7 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op6_secrets, op7_substrings)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op5_bpe, op6_secrets, op7_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
