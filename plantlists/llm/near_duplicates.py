@@ -14,7 +14,9 @@ Plan, none of which holds a group in one task or on the driver:
 4. Each live document is first compared with the most typical document (highest shared fraction) of its tables: one pair
    each, which joins most of a large group in linear work.
 5. Tables whose members are still in different components have their remaining pairs confirmed: members outside the
-   table's largest component against the others, pairs that sizes or shared counts rule out left out.
+   table's largest component against the others. A pair counts in the first table that it shares only. Pairs are left out
+   where sizes or shared counts rule a link out, or the triangle inequality does: Jaccard distance is a metric, so two
+   documents whose distances to the same typical document differ by more than 15 of 100 are not linked.
 6. Components by minimum labels.
 """
 
@@ -82,30 +84,22 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [x.view(np.int64) for x in _row_sets(unpacked(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
-
-
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for a, b, x, y in zip(*(batch.column(k) for k in range(4)), strict=True):
+        both, union = [], []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= SIMILARITY * (len(x) + len(y) - both):
-                out.append((a.as_py(), b.as_py()))
-        out = np.array(out, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+            both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            union.append(len(x) + len(y) - both[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "both", "union"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. The two sides of the join share one exchange of the sets."""
+def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sizes of intersection and union of the full sets of the pairs (a, b). The two joins share one exchange of the sets."""
     x = sets.select(F.col("node").alias("a"), F.col("packed").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("packed").alias("y"))
     small_batches(pairs.sparkSession)
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, both long, union long")
 
 
 def _pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +126,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     signed = staged(signatures(docs), "signatures")
     some = signed.where("doc_id is not null and n_shingles > 0")
     classes = staged(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")), "classes")
-    tables = classes.select("node", F.posexplode("keys").alias("t", "key")).select("node", F.xxhash64("t", "key").alias("key"))
+    tables = classes.select("node", F.explode(F.transform("keys", lambda k, t: F.xxhash64(t, k))).alias("key"))
     shared_keys = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = staged(tables.join(shared_keys, "key", "left_semi"), "members")
     nodes = members.select("node").distinct()
@@ -150,21 +144,28 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     typical = F.struct((F.col("shared") / F.col("n")).alias("fraction"), (-F.col("node")).alias("minus"))
     heads = members.groupBy("key").agg(F.max(typical).alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
     first = members.join(heads, "key").groupBy("node").agg(F.max("head").alias("head")).select(F.col("node").alias("a"), (-F.col("head.minus")).alias("b")).where("a <> b")
-    first_links = staged(_confirm(first, sets), "first-links")
+    to_head = staged(_measure(first, sets), "to-head")
+    linked = F.col("both") * 100 >= F.col("union") * SIMILARITY
+    first_links = to_head.where(linked).select("a", "b")
     found = connected_components(first_links)
+    far = to_head.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("union")).alias("distance"))
 
     # tables whose members are still apart
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = staged(placed, "placed")
+    placed = members.join(found, "node", "left").join(far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = staged(placed.withColumns({"hub": F.coalesce("hub", "node"), "distance": F.coalesce("distance", F.lit(0.0))}), "placed")
     per = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     largest = per.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("top"))
-    apart = staged(placed.join(largest, "key"), "apart")
-    x = apart.where("component <> top").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), F.col("component").alias("ca"))
-    y = apart.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), F.col("component").alias("cb"))
+    own_keys = classes.select("node", F.transform("keys", lambda k, t: F.xxhash64(t, k)).alias("keys"))
+    apart = staged(placed.join(largest, "key").join(own_keys, "node"), "apart")
+    names = {"node": "", "n": "n", "shared": "s", "component": "c", "keys": "k", "hub": "h", "distance": "d"}
+    side = lambda df, z: df.select("key", *(F.col(c).alias(f"{short}{z}") for c, short in names.items()))
+    x, y = side(apart.where("component <> top"), "a"), side(apart, "b")
     most = F.least("sa", "sb")  # no intersection is larger
-    rest = x.join(y, "key").where("ca <> cb").where(100 * most >= SIMILARITY * (F.col("na") + F.col("nb") - most))
+    possible = (100 * most >= SIMILARITY * (F.col("na") + F.col("nb") - most)) & ((F.col("ha") != F.col("hb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY / 100 + 1e-9))
+    met_first = F.element_at("ka", F.array_position(F.zip_with("ka", "kb", lambda p, q: p == q), True).cast("int")) == F.col("key")
+    rest = x.join(y, "key").where("ca <> cb").where(possible & met_first)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = first_links.union(staged(_confirm(rest, sets), "rest-links"))
+    links = first_links.union(staged(_measure(rest, sets).where(linked).select("a", "b"), "rest-links"))
     component = connected_components(links)
 
     whole = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"], "left")
