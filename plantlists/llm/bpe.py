@@ -19,7 +19,8 @@ from __future__ import annotations
 import json
 import unicodedata
 from struct import pack
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -41,11 +42,11 @@ def byte_symbols() -> dict[int, str]:
 
 
 class SuffixAutomaton:
-    """All entries that are suffixes of what was read so far, longest first."""
+    """All entries (and their sizes) that are suffixes of what was read so far, longest first."""
 
     def __init__(self, entries: dict[str, tuple[str, ...]]) -> None:
         self.next: list[dict[str, int]] = [{}]
-        own: list[str | None] = [None]
+        own: list[tuple[str, int] | None] = [None]
         for name, symbols in entries.items():
             state = 0
             for c in symbols:
@@ -54,9 +55,9 @@ class SuffixAutomaton:
                     self.next.append({})
                     own.append(None)
                 state = self.next[state][c]
-            own[state] = name
+            own[state] = (name, len(symbols))
         self.link = [0] * len(own)
-        self.found: list[tuple[str, ...]] = [()] * len(own)
+        self.found: list[tuple[tuple[str, int], ...]] = [()] * len(own)
         queue = list(self.next[0].values())
         for s in queue:
             self.found[s] = ((own[s],) if own[s] else ()) + self.found[self.link[s]]
@@ -70,6 +71,20 @@ class SuffixAutomaton:
         return self.next[state].get(symbol, 0)
 
 
+class _Kept(dict):
+    """Results of a function by argument, forgotten when there are too many."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str):  # noqa: ANN204
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+        self[key] = out = self.make(key)
+        return out
+
+
 class PrefixEncoder:
     """Encoder and decoder of a byte-level vocabulary with word ends, from its description (vocab, merges, end_of_word_suffix)."""
 
@@ -88,14 +103,13 @@ class PrefixEncoder:
             self.parts.setdefault(a + b, (a, b))
         self.bytes = byte_symbols()
         symbols = {token: self._symbols(token) for token in self.ids}
-        self.size = {token: len(x) for token, x in symbols.items()}
         self.sound: dict[str, bool] = {}
         self.automaton = SuffixAutomaton({t: x for t, x in symbols.items() if self._is_sound(t)})
-        self.compatible: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.compatible: dict[str, dict[str, bool]] = defaultdict(dict)
         self.split = regex.compile(given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_split = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
-        self.kept: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[str, ...]] = _Kept(self._word)
+        self.kept: dict[str, tuple[bytes, str]] = _Kept(self._piece)
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         """Characters, the last one together with the word end."""
@@ -109,8 +123,6 @@ class PrefixEncoder:
         Undo the merges of both, the later one first: a merge that joins the symbols at the seam would have happened if it ranks
         before the merge that took one of them up.
         """
-        if (known := self.compatible.get((left, right))) is not None:
-            return known
         a, b, limit, stays = left, right, len(self.rank), True
         while True:
             if self.rank.get((a, b), limit) < limit:
@@ -134,7 +146,7 @@ class PrefixEncoder:
                     stays = False
                     break
                 limit = rb
-        self.compatible[left, right] = stays
+        self.compatible[left][right] = stays
         return stays
 
     def _is_sound(self, token: str) -> bool:
@@ -169,62 +181,57 @@ class PrefixEncoder:
                 return False
             limit = max(ra, rb)
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of one word of the splitting pattern; last[i] is the last token of the first i symbols."""
-        if (known := self.words.get(word)) is not None:
-            return known
+    def _word(self, word: str) -> tuple[str, ...]:
+        """Tokens of one word of the splitting pattern; last[i] is the last token of the first i symbols and its size."""
+        table, found, compatible = self.automaton.next, self.automaton.found, self.compatible
         symbols = [self.bytes[b] for b in word.encode()]
         symbols[-1] += self.end
-        last: list[str | None] = [None]
-        state, step, found, size, pairs = 0, self.automaton.step, self.automaton.found, self.size, self.compatible
-        for i, symbol in enumerate(symbols, 1):
-            state = step(state, symbol)
+        last: list[tuple[str, int] | None] = [None]
+        state, i = 0, 0
+        for symbol in symbols:
+            i += 1
+            to = table[state].get(symbol)
+            state = self.automaton.step(state, symbol) if to is None else to
             own = None
-            for token in found[state]:
-                at = i - size[token]
-                if not at:
-                    own = token
+            for entry in found[state]:
+                token, size = entry
+                if size == i:
+                    own = entry
                     break
-                before = last[at]
+                before = last[i - size]
                 if before is not None:
-                    stays = pairs.get((before, token))
-                    if self._pair_stays(before, token) if stays is None else stays:
-                        own = token
+                    left = before[0]
+                    stays = compatible[left].get(token)
+                    if self._pair_stays(left, token) if stays is None else stays:
+                        own = entry
                         break
             last.append(own)
-        out, i = [], len(symbols)
+        out = []
         while i > 0:
-            if (token := last[i]) is None:
+            if (entry := last[i]) is None:
                 raise ValueError(f"no encoding for {word!r}")
-            out.append(self.ids[token])
-            i -= size[token]
+            out.append(entry[0])
+            i -= entry[1]
         out.reverse()
-        if len(self.words) >= KEPT_PIECES:
-            self.words.clear()
-        self.words[word] = out
-        return out
+        return tuple(out)
 
     def _piece(self, piece: str) -> tuple[bytes, str]:
         """Little-endian ids and the decoded text of a run without white space."""
-        if (known := self.kept.get(piece)) is None:
-            plain = piece.lower() if piece.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
-            ids = [i for word in self.split.findall(plain) for i in self._word(word)]
-            known = (pack(f"<{len(ids)}I", *ids), self.decode(ids))
-            if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
-            self.kept[piece] = known
-        return known
+        plain = piece.lower() if piece.isascii() else "".join([c.lower() for c in unicodedata.normalize("NFC", piece)])
+        words = (plain,) if plain.isascii() and plain.isalpha() else self.split.findall(plain)
+        tokens = [t for word in words for t in self.words[word]]
+        return pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens)), " ".join(tokens)
 
     def _pieces(self, text: str) -> list[tuple[bytes, str]]:
-        out, at = [], 0
+        out, at, kept = [], 0, self.kept.__getitem__
         for m in self.special_split.finditer(text) if "<|" in text else ():
-            out += map(self._piece, filter(None, _SPACES.split(text[at : m.start()])))
+            out += map(kept, filter(None, _SPACES.split(text[at : m.start()])))
             out.append((self.special[m[0]].to_bytes(4, "little"), m[0]))
             at = m.end()
         rest = text[at:] if at else text
         plain = rest.isascii() and not any(c in rest for c in "\x1c\x1d\x1e\x1f")
         found = rest.split() if plain else filter(None, _SPACES.split(rest))
-        return out + list(map(self._piece, found))
+        return out + list(map(kept, found))
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Little-endian 32-bit ids of a text, and what they decode to."""
