@@ -48,8 +48,26 @@ def op7_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substring_digest(_table(spark, folder, "documents"))
 
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(_table(spark, folder, "documents"))
+
+
+def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
+    from .chat import perspectives
+
+    return perspectives(_table(spark, folder, "conversations"))
+
+
+def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    from .embedding_duplicates import embedding_classes
+
+    return embedding_classes(_table(spark, folder, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op5_bpe, op6_secrets, op7_substrings)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:

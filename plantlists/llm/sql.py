@@ -31,3 +31,25 @@ kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept, count(*)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
+
+SQL["op9_chat"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS position FROM t),
+v AS (SELECT DISTINCT conv_id, role AS view FROM t WHERE role <> 'system'),
+h AS (SELECT conv_id, view, position, turn, role, text, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = view THEN '<|assistant|>' || chr(10)
+  ELSE '<|user name=' || regexp_replace(role, '[|<>\n]', '_', 'g') || '|>' || chr(10) END AS head FROM r JOIN v USING (conv_id)),
+s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM h),
+b AS (SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, view ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s)
+SELECT conv_id, view, position, turn, segment, start AS "begin", CASE WHEN role = view THEN start + length(head) END AS mask_begin,
+  CASE WHEN role = view THEN start + length(head) + length(text) + 7 END AS mask_end FROM b
+"""
+
+SQL["op10_embeddings"] = """
+WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+reach AS (SELECT a AS vec_id, a AS other FROM link UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+least_id AS (SELECT vec_id, min(other) AS low FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(l.low, m.vec_id), m.vec_id)::BIGINT AS component_id, (m.vec_id = coalesce(least(l.low, m.vec_id), m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN n ON n.vec_id = m.vec_id LEFT JOIN least_id l ON l.vec_id = m.vec_id
+"""
