@@ -29,6 +29,12 @@ def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, folder, "documents"))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from .pii import pseudonymised
+
+    return pseudonymised(_table(spark, folder, "documents"))
+
+
 def op5_bpe(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     from .bpe import encoded
 
@@ -67,7 +73,7 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_pii, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
