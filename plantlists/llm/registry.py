@@ -35,6 +35,12 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymised(_table(spark, folder, "documents"))
 
 
+def op4_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    from .weak_labels import scored
+
+    return scored(_table(spark, folder, "documents"))
+
+
 def op5_bpe(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     from .bpe import encoded
 
@@ -73,7 +79,7 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_pii, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_pii, op4_weak_labels, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
