@@ -1,4 +1,65 @@
-STAGES = []
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All stages but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plantlists.llm.near_duplicates import near_duplicate_classes
+from plantlists.llm.packing import packed
+from plantlists.llm.quality_rules import without_rejected
+from plantlists.llm.secrets import masked
+from plantlists.llm.staging import staged
+from plantlists.llm.substrings import without_repeats
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where docs has it."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base and the learned rules keep."""
+    return without_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the least doc_id; rows without a doc_id stay."""
+    gone = near_duplicate_classes(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that stand in passages of earlier documents; texts with none are unchanged, texts of nothing else go."""
+    found = without_repeats(docs, others=docs.columns)
+    left = found.where("n_removed = 0 or n_removed < n_words")
+    at = {c: f"o{k}" for k, c in enumerate(docs.columns)}
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(at["text"]))
+    return _recounted(left.select(*(text.alias(c) if c == "text" else F.col(at[c]).alias(c) for c in docs.columns)))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets replaced by the names of their kinds."""
+    return _recounted(masked(docs))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The batch of each document."""
+    return packed(docs)
+
+
+STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("repeated passages", repeated_passages), ("secrets", secrets), ("packing", packing)]
+
+#: The learned rules and the bucket bounds come from fitting, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import small_batches, staged
+from .staging import packed_texts, small_batches, staged, unpacked
 
 KINDS = ("assign", "access", "hex", "linked_login", "linked_secret", "linked_endpoint")
 #: The farthest gap between two parts of one credential, in code points.
@@ -166,3 +166,34 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def secret_digest(docs: DataFrame) -> DataFrame:
     return secret_spans(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text, spans in zip(unpacked(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if spans:
+                found = sorted((int(a), int(b), kind) for kind, a, b in (x.split(":") for x in spans.split(",")))
+                pieces, at = [], 0
+                for a, b, kind in found:
+                    if a >= at:
+                        pieces += [text[at:a], f"[{kind}]"]
+                    at = max(at, b)
+                text = "".join([*pieces, text[at:]])
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], ["text", *batch.schema.names[2:]])
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """docs, in all its columns, with every span of secret_spans() replaced by its kind in brackets; overlapping spans become one.
+
+    A null text becomes empty; texts without spans stay as they are.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    spans = secret_spans(docs).where("spans <> ''").select(F.col("doc_id").alias("id"), F.col("check").alias("c"), "spans").distinct()
+    texts = packed_texts(docs, others=others)
+    joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("check") == F.col("c")), "left")
+    rest = [f"o{k}" for k in range(len(others))]
+    schema = ", ".join(["text string", *(f"{c} {joined.schema[c].dataType.simpleString()}" for c in rest)])
+    out = joined.select("packed", "spans", *rest).mapInArrow(_masked, schema)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"o{others.index(c)}").alias(c) for c in docs.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +36,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def packed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, check, packed): texts compressed before a shuffle by key; check tells apart rows that share a key."""
+def packed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", others: Sequence[str] = ()) -> DataFrame:
+    """(key, check, packed, o0, o1, ...): texts compressed before a shuffle by key, and other columns of docs by number.
+
+    check, a checksum of the text, tells apart rows that share a key.
+    """
     small_batches(docs.sparkSession)
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_pack, "doc_id long, check int, packed binary")
+    rest = docs.select(*(F.col(c).alias(f"o{k}") for k, c in enumerate(others)))
+    schema = ", ".join(["doc_id long, check int, packed binary", *(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema.fields)])
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(others))).mapInArrow(_pack, schema)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +55,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = [(t.as_py() or "").encode() for t in batch.column(1)]
         packed = [len(x).to_bytes(4, "little") + codec.compress(x, asbytes=True) for x in raw]
         checks = pa.array([crc32(x) - (1 << 31) for x in raw], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), checks, pa.array(packed, pa.binary())], ["doc_id", "check", "packed"])
+        columns = [batch.column(0).cast(pa.int64()), checks, pa.array(packed, pa.binary()), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "check", "packed", *batch.schema.names[2:]])
 
 
 def unpacked(column: pa.Array) -> pa.Array:

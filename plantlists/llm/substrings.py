@@ -17,7 +17,7 @@ exchange once for each batch and not once for each row. Texts cross an exchange
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -149,7 +149,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(np.diff(part.row_words))
             gone.append(np.diff(np.searchsorted(np.flatnonzero(covered), part.row_words)))
         n, gone = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (n, gone))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+        columns = [batch.column(0), pa.array(n), pa.array(gone), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[4:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_text", *batch.schema.names[4:]])
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
@@ -173,17 +174,20 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "check", "blocks").join(windows, ["doc_id", "check"], "left")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text (kept words joined by one space).
+def without_repeats(docs: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text (kept words joined by one space), o0, o1, ...
 
+    o0, o1, ... are the columns of docs named in others; no other column is looked at, whatever its name.
     Words are compared unchanged. A word goes if some 20-word window over it occurs earlier: in a document with a smaller doc_id,
     or in the same one with an earlier start; windows are judged on the input. Null, empty and wordless texts have no words
     and an empty kept_text. Rows that repeat a doc_id stand at the same place in the order, so none of them is earlier than
-    its twin. Rows with a null doc_id stand outside the order and keep all their words. Other columns are ignored.
+    its twin. Rows with a null doc_id stand outside the order and keep all their words.
     """
     spans = staged(duplicate_spans(docs), "spans")
-    whole = packed_texts(docs).join(spans, ["doc_id", "check"], "left")
-    return whole.select("doc_id", "packed", "blocks", "windows").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    whole = packed_texts(docs, others=others).join(spans, ["doc_id", "check"], "left")
+    rest = [f"o{k}" for k in range(len(others))]
+    schema = ", ".join(["doc_id long, n_words long, n_removed long, kept_text string", *(f"{c} {whole.schema[c].dataType.simpleString()}" for c in rest)])
+    return whole.select("doc_id", "packed", "blocks", "windows", *rest).mapInArrow(_cut, schema)
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
