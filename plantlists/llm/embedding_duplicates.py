@@ -25,8 +25,10 @@ from .staging import staged
 
 COSINE = 0.98
 TABLES = 10
-HASHES = 2
+HASHES = 3
 BLOCK = 512
+#: Rows of all block pairs that are handed to one call, on average.
+SLOT_ROWS = 10_000
 SEED = 20240229
 
 
@@ -139,8 +141,10 @@ def _links(group: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([nodes, edges[:, 0]]), "b": np.concatenate([nodes, edges[:, 1]]), "n": np.concatenate([counts, np.zeros(len(edges), np.int64)])}).astype("int64")
 
 
-def _compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    return _links(group, int(key[3]), int(key[4]))
+def _compare(slot: pd.DataFrame) -> pd.DataFrame:
+    """All block pairs of one slot."""
+    found = [_links(group, int(i), int(j)) for (_, _, _, i, j), group in slot.groupby(["label", "t", "key", "i", "j"], sort=False)]
+    return pd.concat(found, ignore_index=True)
 
 
 def embedding_classes(vectors: DataFrame) -> DataFrame:
@@ -169,7 +173,11 @@ def embedding_classes(vectors: DataFrame) -> DataFrame:
     # a block meets itself and all others; (i, j) with i <= j names the group
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
     groups = dealt.select("node", "label", "t", "key", "block", F.inline(pairs)).join(keyed, "node")
-    found = staged(groups.groupBy("label", "t", "key", "i", "j").applyInPandas(_compare, "a long, b long, n long"), "found")
+    # many small groups make up one slot, so that a slot's work and not a group's sets the cost of a call
+    rows_to_come = sizes.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
+    slots = max(1, int(rows_to_come) // SLOT_ROWS)
+    groups = groups.withColumn("slot", F.pmod(F.xxhash64("label", "t", "key", "i", "j"), F.lit(slots)))
+    found = staged(groups.groupBy("slot").applyInPandas(_compare, "a long, b long, n long"), "found")
     component = connected_components(found.where("a <> b").select("a", "b"))
     per = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     known = distinct.join(per, "node", "left").join(component, "node", "left")
