@@ -1,11 +1,16 @@
 """The registered queries of the library and their SQL."""
 
+from __future__ import annotations
+
+from .plans import list_queries, text_queries
+
 FLAGSHIP = "d2_compare_revision"
+_MODULES = (list_queries, text_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m.SQL.items()}
