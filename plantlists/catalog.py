@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import list_queries, text_queries
+from .plans import bom_queries, list_queries, text_queries
 
 FLAGSHIP = "d2_compare_revision"
-_MODULES = (list_queries, text_queries)
+_MODULES = (list_queries, text_queries, bom_queries)
 
 
 def queries() -> dict:

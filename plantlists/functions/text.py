@@ -168,16 +168,18 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.when(F.length(p) < 6, F.lpad(p, 6, F.lit("0"))).otherwise(p)).otherwise(p)), "")
 
 
+def _literal(word: str) -> str:
+    return "".join(ch if ch.isalnum() or ch == " " else f"\\{ch}" for ch in word)
+
+
 def classify_by_rules(c: Column, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> Column:
     """The label of the first rule with a matching prefix, else of the first with a contained keyword, else ''. Case does not count."""
     low = F.lower(c)
+    any_of = lambda words: "|".join(_literal(w.lower()) for w in words)  # noqa: E731  one pattern a rule keeps the expression small
+    tests = [(f"^(?:{any_of(prefixes)})", label) for label, prefixes, _ in rules if prefixes] + [(any_of(words), label) for label, _, words in rules if words]
     out = F.lit("")
-    for label, _, keywords in reversed(rules):
-        for word in reversed(list(keywords)):
-            out = F.when(low.contains(word.lower()), label).otherwise(out)
-    for label, prefixes, _ in reversed(rules):
-        for prefix in reversed(list(prefixes)):
-            out = F.when(low.startswith(prefix.lower()), label).otherwise(out)
+    for pattern, label in reversed(tests):
+        out = F.when(low.rlike(pattern), label).otherwise(out)
     return F.when(c.isNull(), "").otherwise(out)
 
 
