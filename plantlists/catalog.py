@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import bom_queries, list_queries, text_queries
+from .plans import bom_queries, list_queries, plant_queries, text_queries, text_search_queries
 
 FLAGSHIP = "d2_compare_revision"
-_MODULES = (list_queries, text_queries, bom_queries)
+_MODULES = (list_queries, text_queries, bom_queries, text_search_queries, plant_queries)
 
 
 def queries() -> dict:

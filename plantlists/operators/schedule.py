@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Months by name (fixed values).
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -15,18 +15,19 @@ MAX_ROUNDS = 100
 
 
 def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of b at a time."""
-    if not a or not b:
-        return 0
-    codes = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    row = np.zeros(len(codes) + 1, np.int64)
-    for c in np.frombuffer(a.encode("utf-32-le"), np.uint32):
-        best = np.maximum(row[1:], row[:-1] + (codes == c))
-        row[1:] = np.maximum.accumulate(best)
-    return int(row[-1])
-
-
-@F.pandas_udf("double")
+    """Length of the longest common subsequence; a bit of an integer for each place of a, so a character of b costs a few operations."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
+
+
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Rounded 100 * 2 * LCS / (la + lb), 100 for two empty texts, null for a null."""
     out = [None if x is None or y is None else 100.0 if not x and not y else float(round(200 * common_length(x, y) / (len(x) + len(y)))) for x, y in zip(a, b, strict=True)]

@@ -28,7 +28,7 @@ def parse_listing(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     got = lambda pattern: F.when(F.regexp_extract("line", pattern, 1) != "", F.regexp_extract("line", pattern, 1))
     rows = lines.withColumns({"new_pipe": got(r"NEW PIPE /?(\S+)"), "new_branch": got(r"NEW BRANCH /?(\S+)"), "new_part": got(rf"NEW ({_TYPES})\b")})
     opened = F.col("new_pipe").isNotNull() | F.col("new_branch").isNotNull() | F.col("new_part").isNotNull()
-    rows = rows.withColumns({"pipe": F.last("new_pipe", True).over(order), "branch": F.last("new_branch", True).over(order), "element": F.last(F.when(opened, F.col("line_no")), True).over(order),
+    rows = rows.withColumns({"pipe": F.last("new_pipe", True).over(order), "branch": F.last(F.when(F.col("new_pipe").isNotNull() | F.col("new_branch").isNotNull(), F.struct(F.col("new_branch").alias("b"))), True).over(order)["b"], "element": F.last(F.when(opened, F.col("line_no")), True).over(order),
                              "part": F.last(F.when(opened, F.coalesce("new_part", F.lit("-"))), True).over(order)})
     attribute = lambda name: F.max(F.when(F.ltrim("line").startswith(name + " "), F.trim(F.regexp_extract("line", rf"^\s*{name}\s+(.*)$", 1))))
     in_branch = rows.where("branch is not null")
