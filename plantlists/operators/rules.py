@@ -76,7 +76,7 @@ def check_line_list(lines: DataFrame, classes: DataFrame) -> DataFrame:
     told = lambda ok, *need: F.when(F.greatest(*(n.isNull().cast("int") for n in need), F.lit(0)) == 1, "nan").when(ok, "OK").otherwise("NOK")
     ps, ts, dn, pn = (c(x).try_cast("double") for x in ("ps", "ts")), None, text.dn_number(c("dn")), text.first_int(c("pn")).cast("double")
     ps, ts = ps
-    media = F.transform(F.split("c_medium", ","), F.trim)
+    media = F.transform(F.split("c_medium", ","), lambda m: F.trim(m))
     checks = {
         "medium": told(F.array_contains(media, F.trim("medium")), c("medium"), c("c_medium")), "ps": told(ps <= c("c_pn"), ps, c("c_pn")), "ts": told(ts.between(c("c_t_min"), c("c_t_max")), ts, c("c_t_min"), c("c_t_max")),
         "dn": told(dn.between(c("c_dn_from"), c("c_dn_to")), dn, c("c_dn_from"), c("c_dn_to")), "pn": told(F.coalesce(pn == c("c_pn"), F.lit(False)), c("pn"), c("c_pn")), "material": told(F.trim("material") == F.trim("c_material"), c("material"), c("c_material")),

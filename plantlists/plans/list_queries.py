@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import compare, predicates
 from .shared import Query, derived, derived_sql, table
 
-ROW = "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_pos"
+ROW = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + cast(floor(l_extendedprice * 100) as bigint) % 10000 AS row_pos"
 OLD = [ROW, "l_partkey AS part", "l_returnflag AS flag", "l_quantity AS qty", "l_linestatus AS status", "l_suppkey AS supp"]
 NEW = [ROW, "l_partkey AS part", "l_returnflag AS flag", "case when l_partkey % 7 = 0 then l_quantity + 1 when l_partkey % 7 = 1 then l_quantity - 1 else l_quantity end AS qty", "case when l_partkey % 5 = 0 then 'X' else l_linestatus end AS status", "l_suppkey AS supp"]
 OLD_ROWS, NEW_ROWS = "l_orderkey % 10 <> 3", "l_orderkey % 11 <> 5"
@@ -171,7 +171,7 @@ def d9(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("d10_hierarchical_match", """
-WITH b AS (SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_pos, '1HTX01BR' || lpad(CAST(l_partkey % 900 AS VARCHAR), 3, '0') AS code, l_suppkey % 20 AS article, l_quantity AS qty, l_linenumber AS cut_length FROM lineitem WHERE l_orderkey % 20 = 0),
+WITH b AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + cast(floor(l_extendedprice * 100) as bigint) % 10000 AS row_pos, '1HTX01BR' || lpad(CAST(l_partkey % 900 AS VARCHAR), 3, '0') AS code, l_suppkey % 20 AS article, l_quantity AS qty, l_linenumber AS cut_length FROM lineitem WHERE l_orderkey % 20 = 0),
 c AS (SELECT '/1HTX01BR' || lpad(CAST(l_partkey % 900 AS VARCHAR), 3, '0') || '/SU1' AS code, l_suppkey % 20 AS article, l_quantity AS qty, l_linenumber AS cut_length FROM lineitem WHERE l_orderkey % 20 IN (0, 5) AND l_partkey % 900 < 800),
 m AS (SELECT b.row_pos, b.code, count(c.code) AS n1, count_if(b.article = c.article) AS n2, count_if(b.article = c.article AND b.qty = c.qty) AS n3, count_if(b.article = c.article AND b.qty = c.qty AND b.cut_length = c.cut_length) AS n4 FROM b LEFT JOIN c ON contains(c.code, b.code) GROUP BY 1, 2)
 SELECT row_pos, code, CASE WHEN n1 = 0 THEN 'NO_KKS_MATCH' WHEN n2 = 0 THEN 'ARTICLE_MISMATCH' WHEN n3 = 0 THEN 'QTY_MISMATCH' WHEN n4 = 0 THEN 'CUT_LENGTH_MISMATCH' WHEN n4 = 1 THEN 'EXACT' ELSE 'MULTIPLE' END AS level FROM m""")

@@ -131,13 +131,13 @@ SELECT DISTINCT file, line_no, '1HTX' || lpad(CAST(o % 89 AS VARCHAR), 2, '0') |
 
 
 def b30_sum_extra_long(spark: SparkSession, folder: str) -> DataFrame:
-    rows = derived(spark, folder, "lineitem", ["l_orderkey AS item", "((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS row_pos", "case l_linenumber % 3 when 0 then concat(cast(l_linenumber as string), ' off extra-long') when 1 then l_linestatus end AS remarks"])
+    rows = derived(spark, folder, "lineitem", ["l_orderkey AS item", "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + cast(floor(l_extendedprice * 100) as bigint) % 10000 AS row_pos", "case l_linenumber % 3 when 0 then concat(cast(l_linenumber as string), ' off extra-long') when 1 then l_linestatus end AS remarks"])
     return bom.sum_extra_long(rows, ["item"])
 
 
 QUERIES["b30_sum_extra_long"] = b30_sum_extra_long
 SQL["b30_sum_extra_long"] = """
-WITH r AS (SELECT l_orderkey AS item, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS p, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber END AS n, CASE WHEN l_linenumber % 3 = 1 THEN l_linestatus END AS other FROM lineitem),
+WITH r AS (SELECT l_orderkey AS item, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + cast(floor(l_extendedprice * 100) as bigint) % 10000 AS p, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber END AS n, CASE WHEN l_linenumber % 3 = 1 THEN l_linestatus END AS other FROM lineitem),
 o AS (SELECT item, string_agg(other, '; ' ORDER BY p) AS others FROM (SELECT item, other, min(p) AS p FROM r WHERE other IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
 SELECT r.item, concat_ws('; ', CASE WHEN sum(n) IS NOT NULL THEN CAST(sum(n) AS VARCHAR) || ' off extra-long' END, max(o.others)) AS remarks FROM r LEFT JOIN o USING (item) GROUP BY 1
 """

@@ -18,7 +18,9 @@ def plain(v):  # noqa: ANN001, ANN201
         return None
     if isinstance(v, bool | str):
         return v
-    if isinstance(v, decimal.Decimal | int | float):
+    if isinstance(v, int) or (isinstance(v, float) and v.is_integer()):
+        return int(v)
+    if isinstance(v, decimal.Decimal | float):
         return float(f"{float(v):.9g}") + 0.0
     if isinstance(v, datetime.date):
         return v.isoformat()
