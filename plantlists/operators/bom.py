@@ -148,21 +148,24 @@ def pieces_of(rows: DataFrame, route: str) -> DataFrame:
     return chosen.groupBy("item_number", "coating", "bar_mm", "label", F.col("cut_length_mm").cast("long").alias("cut_mm")).agg(F.sum(n).alias("n"), F.sum("total_weight_kg").alias("w"), F.min("row_pos").alias("p"))
 
 
-def pack_bars(pieces: DataFrame) -> DataFrame:
-    """Bars by first-fit decreasing for each (item_number, coating): n_bars and sums. pieces as pieces_of() gives them.
+def _runs(pieces: DataFrame) -> DataFrame:
+    """One row per (item_number, coating): bar length, label, sums, and its distinct lengths, long ones first, with their counts.
 
-    A group has one row for each distinct length, whatever the number of pieces.
+    A bar's lengths are whole millimetres, so a group has as many runs as a bar has millimetres at most.
     """
+    runs = F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("cut_mm", "n"))), asc=False)
+    return pieces.groupBy("item_number", "coating").agg(F.min("bar_mm").alias("bar_mm"), F.min_by("label", "p").alias("label"), runs.alias("runs"), F.sum(F.col("cut_mm") * F.col("n")).alias("net_mm"), F.sum("w").alias("weight"), F.min("p").alias("row_pos"))
+
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        runs = sorted(((int(a), int(b)) for a, b in zip(group["cut_mm"], group["n"], strict=True) if b > 0), reverse=True)
-        bar = int(group["bar_mm"].iloc[0])
-        used = len(first_fit(runs, bar)) if runs else 0
-        weight = group["w"].sum(min_count=1)
-        return pd.DataFrame({"item_number": [group["item_number"].iloc[0]], "coating": [group["coating"].iloc[0]], "bar_mm": [bar], "label": [group["label"].iloc[0]], "n_bars": [used],
-                             "net_mm": [sum(a * b for a, b in runs)], "weight": [None if pd.isna(weight) else float(weight)], "row_pos": [int(group["p"].min())]})
+def pack_bars(pieces: DataFrame) -> DataFrame:
+    """Bars by first-fit decreasing for each (item_number, coating): n_bars and sums. pieces as pieces_of() gives them."""
 
-    return pieces.groupBy("item_number", "coating").applyInPandas(pack, "item_number long, coating string, bar_mm long, label string, n_bars long, net_mm long, weight double, row_pos long")
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            used = [len(first_fit([(r["cut_mm"], r["n"]) for r in runs], bar)) if len(runs) else 0 for runs, bar in zip(frame["runs"], frame["bar_mm"], strict=True)]
+            yield frame.assign(n_bars=used)[["item_number", "coating", "bar_mm", "label", "n_bars", "net_mm", "weight", "row_pos"]]
+
+    return _runs(pieces).mapInPandas(pack, "item_number long, coating string, bar_mm long, label string, n_bars long, net_mm long, weight double, row_pos long")
 
 
 def packed_rows(rows: DataFrame, route: str) -> DataFrame:
@@ -183,13 +186,18 @@ def packed_rows(rows: DataFrame, route: str) -> DataFrame:
 def cut_plan(pieces: DataFrame, bar_mm: int | None = None) -> DataFrame:
     """E5: the bars of each group: item_number, coating, bar, length, n, used_mm (with kerf), left_mm, too_long."""
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
-        bar = bar_mm or int(group["bar_mm"].iloc[0])
-        runs = sorted(((int(a), int(b)) for a, b in zip(group["cut_mm"], group["n"], strict=True) if b > 0), reverse=True)
-        out = [(group["item_number"].iloc[0], group["coating"].iloc[0], k, length, n, bar - rest, rest, length > bar) for k, (rest, held) in enumerate(first_fit(runs, bar) if runs else [], 1) for length, n in held]
-        return pd.DataFrame(out, columns=["item_number", "coating", "bar", "length", "n", "used_mm", "left_mm", "too_long"])
+    names = ["item_number", "coating", "bar", "length", "n", "used_mm", "left_mm", "too_long"]
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            out = []
+            for g in frame.itertuples():
+                bar = bar_mm or int(g.bar_mm)
+                for k, (rest, held) in enumerate(first_fit([(r["cut_mm"], r["n"]) for r in g.runs], bar) if len(g.runs) else [], 1):
+                    out += [(g.item_number, g.coating, k, length, n, bar - rest, rest, length > bar) for length, n in held]
+            yield pd.DataFrame(out, columns=names)
 
-    return pieces.groupBy("item_number", "coating").applyInPandas(plan, "item_number long, coating string, bar long, length long, n long, used_mm long, left_mm long, too_long boolean")
+    return _runs(pieces).select("item_number", "coating", "bar_mm", "runs").mapInPandas(plan, "item_number long, coating string, bar long, length long, n long, used_mm long, left_mm long, too_long boolean")
 
 
 def tape_rolls(rows: DataFrame) -> DataFrame:
