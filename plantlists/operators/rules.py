@@ -145,8 +145,8 @@ class MainSpare:
     m_large: float = 0.10
     tubi_multiple: int = 6
     seal_words: tuple[str, ...] = ("seal", "ring", "fkm")
-    not_seal: tuple[str, ...] = ("orifice",)
-    critical_words: tuple[str, ...] = ("orifice", "expansion")
+    not_seal: tuple[str, ...] = ("elbow", "flange", "tee", "reducer")
+    critical_words: tuple[str, ...] = ("nipple", "nipples", "union", "connection", "connections", "welding", "adaptor", "coupling", "threaded")
     tubi_words: tuple[str, ...] = ("tubi",)
 
 
@@ -210,7 +210,7 @@ class ErectionSpare:
     standard: int = 400
     standard_share: tuple[float, float] = (0.35, 0.2)
     nut_words: tuple[str, ...] = ("nut", "washer")
-    bolt_words: tuple[str, ...] = ("bolt", "screw")
+    bolt_words: tuple[str, ...] = ("bolt",)
     gasket_words: tuple[str, ...] = ("gasket",)
 
 
@@ -267,10 +267,10 @@ def touch_up_paint(rows: DataFrame, tubi_share: float = 0.05) -> DataFrame:
 
 
 def blind_disks(rows: DataFrame, thickness: dict[int, float]) -> DataFrame:
-    """Disks by DN of the flanges: 10 up to 100 pieces a DN's sum above 100, 4 above 20, else 2 (of flange pieces), with the thickness of the DN."""
-    g = rows.where(contains_any(F.col("description"), ("flan",))).withColumn("dn", text.extract_numeric(F.col("size")).cast("int")).groupBy("dn").agg(F.sum("qty_pcs").alias("flanges"))
+    """Disks by DN of the flanges (type or description): 10 above 50 pieces, 4 above 30, else 2, with the thickness of the DN."""
+    g = rows.where(contains_any(F.col("type"), ("flan",)) | contains_any(F.col("description"), ("flan",))).withColumn("dn", text.extract_numeric(F.col("size")).cast("int")).groupBy("dn").agg(F.sum("qty_pcs").alias("flanges"))
     mm = F.create_map(*[F.lit(x) for dn, t in thickness.items() for x in (dn, float(t))])
-    return g.select("dn", "flanges", F.when(F.col("flanges") > 100, 10).when(F.col("flanges") > 20, 4).otherwise(2).alias("disks"), mm[F.col("dn")].alias("thickness_mm"))
+    return g.select("dn", "flanges", F.when(F.col("flanges") > 50, 10).when(F.col("flanges") > 30, 4).otherwise(2).alias("disks"), mm[F.col("dn")].alias("thickness_mm"))
 
 
 def flange_guards(rows: DataFrame, systems: Sequence[str]) -> DataFrame:

@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Elements of a listing that are no components for first and last (fixed values).
-NO_COMPONENTS = ("ATTACHMENT", "ATTA", "WELD", "PIPE", "BRANCH")
+#: Elements of a listing that are no components, and one that does not count as a first or last component (fixed values).
+STRUCTURE = ("BRANCH", "PIPE", "ZONE", "SITE", "STRUCTURE", "SUBSTRUCTURE", "CYLINDER", "CTORUS")
+ATTACHMENT = "ATTACHMENT"
 #: Component types that may touch (fixed values, either order).
 TOUCHING_PAIRS = (
     ("ELBO", "ELBO"), ("ELBO", "REDU"), ("ELBO", "FLAN"), ("ELBO", "TEE"), ("ELBO", "CAP"), ("ELBO", "VALV"), ("TEE", "REDU"),
     ("TEE", "TEE"), ("TEE", "CAP"), ("TEE", "FLAN"), ("REDU", "FLAN"), ("REDU", "CAP"), ("REDU", "REDU"), ("REDU", "VALV"),
 )
-_TYPES = "ELBO|ELBOW|TEE|FLAN|FLANGE|VALV|VALVE|REDU|REDUCER|CAP|OLET|WELD|GASK|GASKET|INST|INSTRUMENT|PCOM|COUP|COUPLING|ATTA|ATTACHMENT|TUBI"
 
 
 def parse_listing(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(branches, components) of lines (file, line_no, line).
 
-    'NEW PIPE /code', 'NEW BRANCH /code/B1' and 'NEW <type>' open elements; the attribute lines that follow belong to the last opened one. The state
+    'NEW PIPE /code', 'NEW BRANCH /code/B1' and 'NEW <type>' open elements (structural ones are no components); the attribute lines that follow belong to the last opened one. The state
     is carried by forward fill within a file. branches: file, branch, pipe, h*/t* positions, hcon, tcon, hstu, head_length and tail_length (to the first and
     last component with a position). components: file, branch, seq, type, spre, x, y, z.
     """
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     got = lambda pattern: F.when(F.regexp_extract("line", pattern, 1) != "", F.regexp_extract("line", pattern, 1))
-    rows = lines.withColumns({"new_pipe": got(r"NEW PIPE /?(\S+)"), "new_branch": got(r"NEW BRANCH /?(\S+)"), "new_part": got(rf"NEW ({_TYPES})\b")})
+    rows = lines.withColumns({"new_pipe": got(r"NEW PIPE /?(\S+)"), "new_branch": got(r"NEW BRANCH /?(\S+)"), "new_part": got(r"^\s*NEW (\w+)")})
+    rows = rows.withColumn("new_part", F.when(~F.col("new_part").isin("BRANCH", "PIPE"), F.col("new_part")))
     opened = F.col("new_pipe").isNotNull() | F.col("new_branch").isNotNull() | F.col("new_part").isNotNull()
     rows = rows.withColumns({"pipe": F.last("new_pipe", True).over(order), "branch": F.last(F.when(F.col("new_pipe").isNotNull() | F.col("new_branch").isNotNull(), F.struct(F.col("new_branch").alias("b"))), True).over(order)["b"], "element": F.last(F.when(opened, F.col("line_no")), True).over(order),
                              "part": F.last(F.when(opened, F.coalesce("new_part", F.lit("-"))), True).over(order)})
@@ -36,11 +37,11 @@ def parse_listing(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     for end in ("h", "t"):
         xyz = text.parse_xyz(F.col(f"{end}pos"))
         heads = heads.withColumns({f"{end}{a}": xyz[a] for a in "xyz"})
-    parts = in_branch.where("part <> '-'").groupBy("file", "branch", "element").agg(F.max("part").alias("type"), attribute("SPRE").alias("spre"), attribute("POS").alias("pos"))
+    parts = in_branch.where((F.col("part") != "-") & ~F.col("part").isin(*STRUCTURE)).groupBy("file", "branch", "element").agg(F.max("part").alias("type"), F.regexp_replace(attribute("SPRE"), r"^SPCOMPONENT\s+", "").alias("spre"), attribute("POS").alias("pos"))
     at = text.parse_xyz(F.col("pos"))
     seq = F.row_number().over(Window.partitionBy("file", "branch").orderBy("element"))
     components = parts.select("file", "branch", seq.alias("seq"), "type", "spre", at["x"].alias("x"), at["y"].alias("y"), at["z"].alias("z"))
-    placed = components.where(F.col("x").isNotNull() & ~F.col("type").isin(*NO_COMPONENTS))
+    placed = components.where(F.col("x").isNotNull() & (F.col("type") != ATTACHMENT))
     ends = placed.groupBy("file", "branch").agg(F.min_by(F.struct("x", "y", "z"), "seq").alias("first"), F.max_by(F.struct("x", "y", "z"), "seq").alias("last"))
     branches = heads.join(ends, ["file", "branch"], "left")
     branches = branches.select("file", "branch", "pipe", "line_no", "hx", "hy", "hz", "tx", "ty", "tz", "hcon", "tcon", "hstu", _distance("h", "first").alias("head_length"), _distance("t", "last").alias("tail_length"))

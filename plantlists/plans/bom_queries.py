@@ -204,7 +204,7 @@ def e16(spark: SparkSession, d: str) -> DataFrame:
     return rules.touch_up_paint(price(spark, d)).select("colour", F.round("m2", 3).alias("m2"))
 
 
-@_query("e17_blind_disks", f"WITH {_P} SELECT CAST(substr(size, 3) AS INTEGER) AS dn, sum(qty_pcs) AS flanges, CASE WHEN sum(qty_pcs) > 100 THEN 10 WHEN sum(qty_pcs) > 20 THEN 4 ELSE 2 END AS disks, CASE CAST(substr(size, 3) AS INTEGER) WHEN 15 THEN 3.0 WHEN 40 THEN 4.0 END AS thickness_mm FROM p WHERE lower(description) LIKE '%flan%' GROUP BY 1, 4")
+@_query("e17_blind_disks", f"WITH {_P} SELECT CAST(substr(size, 3) AS INTEGER) AS dn, sum(qty_pcs) AS flanges, CASE WHEN sum(qty_pcs) > 50 THEN 10 WHEN sum(qty_pcs) > 30 THEN 4 ELSE 2 END AS disks, CASE CAST(substr(size, 3) AS INTEGER) WHEN 15 THEN 3.0 WHEN 40 THEN 4.0 END AS thickness_mm FROM p WHERE lower(description) LIKE '%flan%' GROUP BY 1, 4")
 def e17(spark: SparkSession, d: str) -> DataFrame:
     return rules.blind_disks(price(spark, d), {15: 3.0, 40: 4.0})
 
