@@ -120,8 +120,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     Texts are lower-cased (A-Z) and split into words; two documents are linked if 100 * intersection >= 85 * union of their
     distinct five-word shingles. component_id is the least doc_id that links reach, kept = (doc_id = component_id). Null,
     empty and wordless texts have n_shingles 0 and are linked with nothing. Rows with a null doc_id come back with null
-    component_id and kept. Repeated rows are copies like others and come back as often as they came. Other columns of docs,
-    whatever their names, are ignored.
+    component_id and kept. Repeated rows are copies like others and come back as often as they came; rows that give one doc_id
+    different texts share a component, found from one of the texts. Other columns of docs, whatever their names, are ignored.
     """
     signed = staged(signatures(docs), "signatures")
     some = signed.where("doc_id is not null and n_shingles > 0")
@@ -132,7 +132,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     nodes = members.select("node").distinct()
 
     texts = packed_texts(docs).where("doc_id is not null").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = staged(texts.select("doc_id", "packed").mapInArrow(_pack_sets, "node long, packed binary").dropDuplicates(["node"]), "sets")
+    sets = staged(texts.select("doc_id", "packed").mapInArrow(_pack_sets, "node long, packed binary").groupBy("node").agg(F.min("packed").alias("packed")), "sets")
     shingles = sets.mapInArrow(_as_lists, "node long, shingles array<long>").select("node", F.explode("shingles").alias("s"))
     common = shingles.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s")
     shared = shingles.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
