@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,9 +205,8 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
 @_query("t1_stream_ingest", "SELECT 'f' || (user_id % 20) AS filename, CAST(event_id % 5 AS INTEGER) AS page, count(*) AS rows, bool_or(event_id % 3 = 0) AS code_found, CASE WHEN bool_or(event_id % 3 = 0) THEN 'OK' ELSE 'NO CODE' END AS status FROM events GROUP BY 1, 2")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     """The stream over a drop folder of extracted rows, in the shared folder; the result is its page log."""
-    import uuid
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'spark-stage').rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ingest-")  # a folder of its own only where the session names none, as in tests
+    folder = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     rows = derived(spark, d, "events", ["concat('f', cast(user_id % 20 as string)) AS filename", "cast(event_id % 5 as int) AS page", "case when event_id % 3 = 0 then 'k' else '' end AS kks"])
     rows.write.parquet(f"{folder}/drop")
     jobs.stream_ingest(spark, f"{folder}/drop", "filename string, page int, kks string", f"{folder}/sink", f"{folder}/checkpoint").awaitTermination()
