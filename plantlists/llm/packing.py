@@ -1,9 +1,10 @@
 """Batches of documents under a token budget, inside length buckets whose bounds minimise padding.
 
-The global histogram of lengths is one aggregation. Its lengths, at most MAX_STEPS of them (longer histograms are first
-rounded up to quantiles, each a bound that the result may use), go through dynamic programming on the driver: cost(i, j) is the padding of
-lengths i..j padded to length j, and the best split into k buckets follows from the best splits into k - 1. Documents then take
-the least bound that holds them, and batches fill up to the budget inside each bucket.
+The global histogram of lengths is one aggregation. All its lengths go through dynamic programming on the driver: cost(i, j) is
+the padding of lengths i..j padded to length j, and the best split into k buckets follows from the best splits into k - 1. The cost
+satisfies the quadrangle inequality, so the best last cut never moves back as j grows, and divide and conquer finds all cuts of one k
+in O(m log m). m different lengths need m * m / 2 words at least, so m grows with the root of the table. Documents then take the
+least bound that holds them, and batches fill up to the budget inside each bucket.
 
 A bucket may hold any share of the rows, so ranks inside it are not taken in one task: rows are dealt to slots by a hash of
 their id, ranked within (bucket, slot), and slot offsets come from the running sum of slot counts.
@@ -19,8 +20,6 @@ from .staging import staged
 
 BUCKETS = 16
 BUDGET = 16_384
-#: Distinct lengths that dynamic programming looks at.
-MAX_STEPS = 2_000
 #: Rows that a slot holds on average.
 SLOT_ROWS = 5_000
 
@@ -36,17 +35,23 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     m = len(lengths)
     if not m:
         return []
-    docs, tokens = np.append(0, np.cumsum(counts)).astype(np.float64), np.append(0, np.cumsum(counts * lengths)).astype(np.float64)
-    # best[j]: least padding of the first j lengths; a bucket over i..j-1 pads to lengths[j - 1]
-    best = np.full(m + 1, np.inf)
-    best[0] = 0
-    back = []
-    for _ in range(min(buckets, m)):
-        new, frm = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        for j in range(1, m + 1):
-            cost = best[:j] + lengths[j - 1] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])
-            frm[j] = int(np.argmin(cost))
-            new[j] = cost[frm[j]]
+    docs, tokens = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
+    # best[j]: least padding of the first j lengths in k buckets, for j >= k; a bucket over i..j-1 pads to lengths[j - 1]
+    best = np.append(0, lengths * docs[1:] - tokens[1:])
+    back = [np.zeros(m + 1, np.int64)]
+    for k in range(2, min(buckets, m) + 1):
+        new, frm = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+        todo = [(k, m, k - 1, m - 1)]  # the cuts of j in low..high lie in least..most
+        while todo:
+            low, high, least, most = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = slice(least, min(most, j - 1) + 1)
+            cost = best[i] + lengths[j - 1] * (docs[j] - docs[i]) - (tokens[j] - tokens[i])
+            at = int(np.argmin(cost))
+            new[j], frm[j] = cost[at], least + at
+            todo += [(low, j - 1, least, least + at), (j + 1, high, least + at, most)]
         back.append(frm)
         best = new
     bounds, j = [], m
@@ -61,12 +66,7 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 def length_bounds(lengths: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Bounds for the column n_tokens, empty rows left out."""
     histogram = lengths.where("n_tokens > 0").groupBy("n_tokens").agg(F.count("*").alias("n"))
-    steps = staged(histogram, "lengths")
-    if steps.count() > MAX_STEPS:
-        cuts = sorted({int(c) for c in lengths.where("n_tokens > 0").approxQuantile("n_tokens", [k / (MAX_STEPS // 2) for k in range(MAX_STEPS // 2 + 1)], 0.25 / MAX_STEPS)} | {steps.agg(F.max("n_tokens")).first()[0]})
-        up = F.array_min(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("n_tokens")))
-        steps = steps.groupBy(up.cast("long").alias("n_tokens")).agg(F.sum("n").alias("n"))
-    found = sorted((r["n_tokens"], r["n"]) for r in steps.collect())
+    found = sorted((r["n_tokens"], r["n"]) for r in histogram.collect())
     return best_bounds(np.array([x for x, _ in found], np.int64), np.array([x for _, x in found], np.int64), buckets)
 
 

@@ -279,3 +279,17 @@ def test_packing(spark) -> None:
         assert all(n == room for _, n, room in sorted(batches)[:-1])  # all but the last are full
     assert packing.packed(docs.limit(0)).count() == 0
     assert spark.createDataFrame([(" a\tb\x0bc ",), (None,), ("\xa0",)], "t string").select(packing.n_words(F.col("t"))).collect() == [(3,), (0,), (1,)]
+
+
+def test_bounds_of_many_lengths(spark) -> None:
+    """More than 2,000 different lengths with a thin tail, against the quadratic program over all of them."""
+    rng = np.random.default_rng(8)
+    lengths = np.concatenate([rng.integers(1, 2_200, 30_000), rng.integers(5_000, 7_000, 12), [20_938]])
+    values, counts = np.unique(lengths, return_counts=True)
+    assert len(values) > 2_000
+    docs, tokens = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * values))
+    best = np.append(0.0, np.full(len(values), np.inf))
+    for _ in range(packing.BUCKETS):
+        best = np.array([np.inf, *((best[:j] + values[j - 1] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])).min() for j in range(1, len(values) + 1))])
+    found = packing.length_bounds(spark.createDataFrame([(int(x),) for x in lengths], "n_tokens long"))
+    assert len(found) == packing.BUCKETS and padding_of([int(x) for x in lengths], found) == best[-1]
