@@ -145,8 +145,9 @@ _ENTITY_ROWS = [
 ]
 
 
-def entities(spark: SparkSession, d: str) -> DataFrame:
-    return derived(spark, d, "supplier", _ENTITY_ROWS, "s_suppkey < 100")
+def entities(spark: SparkSession, d: str, where: str = "s_suppkey < 100") -> DataFrame:
+    """The cut of l1, l2, l3 and l5 stands in their SQL."""
+    return derived(spark, d, "supplier", _ENTITY_ROWS, where)
 
 
 @_query("l1_layout_rows", "SELECT s_suppkey % 5 AS file, round(895.5 - s_suppkey * 8, 1)::DOUBLE AS y, 6 AS n, '<' || s_suppkey || '>' AS first FROM supplier WHERE s_suppkey < 100 ")
@@ -167,7 +168,7 @@ def l3(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("l4_drawing_fields", "SELECT DISTINCT s_suppkey % 5 AS file, '1HTX' || lpad(CAST(s_suppkey % 5 AS VARCHAR), 2, '0') || 'BR100-1' AS drawing_no, 'ABCD' AS pipe_class FROM supplier")
 def l4(spark: SparkSession, d: str) -> DataFrame:
-    return layout.drawing_fields(entities(spark, d))
+    return layout.drawing_fields(entities(spark, d, "true"))
 
 
 @_query("l5_extraction_summary", "WITH r AS (SELECT s_suppkey % 5 AS file, s_suppkey AS k FROM supplier WHERE s_suppkey < 100) SELECT file, count_if(k % 7 <> 0 AND 900 - k * 8 > 10) AS mat_rows, 2 * count(*) AS cut_rows, false AS cut_missing FROM r GROUP BY 1")

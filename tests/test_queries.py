@@ -28,3 +28,11 @@ def test_entry(spark) -> None:
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
+
+
+def test_drawing_fields_of_all_suppliers(spark, tmp_path) -> None:
+    """l4 on suppliers of keys from 100 on only."""
+    (tmp_path / "none").mkdir()
+    spark.range(100, 112).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    _, expected = rows_of_sql(_SQL["l4_drawing_fields"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'"), str(tmp_path / "none"))
+    assert len(expected) == 5 and rows_of_spark(_QUERIES["l4_drawing_fields"](spark, str(tmp_path))) == expected
