@@ -10,7 +10,9 @@ a secret, an endpoint next to an identifier and a secret. Parts are rows, scopes
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +92,7 @@ def _parts(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
         weak += [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     if _run(text, _IN_OPAQUE, 20):
         weak += [("secret", m.start(), m.end()) for m in _OPAQUE.finditer(text) if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0])]
-    taken = sorted((a, b) for a, b, _ in base)
+    taken = _reach(base)
     weak = [w for w in weak if not _overlaps(taken, w[1], w[2])]
     if not weak:
         return []
@@ -100,11 +102,17 @@ def _parts(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
     return out + [{"role": r, "kind": f"linked_{r}", "scope": scope(a), "begin": a, "stop": b} for r, a, b in weak]
 
 
-def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """taken: disjoint within a kind only, so a few may nest; looks at those that begin before b."""
-    from bisect import bisect_left
+def _reach(base: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts of the spans in order, and the farthest end of the spans up to each."""
+    taken = sorted((a, b) for a, b, _ in base)
+    return [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
 
-    return any(e > a for _, e in taken[max(0, bisect_left(taken, (b, 0)) - 8) : bisect_left(taken, (b, 0))])
+def _overlaps(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    """Whether some span of _reach() begins before b and ends after a; spans may nest to any depth."""
+    starts, ends = taken
+    k = bisect_left(starts, b)
+    return k > 0 and ends[k - 1] > a
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

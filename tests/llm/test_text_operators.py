@@ -184,6 +184,18 @@ def test_secrets(spark) -> None:
     assert secrets.secret_digest(table(spark, {}).limit(0)).count() == 0
 
 
+def test_weak_candidate_after_many_nested_spans(spark) -> None:
+    """An opaque string inside a long value stays part of it, however many spans the value holds before it."""
+    pieces = ["0123456789abcdef" * 2] * 12
+    text = "AKIA" + "Q" * 16 + " token=" + ".".join([*pieces, "aB3" * 8])
+    spans = [(a, b) for a, b, _ in secrets.base_spans(text)]
+    assert len(spans) == 14
+    for a in range(0, len(text), 7):
+        assert secrets._overlaps(secrets._reach(secrets.base_spans(text)), a, a + 5) == any(x < a + 5 and y > a for x, y in spans)
+    found = secrets.secret_spans(table(spark, {1: text})).first()
+    assert found.spans == found.base and "linked" not in found.spans
+
+
 def test_pseudonyms(spark) -> None:
     card = "4111 1111 1111 1111"
     rows = {1: f"a {card} b 4111111111111111; mail Bob.1@mail5.example.com 10.0.0.1 2024-02-29 31.12.1999 +1 (415) 555-2671", 2: None, 3: "", 4: "4111111111111111 4111111111111111", 5: "plain words, 12 of them", 6: "2024-02-30 999.1.1.1"}
