@@ -27,9 +27,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id; rows without a doc_id stay."""
-    gone = near_duplicate_classes(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates, the one with the least doc_id; rows without a doc_id stay.
+
+    Rows are told apart by doc_id and text: a doc_id's further texts are judged under numbers of their own, and of rows that are
+    equal in both one stays, the least by the other columns.
+    """
+    keyed = docs.withColumn("row_check", F.xxhash64("text"))
+    pairs = staged(keyed.where("doc_id is not null").groupBy("doc_id", "row_check").agg(F.count("*").alias("n")), "row-keys")
+    several = pairs.groupBy("doc_id").agg(F.min("row_check").alias("first"), F.count("*").alias("texts")).where("texts > 1")
+    free = pairs.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+    further = pairs.drop("n").join(several.select("doc_id", "first"), "doc_id").where("row_check <> first").drop("first")
+    further = staged(further.withColumn("node", F.lit(free).cast("long") + F.monotonically_increasing_id()), "further-texts")
+    keyed = keyed.join(further, ["doc_id", "row_check"], "left").withColumn("node", F.coalesce("node", "doc_id"))
+
+    classes = near_duplicate_classes(keyed.select(F.col("node").alias("doc_id"), "text"))
+    named = staged(classes.where("doc_id is not null").select(F.col("doc_id").alias("node"), "component_id").distinct(), "row-classes")
+    # op2 keeps the least number; where a group has further texts, the least doc_id decides instead, then its first text
+    touched = named.join(further.select("node"), "node", "left_semi").select("component_id").distinct()
+    place = F.struct(F.coalesce("doc_id", "node"), F.col("doc_id").isNotNull(), "row_check")
+    best = named.join(touched, "component_id", "left_semi").join(further, "node", "left").groupBy("component_id").agg(F.min_by("node", place).alias("best"))
+    gone = named.join(best, "component_id", "left").where(F.col("node") != F.coalesce("best", "component_id")).select("node")
+    left = keyed.join(gone, "node", "left_anti")
+
+    twins = pairs.where("n > 1").select("doc_id", "row_check")
+    if twins.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(twins, ["doc_id", "row_check"], "left_anti").select(docs.columns)
+    one = left.join(twins, ["doc_id", "row_check"], "left_semi").groupBy("doc_id", "row_check").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.union(one.select("row.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

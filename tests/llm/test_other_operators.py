@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -111,3 +112,15 @@ def test_pipeline(spark) -> None:
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     share = lambda df: df.join(labels, "doc_id").agg({"quality": "avg"}).first()[0]
     assert share(docs) > share(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+
+
+def test_pipeline_tells_rows_of_one_id_apart(spark) -> None:
+    """A doc_id with a copy and a clean text keeps the clean one; of rows repeated whole one stays."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9_000)}" for _ in range(200)) for _ in range(4))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (6, c, 4), (6, c, 4), (6, c, 7), (7, b + " end", 5), (9, d, 6), (None, a, 8), (None, a, 8), (8, None, 9), (8, "", 9), (10, b, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    found = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+    assert found.columns == docs.columns
+    assert Counter(map(tuple, found.collect())) == Counter([(1, a, 1), (5, b, 3), (6, c, 4), (9, d, 6), (None, a, 8), (None, a, 8), (8, None, 9), (8, "", 9)])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), FOLDER).count() == 0
