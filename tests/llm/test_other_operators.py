@@ -10,6 +10,7 @@ import pytest
 
 import corpus_pipeline
 from plantlists.llm import chat, components, embedding_duplicates, registry
+from tests.llm.test_text_operators import WORD, base, corpus, shingles
 from tests.oracle import FOLDER, rows_of_spark, rows_of_sql
 
 
@@ -124,3 +125,33 @@ def test_pipeline_tells_rows_of_one_id_apart(spark) -> None:
     assert found.columns == docs.columns
     assert Counter(map(tuple, found.collect())) == Counter([(1, a, 1), (5, b, 3), (6, c, 4), (9, d, 6), (None, a, 8), (None, a, 8), (8, None, 9), (8, "", 9)])
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_pipeline_rows_of_stages_2_to_4(spark) -> None:
+    """Near-duplicates, repeated passages and secrets in plain Python, row by row; quality rules are not in it."""
+    texts = {k: t and t + (f" token=abcdef{k}" if k % 5 == 0 else "") for k, t in corpus(9).items()}
+    sets, top = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and top[a] != top[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((top[a], top[b]))
+                top = {k: low if t == high else t for k, t in top.items()}
+    expected, seen = set(), set()
+    for k in (k for k in sorted(texts) if top[k] == k):
+        text, words = texts[k] or "", WORD.findall(texts[k] or "")
+        gone: set[int] = set()
+        for i in range(len(words) - 19):
+            window = tuple(words[i : i + 20])
+            gone.update(range(i, i + 20) if window in seen else ())
+            seen.add(window)
+        if words and len(gone) == len(words):
+            continue
+        text = " ".join(w for i, w in enumerate(words) if i not in gone) if gone else text
+        for kind, begin, stop in (x.split(":") for x in reversed(base(text))):
+            text = f"{text[: int(begin)]}[{kind}]{text[int(stop) :]}"
+        expected.add((k, text, len(text)))
+    docs = spark.createDataFrame([(k, t, -1) for k, t in texts.items()], "doc_id long, text string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, FOLDER)
+    found = list(map(tuple, docs.collect()))
+    assert 0 < len(found) < len(texts) and len(found) == len(set(found)) and set(found) == expected
