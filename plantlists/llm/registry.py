@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from . import sql
 
-#: Where the vocabulary of op5 lies on the driver's machine; its text travels to the executors.
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: The vocabulary of op5 among the public tokenizers' files on the driver's machine; its text travels to the executors.
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,10 +41,12 @@ def op4_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
     return scored(_table(spark, folder, "documents"))
 
 
-def op5_bpe(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def op5_bpe(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
     from .bpe import encoded
 
-    out = encoded(_table(spark, folder, "documents"), Path(vocabulary).read_text(encoding="utf-8"))
+    out = encoded(_table(spark, folder, "documents"), Path(vocabulary or public_tokenizers.path(VOCABULARY)).read_text(encoding="utf-8"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

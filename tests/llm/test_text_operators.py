@@ -237,21 +237,53 @@ def test_label_model_finds_accuracies() -> None:
     assert weak_labels.fit_label_model({}) == {}
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return open(public_tokenizers.path(registry.VOCABULARY), encoding="utf-8").read()
+
+
 def test_bpe_equals_library(spark) -> None:
     tokenizers = pytest.importorskip("tokenizers")
-    library = tokenizers.Tokenizer.from_file(registry.VOCABULARY)
+    library = tokenizers.Tokenizer.from_str(vocabulary())
     library.no_truncation()
     library.no_padding()
-    encoder = bpe.PrefixEncoder(open(registry.VOCABULARY, encoding="utf-8").read())
+    encoder = bpe.PrefixEncoder(vocabulary())
     rng = random.Random(3)
-    texts = ["", "  ", "it's DON'T we'll 12345 !!!???", "<|endoftext|>hi <|startoftext|> a<|endoftext|>", "İSTANBUL ΣΑΣ straße É é", "日本語 😀😀", "a\x85b\x1cc　d", "aaaa" * 50]
+    texts = ["", "  ", "it's DON'T we'll 12345 !!!???", "<|endoftext|>hi <|startoftext|> a<|endoftext|>", "İSTANBUL ΣΑΣ straße É é", "日本語 😀😀", "a\x85b\x1cc　d", "aaaa" * 50, "e\u0301x ΑΣ. Σ"]
     texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
     texts += ["".join(rng.choice("aA!*#$.,1é漢😀ß ́") for _ in range(rng.randint(1, 30))) for _ in range(3000)]
-    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert encoder.encode(text) == (struct.pack(f"<{len(e.ids)}I", *e.ids), library.decode(e.ids, skip_special_tokens=False))
-    rows = {r.doc_id: r for r in bpe.encoded(table(spark, {1: None, 2: "", 3: "hello world"}), open(registry.VOCABULARY, encoding="utf-8").read()).collect()}
-    assert [rows[k].n_tokens for k in (1, 2, 3)] == [0, 0, 2] and rows[3].decoded == "hello</w> world</w>"
+    texts += ["".join(rng.choice("tionsher") for _ in range(rng.randint(49, 200))) for _ in range(50)]  # these go alone
+    expected = [(struct.pack(f"<{len(e.ids)}I", *e.ids), library.decode(e.ids, skip_special_tokens=False)) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode_all(texts) == expected
+    assert [encoder.encode(t) for t in texts[:200]] == expected[:200]  # now from the tables of known words
+    rows = bpe.encoded(table(spark, {1: None, 2: "", 3: "hello world"}).union(table(spark, {3: "hello world"})).union(table(spark, {None: "hello"})), vocabulary()).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.decoded) for r in rows) == [("1", 0, ""), ("2", 0, ""), ("3", 2, "hello</w> world</w>"), ("3", 2, "hello</w> world</w>"), ("None", 1, "hello</w>")]
     assert encoder.decode([encoder.ids["hello</w>"]]) == "hello</w>"
+    assert bpe.encoded(table(spark, {}).limit(0), vocabulary()).count() == 0
+
+
+def test_bpe_of_one_very_long_word(spark) -> None:
+    word = "".join(random.Random(4).choice("etaoins") for _ in range(5_000_000))
+    found = bpe.encoded(spark.createDataFrame([(1, word)], "doc_id long, text string"), vocabulary()).first()
+    assert found.decoded.replace("</w>", "").replace(" ", "") == word and len(found.ids) == 4 * found.n_tokens
+
+
+def test_suffix_automaton() -> None:
+    """States and links against the definition: entries that end at each place of a text, longest first."""
+    rng = random.Random(8)
+    entries = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(25)} | {"a", "b"})
+    auto = bpe.SuffixAutomaton((k, [ord(c) for c in e]) for k, e in enumerate(entries))
+    text = "".join(rng.choice("ab") for _ in range(300))
+    state = have = np.zeros(1, np.int32)
+    for i, c in enumerate(text, 1):
+        state, have = auto.read(state, have, np.array([ord(c)]))
+        at, found = int(auto.ending(state, have)[0]), []
+        while at:
+            found.append(entries[auto.mark[at]])
+            at = int(auto.up[at])
+        assert found == sorted((e for e in entries if text[:i].endswith(e)), key=len, reverse=True)
+        assert int(have[0]) == max(n for n in range(i + 1) if any(text[i - n : i] in e for e in entries))
 
 
 def padding_of(lengths: list[int], bounds: list[int]) -> int:
