@@ -5,7 +5,9 @@ All take and return Columns. Nulls give nulls unless a docstring says otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -174,13 +176,20 @@ def _literal(word: str) -> str:
 
 def classify_by_rules(c: Column, rules: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> Column:
     """The label of the first rule with a matching prefix, else of the first with a contained keyword, else ''. Case does not count."""
-    low = F.lower(c)
-    any_of = lambda words: "|".join(_literal(w.lower()) for w in words)  # noqa: E731  one pattern a rule keeps the expression small
-    tests = [(f"^(?:{any_of(prefixes)})", label) for label, prefixes, _ in rules if prefixes] + [(any_of(words), label) for label, _, words in rules if words]
-    out = F.lit("")
-    for pattern, label in reversed(tests):
-        out = F.when(low.rlike(pattern), label).otherwise(out)
-    return F.when(c.isNull(), "").otherwise(out)
+    tests = [("startswith", prefixes, label) for label, prefixes, _ in rules if prefixes] + [("contains", words, label) for label, _, words in rules if words]
+
+    def label_of(low: Column) -> Column:
+        out = F.lit("")
+        for test, words, label in reversed(tests):
+            out = F.when(reduce(or_, (getattr(low, test)(w.lower()) for w in words)), label).otherwise(out)
+        return out
+
+    return F.when(c.isNull(), "").otherwise(once(F.lower(c), label_of))
+
+
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once for a row, and named in the expression instead of copied."""
+    return F.transform(F.array(x), use)[0]
 
 
 def fluid_phase(c: Column, liquid: Sequence[str], gas: Sequence[str]) -> Column:
@@ -293,9 +302,8 @@ def paint_cans(m2: Column) -> Column:
 
 def tape_weight_per_m(desc: Column, density: float = 2600.0) -> Column:
     """kg per metre of 'W x T' (mm)."""
-    pattern = r"(\d+(?:\.\d+)?)\s*[xX]\s*(\d+(?:\.\d+)?)"
-    side = lambda g: _found(desc, pattern, g).try_cast("double") / 1000.0
-    return side(1) * side(2) * 1.0 * density
+    cross_section = F.transform(F.split(F.regexp_extract(F.lower(desc), r"[0-9.]+ *x *[0-9.]+", 0), "x"), lambda side: F.trim(side).try_cast("double") / 1000)
+    return F.when(F.size(cross_section) == 2, cross_section[0] * cross_section[1] * density)
 
 
 def rod_length(desc: Column) -> Column:

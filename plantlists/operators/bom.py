@@ -63,20 +63,24 @@ def routed(raw: DataFrame) -> DataFrame:
 
     Routes: beam, rod, tape (to be packed or rolled), bracket, standard (to be grouped), individual.
     """
-    kind = text.classify_by_rules(F.col("description"), MATERIAL_RULES)
-    rows = raw.withColumn("material_type", kind)
-    strip = F.col("material_type").isin("04 Beam Sections", "02 Brackets Consoles") & F.col("description").contains(" x ")
-    rows = rows.withColumn("clean", F.when(strip, text.strip_cut_length(F.col("description"))).otherwise(F.col("description")))
-    low, clean_low, cut = F.lower(F.coalesce("description", F.lit(""))), F.lower(F.coalesce("clean", F.lit(""))), F.col("cut_length_mm").isNotNull()
-    route = (
-        F.when((F.col("material_type") == "04 Beam Sections") & cut & clean_low.rlike("beam section (ms|tp)"), "beam")
-        .when((F.col("material_type") == "01 Primary Supports") & cut & low.contains("threaded rod"), F.when(text.rod_length(F.col("description")) > 0, "rod").otherwise("individual"))
-        .when((F.col("material_type") == "05 Installation Material") & cut & low.contains("glass fabric"), "tape")
-        .when((F.col("material_type") == "02 Brackets Consoles"), F.when(low.contains("angled"), "individual").otherwise("bracket"))
-        .when(cut, "individual")
-        .otherwise("standard")
-    )
-    return rows.withColumn("route", route)
+    c = F.col
+    cut, low, clean_low = c("cut_length_mm").isNotNull(), F.lower(F.coalesce("description", F.lit(""))), F.lower(F.coalesce("clean", F.lit("")))
+
+    def route(kind: Column) -> Column:
+        return (
+            F.when((kind == "04 Beam Sections") & cut & clean_low.rlike("beam section (ms|tp)"), "beam")
+            .when((kind == "01 Primary Supports") & cut & low.contains("threaded rod"), F.when(text.rod_length(c("description")) > 0, "rod").otherwise("individual"))
+            .when((kind == "05 Installation Material") & cut & low.contains("glass fabric"), "tape")
+            .when(kind == "02 Brackets Consoles", F.when(low.contains("angled"), "individual").otherwise("bracket"))
+            .when(cut, "individual")
+            .otherwise("standard")
+        )
+
+    strip = lambda kind: kind.isin("04 Beam Sections", "02 Brackets Consoles") & c("description").contains(" x ")
+    # type, clean description and route in one struct: what follows filters by its fields, and no plan copies the classification into each use
+    rows = raw.withColumn("kind", text.once(text.classify_by_rules(c("description"), MATERIAL_RULES), lambda k: F.struct(k.alias("material_type"), F.when(strip(k), text.strip_cut_length(c("description"))).otherwise(c("description")).alias("clean"))))
+    rows = rows.select("*", "kind.*").drop("kind")
+    return rows.withColumn("route", text.once(c("material_type"), route))
 
 
 def _sheet(df: DataFrame, **columns: Column) -> DataFrame:
@@ -118,25 +122,38 @@ def grouped_brackets(rows: DataFrame) -> DataFrame:
                   order_qty=c("order_n"), order_weight_kg=c("order_weight"), rule=c("rule"), row_pos=c("row_pos"))
 
 
-def first_fit(pieces: list[tuple[int, int]], bar: int, kerf: int = KERF_MM) -> list[list]:
-    """First-fit decreasing over (length, count) in descending order: bars as [rest, [(length, count), ...]].
+def bar_runs(pieces: list[tuple[int, int]], bar: int, kerf: int = KERF_MM) -> list[tuple[int, int, tuple]]:
+    """First-fit decreasing over (length, count) in descending order: runs of equal bars, in order, as (rest, bars, ((length, count), ...)).
 
-    Equal pieces fill the bars in order, each bar with as many as fit, which gives the bars that one piece at a time would.
+    Equal pieces fill the bars in order, each bar with as many as fit, which gives the bars that one piece at a time would. A run
+    is filled as a whole, so a length adds two runs at most however many pieces and bars there are.
     """
-    bars: list[list] = [[bar, []]]
+    runs: list[tuple[int, int, tuple]] = []
     for length, count in pieces:
         need = min(length + kerf, bar)
-        at = 0
-        while count > 0:
-            if at == len(bars):
-                bars.append([bar, []])
-            fit = min(count, bars[at][0] // need)
-            if fit:
-                bars[at][0] -= fit * need
-                bars[at][1].append((length, fit))
-                count -= fit
-            at += 1
-    return bars
+        out: list[tuple[int, int, tuple]] = []
+
+        def fill(rest: int, bars: int, held: tuple) -> None:
+            """Put what is left of this length into bars of one kind."""
+            nonlocal count
+            fit = rest // need
+            full = min(bars, count // fit) if fit else 0
+            part = min(count - full * fit, fit) if full < bars else 0
+            count -= full * fit + part
+            some = [(full, fit), (1 if part else 0, part), (bars - full - (1 if part else 0), 0)]
+            out.extend((rest - n * need, k, (*held, (length, n)) if n else held) for k, n in some if k)
+
+        for run in runs:
+            fill(*run)
+        if count > 0:
+            fill(bar, -(-count // (bar // need)), ())
+        runs = out
+    return runs
+
+
+def first_fit(pieces: list[tuple[int, int]], bar: int, kerf: int = KERF_MM) -> list[list]:
+    """bar_runs() bar by bar, as [rest, [(length, count), ...]]; one empty bar where there are no pieces."""
+    return [[rest, list(held)] for rest, bars, held in bar_runs(pieces, bar, kerf) for _ in range(bars)] or [[bar, []]]
 
 
 def pieces_of(rows: DataFrame, route: str) -> DataFrame:
@@ -162,7 +179,7 @@ def pack_bars(pieces: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            used = [len(first_fit([(r["cut_mm"], r["n"]) for r in runs], bar)) if len(runs) else 0 for runs, bar in zip(frame["runs"], frame["bar_mm"], strict=True)]
+            used = [sum(bars for _, bars, _ in bar_runs([(r["cut_mm"], r["n"]) for r in runs], bar)) if len(runs) else 0 for runs, bar in zip(frame["runs"], frame["bar_mm"], strict=True)]
             yield frame.assign(n_bars=used)[["item_number", "coating", "bar_mm", "label", "n_bars", "net_mm", "weight", "row_pos"]]
 
     return _runs(pieces).mapInPandas(pack, "item_number long, coating string, bar_mm long, label string, n_bars long, net_mm long, weight double, row_pos long")

@@ -125,15 +125,16 @@ def g5(spark: SparkSession, d: str) -> DataFrame:
     return compare.diff_order(compare.reconcile_rules(*_rule_sides(spark, d), _RULES[1:])).select("key", "status")
 
 
+_COR_NEW = ["l_partkey AS item", "case when l_returnflag = 'R' then null else l_returnflag end AS corrosion", "case when l_orderkey % 7 = 0 then l_quantity + 1 else l_quantity end AS qty", "case when l_linenumber = 3 then 'Special cut' end AS remarks"]
 _COR = ["l_partkey AS item", "case when l_returnflag = 'R' then null else l_returnflag end AS corrosion", "l_quantity AS qty", "case when l_linenumber = 3 then 'Special cut' end AS remarks"]
 
 
-@_query("d6_reconcile_po_cor", f"""WITH b AS ({derived_sql('lineitem', _COR, "l_orderkey % 50 = 1")}), u AS ({derived_sql('lineitem', _COR, "l_orderkey % 40 = 1")})
+@_query("d6_reconcile_po_cor", f"""WITH b AS ({derived_sql('lineitem', _COR, "l_partkey % 89 <> 0")}), u AS ({derived_sql('lineitem', _COR_NEW, "l_partkey % 97 <> 0")})
 SELECT b.item, b.corrosion, CASE WHEN u.qty IS NULL THEN 'Deleted' WHEN u.qty = b.qty THEN 'Same' ELSE 'Changed' END AS status, coalesce(u.qty, 0) - b.qty AS delta, CASE WHEN lower(b.remarks) LIKE '%special%' THEN b.remarks END AS remark
 FROM b LEFT JOIN u ON b.item = u.item AND b.corrosion IS NOT DISTINCT FROM u.corrosion
 UNION ALL SELECT item, corrosion, 'New', qty, NULL FROM u WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.item = u.item AND b.corrosion IS NOT DISTINCT FROM u.corrosion)""")
 def d6(spark: SparkSession, d: str) -> DataFrame:
-    return compare.reconcile_po_cor(derived(spark, d, "lineitem", _COR, "l_orderkey % 50 = 1"), derived(spark, d, "lineitem", _COR, "l_orderkey % 40 = 1"))
+    return compare.reconcile_po_cor(derived(spark, d, "lineitem", _COR, "l_partkey % 89 <> 0"), derived(spark, d, "lineitem", _COR_NEW, "l_partkey % 97 <> 0"))
 
 
 _PO = [ROW, "concat(' pipe ', cast(l_partkey as string)) AS description", "l_quantity AS qty", "case when l_linenumber % 4 = 0 then null else l_extendedprice end AS weight"]
@@ -152,12 +153,12 @@ _PLACED = [ROW, "l_partkey % 40 AS category", "l_suppkey % 7 AS sub"]
 
 
 @_query("d8_insertion_position", f"""
-WITH b AS ({derived_sql('lineitem', _PLACED, "l_partkey % 40 < 30 AND l_suppkey % 7 < 5")}), n AS (SELECT row_pos AS id, * FROM ({derived_sql('lineitem', _PLACED, "l_orderkey % 20 = 0")})),
+WITH b AS ({derived_sql('lineitem', _PLACED, "l_partkey % 40 < 38 AND l_suppkey % 7 < 5")}), n AS (SELECT row_pos AS id, * FROM ({derived_sql('lineitem', _PLACED, "NOT (l_partkey % 40 < 38 AND l_suppkey % 7 < 5)")})),
 p AS (SELECT id, row_pos, coalesce(s.p, c.p, (SELECT max(row_pos) FROM b)) AS after_pos FROM n LEFT JOIN (SELECT category, sub, max(row_pos) AS p FROM b GROUP BY 1, 2) s USING (category, sub) LEFT JOIN (SELECT category, max(row_pos) AS p FROM b GROUP BY 1) c USING (category))
 SELECT id, after_pos, row_number() OVER (PARTITION BY after_pos ORDER BY row_pos) AS seq FROM p""")
 def d8(spark: SparkSession, d: str) -> DataFrame:
-    new = derived(spark, d, "lineitem", _PLACED, "l_orderkey % 20 = 0").selectExpr("row_pos AS id", "*")
-    return compare.insertion_position(new, derived(spark, d, "lineitem", _PLACED, "l_partkey % 40 < 30 AND l_suppkey % 7 < 5"))
+    new = derived(spark, d, "lineitem", _PLACED, "NOT (l_partkey % 40 < 38 AND l_suppkey % 7 < 5)").selectExpr("row_pos AS id", "*")
+    return compare.insertion_position(new, derived(spark, d, "lineitem", _PLACED, "l_partkey % 40 < 38 AND l_suppkey % 7 < 5"))
 
 
 _SET = [ROW, "l_partkey % 200 AS part", "case when l_linenumber = 2 then null else l_returnflag end AS flag", "l_suppkey % 10 AS supp"]
@@ -171,14 +172,14 @@ def d9(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("d10_hierarchical_match", """
-WITH b AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + cast(floor(l_extendedprice * 100) as bigint) % 10000 AS row_pos, '1HTX01BR' || lpad(CAST(l_partkey % 900 AS VARCHAR), 3, '0') AS code, l_suppkey % 20 AS article, l_quantity AS qty, l_linenumber AS cut_length FROM lineitem WHERE l_orderkey % 20 = 0),
-c AS (SELECT '/1HTX01BR' || lpad(CAST(l_partkey % 900 AS VARCHAR), 3, '0') || '/SU1' AS code, l_suppkey % 20 AS article, l_quantity AS qty, l_linenumber AS cut_length FROM lineitem WHERE l_orderkey % 20 IN (0, 5) AND l_partkey % 900 < 800),
-m AS (SELECT b.row_pos, b.code, count(c.code) AS n1, count_if(b.article = c.article) AS n2, count_if(b.article = c.article AND b.qty = c.qty) AS n3, count_if(b.article = c.article AND b.qty = c.qty AND b.cut_length = c.cut_length) AS n4 FROM b LEFT JOIN c ON contains(c.code, b.code) GROUP BY 1, 2)
+WITH b AS (SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + cast(floor(l_extendedprice * 100) as bigint) % 10000 AS row_pos, l_partkey AS p, '1HTX01BR' || lpad(CAST(l_partkey % 900 AS VARCHAR), 3, '0') || '-' || l_partkey || '.' AS code, l_suppkey % 20 AS article, l_quantity AS qty, l_linenumber AS cut_length FROM lineitem),
+c AS (SELECT '/1HTX01BR' || lpad(CAST(l_partkey % 900 AS VARCHAR), 3, '0') || '-' || l_partkey || './SU1' AS code, l_suppkey % 20 AS article, l_quantity + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS qty, l_linenumber AS cut_length, l_partkey AS p FROM lineitem WHERE l_partkey % 13 <> 0),
+m AS (SELECT b.row_pos, b.code, count(c.code) AS n1, count_if(b.article = c.article) AS n2, count_if(b.article = c.article AND b.qty = c.qty) AS n3, count_if(b.article = c.article AND b.qty = c.qty AND b.cut_length = c.cut_length) AS n4 FROM b LEFT JOIN c ON b.p = c.p AND contains(c.code, b.code) GROUP BY 1, 2)
 SELECT row_pos, code, CASE WHEN n1 = 0 THEN 'NO_KKS_MATCH' WHEN n2 = 0 THEN 'ARTICLE_MISMATCH' WHEN n3 = 0 THEN 'QTY_MISMATCH' WHEN n4 = 0 THEN 'CUT_LENGTH_MISMATCH' WHEN n4 = 1 THEN 'EXACT' ELSE 'MULTIPLE' END AS level FROM m""")
 def d10(spark: SparkSession, d: str) -> DataFrame:
-    code = "concat('1HTX01BR', lpad(cast(l_partkey % 900 as string), 3, '0'))"
-    base = derived(spark, d, "lineitem", [ROW, f"{code} AS code", "l_suppkey % 20 AS article", "l_quantity AS qty", "l_linenumber AS cut_length"], "l_orderkey % 20 = 0")
-    comp = derived(spark, d, "lineitem", [f"concat('/', {code}, '/SU1') AS code", "l_suppkey % 20 AS article", "l_quantity AS qty", "l_linenumber AS cut_length"], "l_orderkey % 20 IN (0, 5) AND l_partkey % 900 < 800")
+    code = "concat('1HTX01BR', lpad(cast(l_partkey % 900 as string), 3, '0'), '-', cast(l_partkey as string), '.')"
+    base = derived(spark, d, "lineitem", [ROW, f"{code} AS code", "l_suppkey % 20 AS article", "l_quantity AS qty", "l_linenumber AS cut_length"])
+    comp = derived(spark, d, "lineitem", [f"concat('/', {code}, '/SU1') AS code", "l_suppkey % 20 AS article", "l_quantity + case when l_orderkey % 7 = 0 then 1 else 0 end AS qty", "l_linenumber AS cut_length"], "l_partkey % 13 <> 0")
     return compare.hierarchical_match(base, comp)
 
 
@@ -200,10 +201,10 @@ _TARGET = ["p_partkey AS id", "concat(p_type, case when p_size % 3 = 0 then '' e
 
 
 @_query("d15_copy_and_propagate", f"""
-WITH l AS (SELECT id, arg_max(comment, row_pos) FILTER (comment IS NOT NULL) AS own FROM ({derived_sql('lineitem', _NOTES, "l_partkey % 11 = 0")}) GROUP BY 1), t AS (SELECT t.*, l.own FROM ({derived_sql('part', _TARGET)}) t LEFT JOIN l USING (id)),
+WITH l AS (SELECT id, arg_max(comment, row_pos) FILTER (comment IS NOT NULL) AS own FROM ({derived_sql('lineitem', _NOTES)}) GROUP BY 1), t AS (SELECT t.*, l.own FROM ({derived_sql('part', _TARGET)}) t LEFT JOIN l USING (id)),
 g AS (SELECT group_text, arg_max(own, row_pos) AS shared FROM t WHERE own IS NOT NULL AND length(group_text) > 5 GROUP BY 1) SELECT id, group_text, row_pos, coalesce(shared, own) AS comment FROM t LEFT JOIN g USING (group_text)""")
 def d15(spark: SparkSession, d: str) -> DataFrame:
-    return compare.copy_and_propagate(derived(spark, d, "lineitem", _NOTES, "l_partkey % 11 = 0"), derived(spark, d, "part", _TARGET))
+    return compare.copy_and_propagate(derived(spark, d, "lineitem", _NOTES), derived(spark, d, "part", _TARGET))
 
 
 @_query("d24_infer_category", """
@@ -248,9 +249,9 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return predicates.concatenated([derived(spark, d, "part", ["p_partkey AS id", "p_type AS kind"]), derived(spark, d, "supplier", ["s_suppkey AS id", "s_acctbal AS balance"])])
 
 
-@_query("s2_article_differences", "SELECT part, 'raw only' AS side FROM (SELECT l_partkey AS part FROM lineitem WHERE l_orderkey % 9 = 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_orderkey % 9 = 1) UNION ALL SELECT part, 'aggregated only' FROM (SELECT l_partkey AS part FROM lineitem WHERE l_orderkey % 9 = 1 EXCEPT SELECT l_partkey FROM lineitem WHERE l_orderkey % 9 = 0)")
+@_query("s2_article_differences", "SELECT part, 'raw only' AS side FROM (SELECT l_partkey AS part FROM lineitem WHERE l_partkey % 13 <> 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_partkey % 17 <> 0) UNION ALL SELECT part, 'aggregated only' FROM (SELECT l_partkey AS part FROM lineitem WHERE l_partkey % 17 <> 0 EXCEPT SELECT l_partkey FROM lineitem WHERE l_partkey % 13 <> 0)")
 def s2(spark: SparkSession, d: str) -> DataFrame:
-    return compare.article_differences(*(derived(spark, d, "lineitem", ["l_partkey AS part"], f"l_orderkey % 9 = {k}") for k in (0, 1)), "part")
+    return compare.article_differences(*(derived(spark, d, "lineitem", ["l_partkey AS part"], f"l_partkey % {k} <> 0") for k in (13, 17)), "part")
 
 
 @_query("s3_key_sets", f"""WITH a AS (SELECT DISTINCT part, flag FROM ({derived_sql('lineitem', OLD, "l_orderkey % 3 = 0")})), b AS (SELECT DISTINCT part, flag FROM ({derived_sql('lineitem', OLD, "l_orderkey % 3 = 1")}))

@@ -138,40 +138,40 @@ def e31(spark: SparkSession, d: str) -> DataFrame:
 
 # drawing text: five files, a title, parts, sections and cut pieces at places made from keys
 _ENTITY_ROWS = [
-    "cast(s_suppkey % 5 as bigint) AS file", "inline(array(struct('MATERIALS', 100D, 1000D), struct('TOTAL WEIGHT', 120D, 10D), struct('CUT PIPE LENGTH', 400D, 990D), struct('DRAWING NO', 700D, 40D), struct('PIPE CLASS', 700D, 80D), struct('ABCD', 720D, 82D), struct('WXYZ', 10D, 1D), "
-    "struct(concat('1HTX', lpad(cast(s_suppkey % 5 as string), 2, '0'), 'BR100-1'), 760D, 41D), "
-    "struct(case when s_suppkey % 7 = 0 then 'FITTINGS' else cast(s_suppkey as string) end, 101D, 900D - s_suppkey * 8), struct('Elbow 90', 150D, 900.02D - s_suppkey * 8), struct('50', 200D, 900D - s_suppkey * 8), struct('3', 250D, 900D - s_suppkey * 8), struct('1.5', 300D, 900D - s_suppkey * 8), "
-    "struct(concat('<', cast(s_suppkey as string), '>'), 401D, 895.5D - s_suppkey * 8), struct('1200', 430D, 895.5D - s_suppkey * 8), struct('80', 460D, 895.5D - s_suppkey * 8), struct('PL', 480D, 895.5D - s_suppkey * 8), struct(concat('<9', cast(s_suppkey as string), '>'), 500D, 895.5D - s_suppkey * 8), struct('700', 520D, 895.5D - s_suppkey * 8))) AS (text, x, y)",
+    "cast(floor(s_suppkey / 20) as bigint) AS file", "inline(array(struct('MATERIALS', 100D, 1000D), struct('TOTAL WEIGHT', 120D, 10D), struct('CUT PIPE LENGTH', 400D, 990D), struct('DRAWING NO', 700D, 40D), struct('PIPE CLASS', 700D, 80D), struct('ABCD', 720D, 82D), struct('WXYZ', 10D, 1D), "
+    "struct(concat('1HTX', lpad(cast(cast(floor(s_suppkey / 20) as bigint) % 100 as string), 2, '0'), 'BR100-1'), 760D, 41D), "
+    "struct(case when s_suppkey % 7 = 0 then 'FITTINGS' else cast(s_suppkey as string) end, 101D, 900D - s_suppkey % 20 * 40), struct('Elbow 90', 150D, 900.02D - s_suppkey % 20 * 40), struct('50', 200D, 900D - s_suppkey % 20 * 40), struct('3', 250D, 900D - s_suppkey % 20 * 40), struct('1.5', 300D, 900D - s_suppkey % 20 * 40), "
+    "struct(concat('<', cast(s_suppkey as string), '>'), 401D, 895.5D - s_suppkey % 20 * 40), struct('1200', 430D, 895.5D - s_suppkey % 20 * 40), struct('80', 460D, 895.5D - s_suppkey % 20 * 40), struct('PL', 480D, 895.5D - s_suppkey % 20 * 40), struct(concat('<9', cast(s_suppkey as string), '>'), 500D, 895.5D - s_suppkey % 20 * 40), struct('700', 520D, 895.5D - s_suppkey % 20 * 40))) AS (text, x, y)",
 ]
 
 
-def entities(spark: SparkSession, d: str, where: str = "s_suppkey < 100") -> DataFrame:
-    """The cut of l1, l2, l3 and l5 stands in their SQL."""
-    return derived(spark, d, "supplier", _ENTITY_ROWS, where)
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty suppliers a drawing; files grow in number with the table."""
+    return derived(spark, d, "supplier", _ENTITY_ROWS)
 
 
-@_query("l1_layout_rows", "SELECT s_suppkey % 5 AS file, round(895.5 - s_suppkey * 8, 1)::DOUBLE AS y, 6 AS n, '<' || s_suppkey || '>' AS first FROM supplier WHERE s_suppkey < 100 ")
+@_query("l1_layout_rows", "SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS file, round(895.5 - s_suppkey % 20 * 40, 1)::DOUBLE AS y, 6 AS n, '<' || s_suppkey || '>' AS first FROM supplier ")
 def l1(spark: SparkSession, d: str) -> DataFrame:
     rows = layout.layout_rows(entities(spark, d), "CUT PIPE LENGTH").where(F.col("cells")[0].startswith("<"))
     return rows.select("file", "y", F.size("cells").alias("n"), F.col("cells")[0].alias("first"))
 
 
-@_query("l2_materials_table", """WITH r AS (SELECT s_suppkey % 5 AS file, (900 - s_suppkey * 8)::DOUBLE AS y, s_suppkey AS k FROM supplier WHERE s_suppkey < 100) SELECT file, y, CASE WHEN (SELECT count(*) FROM r x WHERE x.file = r.file AND x.k % 7 = 0 AND x.k < r.k) > 0 THEN 'FITTINGS' ELSE '' END AS category, CAST(k AS VARCHAR) AS pt_no, 'Elbow 90' AS component_description, '50' AS n_s, '3' AS qty, '1.5' AS weight FROM r WHERE k % 7 <> 0 AND y > 10""")
+@_query("l2_materials_table", """WITH r AS (SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS file, (900 - s_suppkey % 20 * 40)::DOUBLE AS y, s_suppkey AS k FROM supplier) SELECT file, y, CASE WHEN (SELECT count(*) FROM r x WHERE x.file = r.file AND x.k % 7 = 0 AND x.k < r.k) > 0 THEN 'FITTINGS' ELSE '' END AS category, CAST(k AS VARCHAR) AS pt_no, 'Elbow 90' AS component_description, '50' AS n_s, '3' AS qty, '1.5' AS weight FROM r WHERE k % 7 <> 0 AND y > 10""")
 def l2(spark: SparkSession, d: str) -> DataFrame:
     return layout.materials_table(entities(spark, d))
 
 
-@_query("l3_cut_length_table", """WITH r AS (SELECT s_suppkey % 5 AS file, (895.5 - s_suppkey * 8)::DOUBLE AS y, s_suppkey AS k FROM supplier WHERE s_suppkey < 100) SELECT file, y, CAST(k AS VARCHAR) AS piece_no, '1200' AS cut_length, '80' AS n_s, 'PL' AS remarks FROM r UNION ALL SELECT file, y, '9' || k, '700', '', '' FROM r""")
+@_query("l3_cut_length_table", """WITH r AS (SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS file, (895.5 - s_suppkey % 20 * 40)::DOUBLE AS y, s_suppkey AS k FROM supplier) SELECT file, y, CAST(k AS VARCHAR) AS piece_no, '1200' AS cut_length, '80' AS n_s, 'PL' AS remarks FROM r UNION ALL SELECT file, y, '9' || k, '700', '', '' FROM r""")
 def l3(spark: SparkSession, d: str) -> DataFrame:
     return layout.cut_length_table(entities(spark, d))
 
 
-@_query("l4_drawing_fields", "SELECT DISTINCT s_suppkey % 5 AS file, '1HTX' || lpad(CAST(s_suppkey % 5 AS VARCHAR), 2, '0') || 'BR100-1' AS drawing_no, 'ABCD' AS pipe_class FROM supplier")
+@_query("l4_drawing_fields", "SELECT DISTINCT CAST(floor(s_suppkey / 20) AS BIGINT) AS file, '1HTX' || lpad(CAST(CAST(floor(s_suppkey / 20) AS BIGINT) % 100 AS VARCHAR), 2, '0') || 'BR100-1' AS drawing_no, 'ABCD' AS pipe_class FROM supplier")
 def l4(spark: SparkSession, d: str) -> DataFrame:
-    return layout.drawing_fields(entities(spark, d, "true"))
+    return layout.drawing_fields(entities(spark, d))
 
 
-@_query("l5_extraction_summary", "WITH r AS (SELECT s_suppkey % 5 AS file, s_suppkey AS k FROM supplier WHERE s_suppkey < 100) SELECT file, count_if(k % 7 <> 0 AND 900 - k * 8 > 10) AS mat_rows, 2 * count(*) AS cut_rows, false AS cut_missing FROM r GROUP BY 1")
+@_query("l5_extraction_summary", "WITH r AS (SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS file, s_suppkey AS k FROM supplier) SELECT file, count_if(k % 7 <> 0 AND 900 - k % 20 * 40 > 10) AS mat_rows, 2 * count(*) AS cut_rows, false AS cut_missing FROM r GROUP BY 1")
 def l5(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d)
     return layout.extraction_summary(e, layout.materials_table(e), layout.cut_length_table(e), layout.drawing_fields(e)).select("file", "mat_rows", "cut_rows", "cut_missing")

@@ -5,9 +5,6 @@ from __future__ import annotations
 import pytest
 
 from plantlists import catalog
-from plantlists.operators import rules, welds
-from plantlists.plans import bom_queries, plant_queries
-from plantlists.plans.shared import derived
 from tests.oracle import FOLDER, rows_of_spark, rows_of_sql
 
 _QUERIES, _SQL = catalog.queries(), catalog.oracle_sql()
@@ -31,21 +28,3 @@ def test_entry(spark) -> None:
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
-
-
-def test_drawing_fields_of_all_suppliers(spark, tmp_path) -> None:
-    """l4 on suppliers of keys from 100 on only."""
-    (tmp_path / "none").mkdir()
-    spark.range(100, 112).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
-    _, expected = rows_of_sql(_SQL["l4_drawing_fields"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'"), str(tmp_path / "none"))
-    assert len(expected) == 5 and rows_of_spark(_QUERIES["l4_drawing_fields"](spark, str(tmp_path))) == expected
-
-
-def test_uncut_inputs(spark) -> None:
-    """The operators of d19 and e15 on all rows of lineitem, which their queries cut, against their SQL without its filter."""
-    points, tubi = derived(spark, FOLDER, "lineitem", plant_queries._POINTS), derived(spark, FOLDER, "lineitem", bom_queries._TUBI)
-    found = {"d19_connect_branches": (welds.connect_branches(points), "l_orderkey % 5 = 0"), "e15_align_tubi": (rules.align_tubi(tubi), "l_partkey % 5 = 0")}
-    for name, (df, cut) in found.items():
-        assert cut in _SQL[name]
-        names, expected = rows_of_sql(_SQL[name].replace(cut, "true"))
-        assert rows_of_spark(df.select(*names)) == expected, name
