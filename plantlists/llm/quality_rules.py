@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import small_batches, staged
-from .words import Words, _Powers, mix, shingle_hashes, slices
+from .words import Words, codes, slices
 
 MIN_WORDS = 50
 #: Share of words in repeated three-word windows, in hundredths, above which a text fails.
@@ -41,7 +41,7 @@ def _counts(part: Words) -> np.ndarray:
     """One column of COUNTS for each row of the part."""
     data, edges = part.data, part.row_bytes
     rows = len(edges) - 1
-    hashes = part.hashes()
+    numbers = part.numbers()
     words = np.diff(part.row_words)
     row = np.repeat(np.arange(rows), words)
     heads = (data & 0xC0) != 0x80
@@ -49,30 +49,19 @@ def _counts(part: Words) -> np.ndarray:
     np.add.at(in_word, part.starts, 1)
     np.add.at(in_word, part.ends, -1)
     in_word = np.cumsum(in_word)[:-1] > 0
-    # lines: byte ranges between line feeds and row edges, those with a word only
-    feeds = np.flatnonzero(data == 0x0A)
-    begins = np.sort(np.concatenate([edges[:-1][np.diff(edges) > 0], feeds[~np.isin(feeds + 1, edges)] + 1]))
-    stops = np.append(begins[1:], len(data))
-    stops = np.where((stops > begins) & (data[np.maximum(stops - 1, 0)] == 0x0A), stops - 1, stops) if len(begins) else stops
-    worded = np.searchsorted(part.starts, stops) > np.searchsorted(part.starts, begins)
-    begins, stops = begins[worded], stops[worded]
-    up, down = _Powers.get(len(data) + 1)
-    total = np.append(np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]))
-    lines = mix((total[stops] - total[begins]) * down[begins] + (stops - begins).astype(np.uint64))
-    line_row = np.searchsorted(edges, begins, "right") - 1
-    n_lines = np.bincount(line_row, minlength=rows)
-    distinct = np.unique(mix(lines + line_row.astype(np.uint64)), return_index=True)[1]
-    n_dup = n_lines - np.bincount(line_row[distinct], minlength=rows)
+    lines = [[x for x in text.split(b"\n") if x.strip()] for text in part.rows()]  # strip() of bytes takes the same six characters
+    n_lines = np.array([len(x) for x in lines], np.int64)
+    n_dup = n_lines - np.array([len(set(x)) for x in lines], np.int64)
     # words in three-word windows that the row holds twice
-    repeated = np.zeros(len(hashes), bool)
-    if len(hashes) >= 3:
-        inside = np.flatnonzero(row[2:] == row[:-2])
-        grams = mix(shingle_hashes(hashes, 3)[inside] + row[inside].astype(np.uint64))
+    repeated = np.zeros(len(numbers), bool)
+    inside = np.flatnonzero(row[2:] == row[:-2])
+    if len(inside):
+        grams = codes(row[inside], numbers[inside], numbers[inside + 1], numbers[inside + 2])
         _, back, seen = np.unique(grams, return_inverse=True, return_counts=True)
         twice = inside[seen[back] > 1]
         for k in range(3):
             repeated[twice + k] = True
-    first = np.unique(mix(hashes + row.astype(np.uint64)), return_index=True)[1]
+    first = np.unique(codes(row, numbers), return_index=True)[1]
     return np.stack([
         words, _per_row(heads & in_word, edges), _per_row(_SYMBOL[data], edges), n_dup, np.bincount(row[repeated], minlength=rows),
         n_lines, _per_row(_UPPER[data], edges), _per_row(_MARK[data], edges), np.bincount(row[first], minlength=rows),

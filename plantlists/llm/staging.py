@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of long text that one Arrow batch may hold.
-BATCH_ROWS = 1000
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-stage-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that a lost executor costs no recomputation before it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..staging import drop_staged, shared_folder, staged
 
+__all__ = ["drop_staged", "packed_texts", "shared_folder", "small_batches", "staged", "unpacked"]
 
+#: Rows, and bytes, of text that one Arrow batch may hold; a single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 4_000, 8_000_000
 def small_batches(spark: SparkSession) -> None:
-    """Bound what an Arrow batch of texts holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what an Arrow batch of texts holds. Spark reads the bound when it runs a plan, so the session keeps it; lower ones stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        given = (spark.conf.get(name, None) or "").removesuffix("b")
+        if not given.isdigit() or not 0 < int(given) <= most:
+            spark.conf.set(name, str(most))
 
 
 def packed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", others: Sequence[str] = ()) -> DataFrame:

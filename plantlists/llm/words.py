@@ -2,6 +2,10 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Those six are ASCII, so splitting UTF-8 bytes gives the same
 words as splitting code points. Everything here works on one Arrow batch inside a task, in slices of about a megabyte of text.
+
+A word's hash has 128 bits in two halves. It is made of eight bytes at a time, and runs of words are hashed by joining the hashes
+of halves, both through a scrambling that is not linear, so no arrangement of letters or of words cancels out as it does in
+polynomials modulo a power of two. Each half depends on two differently salted passes.
 """
 
 from __future__ import annotations
@@ -13,37 +17,28 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Salts of the two passes over a word's bytes. All workers of a job have to use the same.
+SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)  # masks of the first k bytes
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand in each worker."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", _INVERSE)):
-                table = np.full(size, base, np.uint64)
-                table[0] = 1
-                setattr(cls, name, np.cumprod(table, dtype=np.uint64))
-        return cls.up, cls.down
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the splitmix finaliser)."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order; for either one given it is a bijection of the other."""
+    return mix(x * np.uint64(0xD6E8FEB86659FD93) + mix(y + np.uint64(0x9E3779B97F4A7C15)))
 
 
 @dataclass
@@ -57,15 +52,37 @@ class Words:
     ends: np.ndarray
     row_words: np.ndarray
 
+    def rows(self) -> list[bytes]:
+        raw = self.data.tobytes()
+        edges = self.row_bytes.tolist()
+        return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _Powers.get(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        own = (total[self.ends] - total[self.starts]) * down[self.starts]
-        return mix(own + (self.ends - self.starts).astype(np.uint64))
+        """The two halves of each word's hash, one row each."""
+        n = len(self.starts)
+        if not n:
+            return np.zeros((2, 0), np.uint64)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+        left = self.ends - self.starts
+        out = [mix(left.astype(np.uint64) + salt) for salt in SALTS]
+        todo, at = np.arange(n), self.starts
+        while len(todo):
+            more = left - 8 > 0
+            chunk = eight[at] & _KEEP[np.minimum(left, 8)]
+            for half, salt in zip(out, SALTS, strict=True):
+                half[todo] = joined(half[todo], chunk ^ salt)
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        return np.stack([joined(out[0], out[1]), joined(out[1], out[0])])
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word; equal words of the slice have equal ones, and different words different ones."""
+        hashes = self.hashes()
+        order = np.lexsort(hashes)
+        new = (hashes[:, order[1:]] != hashes[:, order[:-1]]).any(axis=0)
+        out = np.zeros(len(order), np.int64)
+        out[order[1:]] = np.cumsum(new)
+        return out
 
 
 def text_column(column: pa.Array) -> pa.Array:
@@ -104,12 +121,33 @@ def words_of(first_row: int, data: np.ndarray, row_bytes: np.ndarray) -> Words:
     return Words(first_row, data, row_bytes, starts, ends, np.searchsorted(starts, row_bytes))
 
 
-def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of every run of `size` consecutive word hashes; element i is the run that starts at word i."""
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every run of `size` consecutive word hashes; element i is the run that starts at word i.
+
+    Runs of 1, 2, 4, ... words come from two of half their length; the powers of two in size are joined.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for k in range(size):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + words[k : k + n]
-    return mix(total ^ np.uint64(size))
+    have, power, out, covered = words, 1, None, 0
+    while True:
+        if size & power:
+            part = have[covered : covered + n]
+            out = part if out is None else joined(out, part)
+            covered += power
+        if 2 * power > size:
+            return mix(out ^ np.uint64(size))
+        have = joined(have[: len(have) - power], have[power:])
+        power *= 2
+
+
+def codes(*columns: np.ndarray) -> np.ndarray:
+    """One number for each combination of the columns' values (not negative), different ones for different combinations."""
+    out, size = columns[0], int(columns[0].max(initial=0)) + 1
+    for c in columns[1:]:
+        width = int(c.max(initial=0)) + 1
+        if size * width >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+            size = int(out.max(initial=0)) + 1
+        out, size = out * width + c, size * width
+    return out
