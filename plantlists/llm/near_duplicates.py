@@ -10,13 +10,16 @@ Plan, none of which holds a group in one task or on the driver:
    form a class and only its least doc_id goes on, so copies cost nothing later.
 2. Table keys are counted; documents alone in all their tables are done.
 3. Of the rest, a document can be linked only if at least 85 of 100 shingles occur in another candidate as well
-   (intersection <= shared shingles). This exact bound removes edited copies that drifted too far.
+   (intersection <= shared shingles). This exact bound removes edited copies that drifted too far. Shingles that one document
+   alone holds are counted, so a shingle of most documents is one row per task.
 4. Each live document is first compared with the most typical document (highest shared fraction) of its tables: one pair
    each, which joins most of a large group in linear work.
-5. Tables whose members are still in different components have their remaining pairs confirmed: members outside the
-   table's largest component against the others. A pair counts in the first table that it shares only. Pairs are left out
-   where sizes or shared counts rule a link out, or the triangle inequality does: Jaccard distance is a metric, so two
-   documents whose distances to the same typical document differ by more than 15 of 100 are not linked.
+5. Documents in tables whose members are still in different components have their remaining pairs confirmed. A pair is
+   looked at only if it shares one of the rarest shingles of both: with n shingles, one of the n - ceil(0.85 n) + 1 rarest has to
+   be in any linked document's as well, so documents of one template, which differ in rare shingles, make no pairs. Pairs are left
+   out where no table has both, where sizes or shared counts rule a link out, or where the triangle inequality does: Jaccard
+   distance is a metric, so two documents whose distances to the same typical document differ by more than 15 of 100 are not linked.
+   Shingles with many members, and typical documents with many pairs, are dealt into blocks.
 6. Components by minimum labels.
 """
 
@@ -31,47 +34,57 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .staging import packed_texts, small_batches, staged, unpacked
-from .words import mix, shingle_hashes, slices
+from .words import Words, mix, run_hashes, slices
 
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 85
 COLLECTION = 8
+#: Members of a shingle, or pairs of a typical document, that one block holds on average.
+BLOCK = 2_000
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1 << 62, size=2 * COLLECTION, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1 << 62, size=2 * COLLECTION, dtype=np.uint64)
 _PAIRS = [(i, j) for i in range(COLLECTION) for j in range(i)]
 
 
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """The sorted distinct shingle hashes of one document's word hashes; fewer words than SHINGLE make one shingle."""
-    if not len(words):
-        return words
-    return np.unique(shingle_hashes(words, min(SHINGLE, len(words))))
+def _shingles(part: Words, lanes: int) -> list[np.ndarray]:
+    """For each row of the part, its distinct shingles by the first half of their hashes, ascending, as (lanes, n) hashes.
 
-
-def _row_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    for part in slices(column, lower=True):
-        hashes = part.hashes()
-        for a, b in zip(part.row_words[:-1], part.row_words[1:], strict=True):
-            yield shingle_set(hashes[a:b])
+    Fewer words than SHINGLE make one shingle.
+    """
+    hashes, out = part.hashes()[:lanes], []
+    whole = np.stack([run_hashes(h, SHINGLE) for h in hashes])
+    edges = part.row_words.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if b - a >= SHINGLE:
+            own = whole[:, a : b - SHINGLE + 1]
+            out.append(own[:, np.unique(own[0], return_index=True)[1]] if lanes > 1 else np.unique(own)[None])
+        else:
+            out.append(np.stack([run_hashes(h[a:b], max(1, b - a)) for h in hashes]))
+    return out
+
+
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Table keys (rows, tables) of sets that are not empty."""
+    flat = np.concatenate(sets)
+    begin = np.cumsum([0, *map(len, sets[:-1])])
+    least = np.stack([np.minimum.reduceat((flat + b) * a, begin) for a, b in zip(_MULTIPLY, _ADD, strict=True)])
+    short = mix(least[0::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2])
+    return np.stack([mix(short[i] * np.uint64(2 * k + 3) + mix(short[j] + np.uint64(k))) for k, (i, j) in enumerate(_PAIRS)], axis=1).view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, fingerprints, keys = [], [], []
-        for own in _row_sets(batch.column(1)):
-            n.append(len(own))
-            if not len(own):
-                fingerprints.append((0, 0))
-                keys.append(None)
-                continue
-            fingerprints.append((int(own.sum(dtype=np.uint64).view(np.int64)), int(mix(own ^ _ADD[0]).sum(dtype=np.uint64).view(np.int64))))
-            least = np.array([((own + b) * a).min() for a, b in zip(_MULTIPLY, _ADD, strict=True)])
-            short = mix(least[0::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2])
-            table = np.array([mix(short[i : i + 1] * np.uint64(2 * k + 3) + mix(short[j : j + 1] + np.uint64(k)))[0] for k, (i, j) in enumerate(_PAIRS)])
-            keys.append(table.view(np.int64))
-        fp = np.array(fingerprints, np.int64).reshape(-1, 2)
+        for part in slices(batch.column(1), lower=True):
+            sets = _shingles(part, 2)
+            n += [x.shape[1] for x in sets]
+            fingerprints += [(x[0].sum(dtype=np.uint64), mix(x[1]).sum(dtype=np.uint64)) for x in sets]
+            some = [x[0] for x in sets if x.shape[1]]
+            table = iter(_keys(some)) if some else iter(())
+            keys += [next(table) if x.shape[1] else None for x in sets]
+        fp = np.array(fingerprints, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
             ["doc_id", "n_shingles", "f1", "f2", "keys"],
@@ -95,19 +108,44 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Sizes of intersection and union of the full sets of the pairs (a, b). The two joins share one exchange of the sets."""
-    x = sets.select(F.col("node").alias("a"), F.col("packed").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("packed").alias("y"))
+    """Sizes of intersection and union of the full sets of the pairs (a, b); pairs of a frequent b are dealt into blocks."""
     small_batches(pairs.sparkSession)
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, both long, union long")
+    often = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    every = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    y = sets.select(F.col("node").alias("b"), F.col("packed").alias("y")).join(often, "b", "left").select("b", "y", F.explode(every).alias("block"))
+    x = sets.select(F.col("node").alias("a"), F.col("packed").alias("x"))
+    dealt = pairs.join(often, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    return dealt.join(x, "a").join(y, ["b", "block"]).select("a", "b", "x", "y").mapInArrow(_measured, "a long, b long, both long, union long")
 
 
 def _pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [x.tobytes() for x in _row_sets(unpacked(batch.column(1)))]
+        raw = [x[0].tobytes() for part in slices(unpacked(batch.column(1)), lower=True) for x in _shingles(part, 1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["node", "packed"])
 
 
+def _rest_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of the documents of `apart` (node, n, shared, component, hub, distance, keys) that could be linked."""
+    own = sets.join(apart.select("node"), "node", "left_semi").mapInArrow(_as_lists, "node long, shingles array<long>").select("node", F.explode("shingles").alias("s"))
+    members = own.groupBy("s").agg(F.count("*").alias("m"))
+    # of the prefix only shingles with another member can match; the ones that stand alone come first in it
+    places = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("common"))
+    ranked = own.join(members.where("m > 1"), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("common"))
+    prefix = ranked.join(apart.select("node", "n"), "node").where(places > 0).select("node", F.slice("common", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["s"].alias("own"))
+    prefix = staged(prefix.select("node", "own", F.explode("own").alias("s")), "prefixes")
+    sizes = prefix.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    prefix = prefix.join(sizes, "s").join(apart, "node")
+    names = {"n": "n", "shared": "s", "component": "c", "keys": "k", "hub": "h", "distance": "d", "own": "o"}
+    side = lambda z: [F.col("node").alias(z), *(F.col(c).alias(f"{short}{z}") for c, short in names.items())]
+    x = prefix.select("s", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *side("a"))
+    y = prefix.select("s", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *side("b"))
+    most = F.least("sa", "sb")  # no intersection is larger
+    possible = (100 * most >= SIMILARITY * (F.col("na") + F.col("nb") - most)) & ((F.col("ha") != F.col("hb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY / 100 + 1e-9))
+    in_table = F.exists(F.zip_with("ka", "kb", lambda p, q: p == q), lambda e: e)
+    once = F.array_intersect("oa", "ob")[0] == F.col("s")  # a pair counts at the first shingle that it shares only
+    return x.join(y, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible & once & in_table).select("a", "b")
+
+
 def _as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
@@ -134,9 +172,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     texts = packed_texts(docs).where("doc_id is not null").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = staged(texts.select("doc_id", "packed").mapInArrow(_pack_sets, "node long, packed binary").groupBy("node").agg(F.min("packed").alias("packed")), "sets")
     shingles = sets.mapInArrow(_as_lists, "node long, shingles array<long>").select("node", F.explode("shingles").alias("s"))
-    common = shingles.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s")
-    shared = shingles.join(common, "s", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
-    live = shared.join(classes.select("node", F.col("n_shingles").alias("n")), "node").where(F.col("shared") * 100 >= F.col("n") * SIMILARITY)
+    lone = shingles.groupBy("s").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    counts = classes.join(nodes, "node", "left_semi").select("node", F.col("n_shingles").alias("n"))
+    live = counts.join(lone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lone", F.lit(0))).where(F.col("shared") * 100 >= F.col("n") * SIMILARITY)
     live = staged(live.select("node", "n", "shared"), "live")
     members = staged(members.join(live, "node"), "live-members")
 
@@ -150,21 +188,13 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     found = connected_components(first_links)
     far = to_head.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("both") / F.col("union")).alias("distance"))
 
-    # tables whose members are still apart
+    # documents in tables whose members are still apart
     placed = members.join(found, "node", "left").join(far, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = staged(placed.withColumns({"hub": F.coalesce("hub", "node"), "distance": F.coalesce("distance", F.lit(0.0))}), "placed")
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    largest = per.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.component").alias("top"))
-    own_keys = classes.select("node", F.transform("keys", lambda k, t: F.xxhash64(t, k)).alias("keys"))
-    apart = staged(placed.join(largest, "key").join(own_keys, "node"), "apart")
-    names = {"node": "", "n": "n", "shared": "s", "component": "c", "keys": "k", "hub": "h", "distance": "d"}
-    side = lambda df, z: df.select("key", *(F.col(c).alias(f"{short}{z}") for c, short in names.items()))
-    x, y = side(apart.where("component <> top"), "a"), side(apart, "b")
-    most = F.least("sa", "sb")  # no intersection is larger
-    possible = (100 * most >= SIMILARITY * (F.col("na") + F.col("nb") - most)) & ((F.col("ha") != F.col("hb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY / 100 + 1e-9))
-    met_first = F.element_at("ka", F.array_position(F.zip_with("ka", "kb", lambda p, q: p == q), True).cast("int")) == F.col("key")
-    rest = x.join(y, "key").where("ca <> cb").where(possible & met_first)
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    per = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    nodes_apart = placed.join(per, "key").groupBy("node", "n", "shared", "component", "hub", "distance").agg(F.count("*").alias("tables"))
+    apart = staged(nodes_apart.drop("tables").join(classes.select("node", "keys"), "node"), "apart")
+    rest = staged(_rest_pairs(apart, sets), "rest-pairs")
     links = first_links.union(staged(_measure(rest, sets).where(linked).select("a", "b"), "rest-links"))
     component = connected_components(links)
 

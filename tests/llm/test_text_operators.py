@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
 import re
@@ -202,16 +203,98 @@ def test_pseudonyms(spark) -> None:
     found = {r.doc_id: r for r in pii.pseudonymised(table(spark, rows)).collect()}
     assert (found[2].text, found[3].text, found[5].text, found[6].text) == (None, "", rows[5], rows[6])
     values = found[1]["values"]
-    assert len(values) == 7 and found[1].n_changed == 7 and card not in found[1].text
+    assert len(values) == 7 and found[1].n_changed == 7 and card not in found[1].text  # the card twice, mail, address, two dates, telephone
     assert values[0].replace(" ", "") == values[1] and found[4]["values"] == [values[1]] * 2  # equal values stay linked
     digits = [int(c) for c in values[1]]
     assert sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
     assert re.fullmatch(r"[a-z]{3}\.\d@[a-z]{4}\d\.[a-z]{7}\.com", values[2]) and re.fullmatch(r"\d{4}-\d\d-\d\d", values[4])
     assert pii.pseudonymised(table(spark, rows), key="other").where("doc_id = 4").first()["values"] != found[4]["values"]
+    assert pii.pseudonymised(table(spark, {}).limit(0)).count() == 0
     numbers = spark.range(10_000).select(pii._permuted_digits(F.lpad(F.col("id").cast("string"), 4, F.lit("0")), "k", "t").alias("p"))
     assert numbers.distinct().count() == 10_000
-    days = spark.range(73_049).select(pii._moved_day(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "k").alias("p"))
-    assert days.where("p is not null").distinct().count() == 73_049
+    for first, n in (("1900-01-01", 73_049), ("1800-01-01", 36_524), ("1600-01-01", 36_525)):
+        days = spark.range(n).select(pii._moved_day(F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")), "k").alias("p"))
+        seen = days.agg(F.countDistinct("p"), F.min("p").cast("string"), F.datediff(F.max("p"), F.min("p"))).first()
+        assert tuple(seen) == (n, first, n - 1)
+
+
+def test_long_texts_of_any_make(spark) -> None:
+    """A numeric table, an address without an end, and a name of a megabyte come back, and what stands behind them is found."""
+    makes = ["1 " * 1_000_000, "a@" + "a." * 1_000_000, "a" * 1_000_000 + "@x.com ", "9" * 1_000_000 + " ", "1-" * 500_000 + " ", "AB12 " * 200_000]
+    rows = pii.pseudonymised(spark.createDataFrame([(k, f"{x} 10.0.0.1 ") for k, x in enumerate(makes)], "doc_id long, text string")).select("doc_id", F.length("text").alias("n"), F.element_at("values", -1).alias("last")).collect()
+    assert {r.doc_id for r in rows} == set(range(len(makes))) and len({r.last for r in rows}) == 1 and rows[0].last != "10.0.0.1"
+
+
+def feistel(a: int, b: int, left: int, right: int, tag: str, salt: str, key: str = "k") -> tuple[int, int]:
+    for r in range(8):
+        by = int(hashlib.sha256(f"{key}|{tag}|{r}|{salt}|{a if r % 2 else b}".encode()).hexdigest()[:14], 16)
+        a, b = (a, (b + by) % right) if r % 2 else ((a + by) % left, b)
+    return a, b
+
+
+def moved_digits(d: str, tag: str) -> str:
+    low = len(d) // 2
+    high = len(d) - low
+    a, b = feistel(int(d[:high]), int(d[high:] or 0), 10**high, 10**low, tag, str(len(d)))
+    return f"{a:0{high}d}" + (f"{b:0{low}d}" if low else "")
+
+
+def luhn_digit(body: str) -> int:
+    total = sum(int(c) if k % 2 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(body)))
+    return -total % 10
+
+
+def moved_number(d: str) -> str:
+    body, off = moved_digits(d[:-1], "number"), (int(d[-1]) - luhn_digit(d[:-1])) % 10
+    by = int(hashlib.sha256(f"k|last|{body}".encode()).hexdigest()[:14], 16)
+    return body + str((luhn_digit(body) + (off and 1 + (off - 1 + by) % 9)) % 10)
+
+
+def moved_date(day: datetime.date) -> datetime.date:
+    near, century = 1900 <= day.year < 2100, day.year // 100 * 100
+    left, right = (11, 6641) if near else (75, 487) if century % 400 == 0 else (92, 397)
+    first = 1900 if near else century
+    begin = datetime.date(first, 1, 1)
+    x = (day - begin).days
+    while True:
+        a, b = feistel(x // right, x % right, left, right, "date", str(first))
+        x = a * right + b
+        if not near or x < 73_049:
+            return begin + datetime.timedelta(x)
+
+
+def iban(text: str) -> int:
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def test_pseudonyms_against_plain_python(spark) -> None:
+    rng = random.Random(12)
+    values: dict[str, str | None] = {}
+    for _ in range(150):
+        d = "".join(rng.choice("0123456789") for _ in range(rng.randint(9, 19)))
+        values[d] = moved_number(d)
+        card = "4" + d[:14]
+        card += str(luhn_digit(card))
+        values[card] = moved_number(card)
+        assert (luhn_digit(values[card][:-1]) == int(values[card][-1])) and (luhn_digit(values[d][:-1]) == int(values[d][-1])) == (luhn_digit(d[:-1]) == int(d[-1]))
+        t = moved_number(d[:9] + "7")
+        values[f"({d[:3]}) {d[3:6]}-{d[6:9]}7"], values[f"{d[:3]}.{d[3:6]}.{d[6:9]}7"] = f"({t[:3]}) {t[3:6]}-{t[6:]}", f"{t[:3]}.{t[3:6]}.{t[6:]}"
+        day = datetime.date(rng.choice([1776, 1850, 1955, 2001, 2024, 2150]), rng.randint(1, 12), rng.randint(1, 28))
+        new = moved_date(day)
+        values[day.isoformat()] = new.isoformat()
+        values[f"{day.day:02d}.{day.month:02d}.{day.year}"] = f"{new.day:02d}.{new.month:02d}.{new.year}"
+        if day.day > 12:
+            values[f"{day.month:02d}/{day.day}/{day.year}"] = f"{new.month:02d}/{new.day:02d}/{new.year}"
+        if day.day < 10:
+            values[f"{day.day}.{day.month}.{day.year}"] = f"{new.day}.{new.month}.{new.year}"
+    values |= {"DE89370400440532013000": None, "GB82 WEST 1234 5698 7654 32": None, "DE88370400440532013000": "DE88370400440532013000"}
+    found = {r.v: r.p for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym(F.col("v"), "k").alias("p")).collect()}
+    for v, expected in values.items():
+        assert len(found[v]) == len(v) or "." in v
+        if expected is None and v[0].isalpha():
+            assert iban(found[v].replace(" ", "")) == 1 and found[v][:2] == v[:2] and found[v] != v and re.sub(r"\d", "0", re.sub("[A-Z]", "A", found[v])) == re.sub(r"\d", "0", re.sub("[A-Z]", "A", v))
+        elif expected is not None:
+            assert found[v] == expected, v
 
 
 def test_weak_labels(spark) -> None:
@@ -337,3 +420,46 @@ def test_bounds_of_many_lengths(spark) -> None:
         best = np.array([np.inf, *((best[:j] + values[j - 1] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])).min() for j in range(1, len(values) + 1))])
     found = packing.length_bounds(spark.createDataFrame([(int(x),) for x in lengths], "n_tokens long"))
     assert len(found) == packing.BUCKETS and padding_of([int(x) for x in lengths], found) == best[-1]
+
+
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_constructed_words_stay_apart(spark) -> None:
+    """Words, and sequences of words, that polynomial hashes modulo a power of two can't tell apart."""
+    x = thue_morse(2048)
+    y = x.translate(str.maketrans("ab", "ba"))
+    shared = [f"w{k}" for k in range(19)]
+    texts = {1: " ".join([*shared, x]), 2: " ".join([*shared, y]), 3: f"{x} p q\n{y} p q\n{x} r\n{y} r", 4: thue_morse(2048).replace("a", "u ").replace("b", "v "), 5: y.replace("a", "u ").replace("b", "v "), 6: f"m n o p {x}", 7: f"m n o p {y}"}
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for r in quality_rules.judged(docs, labels).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counted(texts[r.doc_id])
+    sets = {k: shingles(t) for k, t in texts.items()}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    found = {r.doc_id: r for r in near_duplicates.near_duplicate_classes(docs).collect()}
+    assert {k: r.n_shingles for k, r in found.items()} == {k: len(s) for k, s in sets.items()}
+    assert linked == {(1, 2), (4, 5)} and {k: r.component_id for k, r in found.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_digest(docs).collect()} == cut(texts)
+
+
+def test_templates_make_few_pairs(spark) -> None:
+    """Documents of one template, at about 0.8 to each other, meet in many tables, are not linked and are told apart without their pairs."""
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(200)]
+    texts: dict[int, str | None] = {}
+    for k in range(120):
+        words = list(template)
+        for at in range(3, 200, 50):
+            words[at] = f"own{k}x{at}"
+        texts[k] = " ".join(words)
+    for k in range(120, 124):  # near copies of four of them
+        words = (texts[k - 100] or "").split()
+        words[100] = f"edit{k}"
+        texts[k] = " ".join(words)
+    rng.shuffle(template)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    top = {k: min(j for j in sets if 100 * len(sets[j] & sets[k]) >= 85 * len(sets[j] | sets[k])) for k in sets}
+    found = {r.doc_id: r.component_id for r in near_duplicates.near_duplicate_classes(table(spark, texts)).collect()}
+    assert found == top and len(set(top.values())) == 120
