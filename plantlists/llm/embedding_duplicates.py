@@ -29,6 +29,10 @@ HASHES = 3
 BLOCK = 512
 #: Rows of all block pairs that are handed to one call, on average.
 SLOT_ROWS = 10_000
+#: Rows of a group whose pairs are listed together with those of other small groups; larger ones take a product of matrices each.
+SMALL = 32
+#: Pairs whose vectors are gathered at once.
+PAIRS = 50_000
 SEED = 20240229
 
 
@@ -73,10 +77,10 @@ def table_keys(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["node", "m", "vector", "own", "probes"]
+    names = ["node", "m", "vector", "own", "probes", "spots"]
     for batch in batches:
         lists = batch.column(1)
-        width = np.diff(np.append(0, np.cumsum([len(v) for v in lists.to_pylist()]))) if len(lists) else np.zeros(0, int)
+        width = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         edges = np.append(0, np.cumsum(width))
         for w in np.unique(width):
@@ -84,47 +88,50 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.stack([flat[edges[r] : edges[r + 1]] for r in rows])
             unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
             own, probes = table_keys(unit)
-            as_lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.reshape(-1)), m.shape[1]).cast(pa.list_(pa.int64()))
+            spots = np.concatenate([own[:, :, None], probes], axis=2).reshape(len(rows), -1)  # of each table the own key and its probes
+            as_bytes = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array([r.tobytes() for r in x], pa.binary()), as_lists(own), as_lists(probes.reshape(len(rows), -1))], names
+                [batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), as_bytes(x), as_bytes(own), as_bytes(probes), pa.array(list(spots), pa.list_(pa.int64()))], names
             )
 
 
-def _links(group: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
-    """Confirmed pairs between blocks i and j of a bucket, each in its first table only: counts by vector and a spanning forest."""
-    a, b = group[group["block"] == i], group[group["block"] == j]
-    x, y = (np.stack([np.frombuffer(v) for v in side["vector"]]) if len(side) else np.zeros((0, 1)) for side in (a, b))
-    if not len(x) or not len(y):
-        return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-    x, y = x / np.sqrt((x * x).sum(axis=1))[:, None], y / np.sqrt((y * y).sum(axis=1))[:, None]
-    ids, other = a["node"].to_numpy(), b["node"].to_numpy()
-    hit = np.argwhere((x @ y.T >= COSINE - 1e-9) & ((ids[:, None] < other[None, :]) if i == j else (ids[:, None] != other[None, :])))
-    if not len(hit):
-        return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
-    p, q = hit[:, 0], hit[:, 1]
-    exact = np.array([float(np.dot(x[r], y[s])) for r, s in zip(p, q, strict=True)]) >= COSINE
-    p, q = p[exact], q[exact]
-    # the first table in which either has its own key in the other's keys
-    table = int(group["t"].iloc[0])
-    if table and len(p):
-        oa, ob = (np.stack(side["own"].to_list())[z] for side, z in ((a, p), (b, q)))
-        pa_, pb = (np.stack(side["probes"].to_list())[z].reshape(len(z), TABLES, HASHES) for side, z in ((a, p), (b, q)))
-        met = (oa == ob) | (oa[:, :, None] == pb).any(axis=2) | (ob[:, :, None] == pa_).any(axis=2)
-        fresh = ~met[:, :table].any(axis=1)
-        p, q = p[fresh], q[fresh]
-    # within a table a pair meets where both own keys are, or else where one has its own key; this bucket counts the least of these keys
-    if len(p):
-        key = int(group["key"].iloc[0])
-        oa, ob = (np.stack(side["own"].to_list())[z, table] for side, z in ((a, p), (b, q)))
-        pa_, pb = (np.stack(side["probes"].to_list())[z].reshape(len(z), TABLES, HASHES)[:, table] for side, z in ((a, p), (b, q)))
-        at_a = np.where((oa == ob) | (oa[:, None] == pb).any(axis=1), oa, np.iinfo(np.int64).max)
-        at_b = np.where((oa == ob) | (ob[:, None] == pa_).any(axis=1), ob, np.iinfo(np.int64).max)
-        mine = np.minimum(at_a, at_b) == key
-        p, q = p[mine], q[mine]
-    left, right = ids[p], other[q]
-    # a link to a class of equal vectors counts its members
-    nodes, back = np.unique(np.concatenate([left, right]), return_inverse=True)
-    counts = np.bincount(back, weights=np.concatenate([b["m"].to_numpy()[q], a["m"].to_numpy()[p]]), minlength=len(nodes)).astype(np.int64)
+def _pairs_of_small(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of row numbers inside groups of consecutive rows."""
+    row = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    after = np.repeat(start + size, size) - row - 1  # rows of the group behind each row
+    left = np.repeat(row, after)
+    return left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+
+
+def _near(unit: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which pairs of rows are linked."""
+    return np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", unit[p[k : k + PAIRS]], unit[q[k : k + PAIRS]]) >= COSINE for k in range(0, len(p), PAIRS))])
+
+
+def _linked_rows(unit: np.ndarray, group: np.ndarray, first: np.ndarray, second: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows of one group; rows are sorted by group, and a group of two blocks pairs rows of different blocks only."""
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(group)))
+    few = size <= SMALL
+    p, q = _pairs_of_small(start[few], size[few])
+    apart = (first[p] == second[p]) | (block[p] != block[q])
+    p, q = p[apart], q[apart]
+    near = _near(unit, p, q)
+    found = [(p[near], q[near])]
+    for s, n in zip(start[~few].tolist(), size[~few].tolist(), strict=True):
+        rows = np.arange(s, s + n)
+        a, b = rows[block[rows] == first[s]], rows[block[rows] == second[s]]
+        hit = np.argwhere(unit[a] @ unit[b].T >= COSINE - 1e-9)
+        p, q = a[hit[:, 0]], b[hit[:, 1]]
+        if first[s] == second[s]:
+            p, q = p[p < q], q[p < q]
+        near = _near(unit, p, q)
+        found.append((p[near], q[near]))
+    return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs connect."""
     top: dict[int, int] = {}
 
     def root(v: int) -> int:
@@ -132,19 +139,46 @@ def _links(group: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
             top[v] = v = top[top[v]]
         return v
 
-    forest = []
-    for u, v in zip(left.tolist(), right.tolist(), strict=True):
+    out = []
+    for u, v in zip(a.tolist(), b.tolist(), strict=True):
         if (ru := root(u)) != (rv := root(v)):
             top[max(ru, rv)] = min(ru, rv)
-            forest.append((u, v))
-    edges = np.array(forest, np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": np.concatenate([nodes, edges[:, 0]]), "b": np.concatenate([nodes, edges[:, 1]]), "n": np.concatenate([counts, np.zeros(len(edges), np.int64)])}).astype("int64")
+            out.append((u, v))
+    return out
 
 
 def _compare(slot: pd.DataFrame) -> pd.DataFrame:
-    """All block pairs of one slot."""
-    found = [_links(group, int(i), int(j)) for (_, _, _, i, j), group in slot.groupby(["label", "t", "key", "i", "j"], sort=False)]
-    return pd.concat(found, ignore_index=True)
+    """All block pairs of one slot: confirmed links, each in its first table only, as counts by vector and a spanning forest."""
+    edges, ends, weights = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    widths = slot["vector"].map(len)
+    for width in widths.unique():
+        rows = slot[widths == width]
+        group = rows.groupby(["label", "t", "key", "i", "j"], sort=False).ngroup().to_numpy()
+        rows, group = rows.iloc[np.argsort(group, kind="stable")], np.sort(group)
+        x = np.frombuffer(b"".join(rows["vector"])).reshape(len(rows), -1)
+        unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+        p, q = _linked_rows(unit, group, *(rows[c].to_numpy() for c in ("i", "j", "block")))
+        own = np.frombuffer(b"".join(rows["own"]), np.int64).reshape(-1, TABLES)
+        probes = np.frombuffer(b"".join(rows["probes"]), np.int64).reshape(-1, TABLES, HASHES)
+        # a pair meets in a table where its own keys are equal, or where one's own key is in the other's probes
+        at_p, at_q = (own[p][:, :, None] == probes[q]).any(axis=2), (own[q][:, :, None] == probes[p]).any(axis=2)
+        same = own[p] == own[q]
+        met = same | at_p | at_q
+        table, key = rows["t"].to_numpy()[p], rows["key"].to_numpy()[p]
+        # it counts in the first of these tables, there in the least of the keys where it meets
+        pick, most = np.arange(len(p)), np.iinfo(np.int64).max
+        key_p, key_q = own[p, table], own[q, table]
+        least = np.minimum(np.where((same | at_p)[pick, table], key_p, most), np.where((same | at_q)[pick, table], key_q, most))
+        mine = (met.argmax(axis=1) == table) & (least == key)
+        p, q = p[mine], q[mine]
+        node, m = rows["node"].to_numpy(), rows["m"].to_numpy()
+        edges += _forest(node[p], node[q])
+        ends += [node[p], node[q]]
+        weights += [m[q], m[p]]  # a link to a class of equal vectors counts its members
+    nodes, back = np.unique(np.concatenate(ends), return_inverse=True)
+    counts = np.bincount(back, weights=np.concatenate(weights), minlength=len(nodes)).astype(np.int64)
+    forest = np.array(edges, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": np.concatenate([nodes, forest[:, 0]]), "b": np.concatenate([nodes, forest[:, 1]]), "n": np.concatenate([counts, np.zeros(len(forest), np.int64)])}).astype("int64")
 
 
 def embedding_classes(vectors: DataFrame) -> DataFrame:
@@ -164,15 +198,14 @@ def embedding_classes(vectors: DataFrame) -> DataFrame:
     usable = rows.where("usable")
     distinct = usable.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("m"))
     distinct = staged(distinct, "distinct")
-    keyed = distinct.select("node", "v", "m").mapInArrow(_keyed, "node long, m long, vector binary, own array<long>, probes array<long>")
-    keyed = staged(keyed, "keyed")
-    spots = keyed.join(distinct.select("node", "label"), "node").select("node", "label", "probes", F.posexplode("own").alias("t", "key"))
-    spots = spots.select("node", "label", "t", F.explode(F.concat(F.array("key"), F.slice("probes", F.col("t") * HASHES + 1, F.lit(HASHES)))).alias("key")).distinct()
+    keyed = staged(distinct.select("node", "v", "m").mapInArrow(_keyed, "node long, m long, vector binary, own binary, probes binary, spots array<long>"), "keyed")
+    spots = keyed.join(distinct.select("node", "label"), "node").select("node", "label", F.posexplode("spots").alias("at", "key"))
+    spots = spots.select("node", "label", F.floor(F.col("at") / (HASHES + 1)).cast("int").alias("t"), "key").distinct()
     sizes = spots.groupBy("label", "t", "key").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     dealt = spots.join(sizes, ["label", "t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a block meets itself and all others; (i, j) with i <= j names the group
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    groups = dealt.select("node", "label", "t", "key", "block", F.inline(pairs)).join(keyed, "node")
+    groups = dealt.select("node", "label", "t", "key", "block", F.inline(pairs)).join(keyed.drop("spots"), "node")
     # many small groups make up one slot, so that a slot's work and not a group's sets the cost of a call
     rows_to_come = sizes.agg(F.sum(F.col("size") * F.col("blocks"))).first()[0] or 0
     slots = max(1, int(rows_to_come) // SLOT_ROWS)
