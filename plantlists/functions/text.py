@@ -204,6 +204,15 @@ def building_section(area: Column, na_areas: Sequence[str]) -> Column:
     return F.coalesce(F.when(up.isin(*na_areas), "N/A"), _found(up, r"(U[A-Z]{2})"), F.lit("UNKNOWN"))
 
 
+def section_rank(section: Column, order: Sequence[str] = ("UHA", "UMA")) -> Column:
+    """A sort token: sections of the list in its order, then all others by name."""
+    name = F.upper(F.trim(section))
+    rank = F.lit("900")
+    for k, own in reversed(list(enumerate(order))):
+        rank = F.when(name == own, f"{k:03d}").otherwise(rank)
+    return F.concat(rank, F.lit("_"), name)
+
+
 def bore_class(nb: Column, threshold: float = 40) -> Column:
     return F.when(nb.isNull(), "Unknown").when(nb <= threshold, "SB").otherwise("LB")
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 NA_SECTION = "N/A"
+#: Reasons for a batch (fixed texts).
+BY_AREA, BY_ANCHOR, FIRST_ANCHOR, BY_SECTION, BY_WEIGHT = "Mapped by working area", "N/A anchored section batch", "N/A initial anchor on lightest batch", "Fallback by building section", "Fallback to overall lightest batch"
 
 
 def _chunks(areas: list[tuple[str, str, float]], most: float) -> list[tuple[float, str, int, list[str]]]:
@@ -55,6 +59,25 @@ def split_batches(scope: DataFrame, n: int, tolerance: float = 0.1) -> DataFrame
     return scope.join(placed.select("project_id", "working_area", "section", "batch"), ["project_id", "working_area", "section"])
 
 
+def overweight_areas(scope: DataFrame, n: int, tolerance: float = 0.1) -> DataFrame:
+    """Areas that alone pass what a batch may weigh (total / n and the tolerance): project_id, working_area, weight, most."""
+    areas = scope.groupBy("project_id", "working_area").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"))
+    most = areas.groupBy("project_id").agg((F.sum("weight") / n * (1 + tolerance)).alias("most"))
+    return areas.join(most, "project_id").where("weight > most").select("project_id", "working_area", "weight", "most")
+
+
+def area_summary(batched: DataFrame) -> DataFrame:
+    """Weights by batch, section and working area, and the codes with and without a known weight."""
+    known = F.col("weight").isNotNull()
+    return batched.groupBy("project_id", "batch", "section", "working_area").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.count_if(known).alias("known"), F.count_if(~known).alias("missing"))
+
+
+def in_area_order(rows: DataFrame, keys: Sequence[str] = ("project_id",), order: Sequence[str] = ("UHA", "UMA")) -> DataFrame:
+    """Rows (section, working_area, code, ...) with their place (from 1) within keys: sections in the given order, then areas and codes in natural order."""
+    by = [text.section_rank(F.col("section"), order), text.natural_key(F.col("working_area")), text.natural_key(F.col("code")), F.col("code")]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+
+
 def batch_summary(batched: DataFrame, n: int, tolerance: float = 0.1) -> DataFrame:
     """By batch: weight, areas, sections, codes, codes without weight, share of the target, and whether it keeps the tolerance."""
     g = batched.groupBy("project_id", "batch").agg(F.round(F.sum("weight"), 3).alias("weight"), F.countDistinct("working_area").alias("areas"), F.countDistinct("section").alias("sections"), F.countDistinct("code").alias("codes"), F.count_if(F.col("weight").isNull()).alias("no_weight"))
@@ -85,13 +108,13 @@ def integrate_missing(missing: DataFrame, detail: DataFrame) -> DataFrame:
         for r in group.itertuples():
             own = sections.get(r.section, set())
             if not pd.isna(r.area_batch):
-                batch, reason = int(r.area_batch), "Mapped by working area"
+                batch, reason = int(r.area_batch), BY_AREA
             elif r.section == NA_SECTION:
-                batch, reason = (min(own), "N/A anchored section batch") if own else (min(weight, key=lambda b: (weight[b], b)), "N/A initial anchor on lightest batch")
+                batch, reason = (min(own), BY_ANCHOR) if own else (min(weight, key=lambda b: (weight[b], b)), FIRST_ANCHOR)
             elif own:
-                batch, reason = min(own, key=lambda b: (weight[b], b)), "Fallback by building section"
+                batch, reason = min(own, key=lambda b: (weight[b], b)), BY_SECTION
             else:
-                batch, reason = min(weight, key=lambda b: (weight[b], b)), "Fallback to overall lightest batch"
+                batch, reason = min(weight, key=lambda b: (weight[b], b)), BY_WEIGHT
             weight[batch] += 0.0 if pd.isna(r.weight) else float(r.weight)
             sections.setdefault(r.section, set()).add(batch)
             out.append((r.project_id, r.row_pos, r.code, batch, reason))

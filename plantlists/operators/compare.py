@@ -151,6 +151,22 @@ def diff_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc(F.when(F.col("status") == "Mismatch", 1).otherwise(0)), F.desc(rows), F.desc(quantity), "rule", "key")
 
 
+def row_set_statistics(compared: DataFrame) -> DataFrame:
+    """Counts of row_set_compare() by status, and their share of the side that has them (a for IDENTICAL and MISSING, b for EXTRA) in percent."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    one = compared.agg(n("IDENTICAL").alias("i"), n("MISSING").alias("m"), n("EXTRA").alias("e"))
+    share = lambda x, whole: F.when(whole > 0, F.round(x * 100.0 / whole, 2)).otherwise(0.0)
+    i, m, e = F.col("i"), F.col("m"), F.col("e")
+    rows = F.array(*(F.struct(F.lit(s).alias("status"), x.alias("n"), share(x, whole).alias("percent")) for s, x, whole in (("IDENTICAL", i, i + m), ("MISSING", m, i + m), ("EXTRA", e, i + e))))
+    return one.select(F.inline(rows))
+
+
+def match_breakdown(matched: DataFrame) -> DataFrame:
+    """Rows by level of hierarchical_match() and their share in percent."""
+    total = matched.agg(F.count("*").alias("all"))  # one row
+    return matched.groupBy("level").agg(F.count("*").alias("n")).crossJoin(total).select("level", "n", F.round(F.col("n") * 100.0 / F.col("all"), 2).alias("percent"))
+
+
 def reconcile_po_cor(base: DataFrame, update: DataFrame) -> DataFrame:
     """By (item, corrosion), one row per matching row of update: delta of quantities; Deleted gives the negative, New the whole quantity.
 
@@ -229,19 +245,38 @@ def copy_and_propagate(source: DataFrame, target: DataFrame) -> DataFrame:
     return direct.join(groups, "group_text", "left").select("id", "group_text", "row_pos", F.coalesce("shared", "own").alias("comment"))
 
 
+def contained_pairs(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(needle, text) for all texts of hay (column text) that contain a needle (column needle); both distinct, empty needles left out.
+
+    A text with the needle has all of its three-character pieces (shorter needles: the needle itself), so the join is on the piece
+    of the needle that fewest texts have, and then the containment is tested.
+    """
+    pieces = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    texts = hay.select("text").distinct()
+    have = texts.select("text", F.explode(F.array_distinct(F.concat(*(pieces(F.col("text"), n) for n in (1, 2, 3))))).alias("piece"))
+    size = F.least(F.lit(3), F.length("needle"))
+    own = needles.select("needle").distinct().where("needle <> ''").select("needle", F.explode(F.array_distinct(F.when(size == 3, pieces(F.col("needle"), 3)).otherwise(F.array("needle")))).alias("piece"))
+    often = have.groupBy("piece").agg(F.count("*").alias("n"))
+    rare = own.join(often, "piece").groupBy("needle").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return rare.join(have, "piece").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
+
+
 def infer_category(new: DataFrame, base: DataFrame) -> DataFrame:
-    """New (id, description) takes the category of the base row with the same description, else of the first base row sharing two words, else Unknown.
+    """New (id, description) takes the category of the base row with the same description, else of the first base row that holds two of its words, else Unknown.
 
-    Candidates share a word, so the join is on words; base: description, category, row_pos.
+    base: description, category, row_pos. Case does not count, a word may stand inside a longer one, and a word that the description
+    repeats counts as often. Descriptions are compared once each, words once each against the words of base.
     """
     exact = base.groupBy("description").agg(F.min_by("category", "row_pos").alias("same"))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    mine = new.select("id", F.explode(words(F.col("description"))).alias("w"))
-    theirs = base.select("row_pos", "category", F.explode(words(F.col("description"))).alias("w"))
-    shared = mine.join(theirs, "w").groupBy("id", "row_pos", "category").agg(F.count("*").alias("n")).where("n >= 2")
-    best = shared.groupBy("id").agg(F.min_by("category", "row_pos").alias("near"))
-    out = new.join(exact, "description", "left").join(best, "id", "left")
-    return out.select("id", "description", F.coalesce("same", "near", F.lit("Unknown")).alias("category"))
+    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+    mine = new.where("description is not null").select("description").distinct().select("description", F.explode(words(F.col("description"))).alias("needle")).groupBy("description", "needle").agg(F.count("*").alias("times"))
+    firsts = base.where("description is not null").groupBy(F.lower("description").alias("lowered")).agg(F.min_by(F.struct("row_pos", "category"), "row_pos").alias("first"))
+    theirs = firsts.select("lowered", "first", F.explode(F.array_distinct(words(F.col("lowered")))).alias("text"))
+    held = contained_pairs(mine, theirs).join(theirs, "text").select("needle", "lowered", "first").distinct()
+    shared = mine.join(held, "needle").groupBy("description", "lowered", "first").agg(F.sum("times").alias("n")).where("n >= 2")
+    best = shared.groupBy("description").agg(F.min("first").alias("near"))
+    out = new.join(exact, "description", "left").join(best, "description", "left")
+    return out.select("id", "description", F.coalesce("same", F.col("near.category"), F.lit("Unknown")).alias("category"))
 
 
 def missing_codes(status: DataFrame, batched: DataFrame, deducted: DataFrame) -> DataFrame:
@@ -281,12 +316,21 @@ def article_differences(raw: DataFrame, aggregated: DataFrame, column: str) -> D
 def hierarchical_match(base: DataFrame, comp: DataFrame, core: str = r"(\d[A-Z]{3}\d{2}[A-Z]{2}\d{3})") -> DataFrame:
     """Base rows (row_pos, code, article, qty, cut_length) against comp rows whose code contains theirs or is contained in it.
 
-    Levels: NO_KKS_MATCH, ARTICLE_MISMATCH, QTY_MISMATCH, CUT_LENGTH_MISMATCH, EXACT, MULTIPLE. Codes share their core where they have one, so the
-    join is on cores; codes without a core are compared whole.
+    Levels: NO_KKS_MATCH, ARTICLE_MISMATCH, QTY_MISMATCH, CUT_LENGTH_MISMATCH, EXACT, MULTIPLE. Codes that contain each other share
+    their core where they have one, so the join is on cores. What holds no core can only be the contained one of two codes: such codes
+    are found in the codes of the other side by their pieces.
     """
-    keyed = lambda df: df.withColumn("_core", F.coalesce(F.when(F.regexp_extract("code", core, 1) != "", F.regexp_extract("code", core, 1)), F.col("code")))
-    b = keyed(comp).select("_core", F.col("code").alias("c_code"), F.col("article").alias("c_article"), F.col("qty").alias("c_qty"), F.col("cut_length").alias("c_cut"))
-    near = keyed(base).join(b, "_core", "left")
+    keyed = lambda df: df.withColumn("_core", F.regexp_extract("code", core, 1))
+    b = keyed(comp).select(F.col("_core").alias("c_core"), F.col("code").alias("c_code"), F.col("article").alias("c_article"), F.col("qty").alias("c_qty"), F.col("cut_length").alias("c_cut"))
+    base = keyed(base)
+    by_core = base.where("_core <> ''").join(b.where("c_core <> ''"), F.col("_core") == F.col("c_core")).drop("c_core")
+    texts = lambda df, c, name: df.select(F.col(c).alias(name)).where(f"{name} is not null").distinct()
+    inner = contained_pairs(texts(base.where("_core = ''"), "code", "needle"), texts(b, "c_code", "text")).select(F.col("needle").alias("code"), F.col("text").alias("c_code"))
+    outer = contained_pairs(texts(b.where("c_core = ''"), "c_code", "needle"), texts(base, "code", "text")).select(F.col("text").alias("code"), F.col("needle").alias("c_code"))
+    loose = base.join(inner.union(outer).distinct(), "code").join(b.drop("c_core"), "c_code")
+    cells = ["row_pos", "code", "article", "qty", "cut_length", "c_code", "c_article", "c_qty", "c_cut"]
+    alone = base.select(*(F.col(c) if c in base.columns else F.lit(None).cast(b.schema[c].dataType).alias(c) for c in cells))  # each base row once without a partner
+    near = by_core.select(*cells).unionByName(loose.select(*cells)).unionByName(alone)
     met = F.col("c_code").isNotNull() & (F.col("c_code").contains(F.col("code")) | F.col("code").contains(F.col("c_code")))
     article = met & (F.col("article") == F.col("c_article"))
     qty = article & (F.col("qty") == F.col("c_qty"))

@@ -183,6 +183,35 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
     return compare.hierarchical_match(base, comp)
 
 
+_D9 = """WITH a AS (SELECT DISTINCT l_partkey % 200 AS part, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag, l_suppkey % 10 AS supp FROM lineitem WHERE l_orderkey % 3 = 0), b AS (SELECT DISTINCT l_partkey % 200 AS part, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag, l_suppkey % 10 AS supp FROM lineitem WHERE l_orderkey % 3 = 1),
+n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS i, (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y)
+SELECT 'IDENTICAL' AS status, i AS n, round(i * 100.0 / x, 2) AS percent FROM n UNION ALL SELECT 'MISSING', x - i, round((x - i) * 100.0 / x, 2) FROM n UNION ALL SELECT 'EXTRA', y - i, round((y - i) * 100.0 / y, 2) FROM n"""
+
+
+@_query("d9_statistics", _D9)
+def d9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return compare.row_set_statistics(d9(spark, d))
+
+
+@_query("d10_breakdown", f"SELECT level, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 2) AS percent FROM ({SQL['d10_hierarchical_match']}) GROUP BY 1")
+def d10_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return compare.match_breakdown(d10(spark, d))
+
+
+_LOOSE = """WITH b AS (SELECT p_partkey AS row_pos, CASE WHEN p_partkey % 3 = 0 THEN '1HTX01BR' || lpad(CAST(p_partkey % 900 AS VARCHAR), 3, '0') || '/' || p_partkey ELSE 'K' || p_partkey || '.' END AS code, p_size AS article, p_size % 5 AS qty FROM part),
+c AS (SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 0 THEN 'xK' || s_suppkey || '.y' WHEN 1 THEN CAST(s_suppkey AS VARCHAR) ELSE '/' || s_suppkey END AS code, s_suppkey % 50 AS article, s_suppkey % 5 AS qty FROM supplier),
+m AS (SELECT b.row_pos, b.code, count(c.code) AS n1, count_if(b.article = c.article) AS n2, count_if(b.article = c.article AND b.qty = c.qty) AS n3 FROM b LEFT JOIN c ON contains(c.code, b.code) OR contains(b.code, c.code) GROUP BY 1, 2)
+SELECT row_pos, code, CASE WHEN n1 = 0 THEN 'NO_KKS_MATCH' WHEN n2 = 0 THEN 'ARTICLE_MISMATCH' WHEN n3 = 0 THEN 'QTY_MISMATCH' WHEN n3 = 1 THEN 'EXACT' ELSE 'MULTIPLE' END AS level FROM m"""
+
+
+@_query("d10_codes_without_core", _LOOSE)
+def d10_loose(spark: SparkSession, d: str) -> DataFrame:
+    core = "concat('1HTX01BR', lpad(cast(p_partkey % 900 as string), 3, '0'), '/', cast(p_partkey as string))"
+    base = derived(spark, d, "part", ["p_partkey AS row_pos", f"case when p_partkey % 3 = 0 then {core} else concat('K', cast(p_partkey as string), '.') end AS code", "p_size AS article", "p_size % 5 AS qty", "1 AS cut_length"])
+    code = "case s_suppkey % 4 when 0 then concat('xK', cast(s_suppkey as string), '.y') when 1 then cast(s_suppkey as string) else concat('/', cast(s_suppkey as string)) end AS code"
+    return compare.hierarchical_match(base, derived(spark, d, "supplier", [code, "s_suppkey % 50 AS article", "s_suppkey % 5 AS qty", "1 AS cut_length"]))
+
+
 @_query("d13_copy_flag", """SELECT s_suppkey AS id, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49 AND l_partkey % 3 = 0) THEN 'intumescent' ELSE 'none' END AS coating FROM supplier""")
 def d13(spark: SparkSession, d: str) -> DataFrame:
     target = derived(spark, d, "supplier", ["s_suppkey AS id", "cast(s_suppkey as double) AS supp", "'none' AS coating"])
@@ -209,8 +238,7 @@ def d15(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("d24_infer_category", """
 WITH n AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS description FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS row_pos, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type ELSE p_name || ' ' || p_brand END AS description, p_brand AS category FROM part WHERE p_partkey % 7 = 1),
-e AS (SELECT description, arg_min(category, row_pos) AS same FROM b GROUP BY 1), w AS (SELECT DISTINCT id, unnest(string_split(lower(description), ' ')) AS w FROM n), v AS (SELECT DISTINCT row_pos, category, unnest(string_split(lower(description), ' ')) AS w FROM b),
-s AS (SELECT id, arg_min(category, row_pos) AS near FROM (SELECT id, row_pos, category FROM w JOIN v USING (w) GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1)
+e AS (SELECT description, arg_min(category, row_pos) AS same FROM b GROUP BY 1), s AS (SELECT n.id, arg_min(b.category, b.row_pos) AS near FROM n JOIN b ON len(list_filter(string_split(lower(n.description), ' '), lambda w: contains(lower(b.description), w))) >= 2 GROUP BY 1)
 SELECT id, description, coalesce(same, near, 'Unknown') AS category FROM n LEFT JOIN e USING (description) LEFT JOIN s USING (id)""")
 def d24(spark: SparkSession, d: str) -> DataFrame:
     new = derived(spark, d, "part", ["p_partkey AS id", "concat(p_name, ' ', p_type) AS description"], "p_partkey % 3 = 0")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import batching, schedule, welds
 from ..streaming import jobs
 from .list_queries import ROW
+from ..staging import shared_folder
 from .shared import Query, derived, derived_sql, table
 
 QUERIES: dict[str, Query] = {}
@@ -172,7 +172,7 @@ def p6(spark: SparkSession, d: str) -> DataFrame:
 
 
 # batches
-_SCOPE = ["cast(s_nationkey % 5 as bigint) AS project_id", "s_name AS code", "concat('U', chr(cast(65 + s_suppkey % 4 as int)), 'A-', cast(s_suppkey % 40 as string)) AS working_area", "concat('U', chr(cast(65 + s_suppkey % 4 as int)), 'A') AS section", "case when s_suppkey % 11 = 0 then null else abs(s_acctbal) end AS weight"]
+_SCOPE = ["cast(floor(s_suppkey / 200) as bigint) AS project_id", "s_name AS code", "concat('U', chr(cast(65 + s_suppkey % 4 as int)), 'A-', cast(s_suppkey % 40 as string)) AS working_area", "concat('U', chr(cast(65 + s_suppkey % 4 as int)), 'A') AS section", "case when s_suppkey % 11 = 0 then null else abs(s_acctbal) end AS weight"]
 
 
 @_query("p1_split_batches")
@@ -186,6 +186,22 @@ def e24(spark: SparkSession, d: str) -> DataFrame:
     return batching.batch_summary(rows, 4).select("project_id", "batch", F.round("weight", 1).alias("weight"), "areas", "sections", "codes")
 
 
+@_query("p1_overweight_areas", f"WITH a AS (SELECT project_id, working_area, sum(coalesce(weight, 0)) AS weight FROM ({derived_sql('supplier', _SCOPE)}) GROUP BY 1, 2), m AS (SELECT project_id, sum(weight) / 30 * CAST(1.1 AS DOUBLE) AS most FROM a GROUP BY 1) SELECT project_id, working_area, round(weight, 1) AS weight FROM a JOIN m USING (project_id) WHERE weight > most")
+def p1_overweight(spark: SparkSession, d: str) -> DataFrame:
+    return batching.overweight_areas(derived(spark, d, "supplier", _SCOPE), 30).select("project_id", "working_area", F.round("weight", 1).alias("weight"))
+
+
+@_query("e24_area_summary", f"SELECT project_id, 1 + length(working_area) % 4 AS batch, section, working_area, round(sum(coalesce(weight, 0)), 1) AS weight, count(weight) AS known, count(*) - count(weight) AS missing FROM ({derived_sql('supplier', _SCOPE)}) GROUP BY ALL")
+def e24_areas(spark: SparkSession, d: str) -> DataFrame:
+    rows = derived(spark, d, "supplier", _SCOPE).selectExpr("*", "1 + length(working_area) % 4 AS batch")
+    return batching.area_summary(rows).withColumn("weight", F.round("weight", 1))
+
+
+@_query("g2_area_order", f"SELECT project_id, code, row_number() OVER (PARTITION BY project_id ORDER BY CASE section WHEN 'UCA' THEN 0 WHEN 'UAA' THEN 1 ELSE 2 END, section, lpad(split_part(working_area, '-', 2), 6, '0'), code) AS place FROM ({derived_sql('supplier', _SCOPE)})")
+def g2(spark: SparkSession, d: str) -> DataFrame:
+    return batching.in_area_order(derived(spark, d, "supplier", _SCOPE), order=("UCA", "UAA")).select("project_id", "code", "place")
+
+
 @_query("p2_integrate_missing")
 def p2(spark: SparkSession, d: str) -> DataFrame:
     scope = derived(spark, d, "supplier", ["s_suppkey AS row_pos", *_SCOPE])
@@ -205,8 +221,7 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
 @_query("t1_stream_ingest", "SELECT 'f' || (user_id % 20) AS filename, CAST(event_id % 5 AS INTEGER) AS page, count(*) AS rows, bool_or(event_id % 3 = 0) AS code_found, CASE WHEN bool_or(event_id % 3 = 0) THEN 'OK' ELSE 'NO CODE' END AS status FROM events GROUP BY 1, 2")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     """The stream over a drop folder of extracted rows, in the shared folder; the result is its page log."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ingest-")  # a folder of its own only where the session names none, as in tests
-    folder = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     rows = derived(spark, d, "events", ["concat('f', cast(user_id % 20 as string)) AS filename", "cast(event_id % 5 as int) AS page", "case when event_id % 3 = 0 then 'k' else '' end AS kks"])
     rows.write.parquet(f"{folder}/drop")
     jobs.stream_ingest(spark, f"{folder}/drop", "filename string, page int, kks string", f"{folder}/sink", f"{folder}/checkpoint").awaitTermination()
