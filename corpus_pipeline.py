@@ -1,6 +1,11 @@
 """The corpus pipeline: quality rules, near-duplicates, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All stages but the last return the columns of docs.
+
+docs has doc_id and text; n_chars, where it is there, follows the text; all other columns, whatever their names, pass unchanged.
+Nulls: a null text counts as empty and leaves in the first stage, as empty and wordless ones do; a row without a doc_id is judged by
+its own text only (no copy of anything, no earlier passage) and stays; nulls in other columns pass. Texts of any length go through
+whole. Repeated rows stay until near-duplicates, which keeps one of them. Empty tables give empty tables. Ties go to the smaller doc_id.
 """
 
 from __future__ import annotations
