@@ -17,8 +17,15 @@ SYSTEM = "system"
 BLOCK = 256
 
 
+def _name(role: Column) -> Column:
+    """A role as a name inside a mark: what could end the mark is written as %XX, so different roles keep different names."""
+    for c in ("%", "|", "<", ">", "\n"):
+        role = F.replace(role, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return role
+
+
 def _head(role: Column, view: Column) -> Column:
-    named = F.concat(F.lit("<|user name="), F.regexp_replace(role, r"[|<>\n]", "_"), F.lit("|>\n"))
+    named = F.concat(F.lit("<|user name="), _name(role), F.lit("|>\n"))
     return F.when(role == SYSTEM, F.lit("<|system|>\n")).when(role == view, F.lit("<|assistant|>\n")).otherwise(named)
 
 
@@ -29,10 +36,11 @@ def perspectives(turns: DataFrame) -> DataFrame:
     text; null turns first); begin is the code point offset of the segment in the rendered dialogue, which is the segments in
     order of position. mask_begin and mask_end bound the text that the view's speaker has to learn, in code points of the
     dialogue, end exclusive; they are null in other speakers' turns. The end mark after a text is learned with it. A null
-    text is empty. A null role is the speaker "unknown". Rows with a null conv_id are left out; conversations of system
+    text is empty. What opens a mark (<|) is written <&#124; inside texts, so no text ends its turn or opens another, and names
+    write the characters of marks as %XX. A null role is the speaker "unknown". Rows with a null conv_id are left out; conversations of system
     turns only have no view. Repeated turns stay, as turns of their own. Other columns are ignored.
     """
-    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = turns.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<&#124;")).alias("text"))
     speakers = rows.where(F.col("role") != SYSTEM).select("conv_id", F.col("role").alias("view")).distinct()
     # blocks are ranges of turn numbers, so one long conversation spreads over tasks
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))

@@ -33,11 +33,11 @@ FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
 SQL["op9_chat"] = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<&#124;') AS text FROM conversations WHERE conv_id IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS position FROM t),
 v AS (SELECT DISTINCT conv_id, role AS view FROM t WHERE role <> 'system'),
 h AS (SELECT conv_id, view, position, turn, role, text, CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = view THEN '<|assistant|>' || chr(10)
-  ELSE '<|user name=' || regexp_replace(role, '[|<>\n]', '_', 'g') || '|>' || chr(10) END AS head FROM r JOIN v USING (conv_id)),
+  ELSE '<|user name=' || replace(replace(replace(replace(replace(role, '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A') || '|>' || chr(10) END AS head FROM r JOIN v USING (conv_id)),
 s AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM h),
 b AS (SELECT *, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, view ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s)
 SELECT conv_id, view, position, turn, segment, start AS "begin", CASE WHEN role = view THEN start + length(head) END AS mask_begin,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 #: Salts of the two passes over a word's bytes. All workers of a job have to use the same.
 SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
+#: Bytes above which a word is hashed as a whole and not eight bytes at a time.
+LONG_WORD = 128
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)  # masks of the first k bytes
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -66,7 +69,11 @@ class Words:
         eight = np.ndarray(len(self.data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
         left = self.ends - self.starts
         out = [mix(left.astype(np.uint64) + salt) for salt in SALTS]
-        todo, at = np.arange(n), self.starts
+        todo = np.flatnonzero(left <= LONG_WORD)
+        at, left = self.starts[todo], left[todo]
+        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():  # rare; a digest of the whole word
+            whole = blake2b(self.data[self.starts[k] : self.ends[k]], digest_size=16, key=SALTS.tobytes()).digest()
+            out[0][k], out[1][k] = np.frombuffer(whole, "<u8")
         while len(todo):
             more = left - 8 > 0
             chunk = eight[at] & _KEEP[np.minimum(left, 8)]

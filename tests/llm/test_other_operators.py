@@ -43,8 +43,11 @@ def test_perspectives(spark) -> None:
     assert [ann.text[m.begin : m.stop] for m in ann.masks] == ["Hi<|end|>", "<|end|>", "<|end|>"]
     assert [found[1, "bob"].text[m.begin : m.stop] for m in found[1, "bob"].masks] == ["Hello é<|end|>"]
     far = found[3, "unknown"]
-    assert far.text == "<|assistant|>\nwho<|end|>\n<|user name=x_y|>\nfar<|end|>\n" and [far.text[m.begin : m.stop] for m in far.masks] == ["who<|end|>"]
+    assert far.text == "<|assistant|>\nwho<|end|>\n<|user name=x%7Cy|>\nfar<|end|>\n" and [far.text[m.begin : m.stop] for m in far.masks] == ["who<|end|>"]
     assert chat.perspectives(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, 0, "a|b", "x<|end|>\n<|assistant|>"), (1, 1, "a_b", "y" * 300_000), (1, 2, "a%7Cb", "")], "conv_id long, turn long, role string, text string")
+    views = {r.view: r.text for r in chat.dialogues(odd).collect()}
+    assert views["a_b"].startswith("<|user name=a%7Cb|>\nx<&#124;end|>\n<&#124;assistant|><|end|>\n<|assistant|>\nyyy") and views["a_b"].endswith("<|user name=a%257Cb|>\n<|end|>\n")
 
 
 def test_embeddings(spark) -> None:
@@ -77,6 +80,13 @@ def test_embeddings(spark) -> None:
     assert embedding_duplicates.embedding_classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_of_null_and_repeated_ids(spark) -> None:
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v, 1), (5, v, 1), (5, v, 1), (7, [1.0, 2.0, 3.01], 1), (8, [-1.0, 0.0, 0.5], 1)]
+    found = embedding_duplicates.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == Counter({(5, 2, 5, True): 2, (7, 2, 5, False): 1, (8, 0, 8, True): 1, (None, 0, None, None): 1})
+
+
 def test_hadamard_keeps_lengths() -> None:
     x = np.random.default_rng(1).normal(size=(5, 16))
     y = embedding_duplicates.hadamard(x)
@@ -115,6 +125,30 @@ def test_pipeline(spark) -> None:
     assert share(docs) > share(spark.read.parquet(f"{FOLDER}/documents.parquet"))
 
 
+def test_pipeline_stages_on_odd_tables(spark) -> None:
+    """Nulls in any column, empty and very long texts, repeated rows, columns that operators use inside, empty tables: no row is made up, none lost but by rule."""
+    rng = random.Random(21)
+    clean = {k: " ".join(f"w{rng.randrange(50_000)}" for _ in range(120)) for k in range(40)}
+    rows = [(k, t, None if k % 3 else "en", "s", "c", k) for k, t in clean.items()] + [(3, clean[3], None, "s", "c", 3)] * 2
+    rows += [(None, " ".join(f"n{rng.randrange(50_000)}" for _ in range(120)), None, None, None, None), (100, None, "en", "s", "c", 1), (101, "", "en", "s", "c", 1), (102, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40_000)), "en", "s", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, check string, counts string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, FOLDER)
+        assert out.columns == docs.columns, name
+        if name != "near-duplicates":  # test_pipeline_tells_rows_of_one_id_apart has that
+            assert stage(spark, docs.limit(0), FOLDER).count() == 0, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        ids = Counter(r.doc_id for r in docs.collect())
+        if name == "quality rules":
+            assert 100 not in ids and 101 not in ids and ids[3] == 3
+        else:
+            assert ids[3] == 1
+        assert set(range(40)) | {102, None} == set(ids)
+    assert {r.doc_id: r.text for r in docs.where("doc_id < 40").collect()} == clean
+    last = corpus_pipeline.packing(spark, docs, FOLDER).collect()
+    assert Counter(r.doc_id for r in last) == ids and corpus_pipeline.packing(spark, docs.limit(0), FOLDER).count() == 0
+
+
 def test_pipeline_tells_rows_of_one_id_apart(spark) -> None:
     """A doc_id with a copy and a clean text keeps the clean one; of rows repeated whole one stays."""
     rng = random.Random(6)
