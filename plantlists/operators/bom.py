@@ -52,6 +52,7 @@ def spare_quantity(qty: Column, share: Column) -> Column:
 
 
 def _rule_text(qty: Column, share: Column, spare: Column) -> Column:
+    """The spare rule as text (fixed wording, which readers of order sheets search for)."""
     percent = F.round(share * 100).cast("int").cast("string")
     few = F.concat(F.lit("5% spare: qty "), qty.cast("string"), F.lit(" < 10 → 0 spare"))
     full = F.concat(percent, F.lit("% spare: ceil("), qty.cast("string"), F.lit(" × "), share.cast("string"), F.lit(") = "), spare.cast("string"))
@@ -194,6 +195,7 @@ def packed_rows(rows: DataFrame, route: str) -> DataFrame:
     g = g.withColumn("order_m", F.round(c("ordered") * c("bar_mm") / 1000.0, 3))
     kind, unit = ("04 Beam Sections", "m bar") if route == "beam" else ("01 Primary Supports", "m rod")
     remark = F.concat(F.regexp_replace((c("bar_mm") / 1000.0).cast("string"), r"\.0$", ""), F.lit(unit))
+    # fixed wording of the rule, as in _rule_text()
     rule = F.format_string("FFD: min %d bars; FFD→%d bars; ×1.05→%d ordered; spare=%d", c("naive"), c("n_bars"), c("ordered"), c("ordered") - c("naive"))
     return _sheet(g, material_type=F.lit(kind), article_number=c("item_number"), description=c("label"), qty=c("naive"), total_weight_kg=c("w"), remarks=remark, coating=c("coating"), spare=c("ordered") - c("naive"), order_qty=c("ordered"),
                   order_weight_kg=F.when(c("net_m") > 0, F.round(c("w") / c("net_m") * c("order_m"), 2)), net_cut_length_m=c("net_m"), net_cut_weight_kg=c("w"), total_order_length_m=c("order_m"),
@@ -225,6 +227,7 @@ def tape_rolls(rows: DataFrame) -> DataFrame:
     g = g.withColumns({"net_m": F.round(c("net_mm") / 1000.0, 3), "per_m": text.tape_weight_per_m(c("description"))})
     g = g.withColumns({"rolls": F.ceil(c("net_m") * F.lit(TAPE_FACTOR) / TAPE_ROLL_M), "naive": F.ceil(c("net_m") / TAPE_ROLL_M)})
     g = g.withColumn("order_m", c("rolls") * float(TAPE_ROLL_M))
+    # fixed wording of the rule, as in _rule_text()
     rule = F.format_string("30%% factor: ×1.30 = %d rolls; naive %d; spare=%d", c("rolls"), c("naive"), c("rolls") - c("naive"))
     return _sheet(g, material_type=F.lit("05 Installation Material"), article_number=c("item_number"), description=c("description"), qty=c("naive"), total_weight_kg=F.round(c("per_m") * c("naive") * TAPE_ROLL_M, 3), remarks=F.lit(f"{TAPE_ROLL_M}m roll"),
                   coating=c("coating"), spare=c("rolls") - c("naive"), order_qty=c("rolls"), order_weight_kg=F.round(c("per_m") * c("order_m"), 3), net_cut_length_m=c("net_m"), net_cut_weight_kg=F.round(c("per_m") * c("net_m"), 3),
