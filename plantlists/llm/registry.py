@@ -80,8 +80,20 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_classes(_table(spark, folder, "embeddings"))
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(_table(spark, folder, "documents"))
+
+
+QUERIES = (
+    op1_quality_rules, op2_minhash, op3_pii, op4_weak_labels, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings,
+    op13_spelling,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_pii, op4_weak_labels, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

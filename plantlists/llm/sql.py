@@ -53,3 +53,23 @@ least_id AS (SELECT vec_id, min(other) AS low FROM reach GROUP BY 1), n AS (SELE
 SELECT m.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(least(l.low, m.vec_id), m.vec_id)::BIGINT AS component_id, (m.vec_id = coalesce(least(l.low, m.vec_id), m.vec_id)) AS kept
 FROM embeddings m LEFT JOIN n ON n.vec_id = m.vec_id LEFT JOIN least_id l ON l.vec_id = m.vec_id
 """
+
+SQL["op13_spelling"] = r"""
+WITH RECURSIVE t AS (  -- the table of crc32, eight shifts of each byte
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS crc FROM (SELECT unnest(range(256)) AS b)
+), r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k FROM r WHERE length(run) >= 6 GROUP BY 1, 2),
+c AS (SELECT doc_id, run, k, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END)) AS bytes FROM d),
+h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda s, b: xor(t.crc[(xor(s, b) % 256) + 1], s >> 8))) AS h FROM c, t),
+x AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM x WHERE length(word) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+v AS (SELECT word, i, substring(word, 1, i - 1) || substring(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (
+  SELECT x.word AS a, y.word AS b FROM v x JOIN v y ON x.i = y.i AND x.cut = y.cut AND x.word <> y.word
+  UNION SELECT v.word, w.word FROM v JOIN w ON w.word = v.cut UNION SELECT w.word, v.word FROM v JOIN w ON w.word = v.cut
+), b AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM near JOIN w ON w.word = near.b GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM w LEFT JOIN b USING (word)),
+chain AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+last AS (SELECT c.word, c.root FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, last.root, f.n, f.n_near, f.form_n FROM f JOIN last USING (word)
+"""
