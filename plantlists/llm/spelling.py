@@ -2,7 +2,8 @@
 
 Two words are near if one code point inserted, deleted or replaced turns one into the other. Near words are found so:
 
-* Gram dictionary. Substrings of GRAM_MIN to GRAM_MAX code points are counted over all words, and a longer gram is in the dictionary only
+* Gram dictionary. Words stand between two marks, so that their ends are told apart and have as many grams as their middle.
+  Substrings of GRAM_MIN to GRAM_MAX code points are counted over all words, and a longer gram is in the dictionary only
   if the gram without its last code point is too frequent to be selective. "Too frequent" is a share of all gram places, so there are at
   most FREQUENT_SHARE such grams of each length, each with one extension for each letter of the alphabet: the dictionary's size has a bound that no
   corpus moves, and only it is collected and broadcast.
@@ -14,9 +15,10 @@ Two words are near if one code point inserted, deleted or replaced turns one int
 * List merging. If a word's bound leaves T grams, the least frequent (all - T + 1) grams of both words have one in common, so only these
   short lists are merged, and the frequent grams' lists are not read. A gram that the edit leaves whole lies left or right of it, and
   then the whole text on its outer side is equal too, so a list is keyed by the gram with that side's text. Two words whose
-  bounds leave nothing (short words of few long grams) are merged by the words less one code point instead; so nothing is lost.
+  bounds leave nothing (few long grams; one word in some thousands) are merged by the words less one code point instead; so nothing is lost.
 * Verification by edit distance over code points.
 
+Words of more than LONG_WORD code points meet by the digests of their halves, so that no work grows with the square of a word's length.
 A word has at most about 90 * (2 * length + 1) near words, so the pairs grow with the number of words.
 """
 
@@ -37,9 +39,11 @@ from .words import text_column
 MIN_LENGTH, MIN_COUNT, FORM_RATIO = 6, 5, 5
 #: One (document, run) in DAMAGED loses a code point before words are counted.
 DAMAGED = 199
-GRAM_MIN, GRAM_MAX = 2, 5
+GRAM_MIN, GRAM_MAX = 2, 4
 #: A gram that takes more than one in FREQUENT_SHARE of all gram places of its length is extended.
-FREQUENT_SHARE = 4096
+FREQUENT_SHARE = 1024
+#: Words of more code points than this meet by their halves: one edit leaves the first or the last half of a word as it is.
+LONG_WORD = 64
 #: Bytes of text looked at together, and bytes above which a run's checksum is made on its own.
 _PIECE, _LONG_RUN = 1 << 20, 64
 
@@ -177,7 +181,7 @@ class Grams:
         return out
 
     def affected(self, word: str, grams: list[tuple[int, int]]) -> int:
-        """The greatest number of the word's grams that one edit can change or drop.
+        """The greatest number of a marked word's grams that one edit can change or drop.
 
         An edit between left (what stands before it ends there) and right (what stands after it begins there) leaves a gram alone
         if it ends at left or before and no match that starts at its begin or before it can reach over left, or if it begins at
@@ -196,9 +200,9 @@ class Grams:
                 e += 1
             high.append(e)
         most = 0
-        for left in range(n + 1):
+        for left in range(1, n):  # the marks at both ends stay
             for right in (left, left + 1):  # an insertion, then a deletion or replacement
-                if right <= n:
+                if right < n:
                     alone = sum((e <= left and p < low[left]) or (p >= right and e > high[right]) for p, e in grams)
                     most = max(most, len(grams) - alone)
         return most
@@ -222,8 +226,12 @@ def _keys(dictionary) -> callable:  # noqa: ANN001
 def near_words(words: DataFrame) -> DataFrame:
     """(a, b), a before b: all pairs of different words at edit distance one. words (word) holds no word twice."""
     spark = words.sparkSession
+    long = words.where(F.length("word") >= LONG_WORD).select("word", F.explode(F.array_distinct(F.expr("transform(array(-1, 0, 1), k -> (length(word) + k) div 2)"))).alias("half"))
+    halves = F.array(F.concat(F.lit("<"), F.expr("sha2(substring(word, 1, half), 256)")), F.concat(F.lit(">"), F.expr("sha2(substring(word, length(word) - half + 1), 256)")))
+    long = long.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("word"), F.explode(halves).alias("key"), F.col("half").cast("string").alias("gram"))
+    words = words.where(F.length("word") <= LONG_WORD).select(F.concat(F.lit("^"), "word", F.lit("$")).alias("word"))
     dictionary = spark.sparkContext.broadcast(gram_dictionary(words))
-    split = staged(words.select("word").mapInArrow(_keys(dictionary), "word string, grams array<string>, begins array<int>, spare int"), "word-grams")
+    split = staged(words.mapInArrow(_keys(dictionary), "word string, grams array<string>, begins array<int>, spare int"), "word-grams")
     counts = split.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     placed = split.select("word", "spare", F.explode(F.arrays_zip("grams", "begins")).alias("g")).select("word", "spare", F.col("g.grams").alias("gram"), F.col("g.begins").alias("p"))
     ranked = placed.join(counts, "gram").groupBy("word", "spare").agg(F.sort_array(F.collect_list(F.struct("n", "gram", "p"))).alias("g"))
@@ -233,10 +241,10 @@ def near_words(words: DataFrame) -> DataFrame:
     lists = short.select("word", F.explode(sides).alias("key"), F.col("g.gram").alias("gram"))
     # a bound that leaves nothing: these words meet by what is left after one code point is deleted
     bare = split.where("spare <= 0").select("word", F.explode(F.expr("array_append(transform(sequence(1, length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1))), word)")).alias("key"), F.lit("").alias("gram"))
-    lists = staged(lists.union(bare).distinct(), "gram-lists")
+    lists = staged(lists.union(bare).union(long).distinct(), "gram-lists")
     left, right = lists.withColumnRenamed("word", "a"), lists.withColumnRenamed("word", "b")
     pairs = left.join(right, ["key", "gram"]).where("a < b and abs(length(a) - length(b)) <= 1").where(F.levenshtein("a", "b", 1) == 1)
-    return pairs.select("a", "b").distinct()
+    return pairs.select(*(F.expr(f"substring({c}, 2, length({c}) - 2)").alias(c) for c in ("a", "b"))).distinct()
 
 
 def _roots(forms: DataFrame) -> DataFrame:
