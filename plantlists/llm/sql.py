@@ -73,3 +73,21 @@ chain AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM
 last AS (SELECT c.word, c.root FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NULL)
 SELECT f.word, f.form, last.root, f.n, f.n_near, f.form_n FROM f JOIN last USING (word)
 """
+
+SQL["op12_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+a AS (SELECT g.lang, g.source, kept.term, kept.n AS in_lang, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+s AS (SELECT lang, source, sum(n) AS total FROM a GROUP BY 1, 2),
+p AS (SELECT a.lang, a.source, a.term, a.n, (1 + 1000000000::HUGEINT * (a.n + 1) // (s.total + l.v))::HUGEINT AS p, (1 + 1000000000::HUGEINT * (a.in_lang + 1) // (l.total + l.v))::HUGEINT AS q
+  FROM a JOIN s ON s.lang = a.lang AND s.source = a.source JOIN l ON l.lang = a.lang),
+pair AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY 1, 2, 3),
+part AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source LEFT JOIN pair ON pair.lang = x.lang AND pair.source = x.source AND pair.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM part) WHERE part = 'pair' OR rank <= 200
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -10,10 +11,14 @@ from pyspark.sql import functions as F
 
 from ..staging import drop_staged, shared_folder, staged
 
-__all__ = ["drop_staged", "packed_texts", "shared_folder", "small_batches", "staged", "unpacked"]
+__all__ = ["drop_staged", "of_blocks", "packed_texts", "shared_folder", "small_batches", "staged", "staged_blocks", "unpacked"]
 
 #: Rows, and bytes, of text that one Arrow batch may hold; a single longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 4_000, 8_000_000
+#: Most buckets of a table of blocks.
+MAX_BUCKETS = 50_000
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what an Arrow batch of texts holds. Spark reads the bound when it runs a plan, so the session keeps it; lower ones stay."""
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
@@ -53,3 +58,20 @@ def unpacked(column: pa.Array) -> pa.Array:
         x = x.as_py()
         out.append(codec.decompress(x[4:], int.from_bytes(x[:4], "little"), asbytes=True) if len(x) > 4 else b"")
     return pa.array(out, pa.large_binary()).cast(pa.large_string())
+
+
+def staged_blocks(blocks: DataFrame, name: str, parts: int) -> DataFrame:
+    """Write a table with a column block once, bucketed by it, and read it back; joins on block then leave its rows where they are.
+
+    A block is what one task made of a bounded number of texts, so writing needs no shuffle and makes one file for a block at most.
+    """
+    spark = blocks.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    blocks.write.bucketBy(max(1, min(parts, MAX_BUCKETS)), "block").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
+def of_blocks(rows: DataFrame, values: str, parts: int) -> DataFrame:
+    """(block, found): the values (an SQL expression) of each block's rows, dealt out as staged_blocks() deals out blocks."""
+    return rows.repartition(max(1, min(parts, MAX_BUCKETS)), "block").groupBy("block").agg(F.expr(f"collect_list({values})").alias("found"))
