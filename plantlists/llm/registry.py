@@ -80,6 +80,12 @@ def op10_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_classes(_table(spark, folder, "embeddings"))
 
 
+def op11_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    from .suffix_duplicates import byte_digest
+
+    return byte_digest(_table(spark, folder, "documents"))
+
+
 def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
     from .divergence import source_divergence
 
@@ -94,7 +100,7 @@ def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = (
     op1_quality_rules, op2_minhash, op3_pii, op4_weak_labels, op5_bpe, op6_secrets, op7_substrings, op8_packing, op9_chat, op10_embeddings,
-    op12_divergence, op13_spelling,
+    op11_suffixes, op12_divergence, op13_spelling,
 )
 
 

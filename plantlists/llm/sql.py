@@ -91,3 +91,18 @@ part AS (
   UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM part) WHERE part = 'pair' OR rank <= 200
 """
+
+SQL["op11_suffixes"] = r"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, doc_id, s, md5(substring(h, 2 * s + 1, 200)) AS c FROM (SELECT k, doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM t WHERE length(h) >= 200 AND doc_id IS NOT NULL)),
+d AS (SELECT k, s FROM w JOIN (SELECT c, min((doc_id, s)) AS low FROM w GROUP BY 1 HAVING count(*) > 1) USING (c) WHERE low < (doc_id, s)),
+g AS (SELECT k, s, s + 100 AS e, sum(CASE WHEN s > prior + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s) AS run
+  FROM (SELECT k, s, lag(s) OVER (PARTITION BY k ORDER BY s) AS prior FROM d)),
+r AS (SELECT k, run, min(s) AS b, max(e) AS e FROM g GROUP BY 1, 2),
+n AS (SELECT k, count(*) AS spans, sum(e - b) AS removed, max(e) AS last FROM r GROUP BY 1),
+piece AS (SELECT r.k, b, substring(h, 2 * coalesce(lag(e) OVER (PARTITION BY r.k ORDER BY b), 0) + 1, 2 * (b - coalesce(lag(e) OVER (PARTITION BY r.k ORDER BY b), 0))) AS x FROM r JOIN t USING (k)),
+kept AS (SELECT k, string_agg(x, '' ORDER BY b) AS x FROM piece GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(x, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN n USING (k) LEFT JOIN kept USING (k)
+"""
