@@ -7,10 +7,15 @@ coating of its own.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters after a core that codes_in_codes() joins on.
+CONTEXT = 16
+
 
 def occurrences(df: DataFrame, keys: Sequence[str], order: str = "row_pos") -> DataFrame:
     """occ, the number of the row among those with its key (from 1), and duplicate, whether the key has more."""
@@ -313,29 +318,42 @@ def article_differences(raw: DataFrame, aggregated: DataFrame, column: str) -> D
     return a.subtract(b).withColumn("side", F.lit("raw only")).unionByName(b.subtract(a).withColumn("side", F.lit("aggregated only")))
 
 
+def codes_in_codes(inner: DataFrame, outer: DataFrame, core: str) -> DataFrame:
+    """Distinct (needle, text): codes of inner (needle) that hold a core and stand in a code of outer (text).
+
+    Wherever a code stands in another, its first core stands there too, with the same characters after it. So a code is sought by its first core
+    and up to CONTEXT characters after it, and a code that may hold it offers each of its cores, overlapping ones too, with every
+    beginning of what follows. Codes that only share a core do not meet.
+    """
+    both = rf"(?s)(?={core}(.{{0,{CONTEXT}}}))"
+    found = lambda c: F.arrays_zip(F.regexp_extract_all(c, F.lit(both), F.lit(1)).alias("core"), F.regexp_extract_all(c, F.lit(both), F.lit(2)).alias("after"))
+    own = inner.select("needle").distinct().select("needle", F.get(found("needle"), F.lit(0)).alias("x")).where("x is not null").select("needle", "x.core", "x.after")
+    all_of = outer.select("text").distinct().select("text", F.explode(found("text")).alias("x"))
+    begins = all_of.select("text", "x.core", F.explode(F.expr("transform(sequence(0, length(x.after)), n -> substring(x.after, 1, n))")).alias("after"))
+    return own.join(begins, ["core", "after"]).where(F.col("text").contains(F.col("needle"))).select("needle", "text").distinct()
+
+
 def hierarchical_match(base: DataFrame, comp: DataFrame, core: str = r"(\d[A-Z]{3}\d{2}[A-Z]{2}\d{3})") -> DataFrame:
     """Base rows (row_pos, code, article, qty, cut_length) against comp rows whose code contains theirs or is contained in it.
 
-    Levels: NO_KKS_MATCH, ARTICLE_MISMATCH, QTY_MISMATCH, CUT_LENGTH_MISMATCH, EXACT, MULTIPLE. Codes that contain each other share
-    their core where they have one, so the join is on cores. What holds no core can only be the contained one of two codes: such codes
-    are found in the codes of the other side by their pieces.
+    Levels: NO_KKS_MATCH, ARTICLE_MISMATCH, QTY_MISMATCH, CUT_LENGTH_MISMATCH, EXACT, MULTIPLE. Null articles and quantities equal nothing, null cut
+    lengths equal each other. Distinct codes meet, by cores (one group in the pattern) or, where the contained one has none, by their pieces;
+    then each base code has a histogram of its partners' (article, qty, cut_length), and rows are judged by sums over it: no two rows meet.
     """
-    keyed = lambda df: df.withColumn("_core", F.regexp_extract("code", core, 1))
-    b = keyed(comp).select(F.col("_core").alias("c_core"), F.col("code").alias("c_code"), F.col("article").alias("c_article"), F.col("qty").alias("c_qty"), F.col("cut_length").alias("c_cut"))
-    base = keyed(base)
-    by_core = base.where("_core <> ''").join(b.where("c_core <> ''"), F.col("_core") == F.col("c_core")).drop("c_core")
-    texts = lambda df, c, name: df.select(F.col(c).alias(name)).where(f"{name} is not null").distinct()
-    inner = contained_pairs(texts(base.where("_core = ''"), "code", "needle"), texts(b, "c_code", "text")).select(F.col("needle").alias("code"), F.col("text").alias("c_code"))
-    outer = contained_pairs(texts(b.where("c_core = ''"), "c_code", "needle"), texts(base, "code", "text")).select(F.col("text").alias("code"), F.col("needle").alias("c_code"))
-    loose = base.join(inner.union(outer).distinct(), "code").join(b.drop("c_core"), "c_code")
-    cells = ["row_pos", "code", "article", "qty", "cut_length", "c_code", "c_article", "c_qty", "c_cut"]
-    alone = base.select(*(F.col(c) if c in base.columns else F.lit(None).cast(b.schema[c].dataType).alias(c) for c in cells))  # each base row once without a partner
-    near = by_core.select(*cells).unionByName(loose.select(*cells)).unionByName(alone)
-    met = F.col("c_code").isNotNull() & (F.col("c_code").contains(F.col("code")) | F.col("code").contains(F.col("c_code")))
-    article = met & (F.col("article") == F.col("c_article"))
-    qty = article & (F.col("qty") == F.col("c_qty"))
-    cut = qty & F.col("cut_length").eqNullSafe(F.col("c_cut"))
-    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    per = near.groupBy("row_pos", "code").agg(n(met).alias("n_code"), n(article).alias("n_article"), n(qty).alias("n_qty"), n(cut).alias("n_cut"))
-    level = F.when(F.col("n_code") == 0, "NO_KKS_MATCH").when(F.col("n_article") == 0, "ARTICLE_MISMATCH").when(F.col("n_qty") == 0, "QTY_MISMATCH").when(F.col("n_cut") == 0, "CUT_LENGTH_MISMATCH").when(F.col("n_cut") == 1, "EXACT").otherwise("MULTIPLE")
-    return per.select("row_pos", "code", level.alias("level"))
+    codes = lambda df, name: df.select(F.col("code").alias(name)).where(f"{name} is not null").distinct()
+    bare = lambda df: df.where(~F.col("needle").rlike(core))
+    b_in, b_out, c_in, c_out = codes(base, "needle"), codes(base, "text"), codes(comp, "needle"), codes(comp, "text")
+    up = codes_in_codes(b_in, c_out, core).union(contained_pairs(bare(b_in), c_out)).select(F.col("needle").alias("code"), F.col("text").alias("partner"))
+    down = codes_in_codes(c_in, b_out, core).union(contained_pairs(bare(c_in), b_out)).select(F.col("text").alias("code"), F.col("needle").alias("partner"))
+    cells = ["article", "qty", "cut_length"]
+    weights = comp.groupBy(F.col("code").alias("partner"), *cells).agg(F.count("*").alias("w"))
+    partners = up.union(down).distinct().join(weights, "partner").groupBy("code", *cells).agg(F.sum("w").alias("w"))
+    asked = base.where("code is not null").select("code", *cells).distinct().withColumn("w", F.lit(0).cast("long")).withColumn("asked", F.lit(True))
+    every = partners.withColumn("asked", F.lit(False)).unionByName(asked)
+    equal = F.when(F.col("article").isNotNull(), F.col("w"))
+    full = F.when(F.col("article").isNotNull() & F.col("qty").isNotNull(), F.col("w"))
+    n = [F.coalesce(F.sum(w).over(Window.partitionBy("code", *cells[:k])), F.lit(0)) for k, w in enumerate((F.col("w"), equal, full, full))]
+    level = F.when(n[0] == 0, "NO_KKS_MATCH").when(n[1] == 0, "ARTICLE_MISMATCH").when(n[2] == 0, "QTY_MISMATCH").when(n[3] == 0, "CUT_LENGTH_MISMATCH").when(n[3] == 1, "EXACT").otherwise("MULTIPLE")
+    judged = every.withColumn("level", level).where("asked").select(*(F.col(c).alias(f"j_{c}") for c in ("code", *cells)), "level")
+    same = [F.col(c).eqNullSafe(F.col(f"j_{c}")) for c in ("code", *cells)]
+    return base.join(judged, reduce(and_, same), "left").select("row_pos", "code", F.coalesce("level", F.lit("NO_KKS_MATCH")).alias("level"))

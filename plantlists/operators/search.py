@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ def query_terms(query: str) -> list[str]:
     return [t for t in re.findall(r"\(|\)|[^\s()]+", query) if t not in ("(", ")", "AND", "OR", "NOT")]
 
 
-def boolean_match(c: Column, query: str, case_sensitive: bool = False) -> Column:
-    """Upper-case NOT before AND before OR, with parentheses. Of adjacent terms without an operator only the first counts. An empty query holds nowhere."""
+def _over_terms(query: str, term: Callable[[str], Column]) -> Column:
+    """The condition of a query over the conditions of its terms, by the rules of boolean_match()."""
     tokens = re.findall(r"\(|\)|[^\s()]+", query)
     at = 0
 
@@ -63,7 +66,7 @@ def boolean_match(c: Column, query: str, case_sensitive: bool = False) -> Column
                 at += 1
             at += 1
             return out
-        out = _term(c, token, case_sensitive)
+        out = term(token)
         while at < len(tokens) and tokens[at] not in ("AND", "OR", "NOT", "(", ")"):
             at += 1  # terms that no operator joins
         return out
@@ -71,39 +74,30 @@ def boolean_match(c: Column, query: str, case_sensitive: bool = False) -> Column
     return F.coalesce(either(), F.lit(False)) if tokens else F.lit(False)
 
 
+def boolean_match(c: Column, query: str, case_sensitive: bool = False) -> Column:
+    """Upper-case NOT before AND before OR, with parentheses. Of adjacent terms without an operator only the first counts. An empty query holds nowhere."""
+    return _over_terms(query, lambda term: _term(c, term, case_sensitive))
+
+
 def search_pages(pages: DataFrame, query: str, context: int = 50) -> DataFrame:
     """Documents (doc, page, text) whose whole text matches; on each of their pages the first hit of each term with its context.
 
-    Terms are sought on pages as C5 does. Pages of one document are gathered only as one flag for each term: whether some page has it.
+    The query is read as C5 reads it, terms are sought on pages, and a term of the whole text is a term of some page. Pages of one document are
+    gathered only as one flag for each term: whether some page has it. A query without terms gives no rows; a null text holds no term.
     """
-    terms = list(dict.fromkeys(query_terms(query)))
-    flags = {f"h{k}": _term(F.col("text"), t, False) for k, t in enumerate(terms)}
-    hits = pages.withColumns(flags)
-    whole = hits.groupBy("doc").agg(*(F.coalesce(F.bool_or(F.col(h)), F.lit(False)).alias(h) for h in flags))
-    # a term of the whole text is a term of some page, so the query is over the flags
-    chosen = whole.where(_over_flags(query, terms)).select("doc")
-    found = hits.join(chosen, "doc", "left_semi").select("doc", "page", "text", F.explode(F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"h{k}").alias("hit")) for k, t in enumerate(terms)))).alias("x")).where("x.hit")
+    flags = {t: f"_h{k}" for k, t in enumerate(dict.fromkeys(query_terms(query)))}
+    hits = pages.select("doc", "page", "text", *(F.coalesce(_term(F.col("text"), t, False), F.lit(False)).alias(h) for t, h in flags.items()))
+    whole = hits.groupBy("doc").agg(F.count("*").alias("_pages"), *(F.bool_or(h).alias(h) for h in flags.values()))
+    chosen = whole.where(_over_terms(query, lambda term: F.col(flags[term]))).select("doc")
+    each = [F.struct(F.lit(t).alias("term"), F.col(h).alias("hit")) for t, h in flags.items()]
+    each = F.array(*each).cast("array<struct<term: string, hit: boolean>>")
+    found = hits.join(chosen, "doc", "left_semi").select("doc", "page", "text", F.explode(each).alias("x")).where("x.hit")
     bare = F.regexp_replace("x.term", r"\*$", "")
     start = F.instr(F.lower("text"), F.lower(bare))
     begin = F.greatest(start - context, F.lit(1))
     return found.select("doc", "page", F.col("x.term").alias("term"), F.col("text").substr(begin, start - begin + F.length(bare) + context).alias("context"))
 
 
-def _over_flags(query: str, terms: list[str]) -> str:
-    """The query as SQL over h0, h1, ... by the rules of boolean_match()."""
-    tokens = re.findall(r"\(|\)|[^\s()]+", query)
-    out, previous = [], None
-    for t in tokens:
-        if t in ("AND", "OR", "NOT", "(", ")"):
-            out.append(t)
-        elif previous is None or previous in ("AND", "OR", "NOT", "("):
-            out.append(f"h{terms.index(t)}")
-        else:
-            continue
-        previous = t
-    return " ".join(out)
-
-
 def message_filter(messages: DataFrame, sender: str = "", recipient: str = "", terms: str = "", in_subject: bool = True, in_body: bool = True, date_from: str | None = None, date_to: str | None = None, attachment: str = "") -> DataFrame:
     """Messages (sender, recipient, subject, body, date, attachments) by filters where a comma is OR, a plus AND, and quotes hold a phrase together. Dates are inclusive."""
 
@@ -162,25 +156,84 @@ def screen_documents(docs: DataFrame, required: Sequence[str], any_of: Sequence[
     return rows.select("doc", F.array_join("codes", ", ").alias("codes"), F.array_join(F.array_distinct(F.concat(text.extract_dates(F.col("path")), text.extract_dates(F.col("text")))), ", ").alias("dates"))
 
 
-def screen_keywords(pages: DataFrame, keywords: DataFrame, words: int = 10, max_keywords: int = 5_000) -> DataFrame:
-    """One row per occurrence of a keyword (lower case) that does not overlap the one before: doc, page, keyword, category, position, context.
-
-    position counts characters from 0. The context is the word at the hit with `words` words on each side, from the page's own list of
-    words. Keywords are a list of at most max_keywords rows, which is checked; it is tried on every page.
+_built: dict[tuple, tuple] = {}
+
+
+def _automaton(rows: Sequence[tuple[str, str | None]], key: tuple) -> tuple:
+    """The automaton of the keywords and each keyword's categories, built once in a worker."""
+    if key not in _built:
+        from ahocorasick import Automaton
+
+        _built.clear()
+        categories: dict[str, list] = {}
+        for keyword, category in rows:
+            categories.setdefault(keyword, []).append(category)
+        automaton = Automaton()
+        for keyword in categories:
+            automaton.add_word(keyword, keyword)
+        automaton.make_automaton()
+        _built[key] = automaton, categories
+    return _built[key]
+
+
+def _screened(rows, key: tuple, words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    def page_hits(low: str, text: str) -> Iterator[tuple]:
+        automaton, categories = _automaton(rows.value, key)
+        free: dict[str, int] = {}
+        tokens = starts = None
+        for last, keyword in automaton.iter(low):
+            position = last - len(keyword) + 1
+            if position < free.get(keyword, 0):
+                continue
+            free[keyword] = last + 1
+            if tokens is None:
+                tokens = list(re.finditer(r"\S+", text, re.ASCII))
+                starts = [t.start() for t in tokens]
+            before = bisect_right(starts, position)
+            context = " ".join(t.group() for t in tokens[max(before - words, 1) - 1 : before + words])
+            for category in categories[keyword]:
+                yield keyword, category, position, context
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for k, (low, text) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                hits = list(page_hits(low, text)) if low else []
+                row += [k] * len(hits)
+                found += hits
+            at = pa.array(row, pa.int32())
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+            hits = [pa.array([h[c] for h in found], t) for c, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *hits], ["doc", "page", "keyword", "category", "position", "context"])
+
+    return run
+
+
+def screen_keywords(pages: DataFrame, keywords: DataFrame, words: int = 10, most: int = 16_000_000) -> DataFrame:
+    """One row per occurrence of a keyword (lower case) that does not overlap the one before of the same keyword: doc, page, keyword, category, position, context.
+
+    One automaton of all keywords passes over a page once, however many there are. position counts characters from 0. The context is the word at
+    the hit with `words` words on each side, from the page's own list of words. keywords: keyword, category; empty and null ones find nothing, a
+    keyword of several categories gives a row for each. A task holds keywords of `most` characters at most; more are dealt into parts by a hash, and
+    pages are read once for each part.
     """
-    if keywords.limit(max_keywords + 1).count() > max_keywords:
-        raise ValueError(f"more than {max_keywords} keywords")
-    low = F.lower("text")
-    pairs = pages.select("doc", "page", "text", low.alias("low")).join(F.broadcast(keywords), F.col("low").contains(F.col("keyword")))
-    pieces = F.split("low", F.concat(F.lit(r"\Q"), F.col("keyword"), F.lit(r"\E")))
-    # the k-th hit stands after the first k pieces and k - 1 keywords
-    ends = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda s, p: s + F.length(p)) + (k - 1) * F.length("keyword"))
-    hits = pairs.select("doc", "page", "keyword", "category", "text", F.explode(ends).alias("position"))
-    before = F.size(F.regexp_extract_all(F.col("text").substr(F.lit(1), F.col("position") + 1), F.lit(r"(\S+)"), F.lit(1)))
-    tokens = F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))
-    start = F.greatest(before - words, F.lit(1))
-    context = F.array_join(F.slice(tokens, start, before + words - start + 1), " ")
-    return hits.select("doc", "page", "keyword", "category", F.col("position").cast("long").alias("position"), context.alias("context"))
+    wanted = keywords.where("keyword <> ''").select("keyword", "category")
+    size = wanted.agg(F.coalesce(F.sum(F.length("keyword") + 1), F.lit(0))).first()[0]
+    parts = -(-size // most) or 1
+    spark, low = pages.sparkSession, pages.select("doc", "page", F.lower("text").alias("low"), "text")
+    types = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("doc", "page"))
+    out = []
+    for part in range(parts):
+        here = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("keyword"), F.lit(parts)) == part)
+        rows = spark.sparkContext.broadcast([tuple(r) for r in here.collect()])
+        found = low.mapInArrow(_screened(rows, (spark.sparkContext.applicationId, rows._jbroadcast.id(), words), words), f"{types}, keyword string, category string, position long, context string")
+        out.append(found)
+    return reduce(DataFrame.union, out)
+
+
+def page_keywords(matches: DataFrame) -> DataFrame:
+    """All keywords found on a page (doc, page, keywords), sorted."""
+    return matches.groupBy("doc", "page").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
 
 
 def page_statistics(matches: DataFrame) -> DataFrame:

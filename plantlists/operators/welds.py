@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .spatial import box_pairs
 
 #: Elements of a listing that are no components, and one that does not count as a first or last component (fixed values).
 STRUCTURE = ("BRANCH", "PIPE", "ZONE", "SITE", "STRUCTURE", "SUBSTRUCTURE", "CYLINDER", "CTORUS")
@@ -70,28 +71,20 @@ def lookup_specs(components: DataFrame, spec: DataFrame) -> DataFrame:
 def connect_branches(branches: DataFrame, tight: float = 5.0, loose: float = 150.0) -> DataFrame:
     """Tails at heads of other branches: two axes within tight, the third within loose (XY, XZ, YZ in this order), one end BWD; an unordered pair once.
 
-    Ends meet through cells that are tight along two axes and loose along the third, one grid for each of the three kinds of match: a head looks into its
-    cell and the 26 around it. Small cells keep dense plants from meeting as a whole. branches: branch, hx..tz, hcon, tcon, line_no (the order).
+    branches: branch, hx..tz, hcon, tcon, line_no (the order). Ends meet in box_pairs(), one box for each of the three kinds of match.
     """
     kinds = {"XY_tight_Z_loose": ("x", "y", "z"), "XZ_tight_Y_loose": ("x", "z", "y"), "YZ_tight_X_loose": ("y", "z", "x")}
-
-    def grids(end: str) -> Column:
-        cells = lambda p, q, r: [F.floor(F.col(f"{end}{a}") / w).alias(n) for a, w, n in ((p, tight, "c1"), (q, tight, "c2"), (r, loose, "c3"))]
-        return F.inline(F.array(*(F.struct(F.lit(name).alias("kind"), *cells(*axes)) for name, axes in kinds.items())))
-
-    near = F.sequence(F.lit(-1), F.lit(1))
-    tails = branches.where("tx is not null").select(F.col("branch").alias("a"), "tx", "ty", "tz", "tcon", F.col("line_no").alias("pa"), grids("t"))
-    heads = branches.where("hx is not null").select(F.col("branch").alias("b"), "hx", "hy", "hz", "hcon", F.col("line_no").alias("pb"), grids("h"))
-    for c in ("c1", "c2", "c3"):
-        heads = heads.withColumn("step", F.explode(near)).withColumn(c, F.col(c) + F.col("step")).drop("step")
+    bwd = lambda c: (F.coalesce(c, F.lit("")) == "BWD")
+    tails = branches.where("tx is not null").select(F.col("branch").alias("a"), "tx", "ty", "tz", bwd("tcon").alias("a_bwd"), F.col("line_no").alias("pa"))
+    heads = branches.where("hx is not null").select(F.col("branch").alias("b"), "hx", "hy", "hz", bwd("hcon").alias("b_bwd"), F.col("line_no").alias("pb"))
+    boxes = {name: [(f"t{axis}", f"h{axis}", width) for axis, width in zip(axes, (tight, tight, loose), strict=True)] for name, axes in kinds.items()}
     d = {a: F.abs(F.col(f"t{a}") - F.col(f"h{a}")) for a in "xyz"}
     kind, worst = F.lit(None).cast("string"), F.lit(None).cast("double")
     for name, (p, q, r) in reversed(kinds.items()):
         hit = (d[p] <= tight) & (d[q] <= tight) & (d[r] <= loose)
         kind, worst = F.when(hit, name).otherwise(kind), F.when(hit, F.greatest(d[p], d[q])).otherwise(worst)
-    welded = (F.coalesce("tcon", F.lit("")) == "BWD") | (F.coalesce("hcon", F.lit("")) == "BWD")
-    met = tails.join(heads, ["kind", "c1", "c2", "c3"]).where((F.col("a") != F.col("b")) & welded).withColumns({"match_type": kind, "tight_offset": worst}).where("match_type = kind")
-    met = met.withColumn("distance", F.round(F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2), 3))
+    met = box_pairs(tails, heads, boxes).where("a <> b and (a_bwd or b_bwd)").where(F.col("box") == kind)  # a pair in several boxes counts in the first
+    met = met.select("a", "b", "pa", "pb", F.col("box").alias("match_type"), worst.alias("tight_offset"), F.round(F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2), 3).alias("distance"))
     first = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("pa", "pb")
     accuracy = F.round(F.greatest(F.lit(0.0), 100.0 * (1 - F.col("tight_offset") / tight)), 1)
     return met.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("a", "b", "match_type", "distance", F.round("tight_offset", 3).alias("tight_offset"), accuracy.alias("accuracy"))
