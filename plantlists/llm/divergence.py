@@ -30,8 +30,8 @@ from .words import slices
 MIN_DOCUMENTS, TOP = 3, 200
 SCALE = 1_000_000_000
 BLOCK_BYTES = 16_000_000
-#: Pairs of entries that a step of the correction looks at together.
-_PAIRS = 1 << 20
+#: Entries of a block, and pairs of entries of the correction, that are looked at together.
+_ENTRIES, _PAIRS = 1 << 18, 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _BLOCK = "block long, chunks array<string>, entries binary, langs array<string>, sources array<string>"
@@ -43,11 +43,12 @@ def _block(block: int, parts: list, langs: list, sources: list) -> pa.RecordBatc
     chunks = (chunks.combine_chunks() if isinstance(chunks, pa.ChunkedArray) else chunks).dictionary_encode()
     number = chunks.indices.to_numpy()
     base = np.cumsum([0, *(len(p[0]) for p in parts)])
-    ids = np.concatenate([number[p[2] + b] for p, b in zip(parts, base.tolist(), strict=False)]).astype("<i4")
+    ids = np.concatenate([number[p[2] + b].astype("<i4") for p, b in zip(parts, base.tolist(), strict=False)])
     sizes, counts = (np.concatenate([p[k] for p in parts]).astype("<i4") for k in (1, 3))
     head = np.array([len(sizes), len(ids)], "<i8").tobytes()
     entries = head + pa.Codec("zstd", 3).compress(sizes.tobytes() + ids.tobytes() + counts.tobytes(), asbytes=True)
-    columns = [pa.array([block], pa.int64()), pa.array([chunks.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([entries], pa.binary())]
+    texts = pa.ListArray.from_arrays(pa.array([0, len(chunks.dictionary)], pa.int32()), chunks.dictionary.cast(pa.string()))
+    columns = [pa.array([block], pa.int64()), texts, pa.array([entries], pa.binary())]
     return pa.RecordBatch.from_arrays([*columns, *(pa.array([x], pa.list_(pa.string())) for x in (langs, sources))], ["block", "chunks", "entries", "langs", "sources"])
 
 
@@ -70,7 +71,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(rows), np.diff(part.row_words))
             many = max(1, len(chunks.dictionary))
             pair, counts = np.unique(row * many + number, return_counts=True)
-            parts.append((chunks.dictionary, np.bincount(pair // many, minlength=rows), pair % many, counts))
+            parts.append((chunks.dictionary, np.bincount(pair // many, minlength=rows).astype(np.int32), (pair % many).astype(np.int32), counts.astype(np.int32)))
             size += len(part.data)
         if size >= BLOCK_BYTES:
             yield _block(block, parts, langs, sources)
@@ -91,7 +92,7 @@ def _block_counts(chunks: pa.Scalar, entries: pa.Scalar, langs: pa.Scalar, sourc
     raw = entries.as_py()
     rows, n = np.frombuffer(raw[:16], "<i8").tolist()
     flat = np.frombuffer(pa.Codec("zstd", 3).decompress(raw[16:], 4 * (rows + 2 * n), asbytes=True), "<i4")
-    row, ids, counts = np.repeat(np.arange(rows), flat[:rows]), flat[rows : rows + n], flat[rows + n :].astype(np.int64)
+    ids, counts, first = flat[rows : rows + n], flat[rows + n :], np.append(0, np.cumsum(flat[:rows], dtype=np.int64))
 
     # terms of each chunk: its answer, or the chunk itself
     own = chunks.values.cast(pa.large_string())
@@ -110,19 +111,24 @@ def _block_counts(chunks: pa.Scalar, entries: pa.Scalar, langs: pa.Scalar, sourc
     of[edge[:-1][plain]] = number[: plain.sum()]
     of[np.repeat(edge[place] - np.cumsum(length) + length, length) + np.arange(length.sum())] = number[plain.sum() :]
 
-    # entries of chunks into entries of terms, one for each document and term
-    repeat = size[ids]
-    term = of[np.repeat(edge[ids] - np.cumsum(repeat) + repeat, repeat) + np.arange(repeat.sum())]
-    many = max(1, len(terms.dictionary))
-    pair, counts = _sums(np.repeat(row, repeat) * many + term, [np.repeat(counts, repeat)])
-    row, term = pair // many, pair % many
-
-    # then one for each term, language and source
     lang, source = (x.values.dictionary_encode() for x in (langs, sources))
-    per = max(1, len(source.dictionary))
+    per, many = max(1, len(source.dictionary)), max(1, len(terms.dictionary))
     group = lang.indices.to_numpy().astype(np.int64) * per + source.indices.to_numpy()
     groups = max(1, len(lang.dictionary)) * per
-    key, counts, docs = _sums(term * groups + group[row], [counts[0], np.ones(len(term), np.int64)], flat=True)
+    sums = [(np.zeros(0, np.int64),) * 3]
+    row = 0
+    while row < rows:  # some documents at a time
+        stop = max(row + 1, int(np.searchsorted(first, first[row] + _ENTRIES, "right")) - 1)
+        part, repeat = ids[first[row] : first[stop]], size[ids[first[row] : first[stop]]]
+        # entries of chunks into entries of terms, one for each document and term
+        term = of[np.repeat(edge[part] - np.cumsum(repeat) + repeat, repeat) + np.arange(repeat.sum())]
+        doc = np.repeat(np.repeat(np.arange(row, stop), np.diff(first[row : stop + 1])), repeat)
+        pair, held = _sums(doc * many + term, [np.repeat(counts[first[row] : first[stop]].astype(np.int64), repeat)])
+        # then one for each term, language and source
+        sums.append(_sums(pair % many * groups + group[pair // many], [held[0], np.ones(len(pair), np.int64)], flat=True))
+        row = stop
+    key, counts, docs = (np.concatenate(x) for x in zip(*sums, strict=True))
+    key, counts, docs = _sums(key, [counts, docs], flat=True)
     both = key // per
     head = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(key) else np.zeros(0, np.int64)
     langs_of = len(lang.dictionary)
