@@ -37,7 +37,7 @@ from .words import mix, text_column
 
 WINDOW, ANCHOR = 100, 32
 #: Bytes of text of a block (a longer text is a block of its own), window starts hashed together, strings of a collection.
-BLOCK_BYTES, _PIECE, COLLECTION = 16_000_000, 1 << 17, 1 << 16
+BLOCK_BYTES, _PIECE, COLLECTION = 8_000_000, 1 << 17, 1 << 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _PLACE = np.uint64((1 << 18) - 1)
 _NONE = np.zeros(0, np.int64)
