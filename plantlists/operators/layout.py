@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import filled
+
 
 def layout_rows(entities: DataFrame, title: str) -> DataFrame:
     """L1: file, y and cells (texts from left to right) of the rows below and not left of the title, y rounded to one place.
@@ -19,8 +21,7 @@ def layout_rows(entities: DataFrame, title: str) -> DataFrame:
 
 def forward_fill(rows: DataFrame, value: Column, name: str, group: str = "file", order: Column | None = None) -> DataFrame:
     """F8: the last value that is not null, going down the rows of a file."""
-    way = Window.partitionBy(group).orderBy(order if order is not None else F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(way))
+    return filled(rows, {name: value}, [order if order is not None else F.desc("y")], [group])
 
 
 #: Section headers of materials tables (fixed values).

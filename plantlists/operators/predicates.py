@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import numbered
 from .rules import contains_all, contains_any
 
 
@@ -89,8 +90,7 @@ def key_sets(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def dedupe_names(df: DataFrame, name: str = "name", order: str = "row_pos") -> DataFrame:
     """the second and later rows of a name become name_2, name_3, ..."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(name), F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col(name))).drop("_n")
+    return numbered(df, [F.col(order)], "_n", [name]).withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(name), F.lit("_"), F.col("_n").cast("string"))).otherwise(F.col(name))).drop("_n")
 
 
 def spec_order(df: DataFrame, path: str, second: str, third: str) -> DataFrame:

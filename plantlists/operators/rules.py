@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .ranges import numbered
 
 #: Words of media (fixed values).
 LIQUID = ("water", "liquid", "oil", "fuel", "hydraulic", "coolant")
@@ -295,9 +296,9 @@ def uid_category(material_type: Column) -> Column:
 
 
 def assign_uids(rows: DataFrame) -> DataFrame:
-    """uid NN-CODE-001 by category, in order of type, material (N/A last), numeric size, size text, row_pos."""
+    """uid NN-CODE-001 by category, in order of type, material (N/A last), numeric size, size text, row_pos; few large categories spread over tasks."""
     low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     order = [low("type"), (F.upper(F.trim(F.coalesce("material", F.lit("")))) == "N/A").cast("int"), low("material"), text.extract_numeric(F.col("size")), low("size"), F.col("row_pos")]
     rows = rows.withColumn("_c", uid_category(F.col("material_type")))
-    n = F.row_number().over(Window.partitionBy("_c.number", "_c.code").orderBy(*order))
-    return rows.withColumn("uid", F.format_string("%02d-%s-%03d", F.col("_c.number"), F.col("_c.code"), n)).drop("_c")
+    rows = numbered(rows.withColumns({"_number": F.col("_c.number"), "_code": F.col("_c.code")}), order, "_n", ["_number", "_code"])
+    return rows.withColumn("uid", F.format_string("%02d-%s-%03d", F.col("_number"), F.col("_code"), F.col("_n"))).drop("_c", "_n", "_number", "_code")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .ranges import filled
 from .spatial import box_pairs
 
 #: Elements of a listing that are no components, and one that does not count as a first or last component (fixed values).
@@ -22,16 +23,18 @@ def parse_listing(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(branches, components) of lines (file, line_no, line).
 
     'NEW PIPE /code', 'NEW BRANCH /code/B1' and 'NEW <type>' open elements (structural ones are no components); the attribute lines that follow belong to the last opened one. The state
-    is carried by forward fill within a file. branches: file, branch, pipe, h*/t* positions, hcon, tcon, hstu, head_length and tail_length (to the first and
+    is carried by filled(), so a long file spreads over tasks. branches: file, branch, pipe, h*/t* positions, hcon, tcon, hstu, head_length and tail_length (to the first and
     last component with a position). components: file, branch, seq, type, spre, x, y, z.
     """
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     got = lambda pattern: F.when(F.regexp_extract("line", pattern, 1) != "", F.regexp_extract("line", pattern, 1))
     rows = lines.withColumns({"new_pipe": got(r"NEW PIPE /?(\S+)"), "new_branch": got(r"NEW BRANCH /?(\S+)"), "new_part": got(r"^\s*NEW (\w+)")})
     rows = rows.withColumn("new_part", F.when(~F.col("new_part").isin("BRANCH", "PIPE"), F.col("new_part")))
     opened = F.col("new_pipe").isNotNull() | F.col("new_branch").isNotNull() | F.col("new_part").isNotNull()
-    rows = rows.withColumns({"pipe": F.last("new_pipe", True).over(order), "branch": F.last(F.when(F.col("new_pipe").isNotNull() | F.col("new_branch").isNotNull(), F.struct(F.col("new_branch").alias("b"))), True).over(order)["b"], "element": F.last(F.when(opened, F.col("line_no")), True).over(order),
-                             "part": F.last(F.when(opened, F.coalesce("new_part", F.lit("-"))), True).over(order)})
+    state = {
+        "pipe": F.col("new_pipe"), "in_branch": F.when(F.col("new_pipe").isNotNull() | F.col("new_branch").isNotNull(), F.struct(F.col("new_branch").alias("b"))),
+        "element": F.when(opened, F.col("line_no")), "part": F.when(opened, F.coalesce("new_part", F.lit("-"))),
+    }
+    rows = filled(rows, state, [F.col("line_no")], ["file"]).withColumn("branch", F.col("in_branch.b"))
     attribute = lambda name: F.max(F.when(F.ltrim("line").startswith(name + " "), F.trim(F.regexp_extract("line", rf"^\s*{name}\s+(.*)$", 1))))
     in_branch = rows.where("branch is not null")
     heads = in_branch.where("part = '-'").groupBy("file", "branch").agg(F.max("pipe").alias("pipe"), F.min("line_no").alias("line_no"), *(attribute(n).alias(n.lower()) for n in ("HPOS", "TPOS", "HCON", "TCON", "HSTU")))
@@ -99,6 +102,15 @@ def components_at_ends(components: DataFrame, branches: DataFrame, tolerance: fl
     return both.withColumn("distance", F.round(distance, 3)).where(F.col("distance") <= F.coalesce("length", F.lit(0.0)) / 2 + tolerance).select("file", "branch", "side", "con", "seq", "type", "distance")
 
 
+def end_statistics(ends: DataFrame) -> DataFrame:
+    """Of components_at_ends() by file, side and type: how many, how often the nearest one at its end, how many at BWD ends, mean and greatest distance."""
+    nearest = ends.groupBy("file", "branch", "side").agg(F.min(F.struct("distance", "seq")).alias("best"))
+    rows = ends.join(nearest, ["file", "branch", "side"])
+    first = (F.col("distance") == F.col("best.distance")) & (F.col("seq") == F.col("best.seq"))
+    numbers = {"n": F.count("*"), "nearest": F.count_if(first), "at_bwd": F.count_if(F.coalesce("con", F.lit("")) == "BWD"), "mean_distance": F.round(F.avg("distance"), 3), "max_distance": F.max("distance")}
+    return rows.groupBy("file", "side", "type").agg(*(v.alias(n) for n, v in numbers.items()))
+
+
 def bwd_report(branches: DataFrame, ends: DataFrame) -> DataFrame:
     """Every BWD end with the nearest component at it, or 'No'."""
     sides = F.array(F.struct(F.lit("HEAD").alias("side"), F.col("hcon").alias("con")), F.struct(F.lit("TAIL").alias("side"), F.col("tcon").alias("con")))

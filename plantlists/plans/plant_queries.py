@@ -27,17 +27,19 @@ def _query(name: str, sql: str | None = None):  # noqa: ANN202
     return add
 
 
-# a listing with ten lines for each supplier: one branch with two components, an elbow and a tee a known distance apart
-_LISTING = (
-    "posexplode(array(concat('NEW PIPE /', code, 'BR100'), concat('NEW BRANCH /', code, 'BR100/B1'), concat('HPOS X ', x, 'mm Y 0mm Z 0mm'), concat('TPOS X ', x, 'mm Y 900mm Z 0mm'), concat('HCON ', hcon), 'TCON OPEN', 'NEW ELBO', concat('SPRE /E', kind), concat('POS X ', x, 'mm Y 100mm Z 0mm'), "
-    "'NEW TEE', 'SPRE /T1', concat('POS X ', x, 'mm Y ', y, 'mm Z 0mm'), 'END')) AS (line_no, line)"
-)
-_PLANT = ["concat('f', cast(s_suppkey % 4 as string)) AS file", "s_suppkey AS k", "concat('1HTX', lpad(cast(s_suppkey % 100 as string), 2, '0')) AS code", "cast(s_suppkey * 1000 as string) AS x", "cast(100 + s_suppkey % 8 * 100 as string) AS y", "case when s_suppkey % 3 = 0 then 'BWD' else 'OPEN' end AS hcon", "cast(s_suppkey % 2 as string) AS kind"]
-_SPEC = [(0, "/E0", "BWD", "BWD", "ELBO", "100mm", None, "3"), (1, "/T1", "BWD", None, "TEE", "100mm", None, None), (2, "/E1", "x", "x", "ELBO", "50mm", None, "5"), (3, "/E1", "BWD", "FLG", "ELBO", "50mm", None, "5")]
+# a listing with a branch of up to four components for each supplier, most of it in one file; some ends and components have no position
+_LINES = (
+    "concat('NEW PIPE /', code, 'BR100')", "concat('NEW BRANCH /', code, 'BR100/B1')", "case when k % 11 = 0 then 'DESC none' else concat('  HPOS X ', x, 'mm Y 0mm Z 0mm') end", "concat('TPOS X ', x, 'mm Y 900mm Z 0mm')",
+    "concat('HCON ', hcon)", "case when k % 4 = 1 then 'TCON BWD' else 'TCON OPEN' end", "'NEW ELBO'", "concat('SPRE /E', kind)", "concat('POS X ', x, 'mm Y 100mm Z 0mm')",
+    "'NEW TEE'", "'SPRE SPCOMPONENT /T1'", "case when k % 9 = 0 then 'DESC nowhere' else concat('POS X ', x, 'mm Y ', y, 'mm Z 0mm') end", "'NEW CYLINDER'", "'POS X 0mm Y 0mm Z 0mm'",
+    "case when k % 5 = 0 then 'NEW FLAN' else 'NEW ATTACHMENT' end", "case when k % 5 = 0 then 'SPRE /F1' else 'SPRE /none' end", "concat('POS X ', x, 'mm Y ', case when k % 10 = 0 then '100' else '890' end, 'mm Z 0mm')", "'END'",
+)
+_PLANT = ["case when s_suppkey % 16 = 0 then 'f1' else 'f0' end AS file", "s_suppkey AS k", "concat('1HTX', lpad(cast(s_suppkey as string), 7, '0')) AS code", "cast(s_suppkey * 1000 as string) AS x", "cast(100 + s_suppkey % 8 * 100 as string) AS y", "case when s_suppkey % 3 = 0 then 'BWD' else 'OPEN' end AS hcon", "cast(s_suppkey % 2 as string) AS kind"]
+_SPEC = [(0, "/E0", "BWD", "BWD", "ELBO", "100mm", None, "3"), (1, "/T1", "BWD", None, "TEE", "100mm", None, None), (2, "/E1", "x", "x", "ELBO", "50mm", None, "5"), (3, "/E1", "BWD", "FLG", "ELBO", "50mm", None, "5"), (4, "/F1", "BWD", None, "FLAN", None, "80mm", None)]
 
 
 def listing(spark: SparkSession, d: str) -> DataFrame:
-    rows = derived(spark, d, "supplier", _PLANT).selectExpr("file", "k", _LISTING)
+    rows = derived(spark, d, "supplier", _PLANT).selectExpr("file", "k", f"posexplode(array({', '.join(_LINES)})) AS (line_no, line)")
     return rows.select("file", (F.col("k") * 100 + F.col("line_no")).alias("line_no"), "line")
 
 
@@ -47,31 +49,60 @@ def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return branches, welds.lookup_specs(components, spec)
 
 
-_P = f"p AS ({derived_sql('supplier', _PLANT)})"
-_BRANCH = "code || 'BR100/B1' AS branch"
+def _attribute(name: str) -> str:
+    return f"max(trim(regexp_extract(line, '^\\s*{name}\\s+(.*)$', 1))) FILTER (ltrim(line) LIKE '{name} %')"
 
 
-@_query("f4_parse_listing_branches", f"WITH {_P} SELECT file, {_BRANCH}, code || 'BR100' AS pipe, CAST(x AS DOUBLE) AS hx, CAST(x AS DOUBLE) AS tx, 900.0::DOUBLE AS ty, hcon, 100.0::DOUBLE AS head_length, abs(900 - CAST(y AS DOUBLE)) AS tail_length FROM p")
+def _at(pos: str, axis: str) -> str:
+    return f"CAST(nullif(regexp_extract({pos}, '{axis} (-?[0-9.]+)mm', 1), '') AS DOUBLE)"
+
+
+def _far(a: str, b: str) -> str:
+    return f"sqrt({' + '.join(f'({a}{x} - {b}{x}) * ({a}{x} - {b}{x})' for x in 'xyz')})"
+
+
+_SPECS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in _SPEC)
+#: The same lines read by SQL: the state carried down a file, then branches (b), components (c), those with specifications (s), components at ends (e) and neighbours (n).
+_PARSED = rf"""WITH l AS (SELECT file, k * 100 + unnest(range({len(_LINES)})) AS line_no, unnest([{', '.join(_LINES)}]) AS line FROM ({derived_sql('supplier', _PLANT)})),
+o AS (SELECT *, nullif(regexp_extract(line, 'NEW PIPE /?(\S+)', 1), '') AS new_pipe, nullif(regexp_extract(line, 'NEW BRANCH /?(\S+)', 1), '') AS new_branch, nullif(regexp_extract(line, '^\s*NEW (\w+)', 1), '') AS opened FROM l),
+w AS (SELECT *, last_value(new_pipe IGNORE NULLS) OVER d AS pipe, last_value(CASE WHEN new_pipe IS NOT NULL THEN '-' ELSE new_branch END IGNORE NULLS) OVER d AS branch,
+  last_value(CASE WHEN opened IS NOT NULL THEN line_no END IGNORE NULLS) OVER d AS element, last_value(opened IGNORE NULLS) OVER d AS part FROM o WINDOW d AS (PARTITION BY file ORDER BY line_no)),
+h AS (SELECT file, branch, max(pipe) AS pipe, {_attribute('HPOS')} AS hpos, {_attribute('TPOS')} AS tpos, {_attribute('HCON')} AS hcon, {_attribute('TCON')} AS tcon FROM w WHERE branch <> '-' AND part IN ('PIPE', 'BRANCH') GROUP BY 1, 2),
+p AS (SELECT file, branch, element, part AS type, regexp_replace({_attribute('SPRE')}, '^SPCOMPONENT\s+', '') AS spre, {_attribute('POS')} AS pos FROM w
+  WHERE branch <> '-' AND part NOT IN ('PIPE', 'BRANCH', 'ZONE', 'SITE', 'STRUCTURE', 'SUBSTRUCTURE', 'CYLINDER', 'CTORUS') GROUP BY 1, 2, 3, 4),
+c AS (SELECT file, branch, row_number() OVER (PARTITION BY file, branch ORDER BY element) AS seq, type, spre, {', '.join(f"{_at('pos', a.upper())} AS {a}" for a in 'xyz')} FROM p),
+ends AS (SELECT file, branch, {', '.join(f'arg_min({a}, seq) AS f{a}, arg_max({a}, seq) AS l{a}' for a in 'xyz')} FROM c WHERE x IS NOT NULL AND type <> 'ATTACHMENT' GROUP BY 1, 2),
+b AS (SELECT *, {_far('h', 'f')} AS head_length, {_far('t', 'l')} AS tail_length FROM (SELECT h.*, {', '.join(f"{_at(f'{e}pos', a.upper())} AS {e}{a}" for e in 'ht' for a in 'xyz')} FROM h) LEFT JOIN ends USING (file, branch)),
+spec AS (SELECT * FROM (VALUES {_SPECS}) v(row_pos, spre, p1, p2, kind, pbor, pbor1, form) QUALIFY row_number() OVER (PARTITION BY spre ORDER BY row_pos DESC) = 1),
+s AS (SELECT c.*, kind IS NOT NULL AS found, CASE WHEN kind IS NULL THEN 0 ELSE coalesce(p1 = 'BWD', false)::INT + coalesce(p2 = 'BWD', false)::INT + (kind = 'OLET')::INT END AS welds,
+  CASE kind WHEN 'ELBO' THEN CAST(form AS DOUBLE) * bore WHEN 'TEE' THEN 0.90::DOUBLE * bore WHEN 'FLAN' THEN CASE WHEN bore > 0 THEN 0.4::DOUBLE * bore END END AS length
+  FROM c LEFT JOIN (SELECT *, CAST(coalesce(replace(pbor, 'mm', ''), '0') AS DOUBLE) AS bore FROM spec) USING (spre)),
+sides AS (SELECT file, branch, 'HEAD' AS side, hcon AS con, hx AS ex, hy AS ey, hz AS ez FROM b UNION ALL SELECT file, branch, 'TAIL', tcon, tx, ty, tz FROM b),
+e AS (SELECT *, round(far, 3) AS distance FROM (SELECT s.*, side, con, {_far('', 'e')} AS far FROM s JOIN sides USING (file, branch)) WHERE far <= coalesce(length, 0) / 2 + 10),
+n AS (SELECT *, round(far, 3) AS distance, round(wide, 3) AS expected, CASE WHEN far <= wide * CAST(1.1 AS DOUBLE) THEN 'Touching' WHEN far <= wide * 1.5 THEN 'Near' ELSE 'Separated' END AS relation FROM (
+  SELECT file, branch, seq, type, t2, {_far('', 'n')} AS far, CASE WHEN type = 'ELBO' AND t2 <> 'ELBO' THEN length WHEN t2 = 'ELBO' AND type <> 'ELBO' THEN l2 ELSE length + l2 END AS wide FROM (
+    SELECT file, branch, seq, type, length, x, y, z, lead(type) OVER q AS t2, lead(length) OVER q AS l2, {', '.join(f'lead({a}) OVER q AS n{a}' for a in 'xyz')} FROM s WHERE welds > 0 AND x IS NOT NULL WINDOW q AS (PARTITION BY file, branch ORDER BY seq))
+  WHERE length IS NOT NULL AND l2 IS NOT NULL AND (type || '-' || t2) IN ('ELBO-TEE', 'TEE-ELBO', 'TEE-FLAN', 'FLAN-TEE', 'ELBO-FLAN', 'FLAN-ELBO', 'TEE-TEE', 'ELBO-ELBO')))"""
+
+
+@_query("f4_parse_listing_branches", f"{_PARSED} SELECT file, branch, pipe, hx, tx, ty, hcon, head_length, tail_length FROM b")
 def f4(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d)[0].select("file", "branch", "pipe", "hx", "tx", "ty", "hcon", "head_length", "tail_length")
 
 
-@_query("f4_parse_listing_components", f"WITH {_P} SELECT file, {_BRANCH}, 1 AS seq, 'ELBO' AS type, '/E' || kind AS spre, 100.0::DOUBLE AS y FROM p UNION ALL SELECT file, {_BRANCH}, 2, 'TEE', '/T1', CAST(y AS DOUBLE) FROM p")
+@_query("f4_parse_listing_components", f"{_PARSED} SELECT file, branch, seq::INT AS seq, type, spre, x, y FROM c")
 def f4_components(spark: SparkSession, d: str) -> DataFrame:
-    return welds.parse_listing(listing(spark, d))[1].select("file", "branch", "seq", "type", "spre", "y")
+    return welds.parse_listing(listing(spark, d))[1].select("file", "branch", "seq", "type", "spre", "x", "y")
 
 
-@_query("d12_lookup_specs", f"WITH {_P} SELECT file, {_BRANCH}, 1 AS seq, true AS found, CASE kind WHEN '0' THEN 2 ELSE 1 END AS welds, CASE kind WHEN '0' THEN 300.0 ELSE 250.0 END::DOUBLE AS length FROM p UNION ALL SELECT file, {_BRANCH}, 2, true, 1, 90.0 FROM p")
+@_query("d12_lookup_specs", f"{_PARSED} SELECT file, branch, seq::INT AS seq, found, welds, length FROM s")
 def d12(spark: SparkSession, d: str) -> DataFrame:
     return parts(spark, d)[1].select("file", "branch", "seq", "found", "welds", "length")
 
 
-_ADJACENT = "abs(CAST(y AS DOUBLE) - 100) AS distance, CASE kind WHEN '0' THEN 300.0 ELSE 250.0 END::DOUBLE AS expected"
-
-
-@_query("f6_adjacent_components", f"WITH {_P}, a AS (SELECT file, {_BRANCH}, {_ADJACENT} FROM p) SELECT *, CASE WHEN distance <= expected * CAST(1.1 AS DOUBLE) THEN 'Touching' WHEN distance <= expected * 1.5 THEN 'Near' ELSE 'Separated' END AS relation FROM a")
+@_query("f6_adjacent_components", f"{_PARSED} SELECT file, branch, seq::INT AS seq, distance, expected, relation FROM n")
 def f6(spark: SparkSession, d: str) -> DataFrame:
-    return welds.adjacent_components(parts(spark, d)[1]).select("file", "branch", "distance", "expected", "relation")
+    return welds.adjacent_components(parts(spark, d)[1]).select("file", "branch", "seq", "distance", "expected", "relation")
 
 
 def _ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,21 +110,25 @@ def _ends(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     return branches, components, welds.components_at_ends(components, branches)
 
 
-_ENDS = f"e AS (SELECT file, {_BRANCH}, 'HEAD' AS side, hcon AS con, 1 AS seq, 'ELBO' AS type, 100.0::DOUBLE AS distance FROM p UNION ALL SELECT file, {_BRANCH}, 'HEAD', hcon, 2, 'TEE', CAST(y AS DOUBLE) FROM p WHERE CAST(y AS DOUBLE) <= 55 UNION ALL SELECT file, {_BRANCH}, 'TAIL', 'OPEN', 2, 'TEE', 900 - CAST(y AS DOUBLE) FROM p WHERE 900 - CAST(y AS DOUBLE) <= 55)"
-
-
-@_query("d20_components_at_ends", f"WITH {_P}, {_ENDS} SELECT file, branch, side, seq, type, distance FROM e")
+@_query("d20_components_at_ends", f"{_PARSED} SELECT file, branch, side, seq::INT AS seq, type, distance FROM e")
 def d20(spark: SparkSession, d: str) -> DataFrame:
     return _ends(spark, d)[2].select("file", "branch", "side", "seq", "type", "distance")
 
 
-@_query("d21_bwd_report", f"WITH {_P} SELECT file, {_BRANCH}, 'HEAD' AS side, 'ELBO' AS component, 100.0::DOUBLE AS distance FROM p WHERE hcon = 'BWD'")
+@_query("d20_end_statistics", f"""{_PARSED}, q AS (SELECT *, row_number() OVER (PARTITION BY file, branch, side ORDER BY distance, seq) AS k FROM e)
+SELECT file, side, type, count(*) AS n, count_if(k = 1) AS nearest, count_if(con = 'BWD') AS at_bwd, round(avg(distance), 3) AS mean_distance, max(distance) AS max_distance FROM q GROUP BY 1, 2, 3""")
+def d20_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return welds.end_statistics(_ends(spark, d)[2])
+
+
+@_query("d21_bwd_report", f"{_PARSED} SELECT x.file, x.branch, x.side, coalesce(arg_min(e.type, (e.distance, e.seq)), 'No') AS component, min(e.distance) AS distance FROM sides x LEFT JOIN e ON e.file = x.file AND e.branch = x.branch AND e.side = x.side WHERE x.con = 'BWD' GROUP BY 1, 2, 3")
 def d21(spark: SparkSession, d: str) -> DataFrame:
     branches, _, ends = _ends(spark, d)
     return welds.bwd_report(branches, ends)
 
 
-@_query("e27_weld_total", f"WITH {_P}, s AS (SELECT sum(CASE kind WHEN '0' THEN 3 ELSE 2 END) AS component_welds, count_if(hcon = 'BWD') AS bwd_ends, count_if(abs(CAST(y AS DOUBLE) - 100) <= CASE kind WHEN '0' THEN 330 ELSE 275 END) AS touching, count_if(hcon = 'BWD') AS at_ends FROM p) SELECT CAST(component_welds AS BIGINT) AS component_welds, bwd_ends, touching, at_ends, CAST(component_welds - touching AS BIGINT) AS total FROM s")
+@_query("e27_weld_total", f"""{_PARSED}, t AS (SELECT (SELECT sum(welds) FROM s)::BIGINT AS component_welds, (SELECT count(*) FROM sides WHERE con = 'BWD') AS bwd_ends,
+(SELECT count(*) FROM n WHERE relation = 'Touching' AND NOT (type = 'FLAN' AND t2 = 'FLAN')) AS touching, (SELECT count(*) FROM (SELECT DISTINCT file, branch, side FROM e WHERE con = 'BWD')) AS at_ends) SELECT *, component_welds + bwd_ends - touching - at_ends AS total FROM t""")
 def e27(spark: SparkSession, d: str) -> DataFrame:
     branches, components, ends = _ends(spark, d)
     return welds.weld_total(components, branches, welds.adjacent_components(components), ends)

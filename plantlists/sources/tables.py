@@ -6,11 +6,12 @@ import difflib
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..operators.ranges import numbered
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, separator: str = ",") -> DataFrame:
@@ -159,16 +160,7 @@ def import_price_rows(tables: Mapping[str, tuple[DataFrame, Mapping[str, str], s
         some = F.coalesce(*(F.when(F.trim(F.col(m).cast("string")).isin("", "N/A"), None).otherwise(F.col(m).cast("string")) for m in mapping.values()))
         part = df.where(some.isNotNull()).select(*cells, F.lit(label).alias("material_type"), F.lit(revision).alias("bom_rev"), F.lit(name).alias("file_name"), "row_pos")
         out = part if out is None else out.unionByName(part)
-    return ranked(out, ["file_name", "row_pos"], "uid")
-
-
-def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """A running number over all rows: rows are ranged by the order's first column, numbered within it, and shifted by the counts before."""
-    head = order[0]
-    within = Window.partitionBy(head).orderBy(*order[1:])
-    sizes = df.groupBy(head).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each file
-    return df.withColumn("_k", F.row_number().over(within)).join(before, head).withColumn(name, F.col("_k") + F.col("_before")).drop("_k", "_before")
+    return numbered(out, [F.col("file_name"), F.col("row_pos")], "uid")
 
 
 def import_warnings(expected: DataFrame, files: DataFrame) -> DataFrame:
