@@ -3,10 +3,10 @@
 Most of a corpus repeats the same white-space chunks, so texts are not tokenized one by one. Blocks of documents are factored into
 their distinct chunks and, for each document, how often it has each; every chunk that occurs anywhere is split into terms once, the terms are joined back to the
 blocks that hold the chunk, and a block turns its documents' chunk counts into term counts: occurrences, and documents that hold a
-term in whatever chunks. Only these counts meet by (language, term). A chunk that is its own single term needs no answer.
+term in whatever chunks. Only these counts meet, by buckets of terms, each block's part of a bucket as one compressed row. A chunk that is its own single term needs no answer.
 
-A block holds BLOCK_BYTES of text (or one longer text), and it sends a chunk or a (language, term) once, so the commonest word of a corpus
-makes as many rows as there are blocks and no key is hot.
+A block holds BLOCK_BYTES of text (or one longer text), and it sends a chunk, or a term's counts, once, so the commonest word of a corpus
+makes as many rows as there are blocks and no key is hot; the buckets grow in number with the input.
 
 Two sources are compared by p = 1 + floor(SCALE * (count + 1) / (N + V)) of each kept term, and by the sum of
 f(p, q) = floor((p - q)^2 / q). A source that lacks a term has the p of count zero, its base; so that sum is made of sums over the terms that
@@ -15,7 +15,8 @@ a source holds against the other's base, and of a correction for the terms both
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from .words import slices
 #: A term is kept in a language if that many of its documents have it; terms of a source are reported to this rank.
 MIN_DOCUMENTS, TOP = 3, 200
 SCALE = 1_000_000_000
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
+#: Buckets of terms for each part of the input; the terms of a bucket are counted together.
+BUCKETS = 4
 #: Entries of a block, and pairs of entries of the correction, that are looked at together.
 _ENTRIES, _PAIRS = 1 << 18, 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,14 +84,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(block, parts, langs, sources)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block and (language, term) the sources with their occurrences and documents."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield _block_counts(*(batch.column(c)[k] for c in range(5)))
+def _counted(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each block the occurrences and documents of each (language, term, source), by the bucket of the term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield _block_counts(*(batch.column(c)[k] for c in range(5)), buckets)
 
+    return run
 
-def _block_counts(chunks: pa.Scalar, entries: pa.Scalar, langs: pa.Scalar, sources: pa.Scalar, found: pa.Scalar) -> pa.RecordBatch:
+
+def _block_counts(chunks: pa.Scalar, entries: pa.Scalar, langs: pa.Scalar, sources: pa.Scalar, found: pa.Scalar, buckets: int) -> pa.RecordBatch:
     raw = entries.as_py()
     rows, n = np.frombuffer(raw[:16], "<i8").tolist()
     flat = np.frombuffer(pa.Codec("zstd", 3).decompress(raw[16:], 4 * (rows + 2 * n), asbytes=True), "<i4")
@@ -129,13 +136,75 @@ def _block_counts(chunks: pa.Scalar, entries: pa.Scalar, langs: pa.Scalar, sourc
         row = stop
     key, counts, docs = (np.concatenate(x) for x in zip(*sums, strict=True))
     key, counts, docs = _sums(key, [counts, docs], flat=True)
-    both = key // per
-    head = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(key) else np.zeros(0, np.int64)
-    langs_of = len(lang.dictionary)
-    edges = pa.array(np.append(head, len(key)).astype(np.int32))
-    lists = [source.dictionary.cast(pa.string()).take(pa.array(key % per)), pa.array(counts), pa.array(docs)]
-    columns = [lang.dictionary.cast(pa.string()).take(pa.array(both[head] % langs_of)), terms.dictionary.take(pa.array(both[head] // langs_of)).cast(pa.string())]
-    return pa.RecordBatch.from_arrays(columns + [pa.ListArray.from_arrays(edges, x) for x in lists], ["lang", "term", "sources", "ns", "docs"])
+    # entries by the bucket of their term; a bucket's terms and entries travel as one compressed row
+    raw_terms = terms.dictionary.to_pylist()
+    bucket = np.array([crc32(t.encode()) % buckets for t in raw_terms], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(many, np.int64)
+    place[order] = np.arange(len(order))
+    term = place[key // groups]
+    by = np.argsort(term, kind="stable")
+    key, counts, docs, term = key[by], counts[by], docs[by], term[by]
+    names = terms.dictionary.cast(pa.string()).take(pa.array(order))
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    entry = np.searchsorted(term, edge)
+    found = np.flatnonzero(np.diff(entry))
+    sources_of, langs_of = (x.dictionary.cast(pa.string()) for x in (source, lang))
+    rows = []
+    for k in found.tolist():
+        x = slice(entry[k], entry[k + 1])
+        group_of = key[x] % groups
+        columns = [pa.DictionaryArray.from_arrays(pa.array((group_of // per).astype(np.int32)), langs_of), pa.DictionaryArray.from_arrays(pa.array((term[x] - edge[k]).astype(np.int32)), names.slice(edge[k], edge[k + 1] - edge[k]))]
+        columns += [pa.DictionaryArray.from_arrays(pa.array((group_of % per).astype(np.int32)), sources_of), pa.array(counts[x]), pa.array(docs[x])]
+        part = pa.RecordBatch.from_arrays(columns, ["lang", "term", "source", "n", "docs"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(part)
+        rows.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept terms of whole buckets, which come one after another."""
+
+    def summed(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["lang", "term", "source"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "term", "source", "n", "docs"])
+
+    def kept(parts: list[pa.Table]) -> pa.RecordBatch:
+        table = summed(parts).combine_chunks()
+        lang, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))
+        lang, term = (x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (lang, term))
+        key = lang.indices.to_numpy().astype(np.int64) * max(1, len(term.dictionary)) + term.indices.to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, counts, docs = key[order], table.column("n").to_numpy()[order], table.column("docs").to_numpy()[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(head, len(key)))
+        good = np.add.reduceat(docs, head) >= MIN_DOCUMENTS
+        total, size, head = np.add.reduceat(counts, head)[good], size[good], head[good]
+        at = np.repeat(head - np.cumsum(size) + size, size) + np.arange(size.sum())
+        source = table.column("source").combine_chunks()
+        source = source.chunk(0) if isinstance(source, pa.ChunkedArray) else source
+        entries = pa.StructArray.from_arrays([source.take(pa.array(order[at])), pa.array(counts[at])], ["source", "n"])
+        by_source = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), entries)
+        own = pa.array(order[head])
+        names = [x.dictionary.take(x.indices.take(own)).cast(pa.string()) for x in (lang, term)]
+        return pa.RecordBatch.from_arrays([*names, pa.array(total), by_source], ["lang", "term", "n", "by_source"])
+
+    held, rows, last = [], 0, None
+    for batch in batches:
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if bucket != last and held:
+                yield kept(held)
+                held, rows = [], 0
+            last = bucket
+            part = pa.ipc.open_stream(packed.as_buffer()).read_all()
+            held.append(pa.table({c: part.column(c).cast(pa.string()) if c in ("lang", "term", "source") else part.column(c) for c in part.column_names}))
+            rows += len(part)
+            if rows >= _ENTRIES:
+                held = [summed(held)]
+                rows = len(held[0]) // 2  # twice as many before the next time, so each entry is summed a few times only
+    if held:
+        yield kept(held)
 
 
 def _sums(key: np.ndarray, values: list[np.ndarray], flat: bool = False) -> tuple:
@@ -162,11 +231,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     terms = places.select("chunk").distinct().select("chunk", F.regexp_extract_all(lowered, F.lit(_TERM), F.lit(0)).alias("terms"))
     back = places.join(terms.where("terms <> array(chunk)"), "chunk").select("block", "pos", "terms")
     counted = blocks.select("block", "chunks", "entries", "langs", "sources").join(of_blocks(back, "struct(pos, terms)", parts).hint("shuffle_hash"), "block", "left")
-    counted = counted.select("chunks", "entries", "langs", "sources", "found").mapInArrow(_counted, "lang string, term string, sources array<string>, ns array<long>, docs array<long>")
-    met = counted.repartition("lang", "term").select("lang", "term", F.explode(F.arrays_zip("sources", "ns", "docs")).alias("x"))
-    met = met.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.ns").alias("n"), F.sum("x.docs").alias("docs"))
-    kept = met.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by_source"))
-    return kept.where(F.col("docs") >= MIN_DOCUMENTS).select("lang", "term", "n", "by_source")
+    buckets = BUCKETS * max(1, parts)
+    counted = counted.select("chunks", "entries", "langs", "sources", "found").mapInArrow(_counted(buckets), "bucket int, packed binary")
+    return counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "lang string, term string, n long, by_source array<struct<source: string, n: long>>")
 
 
 def _p(count: str, total: str, terms: str) -> Column:
