@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Months by name (fixed values).
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-MAX_ROUNDS = 100
+from .propagation import MONTHS, propagate_dates, propagation
+
 #: Holiday periods that go to every task, a few for each year.
 MAX_PERIODS = 10_000
-#: The reason of a project's anchor (fixed text).
-ANCHOR_REASON = "Anchor milestone (reference point)"
 
 
 def common_length(a: str, b: str) -> int:
@@ -89,90 +83,6 @@ def holiday_hit(tasks: DataFrame, periods: DataFrame) -> DataFrame:
     return hits.groupBy("id", "start", "finish").agg(F.min_by(F.struct("adder_weeks", "label"), "pos").alias("h")).select("id", "start", "finish", F.coalesce("h.adder_weeks", F.lit(0)).alias("adder_weeks"), "h.label")
 
 
-def _weekday(d: dt.date) -> dt.date:
-    return d + dt.timedelta(days={5: 2, 6: 1}.get(d.weekday(), 0))
-
-
-@lru_cache(maxsize=1024)
-def _periods(holidays: tuple[tuple[str, str, int], ...], year: int) -> list[tuple[dt.date, dt.date, int, str]]:
-    def day(text: str, y: int) -> dt.date | None:
-        low = text.lower()
-        month = next((k for k, m in enumerate(MONTHS, 1) if m in low), None)
-        if month is None:
-            return None
-        return dt.date(y, month, 15 if "middle" in low else (28 if month == 2 else 30 if month in (4, 6, 9, 11) else 31) if "end" in low else 1)
-
-    out = []
-    for y in (year - 1, year, year + 1):
-        for a, b, weeks in holidays:
-            begin, until = day(a, y), day(b, y)
-            if begin and until:
-                out.append((begin, until, weeks, f"{a} to {b} holiday period"))
-    return out
-
-
-@lru_cache(maxsize=100_000)
-def _shifted(start: dt.date, weeks: int, sign: int, holidays: tuple[tuple[str, str, int], ...], year: int) -> tuple[dt.date, int, str]:
-    """The weekday some weeks before or after start, the weeks, and a note if a period moved it; periods are those around the anchor's year."""
-    other = _weekday(start + dt.timedelta(weeks=sign * weeks))
-    low, high = min(start, other) if sign > 0 else other, other if sign > 0 else start
-    hit = next((h for h in _periods(holidays, year) if low <= h[1] + dt.timedelta(weeks=1) and high >= h[0]), None)
-    if hit is None:
-        return other, weeks, ""
-    moved = _weekday(start + dt.timedelta(weeks=sign * (weeks + hit[2])))
-    return moved, weeks + hit[2], f". Originally {other:%d/%m/%Y} (based on {weeks}W), shifted by {hit[2]}W due to {hit[3]}"
-
-
-def propagate_dates(edges: DataFrame, anchors: DataFrame, known: DataFrame, holidays: list[tuple[str, str, int]] = ()) -> DataFrame:
-    """Requested dates of each project by passes over its dependencies in order, from the anchor, until nothing new is dated.
-
-    edges: project_id, row_pos, from_activity, to_activity, weeks, comments. anchors: project_id, activity, date. known: project_id, activity (those that
-    may be dated). Result: project_id, activity, date, reason, reference, weeks, direction, conflicts (count of dates that other paths
-    gave). The first date of an activity wins. A project's edges are one group: they are as many as a plan has dependencies.
-    """
-    one = edges.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("row_pos", "from_activity", "to_activity", "weeks", "comments"))).alias("edges"))
-    both = one.join(anchors.select("project_id", F.col("activity").alias("anchor"), "date"), "project_id").join(known.groupBy("project_id").agg(F.collect_set("activity").alias("known")), "project_id", "left")
-    schema = "project_id long, activity string, date date, reason string, reference string, weeks long, direction string, conflicts long"
-
-    fixed = tuple(map(tuple, holidays))
-
-    def run(batches):  # noqa: ANN001, ANN202
-        for frame in batches:
-            out = []
-            for p in frame.itertuples():
-                out += [(p.project_id, *row) for row in _propagated(list(p.edges), p.anchor, p.date, set(p.known if p.known is not None else ()), fixed)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return both.mapInPandas(run, schema)
-
-
-def _propagated(edges: list, anchor: str, date: dt.date, known: set[str], holidays: tuple[tuple[str, str, int], ...]) -> list[tuple]:
-    date = _weekday(date)
-    found: dict[str, list] = {anchor: [date, ANCHOR_REASON, "anchor", 0, "anchor", 0]}
-    # both ways of each edge, in order; those whose target may not be dated never count
-    ways = []
-    for e in edges:
-        if e["weeks"] is not None and not pd.isna(e["weeks"]):
-            suffix = f". {e['comments']}" if e["comments"] and str(e["comments"]).strip() else ""
-            pairs = ((e["to_activity"], e["from_activity"], -1, "before"), (e["from_activity"], e["to_activity"], 1, "after"))
-            ways += [(source, target, int(e["weeks"]), sign, word, suffix) for source, target, sign, word in pairs if target in known]
-
-    for _ in range(MAX_ROUNDS):
-        progress = False
-        for source, target, given, sign, word, suffix in ways:
-            if source not in found:
-                continue
-            day, weeks, note = _shifted(found[source][0], given, sign, holidays, date.year)
-            if target not in found:
-                found[target] = [day, f"{weeks}W {word} '{source}'{suffix}{note}", source, weeks, word, 0]
-                progress = True
-            elif found[target][0] != day:
-                found[target][5] += 1
-        if not progress:
-            break
-    return [(name, *cells) for name, cells in found.items()]
-
-
 def current_lengths(plan: DataFrame, edges: DataFrame) -> DataFrame:
     """Weeks (one place) between the dates of an edge's activities, and for each activity the texts of what comes before and after, by newlines.
 

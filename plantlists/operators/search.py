@@ -85,7 +85,9 @@ def search_pages(pages: DataFrame, query: str, context: int = 50) -> DataFrame:
     The query is read as C5 reads it, terms are sought on pages, and a term of the whole text is a term of some page. Pages of one document are
     gathered only as one flag for each term: whether some page has it. A query without terms gives no rows; a null text holds no term.
     """
-    flags = {t: f"_h{k}" for k, t in enumerate(dict.fromkeys(query_terms(query)))}
+    terms = query_terms(query)
+    _over_terms(query, lambda term: terms.append(term) or F.lit(True))  # also operators that stand where a term is due
+    flags = {t: f"_h{k}" for k, t in enumerate(dict.fromkeys(terms))}
     hits = pages.select("doc", "page", "text", *(F.coalesce(_term(F.col("text"), t, False), F.lit(False)).alias(h) for t, h in flags.items()))
     whole = hits.groupBy("doc").agg(F.count("*").alias("_pages"), *(F.bool_or(h).alias(h) for h in flags.values()))
     chosen = whole.where(_over_terms(query, lambda term: F.col(flags[term]))).select("doc")

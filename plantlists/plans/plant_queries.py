@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batching, schedule, welds
+from ..operators import batching, propagation, schedule, welds
 from ..streaming import jobs
 from .list_queries import ROW
 from ..staging import shared_folder
@@ -170,12 +170,57 @@ def d22(spark: SparkSession, d: str) -> DataFrame:
 _EDGES = ["cast(floor(o_orderkey / 10) as bigint) AS project_id", "o_orderkey % 10 AS row_pos", "concat('A', cast(o_orderkey % 10 as string)) AS from_activity", "concat('A', cast(o_orderkey % 10 + 1 as string)) AS to_activity", "cast(1 + o_custkey % 9 as bigint) AS weeks", "cast(null as string) AS comments"]
 
 
-@_query("p3_propagate_dates")
-def p3(spark: SparkSession, d: str) -> DataFrame:
+def _sql_day(words: str, year: str) -> str:
+    names = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+    month = next(k for k, m in enumerate(names, 1) if m in words.lower())
+    return f"make_date({year}, {month}, {15 if 'middle' in words else {2: 28, 4: 30, 6: 30, 9: 30, 11: 30}.get(month, 31) if 'end' in words else 1})"
+
+
+def _sql_shifted(start: str, weeks: str, sign: str, year: str) -> str:
+    """The date as SQL: the weekday, moved by the first period that overlaps."""
+    weekday = lambda d: f"({d} + CASE isodow({d}) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END)"
+    plain = weekday(f"CAST({start} + CAST({sign} * {weeks} * 7 AS INTEGER) AS DATE)")
+    adder = "CASE " + " ".join(f"WHEN least({start}, {plain}) <= {_sql_day(h[2], f'({year} + {more})')} + 7 AND greatest({start}, {plain}) >= {_sql_day(h[1], f'({year} + {more})')} THEN {h[3]}" for more in (-1, 0, 1) for h in _HOLIDAYS) + " ELSE 0 END"
+    return weekday(f"CAST({start} + CAST({sign} * ({weeks} + {adder}) * 7 AS INTEGER) AS DATE)")
+
+
+#: Dates along the chain of each project by recursion (each activity can be reached by one path only), with the pass and the way that gave them.
+_DATED = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY row_pos) AS n FROM ({derived_sql('orders', _EDGES)})),
+w AS (SELECT project_id, 2 * n AS way, to_activity AS source, from_activity AS target, weeks, -1 AS sign FROM e UNION ALL SELECT project_id, 2 * n + 1, from_activity, to_activity, weeks, 1 FROM e),
+a AS (SELECT CAST(floor(o_orderkey / 10) AS BIGINT) AS project_id, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 10 = 0),
+t AS (SELECT project_id, 'A5' AS activity, 1 AS pass, -1::BIGINT AS way, d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS date, year(d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END) AS y, 0 AS went FROM a
+  UNION ALL SELECT t.project_id, target, pass + CASE WHEN w.way > t.way THEN 0 ELSE 1 END, w.way, {_sql_shifted('date', 'weeks', 'sign', 'y')}, y, sign FROM t JOIN w ON w.project_id = t.project_id AND w.source = t.activity AND (went = 0 OR went = sign)),
+f AS (SELECT w.*, t.date AS start, x.date AS date, {_sql_shifted('t.date', 'w.weeks', 'w.sign', 't.y')} AS other_date, CASE WHEN (t.pass, t.way) > (x.pass, x.way) THEN (t.pass, t.way) ELSE (x.pass, x.way) END AS latest
+  FROM w JOIN t ON t.project_id = w.project_id AND t.activity = w.source JOIN t x ON x.project_id = w.project_id AND x.activity = w.target),
+q AS (SELECT project_id, least(max(CASE WHEN way < 0 THEN 0 ELSE pass END) + 1, 100) AS passes FROM t GROUP BY 1),
+c AS (SELECT f.project_id, target AS activity, date, other_date, source AS reference, CAST(passes - latest[1] + CASE WHEN way > latest[2] THEN 1 ELSE 0 END AS BIGINT) AS times FROM f JOIN q USING (project_id) WHERE date <> other_date)"""
+
+
+def _propagation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edges = derived(spark, d, "orders", _EDGES)
     anchors = derived(spark, d, "orders", ["cast(floor(o_orderkey / 10) as bigint) AS project_id", "'A5' AS activity", "cast(o_orderdate as date) AS date"], "o_orderkey % 10 = 0")
     known = edges.selectExpr("project_id", "from_activity AS activity").union(edges.selectExpr("project_id", "to_activity")).distinct()
-    return schedule.propagate_dates(edges, anchors, known, [h[1:] for h in _HOLIDAYS])
+    return schedule.propagation(edges, anchors, known, [h[1:] for h in _HOLIDAYS])
+
+
+@_query("p3_propagate_dates", f"{_DATED} SELECT t.project_id, t.activity, t.date, coalesce(sum(times) FILTER (times > 0), 0)::BIGINT AS conflicts, CASE went WHEN 0 THEN 'anchor' WHEN 1 THEN 'after' ELSE 'before' END AS direction FROM t LEFT JOIN c ON c.project_id = t.project_id AND c.activity = t.activity GROUP BY 1, 2, 3, went")
+def p3(spark: SparkSession, d: str) -> DataFrame:
+    return _propagation(spark, d)[0].select("project_id", "activity", "date", "conflicts", "direction")
+
+
+@_query("p3_date_conflicts", f"{_DATED} SELECT * FROM c WHERE times > 0")
+def p3_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return _propagation(spark, d)[1].select("project_id", "activity", "date", "other_date", "reference", "times")
+
+
+_MILESTONES = ["o_custkey % 500 AS project_id", "concat('M', cast(o_orderkey % 8 as string)) AS activity", "case when o_orderkey % 3 = 0 then null else cast(o_orderdate as date) end AS date"]
+
+
+@_query("p3_later_anchor", f"""WITH o AS (SELECT project_id, activity, min(date) AS date FROM ({derived_sql('orders', _MILESTONES)}) WHERE date IS NOT NULL GROUP BY 1, 2),
+a AS (SELECT project_id, arg_min(activity, activity) AS activity, arg_min(date, activity) AS date FROM o WHERE activity IN ('M1', 'M2') GROUP BY 1), b AS (SELECT project_id, arg_min(date, activity) AS date FROM o WHERE activity IN ('M3', 'M4') GROUP BY 1)
+SELECT coalesce(a.project_id, b.project_id) AS project_id, CASE WHEN b.date IS NULL OR a.date >= b.date THEN a.date ELSE b.date END AS date FROM a FULL JOIN b USING (project_id)""")
+def p3_anchor(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.later_anchor(derived(spark, d, "orders", _MILESTONES), ["M1", "M2"], ["M3", "M4"]).select("project_id", "date")
 
 
 _PLAN = ["cast(floor(o_orderkey / 10) as bigint) AS project_id", "concat('A', cast(o_orderkey % 10 as string)) AS activity", "cast(o_orderdate as date) AS date"]
