@@ -187,8 +187,9 @@ def embedding_classes(vectors: DataFrame) -> DataFrame:
     Vectors of one label (not null) are linked from a cosine of 0.98 in double precision. Vectors that are null, empty, zero or hold nulls
     or non-finite components, and rows with a null label, are linked with nothing (n_links 0, component_id their own
     vec_id). Equal vectors of one label are compared once for all and count as links of each other. Rows with a null vec_id come back
-    with null component_id and kept. A repeated vec_id counts as a vector of its own for others' n_links. Vectors of other
-    lengths are not comparable and do not link. Other columns are ignored.
+    with null component_id and kept. A repeated vec_id counts as a vector of its own for others' n_links, and rows that give one vec_id several
+    labels or vectors are compared each by its own. Vectors of other lengths are not comparable and do not link. Components whose squares
+    are beyond double precision make a norm of infinity or zero: such vectors link with their equals only. Other columns are ignored.
     """
     values = F.transform("embedding", lambda v: v.cast("double"))
     bad = F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
@@ -196,8 +197,8 @@ def embedding_classes(vectors: DataFrame) -> DataFrame:
     rows = rows.withColumn("usable", F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & F.exists("v", lambda v: v != 0), F.lit(False)))
     rows = staged(rows.select("vec_id", "label", "usable", F.when(F.col("usable"), F.transform("v", lambda v: v + 0.0)).alias("v")), "vectors")
     usable = rows.where("usable")
-    distinct = usable.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("m"))
-    distinct = staged(distinct, "distinct")
+    distinct = usable.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"))
+    distinct = staged(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")  # a vec_id may come with several labels and vectors
     keyed = staged(distinct.select("node", "v", "m").mapInArrow(_keyed, "node long, m long, vector binary, own binary, probes binary, spots array<long>"), "keyed")
     spots = keyed.join(distinct.select("node", "label"), "node").select("node", "label", F.posexplode("spots").alias("at", "key"))
     spots = spots.select("node", "label", F.floor(F.col("at") / (HASHES + 1)).cast("int").alias("t"), "key").distinct()
@@ -213,8 +214,9 @@ def embedding_classes(vectors: DataFrame) -> DataFrame:
     found = staged(groups.groupBy("slot").applyInPandas(_compare, "a long, b long, n long"), "found")
     component = connected_components(found.where("a <> b").select("a", "b"))
     per = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    known = distinct.join(per, "node", "left").join(component, "node", "left")
-    known = known.select("label", "v", "node", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    least = component.join(distinct, "node").groupBy("component").agg(F.min("low").alias("least"))
+    known = distinct.join(per, "node", "left").join(component.join(least, "component"), "node", "left")
+    known = known.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("least", "low").alias("component"))
     out = rows.join(known, ["label", "v"], "left")
     component_id = F.when(F.col("vec_id").isNotNull(), F.when(F.col("usable"), F.col("component")).otherwise(F.col("vec_id")))
     return out.select("vec_id", F.when(F.col("usable"), F.col("links")).otherwise(0).cast("long").alias("n_links"), component_id.alias("component_id"), (F.col("vec_id") == component_id).alias("kept"))

@@ -42,6 +42,8 @@ SIMILARITY = 85
 COLLECTION = 8
 #: Members of a shingle, or pairs of a typical document, that one block holds on average.
 BLOCK = 2_000
+#: Rarest shingles of a document that its rows carry.
+HEAD = 32
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = _rng.integers(1 << 62, size=2 * COLLECTION, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1 << 62, size=2 * COLLECTION, dtype=np.uint64)
@@ -75,7 +77,7 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in batches:  # doc_id, text, check
         n, fingerprints, keys = [], [], []
         for part in slices(batch.column(1), lower=True):
             sets = _shingles(part, 2)
@@ -86,15 +88,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys += [next(table) if x.shape[1] else None for x in sets]
         fp = np.array(fingerprints, np.uint64).reshape(-1, 2).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "f1", "f2", "keys"],
+            [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(keys, pa.list_(pa.int64()))],
+            ["doc_id", "check", "n_shingles", "f1", "f2", "keys"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a fingerprint of the set (f1, f2) and its table keys (null for an empty set)."""
+    """doc_id, check (of the text, as packed_texts() has it), n_shingles, a fingerprint of the set (f1, f2) and its table keys (null for an empty set)."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_signatures, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    check = (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - (1 << 31)).cast("int").alias("check")
+    return docs.select("doc_id", "text", check).mapInArrow(_signatures, "doc_id long, check int, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,8 @@ def _rest_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     places = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - (F.col("n") - F.size("common"))
     ranked = own.join(members.where("m > 1"), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("m", "s"))).alias("common"))
     prefix = ranked.join(apart.select("node", "n"), "node").where(places > 0).select("node", F.slice("common", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))["s"].alias("own"))
-    prefix = staged(prefix.select("node", "own", F.explode("own").alias("s")), "prefixes")
+    # a row carries the head of the prefix only, so that rows and bytes grow with a text's length and not with its square
+    prefix = staged(prefix.select("node", F.slice("own", 1, HEAD).alias("own"), F.explode("own").alias("s")), "prefixes")
     sizes = prefix.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     prefix = prefix.join(sizes, "s").join(apart, "node")
     names = {"n": "n", "shared": "s", "component": "c", "keys": "k", "hub": "h", "distance": "d", "own": "o"}
@@ -142,8 +146,9 @@ def _rest_pairs(apart: DataFrame, sets: DataFrame) -> DataFrame:
     most = F.least("sa", "sb")  # no intersection is larger
     possible = (100 * most >= SIMILARITY * (F.col("na") + F.col("nb") - most)) & ((F.col("ha") != F.col("hb")) | (F.abs(F.col("da") - F.col("db")) <= 1 - SIMILARITY / 100 + 1e-9))
     in_table = F.exists(F.zip_with("ka", "kb", lambda p, q: p == q), lambda e: e)
-    once = F.array_intersect("oa", "ob")[0] == F.col("s")  # a pair counts at the first shingle that it shares only
-    return x.join(y, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible & once & in_table).select("a", "b")
+    # a pair counts at the first shingle of the heads that it shares; at each one if the heads share none
+    once = F.coalesce(F.get(F.array_intersect("oa", "ob"), F.lit(0)) == F.col("s"), F.lit(True))
+    return x.join(y, ["s", "block"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible & once & in_table).select("a", "b").distinct()
 
 
 def _as_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,18 +164,20 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     distinct five-word shingles. component_id is the least doc_id that links reach, kept = (doc_id = component_id). Null,
     empty and wordless texts have n_shingles 0 and are linked with nothing. Rows with a null doc_id come back with null
     component_id and kept. Repeated rows are copies like others and come back as often as they came; rows that give one doc_id
-    different texts share a component, found from one of the texts. Other columns of docs, whatever their names, are ignored.
+    different texts are compared each by its own. Other columns of docs, whatever their names, are ignored.
     """
     signed = staged(signatures(docs), "signatures")
     some = signed.where("doc_id is not null and n_shingles > 0")
-    classes = staged(some.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.min_by("keys", "doc_id").alias("keys")), "classes")
+    classes = some.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "check")).alias("of"), F.min_by("keys", "doc_id").alias("keys"))
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a doc_id may come with several texts
     tables = classes.select("node", F.explode(F.transform("keys", lambda k, t: F.xxhash64(t, k))).alias("key"))
     shared_keys = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = staged(tables.join(shared_keys, "key", "left_semi"), "members")
     nodes = members.select("node").distinct()
 
-    texts = packed_texts(docs).where("doc_id is not null").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    sets = staged(texts.select("doc_id", "packed").mapInArrow(_pack_sets, "node long, packed binary").groupBy("node").agg(F.min("packed").alias("packed")), "sets")
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "of.doc_id", "of.check")
+    texts = packed_texts(docs).where("doc_id is not null").join(wanted, ["doc_id", "check"])
+    sets = staged(texts.select("node", "packed").mapInArrow(_pack_sets, "node long, packed binary").groupBy("node").agg(F.min("packed").alias("packed")), "sets")
     shingles = sets.mapInArrow(_as_lists, "node long, shingles array<long>").select("node", F.explode("shingles").alias("s"))
     lone = shingles.groupBy("s").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1").groupBy("node").agg(F.count("*").alias("lone"))
     counts = classes.join(nodes, "node", "left_semi").select("node", F.col("n_shingles").alias("n"))
@@ -198,7 +205,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     links = first_links.union(staged(_measure(rest, sets).where(linked).select("a", "b"), "rest-links"))
     component = connected_components(links)
 
-    whole = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"], "left")
-    whole = whole.join(component, "node", "left")
-    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
+    least = component.join(classes.select("node", F.col("of.doc_id").alias("low")), "node").groupBy("component").agg(F.min("low").alias("least"))
+    named = classes.join(component.join(least, "component"), "node", "left").select("f1", "f2", "n_shingles", F.coalesce("least", "of.doc_id").alias("low"))
+    whole = signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
+    component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
     return whole.select("doc_id", "n_shingles", component_id.alias("component_id"), (F.col("doc_id") == component_id).alias("kept"))
