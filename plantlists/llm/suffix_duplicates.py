@@ -18,7 +18,7 @@ The sequential files of the construction are Spark's: blocks of texts with their
 steps; a round's arrays stay in memory, bounded by COLLECTION strings, as a cluster's machines have no folders of their own here.
 
 "Earlier" is a smaller doc_id, or the same document and an earlier start. Segments of a block are settled among themselves first, so an
-anchor, a segment or a window reaches an exchange once for each block. An anchor with more than COLLECTION different segments is taken
+anchor, a segment or a window reaches an exchange once for each block. An anchor with more than APART different segments is taken
 apart into its windows, which meet by their digests instead.
 """
 
@@ -38,6 +38,8 @@ from .words import mix, text_column
 WINDOW, ANCHOR = 100, 32
 #: Bytes of text of a block (a longer text is a block of its own), window starts hashed together, strings of a collection.
 BLOCK_BYTES, _PIECE, COLLECTION = 8_000_000, 1 << 17, 1 << 16
+#: Different segments of an anchor from which on its windows meet by themselves.
+APART = 1 << 10
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _PLACE = np.uint64((1 << 18) - 1)
 _NONE = np.zeros(0, np.int64)
@@ -364,7 +366,7 @@ def without_repeated_bytes(docs: DataFrame) -> DataFrame:
     # anchors with several contents: their strings are built together
     firsts = judged.where("first and part is null").select("block", "seg", "anchor")
     sizes = firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    several = firsts.join(sizes, "anchor").select("block", "seg", (F.col("n") > COLLECTION).alias("apart"))
+    several = firsts.join(sizes, "anchor").select("block", "seg", (F.col("n") > APART).alias("apart"))
     opened = blocks.join(of_blocks(several, "struct(seg, apart)", parts).hint("shuffle_hash"), "block").select("block", "texts", "segments", "anchors", "found")
     opened = opened.mapInArrow(_opened, "group long, raw binary, distance int, doc_id long, at long, block long, seg int, shift int, part binary")
     windows = staged(opened.repartition("group").sortWithinPartitions("group").mapInArrow(_collections, "block long, seg int, part binary"), "repeated-windows")

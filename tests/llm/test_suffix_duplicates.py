@@ -54,7 +54,7 @@ def some_docs(seed: int) -> list[tuple]:
 @pytest.mark.parametrize(("seed", "block", "collection", "piece"), [(1, 16_000_000, 1 << 16, 1 << 17), (2, 3000, 40, 512), (3, 1, 2, 300)])
 def test_without_repeated_bytes(spark, monkeypatch, seed: int, block: int, collection: int, piece: int) -> None:
     """With small bounds texts are cut in pieces, blocks hold few texts and frequent anchors are taken apart."""
-    for name, value in (("BLOCK_BYTES", block), ("COLLECTION", collection), ("_PIECE", piece)):
+    for name, value in (("BLOCK_BYTES", block), ("COLLECTION", collection), ("APART", collection), ("_PIECE", piece)):
         monkeypatch.setattr(sd, name, value)
     docs = some_docs(seed)
     df = spark.createDataFrame([(*d, "c", 1) for d in docs], "doc_id long, text string, segments string, block int").repartition(5)
