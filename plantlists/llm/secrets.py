@@ -3,8 +3,8 @@
 Base spans are plain patterns (assign, access, hex). The method adds weak candidates, which no pattern would justify alone:
 an address (endpoint), a name given to a login (login), or a long mixed string (opaque). A weak candidate becomes a span only
 if complementary parts stand in the same scope, no more than REACH code points away: an access identifier or login next to
-a secret, an endpoint next to an identifier and a secret. Parts are rows, scopes are paragraphs, and the join is a sweep over
-(document, scope) in order of position that looks at the nearest part of each role before and after, so it costs no pairs.
+a secret, an endpoint next to an identifier and a secret. Parts are rows, scopes are paragraphs, and candidates and parts meet in an
+interval join by (document, scope, cell).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import packed_texts, small_batches, staged, unpacked
@@ -137,19 +137,20 @@ _SCANNED = "doc_id long, check int, n_assign long, n_access long, n_hex long, ba
 def linked_parts(parts: DataFrame) -> DataFrame:
     """The weak candidates (kind not null) of parts (doc_id, check, scope, role, kind, begin, stop) with complementary parts near.
 
-    The nearest part of each role on either side decides. A login needs a secret, a secret a login, an endpoint both.
+    An interval join: a candidate widened by REACH on both sides meets every part of another role that its interval touches, in the same document,
+    paragraph and cell of REACH code points; an interval stands in each cell that it touches. A login needs a secret, a secret a login, an endpoint
+    both. A cell holds a bounded number of parts, so the pairs grow with the text, also inside one paragraph. A null doc_id is a document of its own.
     """
-    ahead = Window.partitionBy("doc_id", "check", "scope").orderBy("begin", "stop", "role").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("doc_id", "check", "scope").orderBy(F.desc("begin"), F.desc("stop"), F.desc("role")).rowsBetween(Window.unboundedPreceding, -1)
-
-    def near(role: str) -> Column:
-        before = F.max(F.when(F.col("role") == role, F.col("stop"))).over(ahead)
-        after = F.min(F.when(F.col("role") == role, F.col("begin"))).over(behind)
-        return F.coalesce(F.col("begin") - before <= REACH, F.lit(False)) | F.coalesce(after - F.col("stop") <= REACH, F.lit(False))
-
-    seen = parts.withColumns({"near_login": near("login"), "near_secret": near("secret")})
-    need = F.when(F.col("role") == "login", F.col("near_secret")).when(F.col("role") == "secret", F.col("near_login")).otherwise(F.col("near_login") & F.col("near_secret"))
-    return seen.where(F.col("kind").isNotNull() & need).select("doc_id", "check", "kind", "begin", "stop")
+    cells = lambda begin, stop: F.explode(F.sequence(F.floor(begin / REACH), F.floor(stop / REACH)))
+    wide = parts.where("kind is not null").withColumns({"low": F.col("begin") - REACH, "high": F.col("stop") + REACH})
+    wide = wide.withColumn("cell", cells(F.col("low"), F.col("high")))
+    other = parts.select(*(F.col(c).alias(f"o_{c}") for c in ("doc_id", "check", "scope", "role", "begin", "stop")), cells(F.col("begin"), F.col("stop")).alias("o_cell"))
+    same = F.col("doc_id").eqNullSafe(F.col("o_doc_id"))
+    for c in ("check", "scope", "cell"):
+        same = same & (F.col(c) == F.col(f"o_{c}"))
+    touch = (F.col("o_begin") <= F.col("high")) & (F.col("o_stop") >= F.col("low")) & (F.col("role") != F.col("o_role"))
+    seen = wide.join(other, same & touch).groupBy("doc_id", "check", "kind", "begin", "stop", "role").agg(*(F.bool_or(F.col("o_role") == r).alias(r) for r in ("login", "secret")))
+    return seen.where("case role when 'login' then secret when 'secret' then login else login and secret end").select("doc_id", "check", "kind", "begin", "stop")
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
