@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .ranges import filled
 
 NA_SECTION = "N/A"
 #: Reasons for a batch (fixed texts).
@@ -85,39 +89,66 @@ def batch_summary(batched: DataFrame, n: int, tolerance: float = 0.1) -> DataFra
     return g.join(total, "project_id").withColumns({"target": F.round("target", 3), "within": F.col("weight") <= F.col("target") * (1 + tolerance)})
 
 
+#: Rows that are left out of the batches, by words in any of their texts (fixed values), and the reason that is given.
+DELETED, EXCLUDED_WORDS = "Deleted", {"BQ not exist": "bq not exist", "Solid handling not in GP": "solid handling support not in gp lot"}
+
+
+def with_exclusions(missing: DataFrame, deleted: str | None = None, words: Mapping[str, str] = EXCLUDED_WORDS, but: Sequence[str] = ()) -> DataFrame:
+    """Missing with exclusion: the reasons why a row stays out, joined by '; ', '' for none.
+
+    A row is out if the boolean column `deleted` holds, or if any of its text columns has the words of a reason, in any case; reasons listed in `but` do not count.
+    """
+    texts = [f.name for f in missing.schema.fields if f.dataType.typeName() == "string"]
+    masks = {DELETED: F.coalesce(F.col(deleted), F.lit(False))} if deleted else {}
+    for reason, phrase in words.items():
+        masks[reason] = reduce(or_, (F.coalesce(F.lower(c).contains(phrase.lower()), F.lit(False)) for c in texts), F.lit(False))
+    return missing.withColumn("exclusion", F.concat_ws("; ", *(F.when(m, reason) for reason, m in masks.items() if reason not in but)))
+
+
 def integrate_missing(missing: DataFrame, detail: DataFrame) -> DataFrame:
     """Missing codes (project_id, row_pos, code, working_area, section, weight) into the batches of detail (project_id, working_area, section, batch, weight).
 
-    By working area, else the lightest batch of the section (for N/A the least one), else the lightest of all; weights run on in order.
+    By working area, else the lightest batch of the section (for N/A the least one), else the lightest of all; weights run on in order of row_pos and compare to six
+    places. Rows with a known area are placed by a join; only rows without one are placed one after another, and what the rows with an area add between
+    two of them comes to the later one as sums by batch and section. Projects without batches get none.
     """
     area = detail.groupBy("project_id", "working_area").agg(F.min("batch").alias("area_batch"))
     weights = detail.groupBy("project_id", "batch").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"), F.collect_set("section").alias("sections"))
     lists = weights.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("batch", "w", "sections"))).alias("batches"))
-    rows = missing.join(area, ["project_id", "working_area"], "left").join(lists, "project_id")
+    rows = missing.select("project_id", "row_pos", "code", "working_area", "section", "weight").join(area, ["project_id", "working_area"], "left")
+    # each row with an area belongs to the next row without one
+    open_row = F.when(F.col("area_batch").isNull(), F.col("row_pos"))
+    rows = filled(rows, {"next": open_row}, [F.desc("row_pos"), F.col("area_batch").isNotNull()], ["project_id"])
+    placed = rows.where("area_batch is not null")
+    added = placed.where("next is not null").groupBy("project_id", "next", F.col("area_batch").alias("batch"), "section").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("w"))
+    added = added.groupBy("project_id", F.col("next").alias("row_pos")).agg(F.collect_list(F.struct("batch", "section", "w")).alias("added"))
+    loose = rows.where("area_batch is null").join(added, ["project_id", "row_pos"], "left").join(lists, "project_id")
     schema = "project_id long, row_pos long, code string, batch long, reason string"
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row_pos")
-        first = group["batches"].iloc[0]
-        weight = {int(b["batch"]): float(b["w"]) for b in first}
+        weight = {int(b["batch"]): float(b["w"]) for b in group["batches"].iloc[0]}
         sections: dict[str, set[int]] = {}
-        for b in first:
+        for b in group["batches"].iloc[0]:
             for s in b["sections"]:
                 sections.setdefault(s, set()).add(int(b["batch"]))
+        light = lambda b: (round(weight[b], 6), b)
         out = []
         for r in group.itertuples():
+            for x in r.added if r.added is not None else ():
+                weight[int(x["batch"])] += float(x["w"])
+                sections.setdefault(x["section"], set()).add(int(x["batch"]))
             own = sections.get(r.section, set())
-            if not pd.isna(r.area_batch):
-                batch, reason = int(r.area_batch), BY_AREA
-            elif r.section == NA_SECTION:
-                batch, reason = (min(own), BY_ANCHOR) if own else (min(weight, key=lambda b: (weight[b], b)), FIRST_ANCHOR)
+            if r.section == NA_SECTION:
+                batch, reason = (min(own), BY_ANCHOR) if own else (min(weight, key=light), FIRST_ANCHOR)
             elif own:
-                batch, reason = min(own, key=lambda b: (weight[b], b)), BY_SECTION
+                batch, reason = min(own, key=light), BY_SECTION
             else:
-                batch, reason = min(weight, key=lambda b: (weight[b], b)), BY_WEIGHT
+                batch, reason = min(weight, key=light), BY_WEIGHT
             weight[batch] += 0.0 if pd.isna(r.weight) else float(r.weight)
             sections.setdefault(r.section, set()).add(batch)
             out.append((r.project_id, r.row_pos, r.code, batch, reason))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy("project_id").applyInPandas(run, schema)
+    by_area = placed.select("project_id", "row_pos", "code", F.col("area_batch").cast("long").alias("batch"), F.lit(BY_AREA).alias("reason"))
+    return by_area.unionByName(loose.drop("next", "area_batch").groupBy("project_id").applyInPandas(run, schema))

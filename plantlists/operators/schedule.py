@@ -2,60 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from .fuzzy import common_length, fuzzy_best_match, fuzzy_candidates, indel_ratio
 from .propagation import MONTHS, propagate_dates, propagation
 
 #: Holiday periods that go to every task, a few for each year.
 MAX_PERIODS = 10_000
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence; a bit of an integer for each place of a, so a character of b costs a few operations."""
-    places: dict[str, int] = {}
-    for k, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << k
-    whole = (1 << len(a)) - 1
-    row = whole
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = (row + hit | row - hit) & whole
-    return len(a) - row.bit_count()
-
-
-@F.pandas_udf(T.DoubleType())
-def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Rounded 100 * 2 * LCS / (la + lb), 100 for two empty texts, null for a null."""
-    out = [None if x is None or y is None else 100.0 if not x and not y else float(round(200 * common_length(x, y) / (len(x) + len(y)))) for x, y in zip(a, b, strict=True)]
-    return pd.Series(out, dtype="float64")
-
-
-def fuzzy_candidates(targets: DataFrame, candidates: DataFrame, threshold: float, max_broadcast_rows: int = 10_000) -> DataFrame:
-    """Pairs (project_id, target, row_pos, name, ratio) that reach the threshold.
-
-    Names compare trimmed and in lower case. Pairs meet on project_id and on the band of lengths that can still reach the threshold:
-    200 * least / (la + lb) >= threshold - 0.5. Targets are distinct names of a project; they are broadcast only if they are few.
-    """
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    t = targets.select("project_id", "target", low(F.col("target")).alias("a")).distinct()
-    c = candidates.select("project_id", "row_pos", "name", low(F.col("name")).alias("b"))
-    la, lb = F.length("a"), F.length("b")
-    able = (200.0 * F.least(la, lb) >= (threshold - 0.5) * (la + lb)) | ((la + lb) == 0)
-    if targets.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        t = F.broadcast(t)
-    return c.join(t, "project_id").where(able).withColumn("ratio", indel_ratio("a", "b")).where(F.col("ratio") >= threshold).select("project_id", "target", "row_pos", "name", "ratio")
-
-
-def fuzzy_best_match(targets: DataFrame, candidates: DataFrame, threshold: float = 95) -> DataFrame:
-    """Each target's candidate of the best ratio, the first one on ties."""
-    found = fuzzy_candidates(targets, candidates, threshold)
-    best = F.struct("ratio", (-F.col("row_pos")).alias("p"))
-    return found.groupBy("project_id", "target").agg(F.max_by(F.struct("row_pos", "name"), best).alias("m"), F.max("ratio").alias("ratio")).select("project_id", "target", "m.*", "ratio")
-
-
 def _month_day(text: Column, year: Column) -> Column:
     """The date of 'middle of June' (15th), 'end of June' (last day, 28 in February), or else the first; null without a month."""
     low = F.lower(text)

@@ -156,6 +156,17 @@ def d23(spark: SparkSession, d: str) -> DataFrame:
     return schedule.fuzzy_best_match(derived(spark, d, "customer", _TARGETS).distinct(), derived(spark, d, "customer", _NAMES), 90)
 
 
+_SUFFIXED = ["cast(c_nationkey % 5 as bigint) AS project_id", "c_custkey AS row_pos", "concat('Lot ', cast(c_custkey % 40 as string), ' ', c_mktsegment, ' - DTS', case c_custkey % 3 when 0 then ' (S)' when 1 then ' (T)' else '' end) AS name"]
+
+
+@_query("d23_repaired_match")
+def d23_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Names of (S) and (T) deliveries, some of which exist in one kind only."""
+    rows = derived(spark, d, "customer", _SUFFIXED)
+    targets = rows.where("row_pos % 4 = 0").selectExpr("project_id", "regexp_replace(name, '[(][ST][)]', case when row_pos % 2 = 0 then '(S)' else '(T)' end) AS target").distinct()
+    return schedule.fuzzy_best_match(targets, rows, 90, repair=True)
+
+
 _HOLIDAYS = [(1, "middle of July", "end of August", 2), (2, "middle of December", "end of December", 1), (3, "May", "middle of May", 1)]
 
 
@@ -282,6 +293,14 @@ def g2(spark: SparkSession, d: str) -> DataFrame:
     return batching.in_area_order(derived(spark, d, "supplier", _SCOPE), order=("UCA", "UAA")).select("project_id", "code", "place")
 
 
+_REMARKS = ["s_suppkey AS row_pos", "s_name AS code", "s_suppkey % 4 = 0 AS gone", "case when s_suppkey % 5 = 0 then 'See BQ not exist' when s_suppkey % 7 = 0 then 'SOLID handling support not in GP lot.' end AS note", "case when s_suppkey % 35 = 0 then 'solid handling support not in gp lot' else s_name end AS other"]
+
+
+@_query("p2_exclusions", f"""SELECT row_pos, concat_ws('; ', CASE WHEN gone THEN 'Deleted' END, CASE WHEN lower(coalesce(note, '') || '|' || other) LIKE '%bq not exist%' THEN 'BQ not exist' END, CASE WHEN lower(coalesce(note, '') || '|' || other) LIKE '%solid handling support not in gp lot%' THEN 'Solid handling not in GP' END) AS exclusion FROM ({derived_sql('supplier', _REMARKS)})""")
+def p2_exclusions(spark: SparkSession, d: str) -> DataFrame:
+    return batching.with_exclusions(derived(spark, d, "supplier", _REMARKS), "gone").select("row_pos", "exclusion")
+
+
 @_query("p2_integrate_missing")
 def p2(spark: SparkSession, d: str) -> DataFrame:
     scope = derived(spark, d, "supplier", ["s_suppkey AS row_pos", *_SCOPE])
@@ -298,6 +317,23 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
     return jobs.latest_comments(derived(spark, d, "events", _CHANGES))
 
 
+_TARGET = ["c_custkey AS id", "concat(case when c_custkey % 2 = 0 then ' GROUP ' else 'group ' end, cast(c_custkey % 12 as string), ' ') AS group_text", "case when c_custkey % 5 = 0 then null else c_mktsegment end AS comment"]
+
+
+@_query("t2_stream_replicate", f"""WITH l AS (SELECT lower(trim(group_text)) AS key, arg_max(comment, seq) AS c FROM ({derived_sql('events', _CHANGES)}) WHERE trim(group_text) NOT IN ('-', 'N/A', '') GROUP BY 1)
+SELECT id, group_text, CASE WHEN key IS NULL THEN comment WHEN c <> '' THEN c END AS comment FROM ({derived_sql('customer', _TARGET)}) LEFT JOIN l ON l.key = lower(trim(group_text))""")
+def t2_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Changes in three files, a batch each and not in the order of seq; the last batch runs twice."""
+    folder = f"{shared_folder(spark)}/replicate-{uuid.uuid4().hex}"
+    jobs.create_target(derived(spark, d, "customer", _TARGET), f"{folder}/target", 16)
+    changes = derived(spark, d, "events", _CHANGES)
+    for k in (1, 0, 2):
+        changes.where(f"seq % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/drop")
+    jobs.stream_replicate(spark, f"{folder}/drop", "group_text string, comment string, seq long", f"{folder}/target", f"{folder}/checkpoint", 16, 1).awaitTermination()
+    jobs.upsert_comments(changes.where("seq % 3 = 2"), 2, f"{folder}/target", 16)
+    return jobs.read_target(spark, f"{folder}/target").select("id", "group_text", "comment")
+
+
 @_query("t1_stream_ingest", "SELECT 'f' || (user_id % 20) AS filename, CAST(event_id % 5 AS INTEGER) AS page, count(*) AS rows, bool_or(event_id % 3 = 0) AS code_found, CASE WHEN bool_or(event_id % 3 = 0) THEN 'OK' ELSE 'NO CODE' END AS status FROM events GROUP BY 1, 2")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     """The stream over a drop folder of extracted rows, in the shared folder; the result is its page log."""

@@ -46,10 +46,75 @@ def replicated(target: DataFrame, latest: DataFrame) -> DataFrame:
     return joined.select("id", "group_text", F.when(F.col("_k").isNull(), F.col("comment")).otherwise(F.when(F.col("_c") != "", F.col("_c"))).alias("comment"))
 
 
-def stream_replicate(spark: SparkSession, changes: str, schema: str, store: str, checkpoint: str) -> StreamingQuery:
-    """A stream of change files keeps the table of latest comments: each batch adds a partition, readers take the last of all by seq."""
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        latest_comments(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store)
-
-    return spark.readStream.schema(schema).parquet(changes).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _buckets(target: DataFrame, buckets: int) -> DataFrame:
+    return target.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce(group_key("group_text"), F.lit(""))), F.lit(buckets)).cast("int"))
+
+
+def create_target(target: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write target rows (id, group_text, comment) as a table of hash buckets by group, which stream_replicate() keeps up to date."""
+    rows = _buckets(target.select("id", "group_text", "comment"), buckets).withColumn("seq", F.lit(None).cast("long"))
+    _written(rows, path, -1)
+
+
+def _written(rows: DataFrame, path: str, version: int) -> None:
+    rows = rows.withColumn("version", F.lit(version).cast("long")).repartition("bucket")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(bucket, version) of the folders of a target: two for each bucket at most."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket=*/version=*")
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder) or ()
+    return [tuple(int(x.split("=")[1]) for x in f.getPath().toString().rsplit("/", 2)[1:]) for f in found]
+
+
+def read_target(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The rows (id, group_text, comment, bucket, seq) of a target: each bucket's last version, or its last one before a batch."""
+    last: dict[int, int] = {}
+    for bucket, version in _versions(spark, path):
+        if before is None or version < before:
+            last[bucket] = max(version, last.get(bucket, version))
+    schema = "id long, group_text string, comment string, seq long, bucket int, version long"
+    rows = spark.read.schema(schema).parquet(path)
+    wanted = spark.createDataFrame(sorted(last.items()), "bucket int, version long")  # a row for each bucket
+    return rows.join(F.broadcast(wanted), ["bucket", "version"]).select("id", "group_text", "comment", "bucket", "seq")
+
+
+def upsert_comments(batch: DataFrame, batch_id: int, path: str, buckets: int = 64) -> None:
+    """The batch's last comment of each group to the target's rows of that group; an older one than a row has seen (by seq) changes nothing.
+
+    Only the buckets of the batch's groups are written, as versions of their own: a batch that runs again starts from the versions before it and writes the same again,
+    and a reader never sees a bucket that is half old. Older versions than the last two go.
+    """
+    spark = batch.sparkSession
+    latest = _buckets(latest_comments(batch).withColumnRenamed("key", "group_text"), buckets).select(F.col("group_text").alias("_k"), F.col("comment").alias("_c"), F.col("seq").alias("_s"), "bucket")
+    latest = latest.persist()
+    try:
+        touched = latest.select("bucket").distinct()  # as many as there are buckets at most
+        rows = read_target(spark, path, batch_id).join(F.broadcast(touched), "bucket", "left_semi")
+        joined = rows.join(latest.drop("bucket"), group_key("group_text") == F.col("_k"), "left")
+        newer = F.col("_k").isNotNull() & (F.col("seq").isNull() | (F.col("_s") >= F.col("seq")))
+        comment = F.when(newer, F.when(F.col("_c") != "", F.col("_c"))).otherwise(F.col("comment"))
+        _written(joined.select("id", "group_text", comment.alias("comment"), F.when(newer, F.col("_s")).otherwise(F.col("seq")).alias("seq"), "bucket"), path, batch_id)
+        _drop_old(spark, path, {r.bucket for r in touched.collect()})
+    finally:
+        latest.unpersist()
+
+
+def _drop_old(spark: SparkSession, path: str, touched: set[int]) -> None:
+    held: dict[int, list[int]] = {}
+    for bucket, version in _versions(spark, path):
+        held.setdefault(bucket, []).append(version)
+    for bucket in touched:
+        for version in sorted(held.get(bucket, ()))[:-2]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}/version={version}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+def stream_replicate(spark: SparkSession, changes: str, schema: str, target: str, checkpoint: str, buckets: int = 64, files: int = 1_000) -> StreamingQuery:
+    """A stream of change files (group_text, comment, seq) keeps a target of create_target() up to date, `files` files a batch at most."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        upsert_comments(batch, batch_id, target, buckets)
+
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(changes).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

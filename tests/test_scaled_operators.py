@@ -11,7 +11,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from plantlists.operators import compare, propagation, ranges, schedule, search, spatial, welds
+from plantlists.operators import compare, fuzzy, propagation, ranges, schedule, search, spatial, welds
 
 
 @pytest.fixture
@@ -201,3 +201,43 @@ def test_later_anchor(spark) -> None:
     assert found == {
         1: (dt.date(2024, 1, 2), "Anchor = Pipes S [02/01/2024] (later than Hangers H [02/01/2024])"), 2: (dt.date(2024, 3, 1), "Anchor = Pipes T [01/03/2024] (later than Hangers H [01/01/2024])"), 3: (dt.date(2024, 5, 1), "Anchor = Hangers H2 [01/05/2024] (only date)"),
     }
+
+
+def ratio(a: str, b: str) -> float:
+    a, b = a.strip().lower(), b.strip().lower()
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    return float(round(200 * row[-1] / (len(a) + len(b)))) if a or b else 100.0
+
+
+@pytest.mark.parametrize("threshold", [30, 70, 90, 97])
+def test_fuzzy_candidates(spark, threshold: int) -> None:
+    """All pairs that reach the threshold, from short texts on."""
+    rng = random.Random(threshold)
+    word = lambda: rng.choice(["pipe", "Pipes", "valve", "lot", "x", "ab", "é", "hanger (S)", "hanger (T)"])
+    name = lambda: " ".join(word() for _ in range(rng.randrange(0, 6)))
+    names, targets = [(k % 2, k, name()) for k in range(150)] + [(0, 900, None)], [(k % 2, name()) for k in range(40)] + [(3, "alone")]
+    found = Counter((r.project_id, r.target, r.row_pos, r.ratio) for r in schedule.fuzzy_candidates(spark.createDataFrame(targets, "project_id long, target string"), spark.createDataFrame(names, "project_id long, row_pos long, name string"), threshold).collect())
+    assert found == Counter((p, t, k, ratio(t, n or "")) for p, t in set(targets) for q, k, n in names if p == q and ratio(t, n or "") >= threshold)
+    pairs = fuzzy.candidate_pairs(spark.createDataFrame([(0, t) for _, t in targets], "project_id long, text string"), spark.createDataFrame([(0, n) for _, _, n in names], "project_id long, text string"), threshold).count()
+    everything = len({t for _, t in targets}) * len({n for _, _, n in names})
+    assert pairs < everything * (0.3 if threshold >= 90 else 1.01)
+
+
+def test_suffixes_are_repaired(spark) -> None:
+    targets = [(1, "Lot Pipe DTS (S)"), (1, "Lot Hanger DTS (T)"), (1, "Lot Valve DTS (S)")]
+    names = [(1, 1, "Lot Pipe DTS (T)"), (1, 2, "Lot Pipes for DTS (S)"), (1, 3, "Lot Hanger DTS (S)"), (1, 4, "Lot Hanger DTS (S) (T)"), (1, 5, "Lot Valve DTS (T)")]
+    found = {r.target: (r.row_pos, r.ratio) for r in schedule.fuzzy_best_match(spark.createDataFrame(targets, "project_id long, target string"), spark.createDataFrame(names, "project_id long, row_pos long, name string"), 90, repair=True).collect()}
+    expected = {}
+    for _, t in targets:
+        best = max(((ratio(t, n), -k, n) for _, k, n in names if ratio(t, n) >= 90), default=None)
+        own, other = (" (S)", " (T)") if " (S)" in t else (" (T)", " (S)")
+        if best and other in best[2] and own not in best[2]:
+            best = max(((ratio(t, n), -k, n) for _, k, n in names if own in n and other not in n and ratio(t, n) >= 70), default=best)
+        if best:
+            expected[t] = (-best[1], best[0])
+    assert found == expected and found["Lot Pipe DTS (S)"][0] == 2

@@ -178,7 +178,7 @@ def test_batch_queries(spark) -> None:
         weight = own.assign(weight=own["weight"].fillna(0.0)).groupby("batch")["weight"].sum().to_dict()
         area = own.groupby("working_area")["batch"].min().to_dict()
         sections = {s: set(b) for s, b in own.groupby("section")["batch"]}
-        lightest = lambda among: min(among, key=lambda b: (weight[b], b))  # noqa: E731,B023
+        lightest = lambda among: min(among, key=lambda b: (round(weight[b], 6), b))  # noqa: E731,B023
         for r in rows.itertuples():
             near = sections.get(r.section, set())
             expected = (area[r.working_area], batching.BY_AREA) if r.working_area in area else (lightest(near), batching.BY_SECTION) if near else (lightest(weight), batching.BY_WEIGHT)
