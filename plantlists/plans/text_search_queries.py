@@ -171,10 +171,46 @@ def l4(spark: SparkSession, d: str) -> DataFrame:
     return layout.drawing_fields(entities(spark, d))
 
 
-@_query("l5_extraction_summary", "WITH r AS (SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS file, s_suppkey AS k FROM supplier) SELECT file, count_if(k % 7 <> 0 AND 900 - k % 20 * 40 > 10) AS mat_rows, 2 * count(*) AS cut_rows, false AS cut_missing FROM r GROUP BY 1")
+# tables with a two-row header: words of a header, and cells of parts, each at a place of its own; some cells are missing, some drawings have their columns in another order
+_TABLES = [
+    "cast(floor(s_suppkey / 20) as bigint) AS file", "s_suppkey AS k", "900 - s_suppkey % 20 * 40 AS y", "case when floor(s_suppkey / 20) % 2 = 0 then 200 else 300 end AS xs", "case when floor(s_suppkey / 20) % 2 = 0 then 300 else 200 end AS xw", "s_suppkey % 20 = 0 AS top",
+]
+_TABLE_CELLS = (
+    ("top", "'MATERIALS'", "100", "1000"), ("top", "'PT'", "101", "960"), ("top", "'NO'", "103", "950"), ("top", "'COMPONENT'", "150", "960"), ("top", "'DESCRIPTION'", "148", "950"), ("top", "'N.S.'", "xs", "960"), ("top", "'(MM)'", "xs + 4", "950"),
+    ("top", "'QTY'", "250", "960"), ("top", "'WEIGHT'", "xw", "960"), ("top", "'(KG)'", "xw - 3", "950"), ("top", "'TOTAL WEIGHT'", "120", "100"),
+    ("k % 7 = 0", "'FITTINGS'", "101", "y + 20"), ("true", "cast(k as string)", "101", "y"), ("k % 3 <> 0", "'Elbow'", "140", "y"), ("k % 3 <> 0", "'90'", "160", "y + 0.02"), ("k % 5 <> 0", "'50'", "xs + k % 9", "y"),
+    ("k % 4 <> 0", "'3'", "252", "y"), ("true", "'1.5'", "xw - k % 11", "y"),
+)
+_TABLE_SQL = "e AS (" + " UNION ALL ".join(f"SELECT file, {t} AS text, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM h WHERE {w}" for w, t, x, y in _TABLE_CELLS) + ")"
+
+
+def headed_entities(spark: SparkSession, d: str) -> DataFrame:
+    cells = F.expr("array(" + ", ".join(f"case when {w} then struct({t} AS text, cast({x} as double) AS x, cast({y} as double) AS y) end" for w, t, x, y in _TABLE_CELLS) + ")")
+    return derived(spark, d, "supplier", _TABLES).select("file", F.inline(F.array_compact(cells)))
+
+
+@_query("l2_headed_materials", rf"""WITH h AS ({derived_sql('supplier', _TABLES)}), {_TABLE_SQL},
+b AS (SELECT e.file, e.text, e.x, round(e.y, 1) AS y FROM e JOIN (SELECT file, x, y FROM e WHERE text = 'MATERIALS') t ON t.file = e.file AND e.y < t.y AND e.x >= t.x - 1),
+top AS (SELECT file, list_sort(list(DISTINCT y), 'DESC')[1:2] AS y FROM b GROUP BY 1),
+one AS (SELECT b.file, b.x, b.text FROM b JOIN top ON top.file = b.file AND b.y = top.y[1]), two AS (SELECT b.file, b.x, b.text FROM b JOIN top ON top.file = b.file AND b.y = top.y[2]),
+near AS (SELECT two.file, two.text, arg_min(one.x, abs(one.x - two.x)) AS home FROM two JOIN one ON one.file = two.file AND abs(one.x - two.x) <= 12 GROUP BY two.file, two.text, two.x),
+label AS (SELECT one.file, one.x, regexp_replace(one.text || coalesce(near.text, ''), '[^A-Za-z0-9]', '', 'g') AS label FROM one LEFT JOIN near ON near.file = one.file AND near.home = one.x),
+col AS (SELECT file, CASE label WHEN 'PTNO' THEN 'pt_no' WHEN 'COMPONENTDESCRIPTION' THEN 'description' WHEN 'NSMM' THEN 'n_s' WHEN 'QTY' THEN 'qty' WHEN 'WEIGHTKG' THEN 'weight' END AS name, coalesce((lag(x) OVER w + x) / 2, -1e9) AS lo, coalesce((lead(x) OVER w + x) / 2, 1e9) AS hi FROM label WINDOW w AS (PARTITION BY file ORDER BY x)),
+r AS (SELECT b.file, b.y, name, b.x, b.text FROM b JOIN top ON top.file = b.file AND b.y < top.y[2] JOIN (SELECT file, y FROM b WHERE text = 'TOTAL WEIGHT') s ON s.file = b.file AND b.y > s.y JOIN col ON col.file = b.file AND b.x >= lo AND b.x < hi),
+g AS (SELECT file, y, arg_min(text, x) AS first, {', '.join(f"coalesce(string_agg(text, ' ' ORDER BY x) FILTER (name = '{c}'), '') AS {c}" for c in ('pt_no', 'description', 'n_s', 'qty', 'weight'))} FROM r GROUP BY 1, 2),
+f AS (SELECT *, coalesce(last_value(CASE WHEN first = 'FITTINGS' THEN first END IGNORE NULLS) OVER (PARTITION BY file ORDER BY y DESC), '') AS category FROM g)
+SELECT file, y, category, pt_no, description AS component_description, n_s, qty, weight FROM f WHERE regexp_full_match(pt_no, '\d+')""")
+def l2_headed(spark: SparkSession, d: str) -> DataFrame:
+    return layout.materials_table(headed_entities(spark, d))
+
+
+@_query("l5_extraction_summary", """WITH r AS (SELECT CAST(floor(s_suppkey / 20) AS BIGINT) AS file, s_suppkey AS k FROM supplier) SELECT file, count_if(k % 7 <> 0 AND 900 - k % 20 * 40 > 10) AS mat_rows, 2 * count(*) AS cut_rows, false AS cut_missing, CASE WHEN file % 3 = 0 THEN 'damaged' ELSE '' END AS error FROM r GROUP BY 1
+UNION ALL SELECT -1 - file, 0, 0, true, 'no reader' FROM (SELECT DISTINCT CAST(floor(s_suppkey / 20) AS BIGINT) AS file FROM supplier) WHERE file % 5 = 0""")
 def l5(spark: SparkSession, d: str) -> DataFrame:
     e = entities(spark, d)
-    return layout.extraction_summary(e, layout.materials_table(e), layout.cut_length_table(e), layout.drawing_fields(e)).select("file", "mat_rows", "cut_rows", "cut_missing")
+    errors = e.select("file").distinct().selectExpr("inline(array(struct(file AS file, case when file % 3 = 0 then 'damaged' end AS error), struct(-1 - file AS file, case when file % 5 = 0 then 'no reader' end AS error)))").where("error is not null")
+    found = layout.extraction_summary(e, layout.materials_table(e), layout.cut_length_table(e), layout.drawing_fields(e), errors)
+    return found.select("file", "mat_rows", "cut_rows", "cut_missing", "error")
 
 
 @_query("f8_forward_fill", f"SELECT row_pos, last_value(v IGNORE NULLS) OVER (PARTITION BY file ORDER BY row_pos ROWS UNBOUNDED PRECEDING) AS filled FROM (SELECT {ROW}, l_suppkey AS file, CASE WHEN l_linenumber % 3 = 0 THEN l_partkey END AS v FROM lineitem)")
