@@ -219,6 +219,18 @@ def cut_plan(pieces: DataFrame, bar_mm: int | None = None) -> DataFrame:
     return _runs(pieces).select("item_number", "coating", "bar_mm", "runs").mapInPandas(plan, "item_number long, coating string, bar long, length long, n long, used_mm long, left_mm long, too_long boolean")
 
 
+def cut_summary(pieces: DataFrame) -> DataFrame:
+    """E5: by group: pieces, bars (by first-fit) and ordered ones, net length, kerf loss (KERF_MM a piece), used and total length, what is left of it, efficiency in percent, and a warning for pieces longer than a bar."""
+    pieces = pieces.where("n > 0")
+    sums = pieces.groupBy("item_number", "coating").agg(F.sum("n").alias("pieces"), F.max("cut_mm").alias("longest"))
+    g = pack_bars(pieces).drop("row_pos", "weight").join(sums, ["item_number", "coating"])
+    ordered = F.ceil(F.col("n_bars") * F.lit(ORDER_FACTOR)).cast("long")
+    g = g.withColumns({"ordered_bars": ordered, "kerf_loss_mm": F.col("pieces") * KERF_MM, "total_mm": ordered * F.col("bar_mm")}).withColumn("used_mm", F.col("net_mm") + F.col("kerf_loss_mm"))
+    efficiency = F.round(F.col("used_mm") * 100.0 / F.col("total_mm"), 1)
+    warning = F.when(F.col("longest") > F.col("bar_mm"), "piece longer than a bar").otherwise("")
+    return g.select("item_number", "coating", "label", "pieces", F.col("n_bars").alias("bars"), "ordered_bars", "net_mm", "kerf_loss_mm", "used_mm", "total_mm", (F.col("total_mm") - F.col("used_mm")).alias("left_mm"), efficiency.alias("efficiency_pct"), warning.alias("warning"))
+
+
 def tape_rolls(rows: DataFrame) -> DataFrame:
     """Glass fabric tape: metres x 1.30 in rolls of 10 m, weights by density."""
     n = F.greatest(F.coalesce("qty", F.lit(0)), F.lit(0))

@@ -6,9 +6,9 @@ coating of its own.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,6 +94,60 @@ def cell_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: S
     return pairs.select(*keys, "occ", F.inline(cells)).withColumn("change", _change(F.col("old"), F.col("new"), False)).where("change is not null")
 
 
+def _text(c: str) -> Column:
+    return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+
+
+def compare_sheet(old: DataFrame, new: DataFrame, columns: Sequence[str], keys: int = 4) -> DataFrame:
+    """D2, style `sheet`: one row per pair of rows of two sheets with the same columns, in order: key columns, occ, marker, qty_change.
+
+    The key is the first columns; cells compare as trimmed texts. marker is New Row, Deleted Row, or the kinds found, of Deleted, Smaller (both numbers, the new one less), Changed
+    and Added in this order; a Smaller cell takes a Changed back that stands left of it. The quantity is the first column with qty or quantity in its name
+    after one with spare, else the last such one; qty_change is null for no change and for texts.
+    """
+    key, low = list(columns[:keys]), [c.lower() for c in columns]
+    is_quantity = ["qty" in c or "quantity" in c for c in low]
+    spare = next((k for k, c in enumerate(low) if "spare" in c), len(low))
+    quantity = next((c for k, c in enumerate(columns) if is_quantity[k] and k > spare), next((c for k, c in reversed(list(enumerate(columns))) if is_quantity[k]), None))
+    texts = lambda df: df.select("row_pos", *(_text(c).alias(c) for c in columns))
+    pairs = pair_positional(texts(old), texts(new), key)
+    kinds = []
+    for c in columns[keys:]:
+        a, b = F.col(f"old_{c}"), F.col(f"new_{c}")
+        smaller = b.try_cast("double") < a.try_cast("double")
+        kinds.append(F.when(a == b, F.lit(None).cast("string")).when(a == "", "Added").when(b == "", "Deleted").when(smaller, "Smaller").otherwise("Changed"))
+    found = F.array(*kinds) if kinds else F.array().cast("array<string>")
+    last = lambda kind: F.size(found) - F.array_position(F.reverse(found), kind)
+    changed = F.array_contains(F.array_compact(found), "Changed") & (~F.array_contains(F.array_compact(found), "Smaller") | (last("Changed") > last("Smaller")))
+    has = lambda kind: F.when(changed if kind == "Changed" else F.array_contains(F.array_compact(found), kind), kind)
+    marker = F.when(~F.col("in_old"), "New Row").when(~F.col("in_new"), "Deleted Row").otherwise(F.concat_ws(", ", *map(has, ("Deleted", "Smaller", "Changed", "Added"))))
+    amount = lambda n: F.when(F.coalesce(F.col(f"{n}_{quantity}"), F.lit("")) == "", 0.0).otherwise(F.col(f"{n}_{quantity}").try_cast("double"))
+    delta = F.round(amount("new") - amount("old"), 6) if quantity and quantity not in key else F.lit(None).cast("double")
+    return pairs.select(*key, "occ", marker.alias("marker"), F.when(delta != 0, delta).alias("qty_change"))
+
+
+def list_key(c: Column) -> Column:
+    """A number of a list as text: texts stay as they are, leading zeros too, whole numbers lose their decimals, null is ''."""
+    return F.coalesce(F.regexp_replace(c.cast("string"), r"^(\d+)\.0$", "$1"), F.lit(""))
+
+
+def compare_list(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """D2, style `list`: one row per pair of rows of an id (list_key()), in order: id, occ, marker, duplicate, comments.
+
+    marker is Added or Deleted for rows of one side, else the kinds of the changed cells, of Deleted, Changed, Added in this order; a row all of whose cells are new is Added. duplicate
+    tells whether the id comes several times on a side. comments: the changed cells as 'column: old value', '(empty)' for none, in the order of the columns.
+    """
+    texts = lambda df: df.select("row_pos", list_key(F.col(key)).alias(key), *(_text(c).alias(c) for c in columns))
+    a, b = texts(old), texts(new)
+    several = a.groupBy(key).agg(F.count("*").alias("n")).union(b.groupBy(key).agg(F.count("*").alias("n"))).where("n > 1").select(F.col(key).alias("_several")).distinct()
+    pairs = pair_positional(a, b, [key]).join(several, F.col(key) == F.col("_several"), "left")
+    kinds = {c: _change(F.col(f"old_{c}"), F.col(f"new_{c}"), False) for c in columns}
+    found = F.array_compact(F.array(*kinds.values()))
+    marker = F.when(~F.col("in_old"), "Added").when(~F.col("in_new"), "Deleted").otherwise(F.concat_ws(", ", *(F.when(F.array_contains(found, k), k) for k in ("Deleted", "Changed", "Added"))))
+    was = [F.when(k.isNotNull() & F.col("in_old") & F.col("in_new"), F.concat(F.lit(f"{c}: "), F.when(F.col(f"old_{c}") == "", "(empty)").otherwise(F.col(f"old_{c}")))) for c, k in kinds.items()]
+    return pairs.select(key, "occ", marker.alias("marker"), F.col("_several").isNotNull().alias("duplicate"), F.array_compact(F.array(*was)).alias("comments"))
+
+
 def enrich_status(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """New with status columns filled, by positional match, from old where new has none. Key columns must not be empty."""
     if not columns:
@@ -137,18 +191,52 @@ def reconcile_articles(base: DataFrame, update: DataFrame, only_differences: boo
     return out.where("delta <> 0") if only_differences else out
 
 
-def reconcile_rules(a: DataFrame, b: DataFrame, rules: Sequence[tuple[str, Sequence[str], str]]) -> DataFrame:
-    """For each rule (name, keys, quantity column): rule, key, status (only in A, only in B, Mismatch), qty_a, qty_b, rows_a, rows_b. Equal keys are left out."""
+Rule = tuple[str, Sequence[str], str | None]
+
+
+def rolled_up(rules: Sequence[Rule], name: str = "Cut List") -> list[Rule]:
+    """The rules and, after the one of that name, a rule by its first key alone."""
+    return [r for rule in rules for r in ([rule, (f"{name} by item", rule[1][:1], rule[2])] if rule[0] == name else [rule])]
+
+
+def _reconciled(a: DataFrame, b: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """All keys of both sides by rule, with status; a rule without a quantity compares the numbers of rows only."""
     out = None
     for name, keys, quantity in rules:
-        total = lambda df, n: df.groupBy(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).alias("key")).agg(F.sum(quantity).alias(f"qty_{n}"), F.count("*").alias(f"rows_{n}"))  # noqa: E731,B023
+        key = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).alias("key")
+        amount = F.sum(quantity) if quantity else F.lit(None).cast("double")
+        total = lambda df, n: df.groupBy(key).agg(amount.alias(f"qty_{n}"), F.count("*").alias(f"rows_{n}"))  # noqa: E731,B023
         both = total(a, "a").join(total(b, "b"), "key", "full_outer")
-        status = F.when(F.col("rows_b").isNull(), "only in A").when(F.col("rows_a").isNull(), "only in B").when((F.abs(F.col("qty_a") - F.col("qty_b")) > 1e-9) | (F.col("rows_a") != F.col("rows_b")), "Mismatch")
-        part = both.withColumn("status", status).where("status is not null").select(F.lit(name).alias("rule"), "key", "status", "qty_a", "qty_b", F.coalesce("rows_a", F.lit(0)).alias("rows_a"), F.coalesce("rows_b", F.lit(0)).alias("rows_b"))
+        differs = (F.abs(F.col("qty_a") - F.col("qty_b")) > 1e-9) | (F.col("rows_a") != F.col("rows_b"))
+        status = F.when(F.col("rows_b").isNull(), "only in A").when(F.col("rows_a").isNull(), "only in B").when(differs, "Mismatch").otherwise("Match")
+        part = both.select(F.lit(name).alias("rule"), "key", status.alias("status"), "qty_a", "qty_b", F.coalesce("rows_a", F.lit(0)).alias("rows_a"), F.coalesce("rows_b", F.lit(0)).alias("rows_b"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def reconcile_rules(a: DataFrame, b: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """For each rule (name, keys, quantity column or None): rule, key, status (only in A, only in B, Mismatch), qty_a, qty_b, rows_a, rows_b. Equal keys are left out."""
+    return _reconciled(a, b, rules).where("status <> 'Match'")
+
+
+def reconcile_statistics(a: DataFrame, b: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """For each rule the numbers of keys only_a, only_b, mismatch and match."""
+    n = {"only_a": "only in A", "only_b": "only in B", "mismatch": "Mismatch", "match": "Match"}
+    return _reconciled(a, b, rules).groupBy("rule").agg(*(F.count_if(F.col("status") == status).alias(c) for c, status in n.items()))
+
+
+#: What a scope hint says (own wording): all names only in A lack the suffix, some do, none does.
+SCOPE_HINTS = ("all names only in A lack the suffix: A has more scope", "some names only in A lack the suffix: A may have more scope", "no pattern of the suffix")
+
+
+def scope_hint(differences: DataFrame, rule: str = "Support List", suffix: str = "/SU") -> DataFrame:
+    """D5, one row: only_a, the keys of a rule that only A has, those of them without the suffix, and what that hints at."""
+    names = differences.where((F.col("rule") == rule) & (F.col("status") == "only in A") & (F.trim("key") != ""))
+    one = names.agg(F.count("*").alias("only_a"), F.count_if(~F.col("key").endswith(suffix)).alias("without_suffix"))
+    hint = F.when((F.col("only_a") > 0) & (F.col("only_a") == F.col("without_suffix")), SCOPE_HINTS[0]).when(F.col("without_suffix") > 0, SCOPE_HINTS[1]).otherwise(SCOPE_HINTS[2])
+    return one.withColumn("hint", hint)
+
+
 def diff_order(df: DataFrame) -> DataFrame:
     """Mismatches first, then by row and quantity differences, larger ones first."""
     rows = F.abs(F.col("rows_a") - F.col("rows_b"))
@@ -301,6 +389,23 @@ def balance_sets(status: DataFrame, final: DataFrame, deductions: Sequence[DataF
     return expected.subtract(got).withColumn("side", F.lit("missing in final")).unionByName(got.subtract(expected).withColumn("side", F.lit("unexpected in final")))
 
 
+def balance_summary(status: DataFrame, final: DataFrame, deductions: Mapping[str, DataFrame]) -> DataFrame:
+    """(metric, value) of balance_sets(): the codes of status and final, those of status in each deduction and in any, expected, both differences, and sets_match (1 or 0)."""
+    flag = lambda df, name: df.select("code").distinct().select("code", F.lit(True).alias(name))
+    rows = flag(status, "status").join(flag(final, "final"), "code", "full")
+    names = {f"d{k}": name for k, name in enumerate(deductions)}
+    for c, df in zip(names, deductions.values(), strict=True):
+        rows = rows.join(flag(df, c), "code", "left")
+    is_in = lambda c: F.coalesce(F.col(c), F.lit(False))
+    deducted = reduce(or_, map(is_in, names), F.lit(False))
+    expected = is_in("status") & ~deducted
+    counts = {"status": is_in("status"), "final": is_in("final"), **{f"deducted: {name}": is_in("status") & is_in(c) for c, name in names.items()}, "deducted": is_in("status") & deducted, "expected": expected, "missing in final": expected & ~is_in("final"), "unexpected in final": is_in("final") & ~expected}
+    one = rows.agg(*(F.count_if(x).alias(f"m{k}") for k, x in enumerate(counts.values())))
+    metrics = [F.struct(F.lit(name).alias("metric"), F.col(f"m{k}").alias("value")) for k, name in enumerate(counts)]
+    match = ((F.col(f"m{len(counts) - 2}") + F.col(f"m{len(counts) - 1}")) == 0).cast("long")
+    return one.select(F.inline(F.array(*metrics, F.struct(F.lit("sets match").alias("metric"), match.alias("value")))))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str], remark: str) -> DataFrame:
     """Keys with more than one row, and whether any of them has a 'special' remark."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.lower(remark).contains("special")), F.lit(False)).alias("special")).where("n > 1")

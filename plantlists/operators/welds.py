@@ -102,13 +102,15 @@ def components_at_ends(components: DataFrame, branches: DataFrame, tolerance: fl
     return both.withColumn("distance", F.round(distance, 3)).where(F.col("distance") <= F.coalesce("length", F.lit(0.0)) / 2 + tolerance).select("file", "branch", "side", "con", "seq", "type", "distance")
 
 
-def end_statistics(ends: DataFrame) -> DataFrame:
-    """Of components_at_ends() by file, side and type: how many, how often the nearest one at its end, how many at BWD ends, mean and greatest distance."""
-    nearest = ends.groupBy("file", "branch", "side").agg(F.min(F.struct("distance", "seq")).alias("best"))
-    rows = ends.join(nearest, ["file", "branch", "side"])
-    first = (F.col("distance") == F.col("best.distance")) & (F.col("seq") == F.col("best.seq"))
-    numbers = {"n": F.count("*"), "nearest": F.count_if(first), "at_bwd": F.count_if(F.coalesce("con", F.lit("")) == "BWD"), "mean_distance": F.round(F.avg("distance"), 3), "max_distance": F.max("distance")}
-    return rows.groupBy("file", "side", "type").agg(*(v.alias(n) for n, v in numbers.items()))
+def end_statistics(branches: DataFrame, ends: DataFrame) -> DataFrame:
+    """D20, by file: BWD heads, tails and both; components_at_ends() at heads, at tails, at BWD heads and tails, and all."""
+    bwd = lambda c: F.count_if(F.coalesce(c, F.lit("")) == "BWD")
+    open_ends = branches.groupBy("file").agg(bwd("hcon").alias("bwd_heads"), bwd("tcon").alias("bwd_tails"))
+    at = lambda side: F.col("side") == side
+    welded = F.coalesce("con", F.lit("")) == "BWD"
+    numbers = {"at_heads": at("HEAD"), "at_tails": at("TAIL"), "at_bwd_heads": at("HEAD") & welded, "at_bwd_tails": at("TAIL") & welded, "at_ends": F.lit(True)}
+    found = ends.groupBy("file").agg(*(F.count_if(x).alias(n) for n, x in numbers.items()))
+    return open_ends.join(found, "file", "left").fillna(0, list(numbers)).withColumn("bwd_ends", F.col("bwd_heads") + F.col("bwd_tails"))
 
 
 def bwd_report(branches: DataFrame, ends: DataFrame) -> DataFrame:

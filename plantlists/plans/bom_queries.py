@@ -85,6 +85,15 @@ def e5(spark: SparkSession, d: str) -> DataFrame:
     return plan.groupBy("item_number", "coating", "length").agg(F.sum("n").alias("n"), F.bool_or("too_long").alias("too_long"))
 
 
+@_query("e5_cut_summary", f"""WITH {_R} SELECT item_number, coating, CAST(sum(greatest(qty, 0)) AS BIGINT) AS pieces, CAST(sum(cut_length_mm * greatest(qty, 0)) AS BIGINT) AS net_mm, CAST(sum(greatest(qty, 0)) * 3 AS BIGINT) AS kerf_loss_mm, CAST(sum((cut_length_mm + 3) * greatest(qty, 0)) AS BIGINT) AS used_mm,
+  true AS adds_up, CASE WHEN max(cut_length_mm) FILTER (qty > 0) > 6000 THEN 'long' ELSE '' END AS warning FROM r WHERE route = 'beam' GROUP BY 1, 2 HAVING sum(greatest(qty, 0)) > 0""")
+def e5_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Sums by SQL; bars come from packing, so what they give has to add up."""
+    g = bom.cut_summary(bom.pieces_of(bom.routed(raw(spark, d)), "beam"))
+    whole = (F.col("total_mm") == F.col("used_mm") + F.col("left_mm")) & (F.col("efficiency_pct") <= 100) & (F.col("ordered_bars") >= F.col("bars"))
+    return g.select("item_number", "coating", "pieces", "net_mm", "kerf_loss_mm", "used_mm", whole.alias("adds_up"), F.when(F.col("warning") != "", "long").otherwise("").alias("warning"))
+
+
 @_query("e6_tape_rolls", f"""WITH {_R}, g AS (SELECT item_number, coating, round(sum(cut_length_mm * qty) / 1000, 3) AS m FROM r WHERE route = 'tape' GROUP BY 1, 2)
 SELECT item_number AS article_number, coating, CAST(ceil(m / 10) AS BIGINT) AS qty, CAST(ceil(m * CAST(1.30 AS DOUBLE) / 10) AS BIGINT) AS order_qty, m AS net_cut_length_m, round(0.26 * ceil(m * CAST(1.30 AS DOUBLE) / 10) * 10, 2) AS kg FROM g""")
 def e6(spark: SparkSession, d: str) -> DataFrame:

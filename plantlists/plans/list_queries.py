@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import compare, predicates
 from .shared import Query, derived, derived_sql, table
@@ -120,6 +121,25 @@ def d5(spark: SparkSession, d: str) -> DataFrame:
     return compare.reconcile_rules(*_rule_sides(spark, d), _RULES)
 
 
+_CUT_RULES = [("Cut List", ["part", "flag"], "qty"), ("Support List", ["supp"], None)]
+_ROLLED = " UNION ALL ".join(f"SELECT '{name}' AS rule, * FROM ({sql})" for name, sql in (
+    (name, f"SELECT key, CASE WHEN rows_b IS NULL THEN 'a' WHEN rows_a IS NULL THEN 'b' WHEN rows_a <> rows_b{' OR abs(qa - qb) > 1e-9' if q else ''} THEN 'x' ELSE 'm' END AS s FROM (SELECT {key} AS key, sum(qty) AS qa, count(*) AS rows_a FROM ({derived_sql('lineitem', OLD, 'l_orderkey % 7 <> 0 OR l_partkey % 4 = 1')}) GROUP BY 1) FULL JOIN (SELECT {key} AS key, sum(qty) AS qb, count(*) AS rows_b FROM ({derived_sql('lineitem', OLD, 'l_orderkey % 7 <> 1 OR l_partkey % 4 = 1')}) GROUP BY 1) USING (key)")
+    for name, key, q in (("Cut List", "concat_ws('|', part, flag)", True), ("Cut List by item", "CAST(part AS VARCHAR)", True), ("Support List", "CAST(supp AS VARCHAR)", False))
+))
+
+
+@_query("d5_reconcile_statistics", f"SELECT rule, count_if(s = 'a') AS only_a, count_if(s = 'b') AS only_b, count_if(s = 'x') AS mismatch, count_if(s = 'm') AS match FROM ({_ROLLED}) GROUP BY 1")
+def d5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return compare.reconcile_statistics(*_rule_sides(spark, d), compare.rolled_up(_CUT_RULES))
+
+
+@_query("d5_scope_hint", f"""WITH n AS (SELECT DISTINCT CASE WHEN l_partkey % 3 = 0 THEN l_orderkey || '/SU' ELSE CAST(l_orderkey AS VARCHAR) END AS key FROM lineitem), m AS (SELECT DISTINCT CASE WHEN l_partkey % 3 = 0 THEN l_orderkey || '/SU' ELSE CAST(l_orderkey AS VARCHAR) END AS key FROM lineitem WHERE l_quantity < 40),
+o AS (SELECT key FROM n EXCEPT SELECT key FROM m) SELECT count(*) AS only_a, count_if(NOT ends_with(key, '/SU')) AS without_suffix, 'some names only in A lack the suffix: A may have more scope' AS hint FROM o""")
+def d5_hint(spark: SparkSession, d: str) -> DataFrame:
+    side = lambda where: derived(spark, d, "lineitem", ["case when l_partkey % 3 = 0 then concat(cast(l_orderkey as string), '/SU') else cast(l_orderkey as string) end AS structure"], where)
+    return compare.scope_hint(compare.reconcile_rules(side("true"), side("l_quantity < 40"), [("Support List", ["structure"], None)]))
+
+
 @_query("g5_diff_order", f"SELECT key, status FROM ({_rule_sql('part', 'CAST(part AS VARCHAR)')})")
 def g5(spark: SparkSession, d: str) -> DataFrame:
     return compare.diff_order(compare.reconcile_rules(*_rule_sides(spark, d), _RULES[1:])).select("key", "status")
@@ -141,12 +161,12 @@ _PO = [ROW, "concat(' pipe ', cast(l_partkey as string)) AS description", "l_qua
 
 
 @_query("d7_reconcile_po_bom", f"""
-WITH a AS (SELECT trim(description) AS description, arg_min({{'q': qty, 'w': weight}}, row_pos) AS x FROM ({derived_sql('lineitem', _PO, "l_orderkey % 3 = 0")}) GROUP BY 1),
-b AS (SELECT trim(description) AS description, arg_min({{'q': qty, 'w': weight}}, row_pos) AS x FROM ({derived_sql('lineitem', _PO, "l_orderkey % 3 = 1 OR l_partkey % 3 = 1")}) GROUP BY 1),
+WITH a AS (SELECT trim(description) AS description, arg_min({{'q': qty, 'w': weight}}, row_pos) AS x FROM ({derived_sql('lineitem', _PO, "l_orderkey % 3 <> 1")}) GROUP BY 1),
+b AS (SELECT trim(description) AS description, arg_min({{'q': qty, 'w': weight}}, row_pos) AS x FROM ({derived_sql('lineitem', _PO, "l_orderkey % 3 <> 0 OR l_partkey % 3 = 1")}) GROUP BY 1),
 j AS (SELECT coalesce(a.description, b.description) AS description, a.x.q AS pq, b.x.q AS bq, b.x.w AS bw, round(coalesce(b.x.q, 0) - coalesce(a.x.q, 0), 2) AS dq, round(coalesce(b.x.w, 0) - coalesce(a.x.w, 0), 2) AS dw FROM a FULL JOIN b ON a.description = b.description)
 SELECT description, CASE WHEN pq IS NULL THEN 'New' WHEN bq IS NULL THEN 'Removed' WHEN dq <> 0 OR dw <> 0 THEN 'Changed' ELSE 'Same' END AS status, CASE WHEN dq <> 0 THEN dq END AS qty_diff, CASE WHEN dw <> 0 THEN dw END AS weight_diff, CASE WHEN bw IS NULL AND bq IS NOT NULL THEN 'no weight' END AS note FROM j""")
 def d7(spark: SparkSession, d: str) -> DataFrame:
-    return compare.reconcile_po_bom(derived(spark, d, "lineitem", _PO, "l_orderkey % 3 = 0"), derived(spark, d, "lineitem", _PO, "l_orderkey % 3 = 1 OR l_partkey % 3 = 1"))
+    return compare.reconcile_po_bom(derived(spark, d, "lineitem", _PO, "l_orderkey % 3 <> 1"), derived(spark, d, "lineitem", _PO, "l_orderkey % 3 <> 0 OR l_partkey % 3 = 1"))
 
 
 _PLACED = [ROW, "l_partkey % 40 AS category", "l_suppkey % 7 AS sub"]
@@ -164,11 +184,11 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
 _SET = [ROW, "l_partkey % 200 AS part", "case when l_linenumber = 2 then null else l_returnflag end AS flag", "l_suppkey % 10 AS supp"]
 
 
-@_query("d9_row_set_compare", f"""WITH a AS (SELECT part, flag, supp, max(row_pos) AS row_a FROM ({derived_sql('lineitem', _SET, "l_orderkey % 3 = 0")}) GROUP BY ALL), b AS (SELECT part, flag, supp, max(row_pos) AS row_b FROM ({derived_sql('lineitem', _SET, "l_orderkey % 3 = 1")}) GROUP BY ALL)
+@_query("d9_row_set_compare", f"""WITH a AS (SELECT part, flag, supp, max(row_pos) AS row_a FROM ({derived_sql('lineitem', _SET, "l_orderkey % 3 <> 1")}) GROUP BY ALL), b AS (SELECT part, flag, supp, max(row_pos) AS row_b FROM ({derived_sql('lineitem', _SET, "l_orderkey % 3 <> 0")}) GROUP BY ALL)
 SELECT coalesce(a.part, b.part) AS part, CASE WHEN row_a IS NULL THEN b.flag ELSE a.flag END AS flag, coalesce(a.supp, b.supp) AS supp, CASE WHEN row_b IS NULL THEN 'MISSING' WHEN row_a IS NULL THEN 'EXTRA' ELSE 'IDENTICAL' END AS status, row_a, row_b
 FROM a FULL JOIN b ON a.part = b.part AND a.flag IS NOT DISTINCT FROM b.flag AND a.supp = b.supp""")
 def d9(spark: SparkSession, d: str) -> DataFrame:
-    return compare.row_set_compare(derived(spark, d, "lineitem", _SET, "l_orderkey % 3 = 0"), derived(spark, d, "lineitem", _SET, "l_orderkey % 3 = 1"), ["part", "flag", "supp"])
+    return compare.row_set_compare(derived(spark, d, "lineitem", _SET, "l_orderkey % 3 <> 1"), derived(spark, d, "lineitem", _SET, "l_orderkey % 3 <> 0"), ["part", "flag", "supp"])
 
 
 @_query("d10_hierarchical_match", """
@@ -183,7 +203,7 @@ def d10(spark: SparkSession, d: str) -> DataFrame:
     return compare.hierarchical_match(base, comp)
 
 
-_D9 = """WITH a AS (SELECT DISTINCT l_partkey % 200 AS part, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag, l_suppkey % 10 AS supp FROM lineitem WHERE l_orderkey % 3 = 0), b AS (SELECT DISTINCT l_partkey % 200 AS part, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag, l_suppkey % 10 AS supp FROM lineitem WHERE l_orderkey % 3 = 1),
+_D9 = """WITH a AS (SELECT DISTINCT l_partkey % 200 AS part, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag, l_suppkey % 10 AS supp FROM lineitem WHERE l_orderkey % 3 <> 1), b AS (SELECT DISTINCT l_partkey % 200 AS part, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END AS flag, l_suppkey % 10 AS supp FROM lineitem WHERE l_orderkey % 3 <> 0),
 n AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS i, (SELECT count(*) FROM a) AS x, (SELECT count(*) FROM b) AS y)
 SELECT 'IDENTICAL' AS status, i AS n, round(i * 100.0 / x, 2) AS percent FROM n UNION ALL SELECT 'MISSING', x - i, round((x - i) * 100.0 / x, 2) FROM n UNION ALL SELECT 'EXTRA', y - i, round((y - i) * 100.0 / y, 2) FROM n"""
 
@@ -193,6 +213,44 @@ def d9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return compare.row_set_statistics(d9(spark, d))
 
 
+_SHEET = [ROW, "l_partkey AS item", "l_returnflag AS coating", "cast(l_suppkey % 10 as string) AS kind", "l_linestatus AS unit", "case when l_linenumber = 3 then '' else concat('n', cast(l_suppkey as string)) end AS note", "cast(l_quantity as bigint) AS qty", "cast(l_linenumber as string) AS spare", "cast(cast(l_quantity as bigint) + l_linenumber as string) AS order_qty"]
+_SHEET_NEW = [*_SHEET[:5], "case when l_linenumber = 5 then '' when l_partkey % 9 = 0 then 'new' else concat('n', cast(l_suppkey as string)) end AS note", "cast(l_quantity as bigint) + case when l_partkey % 7 = 0 then -1 else 0 end AS qty", _SHEET[7], "cast(cast(l_quantity as bigint) + l_linenumber + case when l_partkey % 5 = 0 then 2 else 0 end as string) AS order_qty"]
+_SHEET_PAIRS = f"""o AS (SELECT *, row_number() OVER (PARTITION BY item, coating, kind, unit ORDER BY row_pos) AS occ FROM ({derived_sql('lineitem', _SHEET, OLD_ROWS)})), n AS (SELECT *, row_number() OVER (PARTITION BY item, coating, kind, unit ORDER BY row_pos) AS occ FROM ({derived_sql('lineitem', _SHEET_NEW, NEW_ROWS)})),
+p AS (SELECT coalesce(n.item, o.item)::VARCHAR AS item, coalesce(n.coating, o.coating) AS coating, coalesce(n.kind, o.kind) AS kind, coalesce(n.unit, o.unit) AS unit, coalesce(n.occ, o.occ) AS occ, o.occ IS NULL AS is_new, n.occ IS NULL AS is_gone, o.note AS on_, n.note AS nn, o.qty AS oq, n.qty AS nq, o.spare AS os, n.spare AS ns, CAST(o.order_qty AS DOUBLE) AS oo, CAST(n.order_qty AS DOUBLE) AS no
+  FROM o FULL JOIN n ON o.item = n.item AND o.coating = n.coating AND o.kind = n.kind AND o.unit = n.unit AND o.occ = n.occ)"""
+
+
+@_query("d2_compare_sheet", f"""WITH {_SHEET_PAIRS}, k AS (SELECT *, [CASE WHEN on_ = nn THEN NULL WHEN on_ = '' THEN 'Added' WHEN nn = '' THEN 'Deleted' ELSE 'Changed' END, CASE WHEN oq = nq THEN NULL WHEN nq < oq THEN 'Smaller' ELSE 'Changed' END, CASE WHEN os = ns THEN NULL WHEN CAST(ns AS INT) < CAST(os AS INT) THEN 'Smaller' ELSE 'Changed' END, CASE WHEN oo = no THEN NULL WHEN no < oo THEN 'Smaller' ELSE 'Changed' END] AS c FROM p)
+SELECT item, coating, kind, unit, occ, CASE WHEN is_new THEN 'New Row' WHEN is_gone THEN 'Deleted Row' ELSE concat_ws(', ', CASE WHEN list_contains(c, 'Deleted') THEN 'Deleted' END, CASE WHEN list_contains(c, 'Smaller') THEN 'Smaller' END,
+  CASE WHEN list_contains(c, 'Changed') AND (NOT list_contains(c, 'Smaller') OR len(c) - list_position(list_reverse(c), 'Changed') > len(c) - list_position(list_reverse(c), 'Smaller')) THEN 'Changed' END, CASE WHEN list_contains(c, 'Added') THEN 'Added' END) END AS marker,
+  CASE WHEN coalesce(no, 0) <> coalesce(oo, 0) THEN coalesce(no, 0) - coalesce(oo, 0) END AS qty_change FROM k""")
+def d2_sheet(spark: SparkSession, d: str) -> DataFrame:
+    return compare.compare_sheet(derived(spark, d, "lineitem", _SHEET, OLD_ROWS), derived(spark, d, "lineitem", _SHEET_NEW, NEW_ROWS), ["item", "coating", "kind", "unit", "note", "qty", "spare", "order_qty"])
+
+
+_LISTED = ["o_orderkey AS row_pos", "lpad(cast(o_custkey as string), 7, '0') AS kks", "o_orderpriority AS medium", "case when o_orderkey % 4 = 0 then '' else cast(o_orderkey % 13 as string) end AS pressure", "case when o_orderkey % 6 = 0 then null else o_orderstatus end AS state"]
+_LISTED_NEW = [*_LISTED[:3], "case when o_orderkey % 10 = 0 then '' else cast(o_orderkey % 13 as string) end AS pressure", "case when o_orderkey % 9 = 0 then 'new' else o_orderstatus end AS state"]
+
+
+@_query("d2_compare_list", f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY kks ORDER BY row_pos) AS occ FROM ({derived_sql('orders', _LISTED, 'o_orderkey % 8 <> 3')})), n AS (SELECT *, row_number() OVER (PARTITION BY kks ORDER BY row_pos) AS occ FROM ({derived_sql('orders', _LISTED_NEW, 'o_orderkey % 9 <> 4')})),
+p AS (SELECT coalesce(n.kks, o.kks) AS kks, coalesce(n.occ, o.occ) AS occ, o.occ IS NULL AS is_new, n.occ IS NULL AS is_gone, [{{'c': 'medium', 'a': o.medium, 'b': n.medium}}, {{'c': 'pressure', 'a': o.pressure, 'b': n.pressure}}, {{'c': 'state', 'a': coalesce(o.state, ''), 'b': coalesce(n.state, '')}}] AS x FROM o FULL JOIN n ON o.kks = n.kks AND o.occ = n.occ),
+k AS (SELECT *, list_filter(x, lambda y: y.a <> y.b) AS d FROM p), m AS (SELECT DISTINCT kks FROM (SELECT kks FROM o GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT kks FROM n GROUP BY 1 HAVING count(*) > 1))
+SELECT k.kks, occ, CASE WHEN is_new THEN 'Added' WHEN is_gone THEN 'Deleted' ELSE concat_ws(', ', CASE WHEN len(list_filter(d, lambda y: y.b = '')) > 0 THEN 'Deleted' END, CASE WHEN len(list_filter(d, lambda y: y.a <> '' AND y.b <> '')) > 0 THEN 'Changed' END, CASE WHEN len(list_filter(d, lambda y: y.a = '')) > 0 THEN 'Added' END) END AS marker,
+  m.kks IS NOT NULL AS duplicate, CASE WHEN is_new OR is_gone THEN '' ELSE array_to_string(list_transform(d, lambda y: y.c || ': ' || CASE WHEN y.a = '' THEN '(empty)' ELSE y.a END), '; ') END AS comments FROM k LEFT JOIN m ON m.kks = k.kks""")
+def d2_list(spark: SparkSession, d: str) -> DataFrame:
+    found = compare.compare_list(derived(spark, d, "orders", _LISTED, "o_orderkey % 8 <> 3"), derived(spark, d, "orders", _LISTED_NEW, "o_orderkey % 9 <> 4"), "kks", ["medium", "pressure", "state"])
+    return found.withColumn("comments", F.array_join("comments", "; "))
+
+
+@_query("d26_balance_summary", """WITH s AS (SELECT o_orderkey AS code FROM orders), f AS (SELECT DISTINCT l_orderkey AS code FROM lineitem WHERE l_quantity < 40), c AS (SELECT code, code % 5 = 0 AS d0, code IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AS d1, code IN (SELECT code FROM f) AS fin FROM s),
+n AS (SELECT count(*) AS a, (SELECT count(*) FROM f) AS b, count_if(d0) AS d0, count_if(d1) AS d1, count_if(d0 OR d1) AS u, count_if(NOT (d0 OR d1)) AS e, count_if(NOT (d0 OR d1) AND NOT fin) AS m, count_if((d0 OR d1) AND fin) + (SELECT count(*) FROM f WHERE code NOT IN (SELECT code FROM s)) AS x FROM c)
+SELECT 'status' AS metric, a AS value FROM n UNION ALL SELECT 'final', b FROM n UNION ALL SELECT 'deducted: deleted', d0 FROM n UNION ALL SELECT 'deducted: heavy', d1 FROM n UNION ALL SELECT 'deducted', u FROM n UNION ALL SELECT 'expected', e FROM n UNION ALL SELECT 'missing in final', m FROM n UNION ALL SELECT 'unexpected in final', x FROM n UNION ALL SELECT 'sets match', CASE WHEN m + x = 0 THEN 1 ELSE 0 END FROM n""")
+def d26_summary(spark: SparkSession, d: str) -> DataFrame:
+    lines = lambda where: derived(spark, d, "lineitem", ["l_orderkey AS code"], where)
+    orders = lambda where: derived(spark, d, "orders", ["o_orderkey AS code"], where)
+    return compare.balance_summary(orders("true"), lines("l_quantity < 40"), {"deleted": orders("o_orderkey % 5 = 0"), "heavy": lines("l_quantity > 45")})
+
+
 @_query("d10_breakdown", f"SELECT level, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM lineitem), 2) AS percent FROM ({SQL['d10_hierarchical_match']}) GROUP BY 1")
 def d10_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return compare.match_breakdown(d10(spark, d))
@@ -237,12 +295,12 @@ def d15(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("d24_infer_category", """
-WITH n AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS description FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_partkey AS row_pos, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type ELSE p_name || ' ' || p_brand END AS description, p_brand AS category FROM part WHERE p_partkey % 7 = 1),
+WITH n AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS description FROM part WHERE p_partkey % 40 <> 1), b AS (SELECT p_partkey AS row_pos, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' ' || p_type ELSE p_name || ' ' || p_brand END AS description, p_brand AS category FROM part WHERE p_partkey % 40 = 1),
 e AS (SELECT description, arg_min(category, row_pos) AS same FROM b GROUP BY 1), s AS (SELECT n.id, arg_min(b.category, b.row_pos) AS near FROM n JOIN b ON len(list_filter(string_split(lower(n.description), ' '), lambda w: contains(lower(b.description), w))) >= 2 GROUP BY 1)
 SELECT id, description, coalesce(same, near, 'Unknown') AS category FROM n LEFT JOIN e USING (description) LEFT JOIN s USING (id)""")
 def d24(spark: SparkSession, d: str) -> DataFrame:
-    new = derived(spark, d, "part", ["p_partkey AS id", "concat(p_name, ' ', p_type) AS description"], "p_partkey % 3 = 0")
-    base = derived(spark, d, "part", ["p_partkey AS row_pos", "case when p_partkey % 2 = 0 then concat(p_name, ' ', p_type) else concat(p_name, ' ', p_brand) end AS description", "p_brand AS category"], "p_partkey % 7 = 1")
+    new = derived(spark, d, "part", ["p_partkey AS id", "concat(p_name, ' ', p_type) AS description"], "p_partkey % 40 <> 1")
+    base = derived(spark, d, "part", ["p_partkey AS row_pos", "case when p_partkey % 2 = 0 then concat(p_name, ' ', p_type) else concat(p_name, ' ', p_brand) end AS description", "p_brand AS category"], "p_partkey % 40 = 1")
     return compare.infer_category(new, base)
 
 
@@ -282,10 +340,10 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
     return compare.article_differences(*(derived(spark, d, "lineitem", ["l_partkey AS part"], f"l_partkey % {k} <> 0") for k in (13, 17)), "part")
 
 
-@_query("s3_key_sets", f"""WITH a AS (SELECT DISTINCT part, flag FROM ({derived_sql('lineitem', OLD, "l_orderkey % 3 = 0")})), b AS (SELECT DISTINCT part, flag FROM ({derived_sql('lineitem', OLD, "l_orderkey % 3 = 1")}))
+@_query("s3_key_sets", f"""WITH a AS (SELECT DISTINCT part, flag FROM ({derived_sql('lineitem', OLD, "l_orderkey % 3 <> 1")})), b AS (SELECT DISTINCT part, flag FROM ({derived_sql('lineitem', OLD, "l_orderkey % 3 <> 0")}))
 SELECT *, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT *, 'a' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def s3(spark: SparkSession, d: str) -> DataFrame:
-    return predicates.key_sets(derived(spark, d, "lineitem", OLD, "l_orderkey % 3 = 0"), derived(spark, d, "lineitem", OLD, "l_orderkey % 3 = 1"), ["part", "flag"])
+    return predicates.key_sets(derived(spark, d, "lineitem", OLD, "l_orderkey % 3 <> 1"), derived(spark, d, "lineitem", OLD, "l_orderkey % 3 <> 0"), ["part", "flag"])
 
 
 _NAMED = ["c_custkey AS row_pos", "c_mktsegment AS name"]

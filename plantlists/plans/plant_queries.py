@@ -115,10 +115,12 @@ def d20(spark: SparkSession, d: str) -> DataFrame:
     return _ends(spark, d)[2].select("file", "branch", "side", "seq", "type", "distance")
 
 
-@_query("d20_end_statistics", f"""{_PARSED}, q AS (SELECT *, row_number() OVER (PARTITION BY file, branch, side ORDER BY distance, seq) AS k FROM e)
-SELECT file, side, type, count(*) AS n, count_if(k = 1) AS nearest, count_if(con = 'BWD') AS at_bwd, round(avg(distance), 3) AS mean_distance, max(distance) AS max_distance FROM q GROUP BY 1, 2, 3""")
+@_query("d20_end_statistics", f"""{_PARSED}, q AS (SELECT file, count_if(hcon = 'BWD') AS bwd_heads, count_if(tcon = 'BWD') AS bwd_tails FROM b GROUP BY 1),
+r AS (SELECT file, count_if(side = 'HEAD') AS at_heads, count_if(side = 'TAIL') AS at_tails, count_if(side = 'HEAD' AND con = 'BWD') AS at_bwd_heads, count_if(side = 'TAIL' AND con = 'BWD') AS at_bwd_tails, count(*) AS at_ends FROM e GROUP BY 1)
+SELECT q.*, bwd_heads + bwd_tails AS bwd_ends, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('at_heads', 'at_tails', 'at_bwd_heads', 'at_bwd_tails', 'at_ends'))} FROM q LEFT JOIN r USING (file)""")
 def d20_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return welds.end_statistics(_ends(spark, d)[2])
+    branches, _, ends = _ends(spark, d)
+    return welds.end_statistics(branches, ends)
 
 
 @_query("d21_bwd_report", f"{_PARSED} SELECT x.file, x.branch, x.side, coalesce(arg_min(e.type, (e.distance, e.seq)), 'No') AS component, min(e.distance) AS distance FROM sides x LEFT JOIN e ON e.file = x.file AND e.branch = x.branch AND e.side = x.side WHERE x.con = 'BWD' GROUP BY 1, 2, 3")
