@@ -269,6 +269,25 @@ def extract_seal_orders(c: Column, marker: str = "seal") -> Column:
     return F.transform(found, lambda x: F.struct(number(x).alias("order_no"), times(x).alias("multiplier")))
 
 
+#: What takes the place of the list of seal orders in a description (fixed wording), and the markers that begin it (fixed values).
+SEAL_NOTE = 'Note: The required seal rings are listed separately with "SEAL" type this list.'
+SEAL_MARKERS = ("seal ring fkm blue order no.", "seal ring fmk blue order no.")
+
+
+def rewrite_note(c: Column) -> Column:
+    """A description up to the first marker of seal orders, then the note; without a marker as it is."""
+    places = [F.instr(F.lower(c), m) for m in SEAL_MARKERS]
+    at = F.array_min(F.filter(F.array(*places), lambda p: p > 0))
+    head = F.rtrim(c.substr(F.lit(1), at - 1))
+    return F.when(at.isNull(), c).when(head == "", SEAL_NOTE).otherwise(F.concat(head, F.lit(f" {SEAL_NOTE}")))
+
+
+def year_label(c: Column) -> Column:
+    """The years of a text (1900 to 2099) in order, joined by '_', or 'no year'."""
+    years = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))))
+    return F.when(F.size(years) == 0, "no year").otherwise(F.array_join(years, "_"))
+
+
 #: Tags of replies, forwards and gateways that stand between spaces in a lower-cased subject (fixed values, in the order of removal).
 SUBJECT_TAGS = (
     " [external] ", " [ext] ", " re: ", " fw: ", " aw: ", " wg: ", " tr: ", " rv: ", " sv: ", " fs: ", " vs: ", " vl: ", " odp: ", " pd: ", " r: ", " i: ",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .ranges import numbered
 
 #: Material types: label, prefixes, keywords (fixed values; prefixes of all rules go before keywords).
 MATERIAL_RULES = (
@@ -283,6 +284,37 @@ def in_order(sheet: DataFrame) -> DataFrame:
     return sheet.orderBy(F.coalesce("material_type", F.lit("")), F.lower(F.coalesce("description", F.lit(""))), "row_pos")
 
 
+def shop_class(c: Column, erection: str = "Erection", paint: str = "paint", shop: str = "shop") -> Column:
+    """Paint, erection, shop or other, as the spare rules read a material type; the words are settings."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    is_erection = (low == erection.lower()) | (low.contains("erection") & ~low.contains("paint"))
+    return F.when(low.contains("paint shop"), "paint").when(is_erection, "erection").when(low.contains(paint.lower()) & low.contains("shop"), "paint").when(low.endswith(shop.lower()), "shop").otherwise("other")
+
+
+#: Words of material types in the order of price rows (fixed values); erection without paint comes between the last two, prefixes after all.
+PRICE_ORDER, PRICE_PREFIXES = ("mapress shop", "ss shop", "cs shop", "paint shop"), ("mapress", "ss", "cs", "paint")
+
+
+def price_order(rows: DataFrame, name: str = "place") -> DataFrame:
+    """G1: price rows (material_type, material, type, size, row_pos) with their place from 1: by rank of the material type, material, type, size as a number (texts and N/A last), material type, row_pos.
+
+    Places come from numbered(), so the order is a global one without a task that holds all rows.
+    """
+    low = F.lower(F.trim(F.coalesce("material_type", F.lit(""))))
+    rank = F.lit(len(PRICE_ORDER) + 2 + len(PRICE_PREFIXES))
+    for k, prefix in reversed(list(enumerate(PRICE_PREFIXES, len(PRICE_ORDER) + 2))):
+        rank = F.when(low.startswith(prefix), k).otherwise(rank)
+    rank = F.when(low.contains("paint erection"), len(PRICE_ORDER) + 1).otherwise(rank)
+    rank = F.when(low.contains("04 erection") | (low.contains("erection") & ~low.contains("paint")), len(PRICE_ORDER)).otherwise(rank)
+    for k, word in reversed(list(enumerate(PRICE_ORDER))):
+        rank = F.when(low.contains(word), k).otherwise(rank)
+    plain = F.replace(F.trim(F.coalesce("size", F.lit(""))), F.lit(" "), F.lit(""))
+    number = F.when(plain.contains(",") & ~plain.contains("."), F.replace(plain, F.lit(","), F.lit("."))).otherwise(plain).try_cast("double")
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    order = [rank, text_of(F.col("material")), text_of(F.col("type")), number.isNull().cast("int"), F.coalesce(number, F.lit(0.0)), F.trim(text_of(F.col("size"))), text_of(F.col("material_type")), F.col("row_pos")]
+    return numbered(rows, order, name)
+
+
 def material_subtotals(sheet: DataFrame) -> DataFrame:
     """Subtotals by material type and the grand total ('TOTAL')."""
     total = sheet.rollup("material_type").agg(F.sum("qty").alias("qty"), F.round(F.sum("total_weight_kg"), 2).alias("total_weight_kg"), F.sum("order_qty").alias("order_qty"), F.round(F.sum("order_weight_kg"), 2).alias("order_weight_kg"), F.grouping("material_type").alias("g"))

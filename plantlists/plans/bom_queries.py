@@ -243,6 +243,16 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
     return rules.assign_uids(price(spark, d)).select("row_pos", "uid")
 
 
+_PRICED = ["l_orderkey * 10 + l_linenumber AS row_pos", "case l_suppkey % 9 when 0 then '01 Mapress shop' when 1 then '02 SS shop' when 2 then '03 CS shop' when 3 then '05 Paint shop' when 4 then '04 Erection' when 5 then '06 Paint erection' when 6 then 'SS site' when 7 then 'paint other' else 'Zinc' end AS material_type",
+           "l_linestatus AS material", "case when l_linenumber = 1 then null else l_returnflag end AS type", "case when l_partkey % 6 = 0 then 'N/A' when l_partkey % 6 = 1 then concat(' ', cast(l_partkey % 40 as string), ',5') when l_partkey % 6 = 2 then 'DN x' else cast(l_partkey % 90 as string) end AS size"]
+
+
+@_query("g1_price_order", f"""WITH p AS ({derived_sql('lineitem', _PRICED)}), r AS (SELECT *, CASE WHEN material_type LIKE '%Mapress shop' THEN 0 WHEN material_type LIKE '%SS shop' THEN 1 WHEN material_type LIKE '%CS shop' THEN 2 WHEN material_type LIKE '%Paint shop' THEN 3 WHEN material_type LIKE '%Paint erection' THEN 5 WHEN material_type LIKE '%Erection' THEN 4 WHEN material_type LIKE 'SS%' THEN 7 WHEN material_type LIKE 'paint%' THEN 9 ELSE 10 END AS rank,
+  try_cast(replace(replace(size, ' ', ''), ',', '.') AS DOUBLE) AS n FROM p) SELECT row_pos, row_number() OVER (ORDER BY rank, material, coalesce(type, ''), n IS NULL, coalesce(n, 0), trim(size), material_type, row_pos) AS place FROM r""")
+def g1_price(spark: SparkSession, d: str) -> DataFrame:
+    return bom.price_order(derived(spark, d, "lineitem", _PRICED)).select("row_pos", F.col("place").cast("long").alias("place"))
+
+
 @_query("v1_validate_order_sheet")
 def v1(spark: SparkSession, d: str) -> DataFrame:
     """weight_kg, which the table does not have, is the total weight by piece; one row in a hundred is 1 kg off."""

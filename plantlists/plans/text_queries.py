@@ -91,6 +91,12 @@ _add("b22_extract_dates", ["o_orderkey AS k", "concat('Rev of ', cast(o_orderdat
 _add("b23_extract_seal_orders", [KEY, "concat('Orifice with seal ', cast(l_linenumber as string), ' x ', lpad(cast(10000 + l_suppkey % 90000 as string), 5, '0'), ', 54321 x 3') AS s"],
      lambda: {"orders": F.array_join(F.transform(text.extract_seal_orders(C("s")), lambda o: F.concat_ws("*", o["order_no"], o["multiplier"].cast("string"))), ";")},
      {"orders": "regexp_extract(s, 'x ([0-9]{5})', 1) || '*' || regexp_extract(s, 'seal ([0-9]+) x', 1) || ';54321*3'"})
+_add("b13_shop_class", ["p_partkey AS k", "case p_size % 8 when 0 then '03 CS shop' when 1 then '04 Erection' when 2 then ' 05 Paint Shop' when 3 then '06 Paint erection' when 4 then 'painted in the shop area' when 5 then '07 Blind disks' when 6 then null else 'Erection' end AS s"], lambda: {"class": bom.shop_class(C("s"))},
+     {"class": "CASE WHEN lower(s) LIKE '%paint shop%' THEN 'paint' WHEN lower(trim(s)) = 'erection' OR (lower(s) LIKE '%erection%' AND lower(s) NOT LIKE '%paint%') THEN 'erection' WHEN lower(s) LIKE '%paint%' AND lower(s) LIKE '%shop%' THEN 'paint' WHEN lower(trim(s)) LIKE '%shop' THEN 'shop' ELSE 'other' END"}, "part")
+_add("b22_year_label", ["o_orderkey AS k", "case when o_orderkey % 5 = 0 then 'none' else concat('Rev ', cast(o_orderdate as string), '; 12.3.', cast(1990 + o_custkey % 40 as string), ', 2019') end AS s"], lambda: {"label": text.year_label(C("s"))},
+     {"label": "CASE WHEN s = 'none' THEN 'no year' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(s, '\\b((?:19|20)[0-9]{2})\\b', 1))), '_') END"}, "orders")
+_add("b23_rewrite_note", [KEY, "concat(case l_linenumber % 4 when 0 then '' when 1 then 'Elbow 90  ' else 'Tee ' end, case l_linenumber % 3 when 0 then 'Seal ring FKM blue order no. 12345 x 2' when 1 then 'SEAL RING FMK BLUE ORDER NO. 54321' else 'plain' end) AS s"], lambda: {"note": text.rewrite_note(C("s"))},
+     {"note": f"CASE WHEN strpos(lower(s), 'seal ring f') = 0 THEN s ELSE trim(rtrim(substr(s, 1, strpos(lower(s), 'seal ring f') - 1)) || ' {text.SEAL_NOTE}') END"})
 _SUBJECT = "concat(case o_orderkey % 3 when 0 then 'FW: [EXT] ' when 1 then 'RE: ' else '' end, 'Plant A, AB/CD/', lpad(cast(o_orderkey % 100000 as string), 5, '0'), ': Plant A, AB/CD/00071: Re: Fw: Valve list ', cast(o_custkey as string))"
 _add("b24_clean_subject", ["o_orderkey AS k", f"{_SUBJECT} AS s"], lambda: {"subject": text.clean_subject(C("s"))}, {"subject": "'valve list ' || regexp_extract(s, 'Valve list ([0-9]+)', 1)"}, "orders")
 _add("b25_label_fields", [KEY, f"concat('BoM Item No: ', {_S}, ' box 10 x 20 x 30 ', cast(l_suppkey as string)) AS s"], lambda: {n: text.label_fields(C("s"))[n] for n in ("bom_item", "size_number")},

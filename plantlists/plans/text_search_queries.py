@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layout, search
 from ..sources import tables as sources
 from .list_queries import ROW
-from .shared import Query, derived, derived_sql
+from ..staging import shared_folder
+from .shared import Query, derived, derived_sql, table
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -292,6 +295,55 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
     return sources.file_schema_report(headed(spark, d), ["Item", "Price"], "S").select("file", "has_item", "has_price", "all_present")
 
 
+_PEOPLE = ["lpad(cast(c_custkey as string), 6, '0') AS id", "concat(c_name, case when c_custkey % 3 = 0 then ', \"quoted\"' else ' é' end) AS name", "case when c_custkey % 7 = 0 then null else c_acctbal end AS balance"]
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query("a1_read_table", f"SELECT * FROM ({derived_sql('customer', _PEOPLE)})")
+def a1(spark: SparkSession, d: str) -> DataFrame:
+    """Written as text with a header and read again: ids keep their zeros."""
+    folder = _folder(spark, "table")
+    derived(spark, d, "customer", _PEOPLE).write.option("header", True).option("sep", ";").option("escape", '"').csv(folder)
+    return sources.read_table(spark, folder, "id string, name string, balance double", ";")
+
+
+@_query("a2_read_keyword_list", "SELECT lower(c_mktsegment || ' ' || c_custkey % 50) AS keyword, 'cat' || (c_custkey % 50) AS category FROM customer GROUP BY ALL")
+def a2_file(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark, "keywords")
+    rows = derived(spark, d, "customer", ["concat('cat', cast(c_custkey % 50 as string), ' ') AS category", "concat(' ', c_mktsegment, ' ', cast(c_custkey % 50 as string)) AS keyword"])
+    rows.write.option("header", True).option("sep", "\t").csv(folder)
+    return sources.read_keyword_list(spark, folder)
+
+
+@_query("a11_write_revision", """SELECT o_orderkey AS id, o_orderstatus AS state, 'R1' AS revision FROM orders WHERE o_orderkey % 4 <> 0 UNION ALL SELECT o_orderkey, 'new', 'R2' FROM orders WHERE o_orderkey % 5 <> 0""")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    """A revision that is kept, one that is replaced, and one that is there already and stays."""
+    folder = _folder(spark, "revisions")
+    rows = lambda state, where: derived(spark, d, "orders", ["o_orderkey AS id", f"{state} AS state"], where)
+    sources.write_revision(rows("o_orderstatus", "o_orderkey % 4 <> 0"), folder, "R1")
+    sources.write_revision(rows("'old'", "o_orderkey % 3 <> 0"), folder, "R2")
+    sources.write_revision(rows("'new'", "o_orderkey % 5 <> 0"), folder, "R2", "replace")
+    sources.write_revision(rows("'lost'", "true"), folder, "R1", "keep")
+    return spark.read.parquet(folder)
+
+
+@_query("a12_write_report", "SELECT 'status' AS name, o_orderstatus AS key, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    folder = _folder(spark, "report")
+    tables = {name: table(spark, d, "orders").groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")) for name, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))}
+    sources.write_report(tables, folder, "csv")
+    read = [spark.read.schema("key string, n long").option("header", True).csv(f"{folder}/{name}").withColumn("name", F.lit(name)) for name in tables]
+    return read[0].union(read[1]).select("name", "key", "n")
+
+
+@_query("a14_import_warnings", """WITH e AS (SELECT DISTINCT 'c' || (p_partkey % 97) AS category FROM part), f AS (SELECT 'c' || (s_suppkey % 97) AS category, count(*) AS n FROM supplier WHERE s_suppkey % 97 <> 5 GROUP BY 1) SELECT category, CASE WHEN n IS NULL THEN 'missing' ELSE 'duplicate' END AS warning FROM e LEFT JOIN f USING (category) WHERE n IS NULL OR n > 1""")
+def a14_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return sources.import_warnings(derived(spark, d, "part", ["concat('c', cast(p_partkey % 97 as string)) AS category"]).distinct(), derived(spark, d, "supplier", ["concat('c', cast(s_suppkey % 97 as string)) AS category"], "s_suppkey % 97 <> 5"))
+
+
 @_query("a14_import_price_rows", """WITH u AS (SELECT 'a.csv' AS file_name, p_partkey AS row_pos, CAST(p_name AS VARCHAR) AS description, CAST(p_size AS VARCHAR) AS qty, 'main' AS material_type FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'b.csv', p_partkey, CAST(p_brand AS VARCHAR), NULL, 'paint' FROM part WHERE p_partkey % 2 = 1)
 SELECT file_name, description, qty, material_type, 'R1' AS bom_rev, row_number() OVER (ORDER BY file_name, row_pos) AS uid FROM u""")
 def a14(spark: SparkSession, d: str) -> DataFrame:

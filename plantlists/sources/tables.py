@@ -15,8 +15,8 @@ from ..operators.ranges import numbered
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, separator: str = ",") -> DataFrame:
-    """A1: a CSV with a header and an explicit schema (ids stay text); a byte-order mark does not count."""
-    return spark.read.schema(schema).option("header", True).option("sep", separator).option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
+    """A1: a CSV with a header and an explicit schema (ids stay text); quotes inside quotes are doubled; a byte-order mark does not count."""
+    return spark.read.schema(schema).option("header", True).option("sep", separator).option("encoding", "UTF-8").option("escape", '"').option("multiLine", False).option("enforceSchema", True).csv(path)
 
 
 def keyword_list(rows: DataFrame) -> DataFrame:
