@@ -13,6 +13,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 #: Characters after a core that codes_in_codes() joins on.
 CONTEXT = 16
 
@@ -445,11 +447,16 @@ def hierarchical_match(base: DataFrame, comp: DataFrame, core: str = r"(\d[A-Z]{
     lengths equal each other. Distinct codes meet, by cores (one group in the pattern) or, where the contained one has none, by their pieces;
     then each base code has a histogram of its partners' (article, qty, cut_length), and rows are judged by sums over it: no two rows meet.
     """
-    codes = lambda df, name: df.select(F.col("code").alias(name)).where(f"{name} is not null").distinct()
-    bare = lambda df: df.where(~F.col("needle").rlike(core))
-    b_in, b_out, c_in, c_out = codes(base, "needle"), codes(base, "text"), codes(comp, "needle"), codes(comp, "text")
-    up = codes_in_codes(b_in, c_out, core).union(contained_pairs(bare(b_in), c_out)).select(F.col("needle").alias("code"), F.col("text").alias("partner"))
-    down = codes_in_codes(c_in, b_out, core).union(contained_pairs(bare(c_in), b_out)).select(F.col("text").alias("code"), F.col("needle").alias("partner"))
+    own, others = (staged(df.select("code").where("code is not null").distinct(), "codes") for df in (base, comp))
+
+    def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+        needles, texts = inner.select(F.col("code").alias("needle")), outer.select(F.col("code").alias("text"))
+        bare = needles.where(~F.col("needle").rlike(core))
+        found = codes_in_codes(needles, texts, core)
+        return found if bare.isEmpty() else found.union(contained_pairs(bare, texts))
+
+    up = contained(own, others).select(F.col("needle").alias("code"), F.col("text").alias("partner"))
+    down = contained(others, own).select(F.col("text").alias("code"), F.col("needle").alias("partner"))
     cells = ["article", "qty", "cut_length"]
     weights = comp.groupBy(F.col("code").alias("partner"), *cells).agg(F.count("*").alias("w"))
     partners = up.union(down).distinct().join(weights, "partner").groupBy("code", *cells).agg(F.sum("w").alias("w"))
