@@ -18,15 +18,14 @@ DENSE = 4096
 _MARGIN = 1.02
 
 
-def _cells(box: str, axes: Sequence[tuple[str, float]], spread: bool) -> Column:
+def _cells(box: int, axes: Sequence[tuple[str, float]], spread: bool) -> Column:
     """Structs (box, cell) of a point: its own cell, or all that its box meets."""
-    names, steps = ["i", "j", "k"][: len(axes)], []
+    ends = []
     for c, tolerance in axes:
-        low, high = (F.col(c) + s * tolerance * _MARGIN * spread for s in (-1, 1))
-        width = CELL * tolerance
-        steps.append([F.floor(low / width), F.floor(high / width)])
-    seen = [F.xxhash64(F.lit(box), *ends) for ends in product(*steps)] if spread else [F.xxhash64(F.lit(box), *(low for low, _ in steps))]
-    return F.transform(F.array_distinct(F.array(*seen)), lambda cell: F.struct(F.lit(box).alias("box"), cell.alias("cell"))) if names else F.array()
+        reach = tolerance * _MARGIN if spread else 0.0
+        ends.append([F.floor((F.col(c) + s * reach) / (CELL * tolerance)) for s in ((-1, 1) if spread else (0,))])
+    seen = F.array_distinct(F.array(*(F.xxhash64(F.lit(box), *cell) for cell in product(*ends))))
+    return F.transform(seen, lambda cell: F.struct(F.lit(box).alias("box"), cell.alias("cell")))
 
 
 def _dealt(df: DataFrame, counts: DataFrame, own: str, other: str) -> DataFrame:
@@ -44,11 +43,13 @@ def box_pairs(left: DataFrame, right: DataFrame, boxes: Mapping[str, Sequence[tu
     should be the smaller one, is copied a few times. Cells where more than DENSE rows of a side meet are dealt out in blocks of about DENSE by DENSE rows, so
     no task gets a whole dense cell. Rows with a null on an axis lie in no box that has it. The join is a sort-merge one: neither side is broadcast.
     """
-    usable = lambda side, axes: F.lit(True) if not axes else F.expr(" and ".join(f"{a[side]} is not null" for a in axes))
-    none = F.array().cast("array<struct<box: string, cell: bigint>>")
+    none = F.array().cast("array<struct<box: int, cell: bigint>>")
 
     def spread(df: DataFrame, side: int) -> DataFrame:
-        grids = [F.when(usable(side, axes), _cells(name, [(a[side], a[2]) for a in axes], side == 0)).otherwise(none) for name, axes in boxes.items()]
+        grids = []
+        for k, axes in enumerate(boxes.values()):
+            placed = F.expr(" and ".join(f"{axis[side]} is not null" for axis in axes))
+            grids.append(F.when(placed, _cells(k, [(axis[side], axis[2]) for axis in axes], side == 0)).otherwise(none))
         return df.select(*df.columns, F.inline(F.concat(*grids)))
 
     a, b = spread(left, 0), spread(right, 1)
@@ -60,9 +61,10 @@ def box_pairs(left: DataFrame, right: DataFrame, boxes: Mapping[str, Sequence[tu
         a, b = _dealt(a, sizes, "a_block", "b_block"), _dealt(b, sizes, "b_block", "a_block")
         keys += ["a_block", "b_block"]
     inside = F.lit(False)
-    for name, axes in boxes.items():
-        here = F.col("box") == name
+    for k, axes in enumerate(boxes.values()):
+        here = F.col("box") == k
         for p, q, tolerance in axes:
             here = here & (F.abs(F.col(p) - F.col(q)) <= tolerance)
         inside = inside | here
-    return a.join(b.hint("merge"), keys).where(inside).select("box", *left.columns, *right.columns)
+    name = F.get(F.array(*map(F.lit, boxes)), F.col("box")).alias("box")
+    return a.join(b.hint("merge"), keys).where(inside).select(name, *left.columns, *right.columns)

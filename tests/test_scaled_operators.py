@@ -11,7 +11,8 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from plantlists.operators import compare, fuzzy, propagation, ranges, schedule, search, spatial, welds
+from plantlists.operators import batching, compare, fuzzy, layout, propagation, ranges, schedule, search, spatial, welds
+from plantlists.streaming import jobs
 
 
 @pytest.fixture
@@ -241,3 +242,66 @@ def test_suffixes_are_repaired(spark) -> None:
         if best:
             expected[t] = (-best[1], best[0])
     assert found == expected and found["Lot Pipe DTS (S)"][0] == 2
+
+
+def test_comments_into_a_target(spark, tmp_path) -> None:
+    """Batches touch their buckets only, run again without effect, and leave two versions of a bucket at most; older comments change nothing."""
+    path = str(tmp_path / "target")
+    rows = [(k, ["Group A", " group a ", "GROUP B", "-", "", None, "c"][k % 7], f"old {k}" if k % 3 else None) for k in range(40)]
+    jobs.create_target(spark.createDataFrame(rows, "id long, group_text string, comment string"), path, 4)
+    batch = lambda *changes: spark.createDataFrame(list(changes), "group_text string, comment string, seq long")
+    state = lambda: {r.id: r.comment for r in jobs.read_target(spark, path).collect()}
+    key = lambda g: (g or "").strip().lower()
+    expected = {k: c for k, _, c in rows}
+    assert state() == expected
+    for number, changes in enumerate([[("group A", "first", 5), ("n/a", "never", 6), ("Group b", "b1", 7)], [("Group A", "late, but older", 4)], [(" Group A", "", 9), ("C", "c1", 8)], [("c", "c2", 20)], [("c", "c3", 21), ("-", "never", 22)]]):
+        for _ in range(2):
+            jobs.upsert_comments(batch(*changes), number, path, 4)
+        for group, comment, _ in changes if number != 1 else ():
+            for k, g, _ in rows:
+                if key(g) == key(group) and key(g) not in ("", "-", "n/a"):
+                    expected[k] = comment or None
+        assert state() == expected, number
+    versions = Counter(bucket for bucket, _ in jobs._versions(spark, path))
+    assert max(versions.values()) <= 2 and len(versions) <= 4
+
+
+def test_exclusions(spark) -> None:
+    rows = [(1, "a", True, "BQ NOT EXIST here"), (2, "b", None, None), (3, "x solid handling support not in GP lot y", False, "z")]
+    df = spark.createDataFrame(rows, "row_pos long, code string, gone boolean, note string")
+    found = lambda **more: {r.row_pos: r.exclusion for r in batching.with_exclusions(df, "gone", **more).collect()}
+    assert found() == {1: "Deleted; BQ not exist", 2: "", 3: "Solid handling not in GP"}
+    assert found(but=("Deleted",)) == {1: "BQ not exist", 2: "", 3: "Solid handling not in GP"}
+
+
+def test_rows_with_an_area_stay_outside_the_group(spark) -> None:
+    """The sequential step sees rows without an area only, and decides as if it had seen all."""
+    rng = random.Random(2)
+    detail = [(1, f"A{k}", f"S{k % 3}" if k % 5 else "N/A", 1 + k % 4, float(rng.randrange(50))) for k in range(12)]
+    missing = [(1, k, f"c{k}", rng.choice(["A1", "A2", "A7", None, "B9"]), rng.choice(["S0", "S2", "S8", "N/A", None]), rng.choice([None, 7.0, 30.0])) for k in range(80)]
+    out = batching.integrate_missing(spark.createDataFrame(missing, "project_id long, row_pos long, code string, working_area string, section string, weight double"), spark.createDataFrame(detail, "project_id long, working_area string, section string, batch long, weight double"))
+    weight, area, sections = defaultdict(float), {}, defaultdict(set)
+    for _, a, s, b, w in detail:
+        weight[b] += w
+        area[a] = min(b, area.get(a, b))
+        sections[s].add(b)
+    expected = {}
+    for _, k, _, a, s, w in missing:
+        light = lambda among: min(among, key=lambda b: (round(weight[b], 6), b))
+        own = sections.get(s, set())
+        if a in area:
+            expected[k] = (area[a], batching.BY_AREA)
+        elif s == "N/A":
+            expected[k] = (min(own), batching.BY_ANCHOR) if own else (light(weight), batching.FIRST_ANCHOR)
+        else:
+            expected[k] = (light(own), batching.BY_SECTION) if own else (light(weight), batching.BY_WEIGHT)
+        weight[expected[k][0]] += w or 0.0
+        sections[s].add(expected[k][0])
+    assert {r.row_pos: (r.batch, r.reason) for r in out.collect()} == expected
+
+
+def test_headers_in_two_rows(spark) -> None:
+    words = [("MATERIALS", 10, 100), ("PT", 10, 90), ("QTY", 60, 90), ("COMPONENT", 30, 90), ("NO", 12, 85), ("DESCRIPTION", 28, 85), ("WEIGHT", 80, 90), ("1", 11, 70), ("9.5", 79, 70), ("Tee", 27, 70), ("90", 33, 70), ("PIPE", 10, 75), ("2", 9, 60), ("4", 61, 60), ("TOTAL WEIGHT", 30, 20), ("3", 10, 15)]
+    df = spark.createDataFrame([("f", t, float(x), float(y)) for t, x, y in words], "file string, text string, x double, y double")
+    found = {tuple(r) for r in layout.materials_table(df).collect()}
+    assert found == {("f", 70.0, "PIPE", "1", "Tee 90", "", "", "9.5"), ("f", 60.0, "PIPE", "2", "", "", "4", "")}
