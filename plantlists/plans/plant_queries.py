@@ -331,7 +331,7 @@ def t2_stream(spark: SparkSession, d: str) -> DataFrame:
     changes = derived(spark, d, "events", _CHANGES)
     for k in (1, 0, 2):
         changes.where(f"seq % 3 = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/drop")
-    jobs.stream_replicate(spark, f"{folder}/drop", "group_text string, comment string, seq long", f"{folder}/target", f"{folder}/checkpoint", 16, 1).awaitTermination()
+    jobs.stream_upsert(spark, f"{folder}/drop", "group_text string, comment string, seq long", f"{folder}/target", f"{folder}/checkpoint", 16, 1).awaitTermination()
     jobs.upsert_comments(changes.where("seq % 3 = 2"), 2, f"{folder}/target", 16)
     return jobs.read_target(spark, f"{folder}/target").select("id", "group_text", "comment")
 

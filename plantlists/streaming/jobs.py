@@ -51,7 +51,7 @@ def _buckets(target: DataFrame, buckets: int) -> DataFrame:
 
 
 def create_target(target: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write target rows (id, group_text, comment) as a table of hash buckets by group, which stream_replicate() keeps up to date."""
+    """Write target rows (id, group_text, comment) as a table of hash buckets by group, which stream_upsert() keeps up to date."""
     rows = _buckets(target.select("id", "group_text", "comment"), buckets).withColumn("seq", F.lit(None).cast("long"))
     _written(rows, path, -1)
 
@@ -111,10 +111,22 @@ def _drop_old(spark: SparkSession, path: str, touched: set[int]) -> None:
             old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
-def stream_replicate(spark: SparkSession, changes: str, schema: str, target: str, checkpoint: str, buckets: int = 64, files: int = 1_000) -> StreamingQuery:
+def stream_upsert(spark: SparkSession, changes: str, schema: str, target: str, checkpoint: str, buckets: int = 64, files: int = 1_000) -> StreamingQuery:
     """A stream of change files (group_text, comment, seq) keeps a target of create_target() up to date, `files` files a batch at most."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         upsert_comments(batch, batch_id, target, buckets)
 
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(changes).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_replicate(spark: SparkSession, changes: str, schema: str, store: str, checkpoint: str) -> StreamingQuery:
+    """A stream of change files keeps a store of latest comments for readers that apply it by replicated(): each batch adds a partition, the last of all by seq counts.
+
+    The store grows by a partition each batch; stream_upsert() keeps the target itself and stays as large as it is.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        latest_comments(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(store)
+
+    return spark.readStream.schema(schema).parquet(changes).writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
