@@ -39,7 +39,7 @@ WINDOW, ANCHOR = 100, 32
 #: Bytes of text of a block (a longer text is a block of its own), window starts hashed together, strings of a collection.
 BLOCK_BYTES, _PIECE, COLLECTION = 8_000_000, 1 << 17, 1 << 16
 #: Different segments of an anchor from which on its windows meet by themselves.
-APART = 1 << 10
+APART = 1 << 16
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _PLACE = np.uint64((1 << 18) - 1)
 _NONE = np.zeros(0, np.int64)
@@ -307,7 +307,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             b, found = _Block(batch.column(0)[k], batch.column(1)[k]), batch.column(2)[k]
-            mark = np.zeros(len(b.data) + 1, np.int64)
+            mark = np.zeros(len(b.data) + 1, np.int32)
             if found.is_valid:
                 seg, part = found.values.field("seg").to_numpy().astype(np.int64), found.values.field("part")
                 whole = [seg[part.is_null().to_numpy(zero_copy_only=False)], *(np.frombuffer(p.as_py(), "<i4") for p in part.filter(pa.array(seg < 0)))]
@@ -319,7 +319,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.repeat(b.start[seg[some]], [len(t) for t in texts]) + np.frombuffer(b"".join(texts), np.uint8)
                 np.add.at(mark, at, 1)
                 np.add.at(mark, at + WINDOW, -1)
-            gone = np.cumsum(mark)[:-1] > 0
+            gone = np.cumsum(mark, out=mark)[:-1] > 0
+            del mark
             heads = np.zeros(len(gone), bool)
             heads[b.edges[:-1][np.diff(b.edges) > 0]] = True
             before = np.append(False, gone[:-1])[: len(gone)]
@@ -330,7 +331,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = pa.StructArray.from_arrays([pa.array(x - b.edges[row]) for x in (begin, stop)], ["begin", "stop"])
             edges = np.searchsorted(row, np.arange(len(b.ids) + 1)).astype(np.int32)
             left = b.data[~gone]
-            kept = np.append(0, np.cumsum(~gone))[b.edges]
+            kept = b.edges - np.append(0, np.cumsum(gone, dtype=np.int32))[b.edges]
             texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(b.ids), [None, pa.py_buffer(kept.astype(np.int64)), pa.py_buffer(left)])
             size = np.diff(b.edges)
             columns = [pa.array(b.ids, mask=~b.known), pa.array(size), pa.array(size - np.diff(kept)), pa.ListArray.from_arrays(pa.array(edges), spans).cast(kind), texts.cast(pa.binary())]
