@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
@@ -119,6 +120,29 @@ def test_fuzzy_query(spark) -> None:
     assert {tuple(r) for r in _QUERIES["d23_fuzzy_best_match"](spark, FOLDER).select("project_id", "target", "row_pos", "name", "ratio").collect()} == expected
 
 
+def test_repaired_query(spark) -> None:
+    """All names of a project against each target, with the suffixes set right."""
+    rows = [(r.project_id, r.row_pos, r.name) for r in derived(spark, FOLDER, "customer", plant_queries._SUFFIXED).collect()]
+    targets = {(p, re.sub(r"\([ST]\)", "(S)" if k % 2 == 0 else "(T)", n)) for p, k, n in rows if k % 4 == 0}
+
+    def ratio(a: str, b: str) -> float:
+        a, b = a.strip().lower(), b.strip().lower()
+        return float(round(200 * schedule.common_length(a, b) / (len(a) + len(b))))
+
+    expected = set()
+    for project, target in targets:
+        scored = [(ratio(target, n), -pos, n) for p, pos, n in rows if p == project]
+        best = max((x for x in scored if x[0] >= 90), default=None)
+        if best is None:
+            continue
+        for own, other in ((" (S)", " (T)"), (" (T)", " (S)")):
+            if own in target and other in best[2] and own not in best[2]:
+                best = max((x for x in scored if own in x[2] and other not in x[2] and x[0] >= 70), default=best)
+                break
+        expected.add((project, target, -best[1], best[2], best[0]))
+    assert {tuple(r) for r in _QUERIES["d23_repaired_match"](spark, FOLDER).select("project_id", "target", "row_pos", "name", "ratio").collect()} == expected
+
+
 def test_propagation_query(spark) -> None:
     """Dates by following the chain away from the anchor, first dates winning, without passes."""
     edges, start = defaultdict(list), {}
