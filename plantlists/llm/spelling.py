@@ -15,7 +15,7 @@ Two words are near if one code point inserted, deleted or replaced turns one int
 * List merging. If a word's bound leaves T grams, the least frequent (all - T + 1) grams of both words have one in common, so only these
   short lists are merged, and the frequent grams' lists are not read. A gram that the edit leaves whole lies left or right of it, and
   then the whole text on its outer side is equal too, so a list is keyed by the gram with that side's text. Two words whose
-  bounds leave nothing (few long grams; one word in some thousands) are merged by the words less one code point instead; so nothing is lost.
+  bounds leave nothing (few long grams) are merged by the words less one code point instead; so nothing is lost.
 * Verification by edit distance over code points.
 
 Words of more than LONG_WORD code points meet by the digests of their halves, so that no work grows with the square of a word's length.
