@@ -37,9 +37,9 @@ from .words import mix, text_column
 
 WINDOW, ANCHOR = 100, 32
 #: Bytes of text of a block (a longer text is a block of its own), window starts hashed together, strings of a collection.
-BLOCK_BYTES, _PIECE, COLLECTION = 8_000_000, 1 << 17, 1 << 16
+BLOCK_BYTES, _PIECE, COLLECTION = 4_000_000, 1 << 17, 1 << 15
 #: Different segments of an anchor from which on its windows meet by themselves.
-APART = 1 << 16
+APART = 1 << 15
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _PLACE = np.uint64((1 << 18) - 1)
 _NONE = np.zeros(0, np.int64)
@@ -115,13 +115,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
     ids, columns, size = [], [], 0
     for batch in batches:
-        ids += batch.column(0).cast(pa.int64()).to_pylist()
-        columns.append(batch.column(1))
-        size += batch.column(1).nbytes
-        if size >= BLOCK_BYTES:
-            yield _block(block, ids, columns)
-            block += 1
-            ids, columns, size = [], [], 0
+        own, column = batch.column(0).cast(pa.int64()).to_pylist(), text_column(batch.column(1))
+        edges = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        row = 0
+        while row < len(column):
+            stop = max(row + 1, int(np.searchsorted(edges, edges[row] + BLOCK_BYTES, "right")) - 1)
+            ids += own[row:stop]
+            columns.append(column.slice(row, stop - row))
+            size += int(edges[stop] - edges[row])
+            row = stop
+            if 2 * size >= BLOCK_BYTES:
+                yield _block(block, ids, columns)
+                block += 1
+                ids, columns, size = [], [], 0
+                pa.default_memory_pool().release_unused()
     if ids:
         yield _block(block, ids, columns)
 
@@ -336,6 +343,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(b.edges)
             columns = [pa.array(b.ids, mask=~b.known), pa.array(size), pa.array(size - np.diff(kept)), pa.ListArray.from_arrays(pa.array(edges), spans).cast(kind), texts.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            pa.default_memory_pool().release_unused()
 
 
 def without_repeated_bytes(docs: DataFrame) -> DataFrame:
