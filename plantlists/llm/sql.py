@@ -94,7 +94,8 @@ SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_nu
 
 SQL["op11_suffixes"] = r"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT k, doc_id, s, md5(substring(h, 2 * s + 1, 200)) AS c FROM (SELECT k, doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS s FROM t WHERE length(h) >= 200 AND doc_id IS NOT NULL)),
+p AS (SELECT k, doc_id, length(h) // 2 AS n, q, substring(h, 200 * q + 1, 400) AS x FROM (SELECT *, unnest(range(0, length(h) // 200 + 1)) AS q FROM t WHERE length(h) >= 200 AND doc_id IS NOT NULL)),  -- pieces of 200 bytes
+w AS (SELECT k, doc_id, 100 * q + o AS s, md5(substring(x, 2 * o + 1, 200)) AS c FROM (SELECT *, unnest(range(0, least(100, n - 99 - 100 * q))) AS o FROM p WHERE n - 99 - 100 * q > 0)),
 d AS (SELECT k, s FROM w JOIN (SELECT c, min((doc_id, s)) AS low FROM w GROUP BY 1 HAVING count(*) > 1) USING (c) WHERE low < (doc_id, s)),
 g AS (SELECT k, s, s + 100 AS e, sum(CASE WHEN s > prior + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY s) AS run
   FROM (SELECT k, s, lag(s) OVER (PARTITION BY k ORDER BY s) AS prior FROM d)),
