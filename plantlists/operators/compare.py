@@ -352,8 +352,8 @@ def contained_pairs(needles: DataFrame, hay: DataFrame) -> DataFrame:
     size = F.least(F.lit(3), F.length("needle"))
     own = needles.select("needle").distinct().where("needle <> ''").select("needle", F.explode(F.array_distinct(F.when(size == 3, pieces(F.col("needle"), 3)).otherwise(F.array("needle")))).alias("piece"))
     often = have.groupBy("piece").agg(F.count("*").alias("n"))
-    rare = own.join(often, "piece").groupBy("needle").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    return rare.join(have, "piece").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
+    rare = own.join(often.hint("merge"), "piece").groupBy("needle").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    return rare.join(have.hint("merge"), "piece").where(F.col("text").contains(F.col("needle"))).select("needle", "text")
 
 
 def infer_category(new: DataFrame, base: DataFrame) -> DataFrame:
@@ -437,7 +437,8 @@ def codes_in_codes(inner: DataFrame, outer: DataFrame, core: str) -> DataFrame:
     own = inner.select("needle").distinct().select("needle", F.get(found("needle"), F.lit(0)).alias("x")).where("x is not null").select("needle", "x.core", "x.after")
     all_of = outer.select("text").distinct().select("text", F.explode(found("text")).alias("x"))
     begins = all_of.select("text", "x.core", F.explode(F.expr("transform(sequence(0, length(x.after)), n -> substring(x.after, 1, n))")).alias("after"))
-    return own.join(begins, ["core", "after"]).where(F.col("text").contains(F.col("needle"))).select("needle", "text").distinct()
+    # merged, as are all joins of codes: their sizes are guessed from compressed files and before the explosion, and a side that looks small would go whole through the driver
+    return own.join(begins.hint("merge"), ["core", "after"]).where(F.col("text").contains(F.col("needle"))).select("needle", "text").distinct()
 
 
 def hierarchical_match(base: DataFrame, comp: DataFrame, core: str = r"(\d[A-Z]{3}\d{2}[A-Z]{2}\d{3})") -> DataFrame:
@@ -459,7 +460,7 @@ def hierarchical_match(base: DataFrame, comp: DataFrame, core: str = r"(\d[A-Z]{
     down = contained(others, own).select(F.col("text").alias("code"), F.col("needle").alias("partner"))
     cells = ["article", "qty", "cut_length"]
     weights = comp.groupBy(F.col("code").alias("partner"), *cells).agg(F.count("*").alias("w"))
-    partners = up.union(down).distinct().join(weights, "partner").groupBy("code", *cells).agg(F.sum("w").alias("w"))
+    partners = up.union(down).distinct().join(weights.hint("merge"), "partner").groupBy("code", *cells).agg(F.sum("w").alias("w"))
     asked = base.where("code is not null").select("code", *cells).distinct().withColumn("w", F.lit(0).cast("long")).withColumn("asked", F.lit(True))
     every = partners.withColumn("asked", F.lit(False)).unionByName(asked)
     equal = F.when(F.col("article").isNotNull(), F.col("w"))
@@ -468,4 +469,4 @@ def hierarchical_match(base: DataFrame, comp: DataFrame, core: str = r"(\d[A-Z]{
     level = F.when(n[0] == 0, "NO_KKS_MATCH").when(n[1] == 0, "ARTICLE_MISMATCH").when(n[2] == 0, "QTY_MISMATCH").when(n[3] == 0, "CUT_LENGTH_MISMATCH").when(n[3] == 1, "EXACT").otherwise("MULTIPLE")
     judged = every.withColumn("level", level).where("asked").select(*(F.col(c).alias(f"j_{c}") for c in ("code", *cells)), "level")
     same = [F.col(c).eqNullSafe(F.col(f"j_{c}")) for c in ("code", *cells)]
-    return base.join(judged, reduce(and_, same), "left").select("row_pos", "code", F.coalesce("level", F.lit("NO_KKS_MATCH")).alias("level"))
+    return base.join(judged.hint("merge"), reduce(and_, same), "left").select("row_pos", "code", F.coalesce("level", F.lit("NO_KKS_MATCH")).alias("level"))
