@@ -235,13 +235,18 @@ def spare_erection(rows: DataFrame, p: ErectionSpare | None = None) -> DataFrame
     return rows.withColumn("_f", found).select(*[x for x in rows.columns if x != "_q"], "_f.*")
 
 
+def _rounded(c: Column, places: int) -> Column:
+    """c to so many decimal places, halves away from zero, as SQL has it: scaled first, since the shortest decimal text of a half may lie just below it (F.round goes by that text)."""
+    return F.round(c * 10.0**places, 0) / 10.0**places
+
+
 def order_columns(rows: DataFrame) -> DataFrame:
     """Rows (qty_pcs, qty_m, weight_kg, surface_m2, spare) with total_qty, unit_weight, weight_w_spare, surface_w_spare."""
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     q = F.when(zero("qty_pcs") > 0, zero("qty_pcs")).otherwise(zero("qty_m"))
     total = q + zero("spare")
     per = lambda c: F.when(q > 0, zero(c) / q).otherwise(0.0)
-    return rows.withColumns({"total_qty": total, "unit_weight": F.round(per("weight_kg"), 6), "weight_w_spare": F.round(per("weight_kg") * total, 3), "surface_w_spare": F.round(per("surface_m2") * total, 3)})
+    return rows.withColumns({"total_qty": total, "unit_weight": _rounded(per("weight_kg"), 6), "weight_w_spare": _rounded(per("weight_kg") * total, 3), "surface_w_spare": _rounded(per("surface_m2") * total, 3)})
 
 
 def align_tubi(rows: DataFrame) -> DataFrame:

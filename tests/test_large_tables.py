@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from plantlists.operators import compare
+import duckdb
+from pyspark.sql import functions as F
+
+from plantlists.operators import compare, rules
 
 
 def _plan(df) -> str:  # noqa: ANN001
@@ -17,3 +20,11 @@ def test_codes_are_never_broadcast(spark) -> None:
     found = compare.hierarchical_match(base, comp)
     assert "BroadcastHashJoin" not in _plan(found)
     assert {r["level"] for r in found.collect()} <= {"EXACT", "MULTIPLE"}
+
+
+def test_halves_round_as_in_sql(spark) -> None:
+    """e14: weights whose third decimal is decided by a half; the first ones differed."""
+    rows = [(2.0, 0.0, price / 100, 0.0, 3) for price in (10266.66, 10306.66, 10346.66, 10426.66, 10466.66, 10267.0)]
+    found = rules.order_columns(spark.createDataFrame(rows, "qty_pcs double, qty_m double, weight_kg double, surface_m2 double, spare int"))
+    expected = [duckdb.execute("SELECT floor(round(CAST(? AS DOUBLE) / ? * (? + 3), 3) + 0.3337)", [r[2], r[0], r[0]]).fetchone()[0] for r in rows]
+    assert [r[0] for r in found.select(F.floor(F.col("weight_w_spare") + 0.3337)).collect()] == expected
