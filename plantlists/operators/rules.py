@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,20 +111,37 @@ def process_section_summary(lines: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.groupBy("process_section").agg(join(F.col("pipe_class")).alias("classes"), join(F.col("medium")).alias("media"), F.count("*").alias("n"), F.countDistinct("pipe_class").alias("n_classes"), join(F.when(F.col("_k").isNull(), F.col("pipe_class"))).alias("unknown_classes"))
 
 
+#: Blocks into which the loads of a DN are dealt when they meet its components; each block gets a copy of them.
+LOAD_BLOCKS = 16
+
+
 def select_component(loads: DataFrame, allowable: DataFrame) -> DataFrame:
     """Loads (id, support_type, dn, qx, qy, qz, axis) with the smallest component (by sum of capacities, first on ties) of the DN that carries them.
 
-    allowable: dn, fax, flat, fz, support_type, component, pos. Misses say why: 'DN not found', 'DO NOT USE', 'no capacity'.
+    allowable: dn, fax, flat, fz, support_type, component, pos. Misses say why: 'DN not found', 'DO NOT USE', 'no capacity'. Distinct loads meet distinct
+    capacities of their DN, in LOAD_BLOCKS blocks of loads, and only carriers leave the join; counts are sums over the DN.
     """
+    load, block = ["kind", "want", "axial", "lateral", "vertical"], F.lit(LOAD_BLOCKS)
     f = text.forces_by_axis(F.col("qx"), F.col("qy"), F.col("qz"), F.col("axis"))
     asked = loads.withColumn("f", f).select("id", F.col("support_type").alias("kind"), F.col("dn").alias("want"), "f.*")
-    both = asked.join(allowable, (F.col("want") == F.col("dn")) & (F.col("kind") == F.col("support_type")), "left")
+    offered = allowable.withColumnsRenamed({"support_type": "kind", "dn": "want"})
     usable = F.coalesce(~F.upper("component").contains("DO NOT USE"), F.lit(False))
-    strong = usable & (F.col("fax") >= F.col("axial")) & (F.col("flat") >= F.col("lateral")) & (F.col("fz") >= F.col("vertical"))
-    order = F.when(strong, F.struct((F.col("fax") + F.col("flat") + F.col("fz")).alias("total"), F.col("pos").alias("pos")))
-    g = both.groupBy("id").agg(F.min_by("component", order).alias("component"), F.count("dn").alias("n"), F.count_if(usable).alias("n_usable"))
+    known = offered.groupBy("kind", "want").agg(F.count("*").alias("n"), F.count_if(usable).alias("n_usable"))
+    first = F.min_by("component", "pos").alias("component"), F.min("pos").alias("pos")
+    offers = offered.where(usable).groupBy("kind", "want", "fax", "flat", "fz").agg(*first).withColumn("block", F.explode(F.sequence(F.lit(0), block - 1)))
+    distinct = asked.select(*load).distinct()
+    strong = (F.col("fax") >= F.col("axial")) & (F.col("flat") >= F.col("lateral")) & (F.col("fz") >= F.col("vertical"))
+    met = distinct.withColumn("block", F.pmod(F.xxhash64(*load), block).cast("int")).join(offers.hint("merge"), ["kind", "want", "block"]).where(strong)
+    best = met.groupBy(*load).agg(F.min(F.struct((F.col("fax") + F.col("flat") + F.col("fz")).alias("total"), "pos", "component")).alias("best"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = right.select(*(F.col(c).alias(f"_{c}") for c in load), *(c for c in right.columns if c not in load))
+        return left.join(other, reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in load)), "left").drop(*(f"_{c}" for c in load))
+
+    judged = beside(distinct.join(known, ["kind", "want"], "left"), best)
+    g = beside(asked, judged).groupBy("id").agg(F.min("best").alias("best"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_usable"), F.lit(0)).alias("n_usable"))
     miss = F.when(F.col("n") == 0, "DN not found").when(F.col("n_usable") == 0, "DO NOT USE").otherwise("no capacity")
-    return g.select("id", "component", F.when(F.col("component").isNull(), miss).alias("miss"))
+    return g.select("id", F.col("best.component").alias("component"), F.when(F.col("best.component").isNull(), miss).alias("miss"))
 
 
 @dataclass(frozen=True)

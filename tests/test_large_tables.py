@@ -28,3 +28,23 @@ def test_halves_round_as_in_sql(spark) -> None:
     found = rules.order_columns(spark.createDataFrame(rows, "qty_pcs double, qty_m double, weight_kg double, surface_m2 double, spare int"))
     expected = [duckdb.execute("SELECT floor(round(CAST(? AS DOUBLE) / ? * (? + 3), 3) + 0.3337)", [r[2], r[0], r[0]]).fetchone()[0] for r in rows]
     assert [r[0] for r in found.select(F.floor(F.col("weight_w_spare") + 0.3337)).collect()] == expected
+
+
+def test_loads_meet_distinct_and_spread(spark) -> None:
+    """d18: many equal loads of one DN; pairs that left the join were loads x components before."""
+    loads = [(k, "guide", k % 3, float(k % 4), float(k % 5), float(k % 2), "xyz"[k % 3] if k % 7 else None) for k in range(300)] + [(0, "guide", 9, 1.0, 1.0, 1.0, "x")]
+    allowed = [(pos, pos % 2, float(pos % 5), float(pos % 4), float(pos % 3), "guide", "X do not use" if pos % 6 == 0 else f"c{pos}") for pos in range(40)] + [(99, 2, 9.0, 9.0, 9.0, "guide", "DO NOT USE"), (98, 1, None, 4.0, 4.0, "guide", "c98")]
+    left = spark.createDataFrame(loads, "id long, support_type string, dn int, qx double, qy double, qz double, axis string")
+    found = rules.select_component(left, spark.createDataFrame(allowed, "pos long, dn int, fax double, flat double, fz double, support_type string, component string"))
+    assert "BroadcastNestedLoopJoin" not in _plan(found) and _plan(found).count("block") > 0
+    expected = {}
+    for k, _, dn, x, y, z, axis in loads:
+        own = [c for c in allowed if c[1] == dn]
+        a, b, v = {"x": (x, y, z), "y": (y, x, z), "z": (z, max(x, y), 0.0), None: (None, None, None)}[axis]
+        fit = [(c[2] + c[3] + c[4], c[0], c[6]) for c in own if "DO NOT" not in c[6].upper() and a is not None and None not in c and c[2] >= a and c[3] >= b and c[4] >= v]
+        was = expected.setdefault(k, [[], 0, 0])
+        was[0] += fit
+        was[1] += len(own)
+        was[2] += sum("DO NOT" not in c[6].upper() for c in own)
+    told = {k: (min(fit)[2], None) if fit else (None, "DN not found" if n == 0 else "DO NOT USE" if u == 0 else "no capacity") for k, (fit, n, u) in expected.items()}
+    assert {r["id"]: (r["component"], r["miss"]) for r in found.collect()} == told
