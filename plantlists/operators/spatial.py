@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..staging import staged
 
 #: A cell is CELL tolerances wide along each axis, so a box of two tolerances meets (1 + 2 / CELL)^3 cells on the average, 8 at most.
-CELL = 4.0
+CELL = 8.0
 #: Rows of one side that meet in one place; cells with more are dealt out in blocks.
 DENSE = 4096
 #: Boxes are this much wider than the tolerance, so that rounding loses no pair; the tolerance itself is tested on every pair.
