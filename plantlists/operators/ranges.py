@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from ..staging import staged
 
 
-def _laid_out(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """df with _at, the place in the order by groups and order, and _range; written once, so that both stay as they are."""
+def _laid_out(df: DataFrame, by: Sequence[str], order: Sequence[Column], drop: Sequence[str] = ()) -> DataFrame:
+    """df with _at, the place in the order by groups and order, and _range, without the columns drop; written once, so that both stay as they are."""
     keys = [*(F.col(c) for c in by), *order]
     laid = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return staged(laid.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", 33))
+    return staged(laid.withColumn("_at", F.monotonically_increasing_id()).drop(*drop), "ranges").withColumn("_range", F.shiftright("_at", 33))
 
 
 def _joined(df: DataFrame, of_range: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -33,9 +33,11 @@ def _joined(df: DataFrame, of_range: DataFrame, by: Sequence[str]) -> DataFrame:
 def numbered(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
     """df with a running number from 1 in the given order within the groups of the columns by (null is a group; none: over all rows).
 
-    A number is the place of a row in its range, and the rows of its group in the ranges before. Ties of the order are numbered in any order.
+    A number is the place of a row in its range, and the rows of its group in the ranges before. Ties of the order are numbered in any order. Keys are plain
+    values in ascending order; they become columns first, since a sort works an expression out again at every comparison.
     """
-    rows = _laid_out(df, by, order)
+    keys = {f"_k{k}": c for k, c in enumerate(order)}
+    rows = _laid_out(df.withColumns(keys), by, [F.col(c) for c in keys], drop=list(keys))
     sizes = rows.groupBy("_range", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and group
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

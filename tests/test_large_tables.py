@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 from pyspark.sql import functions as F
 
-from plantlists.operators import compare, rules
+from plantlists.operators import bom, compare, ranges, rules, spatial
 
 
 def _plan(df) -> str:  # noqa: ANN001
@@ -48,3 +48,38 @@ def test_loads_meet_distinct_and_spread(spark) -> None:
         was[2] += sum("DO NOT" not in c[6].upper() for c in own)
     told = {k: (min(fit)[2], None) if fit else (None, "DN not found" if n == 0 else "DO NOT USE" if u == 0 else "no capacity") for k, (fit, n, u) in expected.items()}
     assert {r["id"]: (r["component"], r["miss"]) for r in found.collect()} == told
+
+
+def test_few_copies_of_points(spark) -> None:
+    """d19: every copy of a point crosses the exchange; there were 3.4 of them in each grid."""
+    points = spark.range(4000).selectExpr("cast(id * 37 % 1009 as double) AS x", "cast(id * 91 % 1013 as double) AS y", "cast(id * 53 % 1019 as double) AS z")
+    axes = [(c, 5.0) for c in "xyz"]
+    copies = points.select(F.size(spatial._cells(0, axes, True)).alias("n"))
+    assert copies.agg(F.avg("n")).first()[0] < 2.1
+    assert points.select(F.size(spatial._cells(0, axes, False)).alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def _sorts(spark, monkeypatch, run) -> list[str]:  # noqa: ANN001
+    """Sort lines of the plans that ranges writes while run() works."""
+    plans, write = [], ranges.staged
+    monkeypatch.setattr(ranges, "staged", lambda df, name: plans.append(_plan(df)) or write(df, name))
+    run()
+    return [line for plan in plans for line in plan.splitlines() if "Sort [" in line]
+
+
+def test_price_order_sorts_by_columns(spark, monkeypatch) -> None:
+    """g1_price_order: a sort works its expressions out at every comparison."""
+    rows = spark.range(20).selectExpr("id AS row_pos", "if(id % 2 = 0, '02 SS shop', 'paint other') AS material_type", "'m' AS material", "'t' AS type", "concat(' ', id % 7, ',5') AS size")
+    found = []
+    sorts = _sorts(spark, monkeypatch, lambda: found.extend(bom.price_order(rows).orderBy("place").collect()))
+    assert sorts and not any("CASE" in line for line in sorts)
+    assert [r["row_pos"] for r in found] == sorted(range(20), key=lambda k: (k % 2, k % 7, k)) and set(found[0].asDict()) == {*rows.columns, "place"}
+
+
+def test_uids_sort_by_columns(spark, monkeypatch) -> None:
+    """f3_assign_uids: the same sort with groups."""
+    rows = spark.range(20).selectExpr("id AS row_pos", "if(id % 2 = 0, '02 SS shop', '03 CS shop') AS material_type", "'m' AS material", "'t' AS type", "concat('DN', id % 7) AS size")
+    found = []
+    sorts = _sorts(spark, monkeypatch, lambda: found.extend(rules.assign_uids(rows).collect()))
+    assert sorts and not any("lower" in line for line in sorts)
+    assert sorted(r["uid"] for r in found) == sorted(f"{n}-{k:03d}" for n in ("02-SS", "03-CS") for k in range(1, 11))
