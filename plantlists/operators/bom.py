@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
 from .ranges import numbered
@@ -28,6 +32,8 @@ C5_TYPES = {
     "01 Primary Supports": "06 Primary Supports C5", "02 Brackets Consoles": "07 Brackets Consoles C5", "03 Bolts Screws Nuts": "08 Bolts Screws Nuts C5",
     "04 Beam Sections": "09 Beam Sections C5", "05 Installation Material": "10 Installation Material C5",
 }
+#: Groups of pieces that a task holds as Python objects at a time.
+GROUPS_AT_ONCE = 64
 KERF_MM, BEAM_MM, TAPE_ROLL_M, TAPE_FACTOR, ORDER_FACTOR = 3, 6000, 10, 1.30, 1.05
 SHEET = (
     "material_type string, article_number long, description string, qty long, total_weight_kg double, remarks string, coating string, spare long, order_qty long, "
@@ -176,15 +182,29 @@ def _runs(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("item_number", "coating").agg(F.min("bar_mm").alias("bar_mm"), F.min_by("label", "p").alias("label"), runs.alias("runs"), F.sum(F.col("cut_mm") * F.col("n")).alias("net_mm"), F.sum("w").alias("weight"), F.min("p").alias("row_pos"))
 
 
+def _by_group(groups: DataFrame, work: Callable[[dict], list[dict]], schema: str) -> DataFrame:
+    """Rows that work() makes of each group; a task holds GROUPS_AT_ONCE groups as Python objects, however many an Arrow batch has."""
+    names = [f.split()[0] for f in re.split(r", (?![^<]*>)", schema)]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, GROUPS_AT_ONCE):
+                out = [row for g in batch.slice(start, GROUPS_AT_ONCE).to_pylist() for row in work(g)]
+                yield pa.RecordBatch.from_arrays([pa.array([row[n] for row in out], kinds[n]) for n in names], names)
+
+    kinds = {f.name: f.type for f in to_arrow_schema(T.StructType.fromDDL(schema))}
+    return groups.mapInArrow(each, schema)
+
+
 def pack_bars(pieces: DataFrame) -> DataFrame:
     """Bars by first-fit decreasing for each (item_number, coating): n_bars and sums. pieces as pieces_of() gives them."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            used = [sum(bars for _, bars, _ in bar_runs([(r["cut_mm"], r["n"]) for r in runs], bar)) if len(runs) else 0 for runs, bar in zip(frame["runs"], frame["bar_mm"], strict=True)]
-            yield frame.assign(n_bars=used)[["item_number", "coating", "bar_mm", "label", "n_bars", "net_mm", "weight", "row_pos"]]
+    schema = "item_number long, coating string, bar_mm long, label string, n_bars long, net_mm long, weight double, row_pos long"
 
-    return _runs(pieces).mapInPandas(pack, "item_number long, coating string, bar_mm long, label string, n_bars long, net_mm long, weight double, row_pos long")
+    def pack(g: dict) -> list[dict]:
+        return [{**g, "n_bars": sum(bars for _, bars, _ in bar_runs([(r["cut_mm"], r["n"]) for r in g["runs"]], g["bar_mm"]))}]
+
+    return _by_group(_runs(pieces), pack, schema)
 
 
 def packed_rows(rows: DataFrame, route: str) -> DataFrame:
@@ -204,20 +224,21 @@ def packed_rows(rows: DataFrame, route: str) -> DataFrame:
 
 
 def cut_plan(pieces: DataFrame, bar_mm: int | None = None) -> DataFrame:
-    """E5: the bars of each group: item_number, coating, bar, length, n, used_mm (with kerf), left_mm, too_long."""
+    """E5: the bars of each group: item_number, coating, bar, length, n, used_mm (with kerf), left_mm, too_long.
 
-    names = ["item_number", "coating", "bar", "length", "n", "used_mm", "left_mm", "too_long"]
+    Python makes runs of equal bars, whose number does not grow with the pieces; Spark makes bars of them.
+    """
 
-    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = []
-            for g in frame.itertuples():
-                bar = bar_mm or int(g.bar_mm)
-                for k, (rest, held) in enumerate(first_fit([(r["cut_mm"], r["n"]) for r in g.runs], bar) if len(g.runs) else [], 1):
-                    out += [(g.item_number, g.coating, k, length, n, bar - rest, rest, length > bar) for length, n in held]
-            yield pd.DataFrame(out, columns=names)
+    def plan(g: dict) -> list[dict]:
+        bar, first, out = bar_mm or g["bar_mm"], 1, []
+        for rest, bars, held in bar_runs([(r["cut_mm"], r["n"]) for r in g["runs"]], bar):
+            out.append({**g, "bar_mm": bar, "first": first, "bars": bars, "left_mm": rest, "held": [{"length": length, "n": n} for length, n in held]})
+            first += bars
+        return out
 
-    return _runs(pieces).select("item_number", "coating", "bar_mm", "runs").mapInPandas(plan, "item_number long, coating string, bar long, length long, n long, used_mm long, left_mm long, too_long boolean")
+    runs = _by_group(_runs(pieces).select("item_number", "coating", "bar_mm", "runs"), plan, "item_number long, coating string, bar_mm long, first long, bars long, left_mm long, held array<struct<length: long, n: long>>")
+    each = runs.withColumn("bar", F.explode(F.sequence("first", F.col("first") + F.col("bars") - 1))).select("*", F.inline("held"))
+    return each.select("item_number", "coating", "bar", "length", "n", (F.col("bar_mm") - F.col("left_mm")).alias("used_mm"), "left_mm", (F.col("length") > F.col("bar_mm")).alias("too_long"))
 
 
 def cut_summary(pieces: DataFrame) -> DataFrame:

@@ -83,3 +83,13 @@ def test_uids_sort_by_columns(spark, monkeypatch) -> None:
     sorts = _sorts(spark, monkeypatch, lambda: found.extend(rules.assign_uids(rows).collect()))
     assert sorts and not any("lower" in line for line in sorts)
     assert sorted(r["uid"] for r in found) == sorted(f"{n}-{k:03d}" for n in ("02-SS", "03-CS") for k in range(1, 11))
+
+
+def test_bars_are_made_outside_python(spark) -> None:
+    """e5_cut_plan: Python held a row for each length of each bar of a batch of groups."""
+    pieces = spark.createDataFrame([(1, "a", 2000, "rod", 1500, 3, 1.0, 5), (1, "a", 2000, "rod", 450, 100_000, 2.0, 6), (2, None, 2000, "rod", 2500, 2, None, 7), (3, "b", 2000, "rod", 10, 0, 0.0, 8)], "item_number long, coating string, bar_mm long, label string, cut_mm long, n long, w double, p long")
+    found = bom.cut_plan(pieces)
+    assert 0 <= _plan(found).find("Generate") < _plan(found).find("MapInArrow")
+    expected = [(i, c, k, length, n, 2000 - rest, rest, length > 2000) for i, c, runs in ((1, "a", [(1500, 3), (450, 100_000)]), (2, None, [(2500, 2)])) for k, (rest, held) in enumerate(bom.first_fit(runs, 2000), 1) for length, n in held]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+    assert {r["item_number"]: r["n_bars"] for r in bom.pack_bars(pieces).collect()} == {1: len(bom.first_fit([(1500, 3), (450, 100_000)], 2000)), 2: 2, 3: 0}
