@@ -33,12 +33,19 @@ def read_keyword_list(spark: SparkSession, path: str, separator: str = "\t") ->
 
 def attribute_rows(lines: DataFrame) -> DataFrame:
     """A3: lines (value: 'id;name;value;name;value...') as id and a map of attributes, the last of a name counting."""
-    cells = F.split("value", ";")
-    rest = F.slice(cells, 2, F.size(cells))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(rest) / 2) - 1, F.lit(0)).cast("int")), lambda i: F.struct(F.try_element_at(rest, 2 * i + 1).alias("k"), F.try_element_at(rest, 2 * i + 2).alias("v")))
-    pairs = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["k"] != ""))
-    lasts = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return lines.where(F.col("value") != "").select(cells[0].alias("id"), F.map_from_entries(lasts).alias("attributes"))
+
+    def paired(rest: Column) -> Column:
+        count = F.greatest(F.floor(F.size(rest) / 2) - 1, F.lit(0)).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(F.try_element_at(rest, 2 * i + 1).alias("k"), F.try_element_at(rest, 2 * i + 2).alias("v")))
+        return text.once(F.reverse(F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull() & (p["k"] != ""))), lasts)
+
+    def lasts(back: Column) -> Column:
+        value_of = lambda n: F.element_at(back["v"], F.array_position(back["k"], n).cast("int"))
+        return text.once(F.reverse(F.array_distinct(back["k"])), lambda names: F.map_from_arrays(names, F.transform(names, value_of)))
+
+    # each step is worked out once a row: copied into the lambdas that use it, a line was split again for each pair of its cells
+    attributes = text.once(F.split("value", ";"), lambda cells: text.once(F.slice(cells, 2, F.size(cells)), paired))
+    return lines.where(F.col("value") != "").select(F.substring_index("value", ";", 1).alias("id"), attributes.alias("attributes"))
 
 
 def wide_attributes(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

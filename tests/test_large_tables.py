@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from plantlists.operators import bom, compare, ranges, rules, spatial
+from plantlists.sources import tables
 
 
 def _plan(df) -> str:  # noqa: ANN001
@@ -93,3 +94,12 @@ def test_bars_are_made_outside_python(spark) -> None:
     expected = [(i, c, k, length, n, 2000 - rest, rest, length > 2000) for i, c, runs in ((1, "a", [(1500, 3), (450, 100_000)]), (2, None, [(2500, 2)])) for k, (rest, held) in enumerate(bom.first_fit(runs, 2000), 1) for length, n in held]
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
     assert {r["item_number"]: r["n_bars"] for r in bom.pack_bars(pieces).collect()} == {1: len(bom.first_fit([(1500, 3), (450, 100_000)], 2000)), 2: 2, 3: 0}
+
+
+def test_attribute_lines_are_split_once(spark) -> None:
+    """a3_attribute_rows: the split stood in the plan once for each use of the cells."""
+    lines = ["a;A;1;B;2;A;3", "b", "c;;1;X;", "d;A", "e;K;1;K;2;K;", "f;A;1;B", ";A;x", ""]
+    rows = tables.attribute_rows(spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string"))
+    plan = _plan(rows)
+    assert plan.count("split(") == 1
+    assert {r["id"]: r["attributes"] for r in rows.collect()} == {"a": {"A": "3", "B": "2"}, "b": {}, "c": {"X": ""}, "d": {}, "e": {"K": ""}, "f": {"A": "1"}, "": {"A": "x"}}
