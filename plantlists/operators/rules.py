@@ -68,6 +68,20 @@ def categorise_by_rules(lines: DataFrame, rules: Sequence[tuple[str, str, str, s
 CHECKS = ("medium", "ps", "ts", "dn", "pn", "material")
 
 
+#: A list of classes with so many rows at most is broadcast; lines of a longer one are dealt into CLASS_BLOCKS blocks, each with a copy of the list.
+FEW_CLASSES, CLASS_BLOCKS = 10_000, 64
+
+
+def _beside_classes(lines: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """Lines with what their pipe_class has in the list (column key), if anything; most lines share few classes, so a class is never one task's."""
+    same = F.col("pipe_class") == F.col(key)
+    if listed.limit(FEW_CLASSES + 1).count() <= FEW_CLASSES:
+        return lines.join(F.broadcast(listed), same, "left")
+    dealt = lines.withColumn("_own", F.monotonically_increasing_id() % CLASS_BLOCKS)
+    copies = listed.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CLASS_BLOCKS - 1).cast("long"))))
+    return dealt.join(copies.hint("merge"), same & (F.col("_own") == F.col("_block")), "left").drop("_own", "_block")
+
+
 def check_line_list(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """Lines (all text: medium, ps, ts, dn, pn, material, pipe_class) against classes (pipe_class, medium list, pn, t_min, t_max, dn_from, dn_to, material).
 
@@ -75,7 +89,7 @@ def check_line_list(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """
     c = F.col
     k = classes.select(*(c(x).alias(f"c_{x}") for x in classes.columns))
-    rows = lines.join(k, c("pipe_class") == c("c_pipe_class"), "left")
+    rows = _beside_classes(lines, k, "c_pipe_class")
     told = lambda ok, *need: F.when(F.greatest(*(n.isNull().cast("int") for n in need), F.lit(0)) == 1, "nan").when(ok, "OK").otherwise("NOK")
     ps, ts, dn, pn = (c(x).try_cast("double") for x in ("ps", "ts")), None, text.dn_number(c("dn")), text.first_int(c("pn")).cast("double")
     ps, ts = ps
@@ -105,8 +119,7 @@ def pipe_class_summary(checked: DataFrame, classes: DataFrame, column: str) -> D
 
 def process_section_summary(lines: DataFrame, classes: DataFrame) -> DataFrame:
     """For each process section its classes and media (sorted), counts, and the classes that the reference lacks."""
-    known = classes.select("pipe_class").distinct().withColumn("_k", F.lit(True))
-    rows = lines.join(known, "pipe_class", "left")
+    rows = _beside_classes(lines, classes.select(F.col("pipe_class").alias("_k")).distinct(), "_k")
     join = lambda x: F.array_join(F.sort_array(F.collect_set(x)), ", ")
     return rows.groupBy("process_section").agg(join(F.col("pipe_class")).alias("classes"), join(F.col("medium")).alias("media"), F.count("*").alias("n"), F.countDistinct("pipe_class").alias("n_classes"), join(F.when(F.col("_k").isNull(), F.col("pipe_class"))).alias("unknown_classes"))
 

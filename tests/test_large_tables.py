@@ -103,3 +103,18 @@ def test_attribute_lines_are_split_once(spark) -> None:
     plan = _plan(rows)
     assert plan.count("split(") == 1
     assert {r["id"]: r["attributes"] for r in rows.collect()} == {"a": {"A": "3", "B": "2"}, "b": {}, "c": {"X": ""}, "d": {}, "e": {"K": ""}, "f": {"A": "1"}, "": {"A": "x"}}
+
+
+def test_lines_of_a_class_spread(spark, monkeypatch) -> None:
+    """d11: all lines of a class were one task's; a long list deals them into blocks, with the same result."""
+    lines = spark.range(40).selectExpr("'Water' AS medium", "'9' AS ps", "'5' AS ts", "concat('DN ', id) AS dn", "'PN16' AS pn", "'m' AS material", "if(id % 9 = 0, null, concat('A', id % 3)) AS pipe_class", "concat('s', id % 2) AS process_section")
+    classes = spark.createDataFrame([("A1", "Water", 16.0, 0.0, 80.0, 15.0, 300.0, "m"), ("A2", "Gas", 25.0, -10.0, 50.0, 15.0, 100.0, "m"), ("A2", "Oil", 25.0, -10.0, 50.0, 15.0, 100.0, "m")], "pipe_class string, medium string, pn double, t_min double, t_max double, dn_from double, dn_to double, material string")
+    short = rules.check_line_list(lines, classes)
+    assert "BroadcastHashJoin" in _plan(short)
+    sections = rules.process_section_summary(lines, classes)
+    told, summed = sorted(map(str, short.collect())), sorted(map(str, sections.collect()))
+    monkeypatch.setattr(rules, "FEW_CLASSES", 1)
+    dealt = rules.check_line_list(lines, classes)
+    assert "_block" in _plan(dealt)
+    assert sorted(map(str, dealt.collect())) == told and len(told) == 40 + sum(k % 3 == 2 and k % 9 != 0 for k in range(40))
+    assert sorted(map(str, rules.process_section_summary(lines, classes).collect())) == summed
