@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
+from ..staging import staged
 from .ranges import numbered
 
 #: Material types: label, prefixes, keywords (fixed values; prefixes of all rules go before keywords).
@@ -291,8 +292,8 @@ def folded(sheet: DataFrame) -> DataFrame:
 
 
 def order_sheet(raw: DataFrame) -> DataFrame:
-    """Raw bill of material to the order sheet. Routes share one exchange where their keys agree."""
-    rows = routed(raw)
+    """Raw bill of material to the order sheet. Rows are routed once, into a staged table that the six routes read."""
+    rows = staged(routed(raw), "routed")
     parts = [grouped_standard(rows), grouped_brackets(rows), packed_rows(rows, "beam"), packed_rows(rows, "rod"), tape_rolls(rows), individual_rows(rows)]
     out = parts[0]
     for p in parts[1:]:

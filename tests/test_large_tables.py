@@ -118,3 +118,11 @@ def test_lines_of_a_class_spread(spark, monkeypatch) -> None:
     assert "_block" in _plan(dealt)
     assert sorted(map(str, dealt.collect())) == told and len(told) == 40 + sum(k % 3 == 2 and k % 9 != 0 for k in range(40))
     assert sorted(map(str, rules.process_section_summary(lines, classes).collect())) == summed
+
+
+def test_sheet_routes_rows_once(spark) -> None:
+    """g1_order_sheet, e8_price_summary, v1_validate_order_sheet: each of six routes classified all rows again."""
+    rows = spark.range(64).selectExpr("id AS row_pos", "id % 8 AS item_number", "3L AS qty", "elt(1 + id % 4, 'Hex nut M10', 'Bracket WBD', 'Beam section MS 41', 'Threaded rod M10/2000') AS description", "if(id % 4 > 1, 400L, null) AS cut_length_mm", "1.5D AS total_weight_kg", "cast(null as string) AS remarks", "'HCP' AS coating")
+    sheet = bom.order_sheet(rows)
+    assert "washer" not in _plan(sheet)  # a keyword of the classification, which the staged rows have behind them
+    assert sheet.count() == 8
