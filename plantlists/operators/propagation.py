@@ -4,7 +4,8 @@ The rule is one of passes: a project's dependencies are gone through in order, a
 way round, if one of them has a date and the other has none. So an activity is dated at a time (pass, way), and a way fires for the first time
 after its source's time. The dates of all projects are found by rounds over what changed in the round before (the frontier): each way from it offers its
 target a time, the least time wins, and a target whose time or date changed is in the next frontier. A round is a join of the frontier with the ways; the
-rounds are as many as the longest chain of dependencies is long, however many projects and activities there are.
+rounds are as many as the longest chain of dependencies is long, however many projects and activities there are. Ways lie in buckets of their sources and
+dates in buckets of their activities, as many of both, so a round shuffles nothing but the offers.
 """
 
 from __future__ import annotations
@@ -14,12 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import staged
-from .ranges import numbered
+from ..staging import staged, staged_buckets
+from .ranges import placed
 
 #: Months by name (fixed values).
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 MAX_PASSES = 100
+#: A time (pass, way) is one number, pass * PASS + way; ways begin at 2, an anchor's is 0.
+PASS = 1 << 56
+#: Ways that a bucket holds on the average, and most buckets.
+BUCKET_ROWS, MAX_BUCKETS = 500_000, 50_000
 #: The reason of a project's anchor (fixed text).
 ANCHOR_REASON = "Anchor milestone (reference point)"
 
@@ -37,33 +42,43 @@ def _day_of(words: str) -> tuple[int, int] | None:
     return month and (month, 15 if "middle" in low else last if "end" in low else 1)
 
 
-def _shifted(start: Column, weeks: Column, sign: Column, year: Column, holidays: Sequence[tuple[str, str, int]]) -> Column:
-    """Struct (date, plain, weeks, adder, label): the weekday some weeks from start, moved by the first holiday period it overlaps with a week's grace.
+def _shifted(rows: DataFrame, holidays: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """rows (way, given, start, year) with other_date, plain, weeks, adder, label: the weekday some weeks from start, moved by the first holiday period it overlaps with a week's grace.
 
-    Periods are those of the anchor's year and the years beside it, in this order.
+    Periods are those of the anchor's year and the years beside it, in this order. Each step is a column of its own, since an expression that
+    names another several times works it out as often: inside one another they took 50 microseconds a row.
     """
-    plain = on_weekday(F.date_add(start, (sign * weeks * 7).cast("int")))
-    low, high = F.least(start, plain), F.greatest(start, plain)
-    periods = []
-    for more in (-1, 0, 1):
-        for a, b, adder in holidays:
-            begin, until = _day_of(a), _day_of(b)
-            if begin and until:
-                dates = [F.make_date(year + more, F.lit(m), F.lit(d)) for m, d in (begin, until)]
-                periods.append(F.struct(dates[0].alias("begin"), dates[1].alias("until"), F.lit(adder).cast("long").alias("adder"), F.lit(f"{a} to {b} holiday period").alias("label")))
-    kind = "struct<begin: date, until: date, adder: bigint, label: string>"
-    hit = F.get(F.filter(F.array(*periods).cast(f"array<{kind}>"), lambda p: (low <= F.date_add(p["until"], 7)) & (high >= p["begin"])), F.lit(0)) if periods else F.lit(None).cast(kind)
-    total = weeks + F.coalesce(hit["adder"], F.lit(0))
-    moved = on_weekday(F.date_add(start, (sign * total * 7).cast("int")))
-    return F.struct(F.when(hit.isNull(), plain).otherwise(moved).alias("date"), plain.alias("plain"), total.alias("weeks"), hit["adder"].alias("adder"), hit["label"].alias("label"))
-
-
-def _reason(given: str = "given") -> Column:
-    """The text of a date from a way (word, source, comments) and its shift."""
+    known = [(begin, until, adder, f"{a} to {b} holiday period") for a, b, adder in holidays if (begin := _day_of(a)) and (until := _day_of(b))]
+    sign = F.when(F.col("way") % 2 == 0, -1).otherwise(1)
+    moved = lambda weeks: F.date_add("start", (sign * weeks * 7).cast("int"))
+    rows = rows.withColumn("_day", moved(F.col("given"))).withColumn("plain", on_weekday(F.col("_day")))
+    rows = rows.withColumns({"_low": F.least("start", "plain"), "_high": F.greatest("start", "plain")})
+    hit = adder = F.lit(None).cast("long")
+    label = F.lit(None).cast("string")
+    if known:
+        date = lambda more, day: F.make_date(F.col("year") + more, F.lit(day[0]), F.lit(day[1]))
+        periods = [(F.col("_low") <= F.date_add(date(more, until), 7)) & (F.col("_high") >= date(more, begin)) for more in (-1, 0, 1) for begin, until, _, _ in known]
+        hit = F.coalesce(*(F.when(meets, F.lit(k % len(known))) for k, meets in enumerate(periods)))
+        adder, label = F.get(F.array(*(F.lit(h[2]).cast("long") for h in known)), F.col("_hit")), F.get(F.array(*(F.lit(h[3]) for h in known)), F.col("_hit"))
+    rows = rows.withColumn("_hit", hit).withColumns({"adder": adder, "label": label}).withColumn("weeks", F.col("given") + F.coalesce("adder", F.lit(0)))
+    rows = rows.withColumn("_day", moved(F.col("weeks"))).withColumn("other_date", F.when(F.col("_hit").isNull(), F.col("plain")).otherwise(on_weekday(F.col("_day"))))
+    return rows.drop("_day", "_low", "_high", "_hit")
+
+
+def _reason() -> Column:
+    """The text of a date from a way (source, comments) and its shift."""
     comments = F.when(F.trim(F.coalesce("comments", F.lit(""))) != "", F.concat(F.lit(". "), F.col("comments"))).otherwise("")
-    day = F.date_format("shift.plain", "dd/MM/yyyy")
-    note = F.when(F.col("shift.adder").isNotNull(), F.concat(F.lit(". Originally "), day, F.lit(" (based on "), F.col(given).cast("string"), F.lit("W), shifted by "), F.col("shift.adder").cast("string"), F.lit("W due to "), F.col("shift.label"))).otherwise("")
-    return F.concat(F.col("shift.weeks").cast("string"), F.lit("W "), F.col("word"), F.lit(" '"), F.col("source"), F.lit("'"), comments, note)
+    day = F.date_format("plain", "dd/MM/yyyy")
+    note = F.when(F.col("adder").isNotNull(), F.concat(F.lit(". Originally "), day, F.lit(" (based on "), F.col("given").cast("string"), F.lit("W), shifted by "), F.col("adder").cast("string"), F.lit("W due to "), F.col("label"))).otherwise("")
+    return F.concat(F.col("weeks").cast("string"), F.lit("W "), _word(), F.lit(" '"), F.col("source"), F.lit("'"), comments, note)
+
+
+def _word() -> Column:
+    return F.when(F.col("way") % 2 == 0, "before").otherwise("after")
+
+
+def _pass(time: str) -> Column:
+    return F.shiftright(time, 56)
 
 
 def later_anchor(dates: DataFrame, first: Sequence[str], second: Sequence[str], activity: str = "Anchor", names: tuple[str, str] = ("first", "second")) -> DataFrame:
@@ -85,35 +100,43 @@ def later_anchor(dates: DataFrame, first: Sequence[str], second: Sequence[str],
     return both.select("project_id", F.lit(activity).alias("activity"), F.when(is_first, F.col("a.date")).otherwise(F.col("b.date")).alias("date"), reason.alias("reason"))
 
 
-def _ways(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """Both ways of each dependency in the order of a pass: project_id, way, source, target, given, sign, word, comments; targets that may not be dated never count."""
+def _ways(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
+    """Both ways of each dependency, growing in the order of a pass (even: before, odd: after), and the number of buckets of (project_id, source) they lie in.
+
+    project_id, source, target, way, given, comments; targets that may not be dated never count.
+    """
     order = [F.col(c) for c in ("row_pos", "from_activity", "to_activity", "weeks", "comments")]
-    rows = numbered(edges.where("weeks is not null"), order, "_n", ["project_id"])
-    backward = F.struct((2 * F.col("_n")).alias("way"), F.col("to_activity").alias("source"), F.col("from_activity").alias("target"), F.lit(-1).alias("sign"), F.lit("before").alias("word"))
-    forward = F.struct((2 * F.col("_n") + 1).alias("way"), F.col("from_activity").alias("source"), F.col("to_activity").alias("target"), F.lit(1).alias("sign"), F.lit("after").alias("word"))
-    ways = rows.select("project_id", F.col("weeks").cast("long").alias("given"), "comments", F.inline(F.array(backward, forward)))
-    return staged(ways.join(known.select("project_id", F.col("activity").alias("target")).distinct(), ["project_id", "target"], "left_semi"), "ways")
+    rows = placed(edges.where("weeks is not null"), order, "_n", ["project_id"])
+    parts = min(max(rows.sparkSession.sparkContext.defaultParallelism, 2 * rows.count() // BUCKET_ROWS + 1), MAX_BUCKETS)
+    backward = F.struct((2 * F.col("_n") + 2).alias("way"), F.col("to_activity").alias("source"), F.col("from_activity").alias("target"))
+    forward = F.struct((2 * F.col("_n") + 3).alias("way"), F.col("from_activity").alias("source"), F.col("to_activity").alias("target"))
+    ways = rows.select("project_id", F.col("weeks").cast("long").alias("given"), "comments", F.inline(F.array(backward, forward))).where("source is not null")
+    ways = ways.join(known.select("project_id", F.col("activity").alias("target")).distinct(), ["project_id", "target"], "left_semi")
+    return staged_buckets(ways.repartition(parts, "project_id", "source"), "ways", ["project_id", "source"], parts), parts
 
 
-def _times(ways: DataFrame, anchors: DataFrame, holidays: Sequence[tuple[str, str, int]]) -> DataFrame:
-    """project_id, activity, pass, way, date, year of all activities that get a date."""
+def _times(ways: DataFrame, parts: int, anchors: DataFrame, holidays: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """project_id, activity, time, date, year of all activities that get a date, in buckets of (project_id, activity).
+
+    Ways and dates stay in their buckets from round to round: only the frontier and its offers are shuffled, and a round hashes these, sorting nothing.
+    """
+    keys = ["project_id", "activity"]
     day = on_weekday(F.col("date"))
-    first = anchors.where("date is not null").select("project_id", "activity", F.lit(1).cast("long").alias("pass"), F.lit(-1).cast("long").alias("way"), day.alias("date"), F.year(day).alias("year"))
-    frontier = dated = staged(first, "anchors")
-    while not frontier.isEmpty():
-        sources = frontier.select("project_id", F.col("activity").alias("source"), F.col("pass").alias("p"), F.col("way").alias("w"), F.col("date").alias("start"), "year")
-        offers = ways.join(sources, ["project_id", "source"])
-        shift = _shifted(F.col("start"), F.col("given"), F.col("sign"), F.col("year"), holidays)
-        offers = offers.select("project_id", F.col("target").alias("activity"), F.col("p") + F.when(F.col("way") > F.col("w"), 0).otherwise(1), "way", shift["date"].alias("date"), "year")
-        offers = offers.toDF("project_id", "activity", "pass", "way", "date", "year").where(f"pass <= {MAX_PASSES}")
-        best = offers.groupBy("project_id", "activity").agg(F.min(F.struct("pass", "way", "date", "year")).alias("new"))
-        old = F.struct("pass", "way", "date", "year")
-        both = dated.select("project_id", "activity", old.alias("old")).join(best, ["project_id", "activity"], "full")
+    first = anchors.where("date is not null").select(*keys, F.lit(PASS).alias("time"), day.alias("date"), F.year(day).alias("year"), F.lit(True).alias("changed"))
+    state = staged_buckets(first.repartition(parts, *keys), "anchors", keys, parts)
+    while not (frontier := state.where("changed")).isEmpty():
+        sources = frontier.select("project_id", F.col("activity").alias("source"), "time", F.col("date").alias("start"), "year")
+        offers = ways.select("project_id", "source", "target", "way", "given").join(sources.hint("shuffle_hash"), ["project_id", "source"])
+        same_pass = F.col("time") - F.col("time") % PASS + F.col("way")
+        offers = offers.withColumn("time", F.when(same_pass > F.col("time"), same_pass).otherwise(same_pass + PASS)).where(F.col("time") < (MAX_PASSES + 1) * PASS)
+        offers = _shifted(offers, holidays).select("project_id", F.col("target").alias("activity"), "time", "other_date", "year").repartition(parts, *keys)
+        best = offers.groupBy(*keys).agg(F.min("time").alias("new_time"), F.min_by("other_date", "time").alias("new_date"), F.min_by("year", "time").alias("new_year"))
+        both = state.drop("changed").join(best.hint("shuffle_hash"), keys, "full")
         # the same time is the same way, whose source may have another date now
-        better = F.col("old").isNull() | (F.struct("new.pass", "new.way") < F.struct("old.pass", "old.way")) | ((F.struct("new.pass", "new.way") == F.struct("old.pass", "old.way")) & (F.col("new.date") != F.col("old.date")))
-        both = staged(both.withColumn("changed", F.col("new").isNotNull() & better).select("project_id", "activity", "changed", F.when(F.col("changed"), F.col("new")).otherwise(F.col("old")).alias("t")), "dated")
-        dated, frontier = both.select("project_id", "activity", "t.*"), both.where("changed").select("project_id", "activity", "t.*")
-    return dated
+        better = F.col("time").isNull() | (F.col("new_time") < F.col("time")) | ((F.col("new_time") == F.col("time")) & (F.col("new_date") != F.col("date")))
+        both = both.withColumn("changed", F.col("new_time").isNotNull() & better)
+        state = staged_buckets(both.select(*keys, *(F.when(F.col("changed"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("time", "date", "year")), "changed"), "dated", keys, parts)
+    return state.drop("changed")
 
 
 def propagation(edges: DataFrame, anchors: DataFrame, known: DataFrame, holidays: Sequence[tuple[str, str, int]] = ()) -> tuple[DataFrame, DataFrame]:
@@ -124,23 +147,24 @@ def propagation(edges: DataFrame, anchors: DataFrame, known: DataFrame, holidays
     dependency that gave the date), conflicts (how often a pass came to another date). conflicts: project_id, activity, date, other_date, reason (of the
     other date), reference, times. The first date of an activity wins. Repeated dependencies count each; null activities match nothing.
     """
-    ways = _ways(edges, known)
-    dated = _times(ways, anchors, tuple(map(tuple, holidays)))
-    sources = dated.select("project_id", F.col("activity").alias("source"), F.col("pass").alias("source_pass"), F.col("way").alias("source_way"), F.col("date").alias("start"), "year")
-    targets = dated.select("project_id", F.col("activity").alias("target"), F.col("pass").alias("target_pass"), F.col("way").alias("target_way"), "date")
-    fired = ways.join(sources, ["project_id", "source"]).join(targets, ["project_id", "target"])
-    fired = staged(fired.withColumn("shift", _shifted(F.col("start"), F.col("given"), F.col("sign"), F.col("year"), holidays)).withColumn("text", _reason()), "fired")
+    holidays = tuple(map(tuple, holidays))
+    ways, parts = _ways(edges, known)
+    dated = _times(ways, parts, anchors, holidays)
+    sources = dated.select("project_id", F.col("activity").alias("source"), F.col("time").alias("source_time"), F.col("date").alias("start"), "year")
+    targets = dated.select("project_id", F.col("activity").alias("target"), F.col("time").alias("target_time"), "date")
+    fired = ways.join(sources.hint("shuffle_hash"), ["project_id", "source"]).repartition(parts, "project_id", "target").join(targets.hint("shuffle_hash"), ["project_id", "target"])
+    gave = F.col("way") == F.col("target_time") % PASS
+    fired = staged(_shifted(fired, holidays), "fired")  # filters on shifts come after this: before it, Spark would work the shifts out inside them again
 
     # the last pass is the one after the last that dated something
-    passes = dated.groupBy("project_id").agg(F.least(F.max(F.when(F.col("way") < 0, 0).otherwise(F.col("pass"))) + 1, F.lit(MAX_PASSES)).alias("passes"))
-    latest = F.greatest(F.struct(F.col("source_pass").alias("p"), F.col("source_way").alias("w")), F.struct(F.col("target_pass").alias("p"), F.col("target_way").alias("w")))
-    other = fired.where("shift.date <> date").join(passes, "project_id").withColumn("_t", latest)
-    times = F.col("passes") - F.col("_t.p") + F.when(F.col("way") > F.col("_t.w"), 1).otherwise(0)
-    conflicts = other.select("project_id", F.col("target").alias("activity"), "date", F.col("shift.date").alias("other_date"), F.col("text").alias("reason"), F.col("source").alias("reference"), times.cast("long").alias("times")).where("times > 0")
+    passes = dated.groupBy("project_id").agg(F.max(F.when(F.col("time") == PASS, 0).otherwise(_pass("time"))).alias("last"))
+    other = fired.where("other_date <> date").withColumn("_t", F.greatest("source_time", "target_time")).join(passes, "project_id")
+    times = F.least(F.col("last") + 1, F.lit(MAX_PASSES)) - _pass("_t") + F.when(F.col("way") > F.col("_t") % PASS, 1).otherwise(0)
+    conflicts = other.select("project_id", F.col("target").alias("activity"), "date", "other_date", _reason().alias("reason"), F.col("source").alias("reference"), times.cast("long").alias("times")).where("times > 0")
 
-    given = fired.where("way = target_way").select("project_id", F.col("target").alias("activity"), "date", F.col("text").alias("reason"), F.col("source").alias("reference"), F.col("shift.weeks").alias("weeks"), F.col("word").alias("direction"))
+    given = fired.where(gave).select("project_id", F.col("target").alias("activity"), "date", _reason().alias("reason"), F.col("source").alias("reference"), "weeks", _word().alias("direction"))
     reasons = anchors.select("project_id", "activity", F.col("reason") if "reason" in anchors.columns else F.lit(ANCHOR_REASON).alias("reason"))
-    start = dated.where("way < 0").join(reasons, ["project_id", "activity"]).select("project_id", "activity", "date", "reason", F.lit("anchor").alias("reference"), F.lit(0).cast("long").alias("weeks"), F.lit("anchor").alias("direction"))
+    start = dated.where(F.col("time") == PASS).join(reasons, ["project_id", "activity"]).select("project_id", "activity", "date", "reason", F.lit("anchor").alias("reference"), F.lit(0).cast("long").alias("weeks"), F.lit("anchor").alias("direction"))
     counts = conflicts.groupBy("project_id", "activity").agg(F.sum("times").alias("conflicts"))
     dates = start.unionByName(given).join(counts, ["project_id", "activity"], "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0).cast("long")))
     return dates.select("project_id", "activity", "date", "reason", "reference", "weeks", "direction", "conflicts"), conflicts

@@ -45,6 +45,14 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str
     return out.drop("_at", "_range", "_first", "_before")
 
 
+def placed(df: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """df with a number from 0 (under 2^54) that grows in the given order within the groups of by and leaves numbers out: numbered() where nobody counts, without its second pass.
+
+    Keys are columns of df, as a sort works expressions out at every comparison.
+    """
+    return _laid_out(df, by, order).withColumnRenamed("_at", name).drop("_range")
+
+
 def filled(df: DataFrame, values: Mapping[str, Column], order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """df with columns of the given names: the last value that is not null, up to the row, in the given order within the groups of by.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_buckets(df: DataFrame, name: str, keys: Sequence[str], parts: int) -> DataFrame:
+    """staged() in buckets of the keys; joins on them leave its rows where they are. df comes dealt into as many parts by the keys, so a bucket is one file."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, *keys).option("path", f"{shared_folder(spark)}/{table}").option("compression", "zstd").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove all tables that this application staged; results that were not written elsewhere can't be read after that."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

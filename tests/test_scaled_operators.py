@@ -195,6 +195,40 @@ def test_one_project_of_many_dependencies(spark) -> None:
     assert schedule.propagate_dates(edges, anchors, known).count() == 200_001
 
 
+def test_rounds_of_propagation(spark, monkeypatch) -> None:
+    """A round shuffles offers only, not the ways or the dates so far, and no step works a holiday's dates out more than once a row."""
+    plans = []
+
+    def recorded(write):  # noqa: ANN001, ANN202
+        def run(df, name, *more):  # noqa: ANN001, ANN002, ANN202
+            query = df._jdf.queryExecution()
+            plans.append((name, query.optimizedPlan().toString().count("make_date"), query.executedPlan().toString().count("Exchange ")))
+            return write(df, name, *more)
+
+        return run
+
+    for write in ("staged", "staged_buckets"):
+        if hasattr(propagation, write):
+            monkeypatch.setattr(propagation, write, recorded(getattr(propagation, write)))
+    edges = spark.range(200).selectExpr("id div 10 AS project_id", "id AS row_pos", "concat('A', cast(id % 10 as string)) AS from_activity", "concat('A', cast(id % 10 + 1 as string)) AS to_activity", "3 + id % 5 AS weeks", "'c' AS comments")
+    known = edges.selectExpr("project_id", "to_activity AS activity").union(edges.selectExpr("project_id", "from_activity"))
+    anchors = edges.where("row_pos % 10 = 0").selectExpr("project_id", "'A5' AS activity", "date_add(date '2024-04-01', cast(project_id * 17 as int)) AS date")
+    holidays = [("middle of July", "end of August", 2), ("December", "end of December", 1)]
+    dates, conflicts = schedule.propagation(edges, anchors, known, holidays)
+    rounds = [p for p in plans if p[0] == "dated"]
+    assert len(rounds) >= 5 and all(shuffles <= 1 for _, _, shuffles in rounds)
+    assert max(made for _, made, _ in plans) == 2 * 3 * len(holidays)
+    rows, starts = edges.collect(), {r.project_id: r.date for r in anchors.collect()}
+    found, clashes = defaultdict(dict), defaultdict(Counter)
+    for r in dates.collect():
+        found[r.project_id][r.activity] = r.date
+    for r in conflicts.collect():
+        clashes[r.project_id][r.activity, r.reference, r.other_date] += r.times
+    for p, start in starts.items():
+        own = [tuple(r)[1:] for r in rows if r.project_id == p]
+        assert (found[p], clashes[p]) == by_passes(own, "A5", start, {f"A{k}" for k in range(11)}, holidays)
+
+
 def test_later_anchor(spark) -> None:
     rows = [(1, "S", dt.date(2024, 1, 2)), (1, "H", dt.date(2024, 1, 2)), (2, "T", dt.date(2024, 3, 1)), (2, "S", None), (2, "H2", dt.date(2024, 4, 1)), (2, "H", dt.date(2024, 1, 1)), (3, "H2", dt.date(2024, 5, 1)), (4, "other", dt.date(2024, 1, 1))]
     df = spark.createDataFrame(rows, "project_id long, activity string, date date")
