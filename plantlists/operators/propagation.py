@@ -46,7 +46,7 @@ def _shifted(rows: DataFrame, holidays: Sequence[tuple[str, str, int]]) -> DataF
     """rows (way, given, start, year) with other_date, plain, weeks, adder, label: the weekday some weeks from start, moved by the first holiday period it overlaps with a week's grace.
 
     Periods are those of the anchor's year and the years beside it, in this order. Each step is a column of its own, since an expression that
-    names another several times works it out as often: inside one another they took 50 microseconds a row.
+    names another several times works it out as often.
     """
     known = [(begin, until, adder, f"{a} to {b} holiday period") for a, b, adder in holidays if (begin := _day_of(a)) and (until := _day_of(b))]
     sign = F.when(F.col("way") % 2 == 0, -1).otherwise(1)
