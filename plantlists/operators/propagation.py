@@ -100,6 +100,11 @@ def later_anchor(dates: DataFrame, first: Sequence[str], second: Sequence[str],
     return both.select("project_id", F.lit(activity).alias("activity"), F.when(is_first, F.col("a.date")).otherwise(F.col("b.date")).alias("date"), reason.alias("reason"))
 
 
+def _buckets(rows: DataFrame, times: int) -> int:
+    """How many buckets hold the rows, each that many times."""
+    return min(max(rows.sparkSession.sparkContext.defaultParallelism, times * rows.count() // BUCKET_ROWS + 1), MAX_BUCKETS)
+
+
 def _ways(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
     """Both ways of each dependency, growing in the order of a pass (even: before, odd: after), and the number of buckets of (project_id, source) they lie in.
 
@@ -107,11 +112,13 @@ def _ways(edges: DataFrame, known: DataFrame) -> tuple[DataFrame, int]:
     """
     order = [F.col(c) for c in ("row_pos", "from_activity", "to_activity", "weeks", "comments")]
     rows = placed(edges.where("weeks is not null"), order, "_n", ["project_id"])
-    parts = min(max(rows.sparkSession.sparkContext.defaultParallelism, 2 * rows.count() // BUCKET_ROWS + 1), MAX_BUCKETS)
+    parts = _buckets(rows, 2)
     backward = F.struct((2 * F.col("_n") + 2).alias("way"), F.col("to_activity").alias("source"), F.col("from_activity").alias("target"))
     forward = F.struct((2 * F.col("_n") + 3).alias("way"), F.col("from_activity").alias("source"), F.col("to_activity").alias("target"))
     ways = rows.select("project_id", F.col("weeks").cast("long").alias("given"), "comments", F.inline(F.array(backward, forward))).where("source is not null")
-    ways = ways.join(known.select("project_id", F.col("activity").alias("target")).distinct(), ["project_id", "target"], "left_semi")
+    # activities that may be dated are hashed in as many parts as hold them, not sorted; a hash keeps a repeated one once
+    allowed, keys = known.select("project_id", F.col("activity").alias("target")), ["project_id", "target"]
+    ways = ways.join(allowed.repartition(max(parts, _buckets(allowed, 1)), *keys).hint("shuffle_hash"), keys, "left_semi")
     return staged_buckets(ways.repartition(parts, "project_id", "source"), "ways", ["project_id", "source"], parts), parts
 
 
@@ -127,6 +134,7 @@ def _times(ways: DataFrame, parts: int, anchors: DataFrame, holidays: Sequence[t
     while not (frontier := state.where("changed")).isEmpty():
         sources = frontier.select("project_id", F.col("activity").alias("source"), "time", F.col("date").alias("start"), "year")
         offers = ways.select("project_id", "source", "target", "way", "given").join(sources.hint("shuffle_hash"), ["project_id", "source"])
+        offers = offers.where(F.col("way") != F.col("time").bitwiseXOR(F.lit(1)) % PASS)  # the other way of the dependency that dated a source comes too late for whence it came
         same_pass = F.col("time") - F.col("time") % PASS + F.col("way")
         offers = offers.withColumn("time", F.when(same_pass > F.col("time"), same_pass).otherwise(same_pass + PASS)).where(F.col("time") < (MAX_PASSES + 1) * PASS)
         offers = _shifted(offers, holidays).select("project_id", F.col("target").alias("activity"), "time", "other_date", "year").repartition(parts, *keys)
@@ -154,7 +162,9 @@ def propagation(edges: DataFrame, anchors: DataFrame, known: DataFrame, holidays
     targets = dated.select("project_id", F.col("activity").alias("target"), F.col("time").alias("target_time"), "date")
     fired = ways.join(sources.hint("shuffle_hash"), ["project_id", "source"]).repartition(parts, "project_id", "target").join(targets.hint("shuffle_hash"), ["project_id", "target"])
     gave = F.col("way") == F.col("target_time") % PASS
-    fired = staged(_shifted(fired, holidays), "fired")  # filters on shifts come after this: before it, Spark would work the shifts out inside them again
+    # rows that give no date and come to no other one end here. The filter names a partition's number, which keeps it behind the shifts: before them, Spark would work them out inside it again
+    fired = _shifted(fired, holidays).withColumn("_part", F.spark_partition_id()).where((gave | (F.col("other_date") != F.col("date"))) & (F.col("_part") >= 0))
+    fired = staged(fired.drop("_part", "start", "year"), "fired")
 
     # the last pass is the one after the last that dated something
     passes = dated.groupBy("project_id").agg(F.max(F.when(F.col("time") == PASS, 0).otherwise(_pass("time"))).alias("last"))

@@ -212,7 +212,7 @@ c AS (SELECT f.project_id, target AS activity, date, other_date, source AS refer
 def _propagation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     edges = derived(spark, d, "orders", _EDGES)
     anchors = derived(spark, d, "orders", ["cast(floor(o_orderkey / 10) as bigint) AS project_id", "'A5' AS activity", "cast(o_orderdate as date) AS date"], "o_orderkey % 10 = 0")
-    known = edges.selectExpr("project_id", "from_activity AS activity").union(edges.selectExpr("project_id", "to_activity")).distinct()
+    known = edges.selectExpr("project_id", "from_activity AS activity").union(edges.selectExpr("project_id", "to_activity"))
     return schedule.propagation(edges, anchors, known, [h[1:] for h in _HOLIDAYS])
 
 

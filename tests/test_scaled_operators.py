@@ -229,6 +229,34 @@ def test_rounds_of_propagation(spark, monkeypatch) -> None:
         assert (found[p], clashes[p]) == by_passes(own, "A5", start, {f"A{k}" for k in range(11)}, holidays)
 
 
+def test_rows_of_propagation(spark, monkeypatch) -> None:
+    """Activities that may be dated are hashed, not sorted; a round offers nothing to whence a date came; only rows that give a date or come to another are written."""
+    plans, offers, written = {}, [], {}
+
+    def recorded(write):  # noqa: ANN001, ANN202
+        def run(df, name, *more):  # noqa: ANN001, ANN002, ANN202
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            out = write(df, name, *more)
+            if name == "fired":
+                written[name] = out.count()
+            return out
+
+        return run
+
+    for write in ("staged", "staged_buckets"):
+        monkeypatch.setattr(propagation, write, recorded(getattr(propagation, write)))
+    shifted = propagation._shifted
+    monkeypatch.setattr(propagation, "_shifted", lambda rows, holidays: (offers.append(rows), shifted(rows, holidays))[1])
+    edges = spark.range(200).selectExpr("id div 10 AS project_id", "id AS row_pos", "concat('A', cast(id % 10 as string)) AS from_activity", "concat('A', cast(id % 10 + 1 as string)) AS to_activity", "3 + id % 5 AS weeks", "'c' AS comments")
+    known = edges.selectExpr("project_id", "to_activity AS activity").union(edges.selectExpr("project_id", "from_activity"))  # repeats
+    anchors = edges.where("row_pos % 10 = 0").selectExpr("project_id", "'A5' AS activity", "date_add(date '2024-04-01', cast(project_id * 17 as int)) AS date")
+    dates, conflicts = schedule.propagation(edges, anchors, known, [("middle of July", "end of August", 2)])
+    assert dates.count() == 20 * 11 and conflicts.count() > 0
+    assert "SortMergeJoin" not in plans["ways"] and "ShuffledHashJoin" in plans["ways"]
+    assert [rows.count() for rows in offers[:-1]] == [20 * 2] * 5 + [0]
+    assert written["fired"] < 20 * 10 * 2 and written["fired"] == 20 * 10 + conflicts.count()
+
+
 def test_later_anchor(spark) -> None:
     rows = [(1, "S", dt.date(2024, 1, 2)), (1, "H", dt.date(2024, 1, 2)), (2, "T", dt.date(2024, 3, 1)), (2, "S", None), (2, "H2", dt.date(2024, 4, 1)), (2, "H", dt.date(2024, 1, 1)), (3, "H2", dt.date(2024, 5, 1)), (4, "other", dt.date(2024, 1, 1))]
     df = spark.createDataFrame(rows, "project_id long, activity string, date date")
