@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..staging import staged
 from .ranges import filled
-from .spatial import box_pairs
+from .spatial import own_pairs
 
 #: Elements of a listing that are no components, and one that does not count as a first or last component (fixed values).
 STRUCTURE = ("BRANCH", "PIPE", "ZONE", "SITE", "STRUCTURE", "SUBSTRUCTURE", "CYLINDER", "CTORUS")
 ATTACHMENT = "ATTACHMENT"
+#: Names that several branches have and that are broadcast; more of them are joined by a merge.
+FEW_NAMES = 100_000
 #: Component types that may touch (fixed values, either order).
 TOUCHING_PAIRS = (
     ("ELBO", "ELBO"), ("ELBO", "REDU"), ("ELBO", "FLAN"), ("ELBO", "TEE"), ("ELBO", "CAP"), ("ELBO", "VALV"), ("TEE", "REDU"),
@@ -74,23 +77,43 @@ def lookup_specs(components: DataFrame, spec: DataFrame) -> DataFrame:
 def connect_branches(branches: DataFrame, tight: float = 5.0, loose: float = 150.0) -> DataFrame:
     """Tails at heads of other branches: two axes within tight, the third within loose (XY, XZ, YZ in this order), one end BWD; an unordered pair once.
 
-    branches: branch, hx..tz, hcon, tcon, line_no (the order). Ends meet in box_pairs(), one box for each of the three kinds of match.
+    branches: branch, hx..tz, hcon, tcon, line_no (the order). Ends meet in own_pairs(), one box for each of the three kinds of match. Both rows of a pair are at hand there, so
+    whether it is met the other way round, and earlier, is seen at once; only pairs of a name that several rows have are brought together.
     """
     kinds = {"XY_tight_Z_loose": ("x", "y", "z"), "XZ_tight_Y_loose": ("x", "z", "y"), "YZ_tight_X_loose": ("y", "z", "x")}
-    bwd = lambda c: (F.coalesce(c, F.lit("")) == "BWD")
-    tails = branches.where("tx is not null").select(F.col("branch").alias("a"), "tx", "ty", "tz", bwd("tcon").alias("a_bwd"), F.col("line_no").alias("pa"))
-    heads = branches.where("hx is not null").select(F.col("branch").alias("b"), "hx", "hy", "hz", bwd("hcon").alias("b_bwd"), F.col("line_no").alias("pb"))
+    bwd = lambda c: (F.coalesce(c, F.lit("")) == "BWD").alias(f"{c[0]}_bwd")
+    rows = branches.select("branch", "line_no", *(f"{end}{a}" for end in "th" for a in "xyz"), bwd("tcon"), bwd("hcon"))
+    hashed = F.xxhash64("branch").alias("_name")
+    repeated = staged(rows.select(hashed).groupBy("_name").count().where("count > 1").select("_name", F.lit(True).alias("_again")), "repeated-names")
+    repeats = repeated.limit(FEW_NAMES + 1).count()
+    if repeats:
+        marks = F.broadcast(repeated) if repeats <= FEW_NAMES else repeated.hint("merge")
+        rows = rows.withColumn("_name", hashed).join(marks, "_name", "left").drop("_name").withColumn("_again", F.coalesce("_again", F.lit(False)))
+        rows = rows if repeats <= FEW_NAMES else staged(rows, "marked-branches")  # own_pairs() reads them several times
     boxes = {name: [(f"t{axis}", f"h{axis}", width) for axis, width in zip(axes, (tight, tight, loose), strict=True)] for name, axes in kinds.items()}
-    d = {a: F.abs(F.col(f"t{a}") - F.col(f"h{a}")) for a in "xyz"}
-    kind, worst = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, (p, q, r) in reversed(kinds.items()):
-        hit = (d[p] <= tight) & (d[q] <= tight) & (d[r] <= loose)
-        kind, worst = F.when(hit, name).otherwise(kind), F.when(hit, F.greatest(d[p], d[q])).otherwise(worst)
-    met = box_pairs(tails, heads, boxes).where("a <> b and (a_bwd or b_bwd)").where(F.col("box") == kind)  # a pair in several boxes counts in the first
-    met = met.select("a", "b", "pa", "pb", F.col("box").alias("match_type"), worst.alias("tight_offset"), F.round(F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2), 3).alias("distance"))
-    first = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("pa", "pb")
+
+    def match(tail: str, head: str) -> tuple[dict[str, Column], Column, Column]:
+        """Distances by axis, kind of match and the greater of its tight offsets, null where there is none."""
+        d = {a: F.abs(F.col(f"{tail}_t{a}") - F.col(f"{head}_h{a}")) for a in "xyz"}
+        kind, worst = F.lit(None).cast("string"), F.lit(None).cast("double")
+        for name, (p, q, r) in reversed(kinds.items()):
+            hit = (d[p] <= tight) & (d[q] <= tight) & (d[r] <= loose)
+            kind, worst = F.when(hit, name).otherwise(kind), F.when(hit, F.greatest(d[p], d[q])).otherwise(worst)
+        return d, F.when(F.col(f"{tail}_t_bwd") | F.col(f"{head}_h_bwd"), kind), worst
+
+    d, kind, worst = match("a", "b")
+    met = own_pairs(rows, boxes).where(F.col("a_branch") != F.col("b_branch")).where(F.col("box") == kind)  # a pair in several boxes counts in the first
+    place = lambda side: F.struct(f"{side}_line_no", f"{side}_branch")
+    earlier = match("b", "a")[1].isNotNull() & (place("b") < place("a"))
+    columns = [F.col("a_branch").alias("a"), F.col("b_branch").alias("b"), F.col("box").alias("match_type"), worst.alias("tight_offset"), F.round(F.sqrt(d["x"] ** 2 + d["y"] ** 2 + d["z"] ** 2), 3).alias("distance")]
+    again = F.col("a__again") | F.col("b__again") if repeats else F.lit(False)
+    once = met.where(~again & ~earlier).select(*columns)
+    if repeats:
+        first = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("pa", "pb")
+        several = met.where(again).select(*columns, F.col("a_line_no").alias("pa"), F.col("b_line_no").alias("pb"))
+        once = once.unionByName(several.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*once.columns))
     accuracy = F.round(F.greatest(F.lit(0.0), 100.0 * (1 - F.col("tight_offset") / tight)), 1)
-    return met.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("a", "b", "match_type", "distance", F.round("tight_offset", 3).alias("tight_offset"), accuracy.alias("accuracy"))
+    return once.select("a", "b", "match_type", "distance", F.round("tight_offset", 3).alias("tight_offset"), accuracy.alias("accuracy"))
 
 
 def components_at_ends(components: DataFrame, branches: DataFrame, tolerance: float = 10.0) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import random
+from collections import Counter
+from itertools import product
+
 import duckdb
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from plantlists.operators import bom, compare, ranges, rules, spatial
+from plantlists.operators import bom, compare, ranges, rules, spatial, welds
 from plantlists.sources import tables
 
 
@@ -126,3 +133,63 @@ def test_sheet_routes_rows_once(spark) -> None:
     sheet = bom.order_sheet(rows)
     assert "washer" not in _plan(sheet)  # a keyword of the classification, which the staged rows have behind them
     assert sheet.count() == 8
+
+
+@pytest.mark.parametrize(("coarse", "crowd"), [(32.0, 131_072), (3.0, 131_072), (3.0, 25)])
+def test_own_pairs(spark, monkeypatch, coarse: float, crowd: int) -> None:
+    """d19: left and right points of one table, also in crowded cells and at odd places, against all pairs."""
+    monkeypatch.setattr(spatial, "COARSE", coarse)
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    rng = random.Random(int(coarse) + crowd)
+    near = lambda: tuple(round(rng.choice([rng.uniform(-40, 40), rng.gauss(3, 1), 5.0, -5.0]), 2) for _ in range(4))
+    odd = [(None, 1.0, 5.0, 5.0), (5.0, 5.0, float("nan"), 1.0), (float("inf"), 0.0, float("inf"), 0.0), (1e18, 2.0, 1e18, 2.0), (-1e18, 2.0, 1.0, None)]
+    rows = [(k, f"n{k}", *p) for k, p in enumerate([near() for _ in range(150)] + odd)]
+    df = spark.createDataFrame(rows, "i long, name string, x double, y double, u double, v double")
+    boxes = {"wide": [("x", "u", 2.0), ("y", "v", 10.0)], "flat": [("y", "v", 1.0), ("x", "u", 6.0)]}
+    found = spatial.own_pairs(df, boxes)
+    assert ("Broadcast" in _plan(found)) == (crowd < 100)
+    told = Counter((r.box, r.a_i, r.a_name, r.b_i, r.b_name) for r in found.collect())
+    close = lambda p, q, t: p is not None and q is not None and abs(p - q) <= t
+    pairs = [("wide", a, b) for a, b in product(rows, rows) if close(a[2], b[4], 2.0) and close(a[3], b[5], 10.0)]
+    pairs += [("flat", a, b) for a, b in product(rows, rows) if close(a[2], b[4], 6.0) and close(a[3], b[5], 1.0)]
+    assert told == Counter((box, a[0], a[1], b[0], b[1]) for box, a, b in pairs) and len(told) > 500
+    assert spatial.own_pairs(df.limit(0), boxes).count() == 0
+
+
+def test_cells_stay_whole(monkeypatch) -> None:
+    """d19: tasks take some whole cells at a time and test a bounded number of candidates at a time."""
+    monkeypatch.setattr(spatial, "BATCH_ROWS", 7)
+    cells = sorted(random.Random(3).choices(range(12), k=60) + [4] * 30)
+    batches = [pa.RecordBatch.from_pydict({"_cell": cells[k : k + 5]}) for k in range(0, 90, 5)]
+    tables = [t.column("_cell").to_pylist() for t in spatial._whole_cells(iter(batches))]
+    assert sum(tables, []) == cells and len(tables) > 3
+    assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:], strict=False))
+    monkeypatch.setattr(spatial, "CANDIDATES", 11)
+    rng = random.Random(4)
+    rows = {c: [float(rng.randrange(30)) for _ in range(40)] for c in "xyuv"} | {"_cell": [0] * 40, "_right": [True] * 40}
+    met = list(spatial._met(pa.table(rows), [("b", [("x", "u", 2.0, 0), ("y", "v", 3.0, 1)])], [(96.0, 0.0, 1), (96.0, 0.0, 1)]))
+    assert sorted((int(i), int(j)) for _, a, b in met for i, j in zip(a, b, strict=True)) == [(i, j) for i in range(40) for j in range(40) if abs(rows["x"][i] - rows["u"][j]) <= 2 and abs(rows["y"][i] - rows["v"][j]) <= 3]
+    assert len(met) > 1 and all(len(a) <= 7 for _, a, _ in met)
+
+
+@pytest.mark.parametrize(("repeated", "few"), [(False, 100_000), (True, 100_000), (True, 0)])
+def test_ends_cross_one_exchange(spark, monkeypatch, repeated: bool, few: int) -> None:
+    """d19: ends were copied to three grids, with the pairs sent round once more; 6 GB ran out of disk."""
+    monkeypatch.setattr(welds, "FEW_NAMES", few)
+    rng = random.Random(repeated)
+    at = lambda: [float(rng.choice([rng.randrange(60), rng.randrange(300)])) for _ in range(6)]
+    rows = [(f"b{k % 70 if repeated and k > 90 else k}", *at(), rng.choice(["BWD", "OPEN", None]), rng.choice(["BWD", "OPEN"]), k * 37 % 241) for k in range(220)]
+    df = spark.createDataFrame(rows, "branch string, hx double, hy double, hz double, tx double, ty double, tz double, hcon string, tcon string, line_no long")
+    out = welds.connect_branches(df, 9.0)
+    plan = _plan(out)
+    assert repeated or (plan.count("Exchange") == 1 and "Window" not in plan)
+    best: dict = {}
+    for a, b in product(rows, rows):
+        d = [abs(t - h) for t, h in zip(a[4:7], b[1:4], strict=True)]
+        kind = next((n for n, p, q, r in (("XY_tight_Z_loose", 0, 1, 2), ("XZ_tight_Y_loose", 0, 2, 1), ("YZ_tight_X_loose", 1, 2, 0)) if d[p] <= 9 and d[q] <= 9 and d[r] <= 150), None)
+        if a[0] != b[0] and kind and "BWD" in (a[8], b[7]):
+            tight = max(d[k] for k, axis in enumerate("XYZ") if f"{axis}_tight" in kind or f"{axis}Y_tight" in kind or f"{axis}Z_tight" in kind)
+            best.setdefault(frozenset((a[0], b[0])), []).append((a[9], b[9], a[0], b[0], kind, tight, round(math.hypot(*d), 3)))
+    told = [(r.a, r.b, r.match_type, r.tight_offset, r.distance) for r in out.collect()]
+    assert sorted(told) == sorted(min(found)[2:] for found in best.values()) and len(told) > 100
+    assert any(len(found) > 1 for found in best.values())
