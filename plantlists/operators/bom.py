@@ -101,6 +101,12 @@ def _sum_weight(c: str = "total_weight_kg") -> Column:
     return F.round(F.sum(c), 2)
 
 
+def _exact_sum(c: str) -> Column:
+    """The sum of weights to ten decimals, the same in whatever order rows come; of doubles, where one of them is no such decimal (infinite, 10^18 or more)."""
+    exact = F.col(c).try_cast("decimal(28,10)")
+    return F.when(F.count(exact) == F.count(c), F.sum(exact).cast("double")).otherwise(F.sum(c))
+
+
 def _with_spare(df: DataFrame, description: str = "description") -> DataFrame:
     share = spare_share(F.col("material_type"), F.col(description))
     df = df.withColumn("share", share).withColumn("spare_n", spare_quantity(F.col("qty"), F.col("share"))).withColumn("order_n", F.col("qty") + F.col("spare_n"))
@@ -171,7 +177,7 @@ def pieces_of(rows: DataFrame, route: str) -> DataFrame:
     first = Window.partitionBy("item_number", "coating")
     chosen = chosen.withColumns({"bar_mm": F.min_by("bar_mm", "row_pos").over(first), "label": F.min_by("clean", "row_pos").over(first)})
     n = F.greatest(F.coalesce(F.col("qty"), F.lit(0)), F.lit(0))
-    return chosen.groupBy("item_number", "coating", "bar_mm", "label", F.col("cut_length_mm").cast("long").alias("cut_mm")).agg(F.sum(n).alias("n"), F.sum("total_weight_kg").alias("w"), F.min("row_pos").alias("p"))
+    return chosen.groupBy("item_number", "coating", "bar_mm", "label", F.col("cut_length_mm").cast("long").alias("cut_mm")).agg(F.sum(n).alias("n"), _exact_sum("total_weight_kg").alias("w"), F.min("row_pos").alias("p"))
 
 
 def _runs(pieces: DataFrame) -> DataFrame:
@@ -180,7 +186,7 @@ def _runs(pieces: DataFrame) -> DataFrame:
     A bar's lengths are whole millimetres, so a group has as many runs as a bar has millimetres at most.
     """
     runs = F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.struct("cut_mm", "n"))), asc=False)
-    return pieces.groupBy("item_number", "coating").agg(F.min("bar_mm").alias("bar_mm"), F.min_by("label", "p").alias("label"), runs.alias("runs"), F.sum(F.col("cut_mm") * F.col("n")).alias("net_mm"), F.sum("w").alias("weight"), F.min("p").alias("row_pos"))
+    return pieces.groupBy("item_number", "coating").agg(F.min("bar_mm").alias("bar_mm"), F.min_by("label", "p").alias("label"), runs.alias("runs"), F.sum(F.col("cut_mm") * F.col("n")).alias("net_mm"), _exact_sum("w").alias("weight"), F.min("p").alias("row_pos"))
 
 
 def _by_group(groups: DataFrame, work: Callable[[dict], list[dict]], schema: str) -> DataFrame:

@@ -193,3 +193,20 @@ def test_ends_cross_one_exchange(spark, monkeypatch, repeated: bool, few: int) -
     told = [(r.a, r.b, r.match_type, r.tight_offset, r.distance) for r in out.collect()]
     assert sorted(told) == sorted(min(found)[2:] for found in best.values()) and len(told) > 100
     assert any(len(found) > 1 for found in best.values())
+
+
+def test_weights_do_not_depend_on_order(spark) -> None:
+    """e4_pack_bars: weights whose sum and 0.3337 are a whole number; a sum of doubles lies above or below it as rows come."""
+    rng = random.Random(5)
+    rows, expected = [], {}
+    for k in range(120):
+        cents = [rng.randrange(90_000, 10_500_000) for _ in range(rng.randrange(4, 20))]
+        cents.append((66_630 - sum(cents)) % 100_000 + 100_000 * rng.randrange(1, 100))
+        rng.shuffle(cents)
+        rows += [(len(rows) + i, k, 1, 500 + i % 3, c / 100 / 1000) for i, c in enumerate(cents)] + [(1_000_000 + k, k, 1, 500, None)]
+        expected[k] = (sum(cents) + 33_370) // 100_000
+    rows += [(2_000_000, 900, 1, 500, None), (2_000_001, 901, 1, 500, 1e300), (2_000_002, 901, 1, 500, 1e300), (2_000_003, 902, 1, 500, float("nan"))]
+    df = spark.createDataFrame(rows, "row_pos long, item_number long, qty long, cut_length_mm long, total_weight_kg double").selectExpr("*", "'beam' AS route", "'m' AS clean", "'m' AS description", "'HCP' AS coating")
+    packed = {r["item_number"]: r["weight"] for r in bom.pack_bars(bom.pieces_of(df, "beam")).collect()}
+    assert packed.pop(900) is None and packed.pop(901) == 2e300 and math.isnan(packed.pop(902))
+    assert {k: math.floor(w + 0.3337) for k, w in packed.items()} == expected
